@@ -1,0 +1,125 @@
+import hashlib
+import random
+import re
+import struct
+
+import pytest
+
+from orderlens.llm import licenses, pii, piece_bpe, toxicity
+from orderlens.llm.queries import piece_model_path
+
+from .helpers import corpus, docs
+
+spm = pytest.importorskip("sentencepiece")
+ALPHABET = [*"abtheion  \u2581\n\r\t.\u00e9\u65e5\u672c\x00x<s>0123\U0001f600\ufdfd\u00f1\ufffd", "the", "tion", " in", "    ", "\u00a0", "\u200b"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return spm.SentencePieceProcessor(model_file=piece_model_path())
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(piece_model_path(), "rb") as file:
+        return piece_bpe.PieceModel(file.read(), cached_words=500)
+
+
+def test_pieces_like_the_library(library, model):
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice(ALPHABET) for _ in range(rng.choice([0, 1, 2, 3, 8, 40])))
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert model.encode(text) == ids
+        assert model.decode(ids) == library.decode(ids) == model.decode_packed(struct.pack(f"<{len(ids)}I", *ids))
+    for _ in range(1000):
+        ids = [rng.choice([0, 1, 2, rng.randrange(3, 259), rng.randrange(259, 32000)]) for _ in range(rng.randrange(6))]
+        assert model.decode(ids) == library.decode(ids), ids
+
+
+def test_piece_query(spark, library):
+    texts = corpus()
+    got = {r["doc_id"]: r for r in piece_bpe.encode_documents(docs(spark, texts), piece_model_path(), with_text=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        assert got[i]["n_tokens"] == len(ids) and bytes(got[i]["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
+        assert got[i]["decoded"] == library.decode(ids) and got[i]["decoded_sha256"] == hashlib.sha256(got[i]["decoded"].encode()).hexdigest()
+    assert piece_bpe.encode_documents(docs(spark, []), piece_model_path()).count() == 0
+
+
+def test_toxicity_folds_and_excuses():
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "clown": 2.0}, 5.0, -2.0)
+    for text in ("an Idiot!", "1d10t", "\u0456di\u043et", "idi0t$$$", "\uff29\uff24\uff29\uff2f\uff34", "say idiot"):
+        assert [h[2] for h in lexicon.found(text)] == ["idiot"], text
+    for text in ("idiotic", "a class clown", "", "misidiot", "clown fish"):
+        assert lexicon.found(text) == [], text
+    assert lexicon.score("idiot " + "x " * 10) > lexicon.score("idiot " + "x " * 10_000) > lexicon.score("")
+
+
+def test_toxicity_learns(spark):
+    rng = random.Random(1)
+    bad = ["grubber", "snark", "vexer"]
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(50)]) for _ in range(rng.randrange(5, 60))) for _ in range(600)]
+    toxic = [rng.random() < 0.2 for _ in texts]
+    texts = [t + " " + rng.choice(bad) if x else t for t, x in zip(texts, toxic)]
+    table = docs(spark, [*texts, None, ""])
+    labels = spark.createDataFrame([(i, 1, int(x)) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(table, labels)
+    assert set(lexicon.weights) == set(bad)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(table, lexicon).collect()}
+    assert all((scored[i] >= 0.3) == x for i, x in enumerate(toxic)) and scored[600] == scored[601] < 0.3
+    kept = toxicity.drop_toxic(table, labels)
+    assert kept.columns == table.columns and kept.count() == 602 - sum(toxic)
+    assert toxicity.score(docs(spark, []), lexicon).count() == 0
+    assert toxicity.fit(table, labels.where("toxic = 0")).score("x") < 0.1
+
+
+def test_permutations_are_permutations():
+    for size in (1, 2, 7, 100, 366):
+        assert sorted(pii.permute(i, size, b"k", "f") for i in range(size)) == list(range(size))
+    assert [pii.permute(i, 1000, b"a", "f") for i in range(9)] != [pii.permute(i, 1000, b"b", "f") for i in range(9)]
+
+
+def shape(value):
+    return re.sub(r"\d", "9", re.sub("[a-z]", "a", value.replace("DE", "..") if value.startswith("DE") else re.sub("[A-Z]", "A", value)))
+
+
+@pytest.mark.parametrize(
+    ("value", "kind"),
+    [("4111 1111 1111 1111", "card"), ("4111111111111111", "card"), ("+1 (212) 555-0188", "phone"), ("078-05-1121", "ssn"), ("2024-02-29", "date"), ("31/12/1999", "date"), ("10.0.255.1", "ip"), ("DE89 3704 0044 0532 0130 00", "iban"), ("Ann.Lee7@mail.example.com", "email"), ("d41d8cd98f00b204e9800998ecf8427e", "secret")],
+)
+def test_values_keep_their_format(value, kind):
+    text, found = pii.pseudonymise(f"see {value}, or {value}.")
+    first, second = re.fullmatch(r"see (.*), or (.*)\.", text).groups()
+    assert found == {kind: 2} and first == second != value
+    if kind != "ip":
+        assert shape(first) == shape(value) or kind == "secret"
+    assert pii.pseudonymise(first)[1] == {kind: 1}
+
+
+@pytest.mark.parametrize("text", ["4111 1111 1111 1112", "2023-02-29", "1.2.3.456", "000-12-3456", "DE89 3704 0044 0532 0130 01", "no digits", "version 3.0", ""])
+def test_other_texts_stay(text):
+    assert pii.pseudonymise(text) == (text, {})
+
+
+def test_pii_query(spark):
+    table = docs(spark, ["a 4111111111111111 b", "4111-1111-1111-1111", None, "", "x" * 100_000])
+    got = {r["doc_id"]: r for r in pii.pseudonyms(table).collect()}
+    digits = [re.sub(r"\D", "", got[i]["text"]) for i in (0, 1)]
+    assert digits[0] == digits[1] != "4111111111111111" and got[2]["text"] is None and got[3]["text"] == ""
+    assert [got[i]["n_values"] for i in range(5)] == [1, 1, 0, 0, 0]
+    assert pii.mask(table).columns == [*table.columns, "found"] and pii.pseudonyms(docs(spark, [])).count() == 0
+
+
+def test_licenses(spark):
+    mit = licenses.TEMPLATES["MIT"][1]
+    words = mit.split()
+    edited = " ".join(words[:20] + ["indeed"] + words[20:40] + words[42:])
+    texts = ["Foo.\nReleased under the MIT License.\nBar", f"x {edited} y", None, "", "of the and to in the software", "Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", "the " * 5000 + "this work is licensed under the gnu general public license, VERSION 3!"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert [got[i]["license"] for i in range(7)] == ["MIT", "MIT", "", "", "", "Apache-2.0,CC-BY-NC-4.0", "GPL-3.0"]
+    span = got[0]["spans"][0]
+    assert texts[0][span["first"] : span["last"]] == "Released under the MIT License" and span["coverage"] == 1.0
+    span = got[1]["spans"][0]
+    assert 0.9 < span["coverage"] < 1 and texts[1][span["first"] : span["last"]].startswith("Permission") and texts[1][span["first"] : span["last"]].endswith("conditions")
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
