@@ -146,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         mean = (total["toxic"] + 0.5) / (total["toxic"] + total["other"] + 1)
         return Lexicon({}, 0.0, math.log(mean / (1 - mean)))
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
-    odds = F.log(a / (total["toxic"] + 1 - a + 0.5)) - F.log(b / (total["other"] + 1 - b + 0.5))
-    weight = odds - 3.0 * F.sqrt(1 / a + 1 / b)
+    c, d = total["toxic"] + 1 - a, total["other"] + 1 - b
+    weight = F.log(a * d / (b * c)) - 3.0 * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     often = F.greatest(F.lit(3.0), F.lit(least_share * total["toxic"]))
     best = counted.where((F.col("term") != "") & (F.length("term") > 2) & (F.col("toxic") >= often)).withColumn("weight", weight).where("weight > 0").orderBy(F.desc("weight"), "term").limit(max_terms).collect()
     lexicon = Lexicon({r["term"]: r["weight"] for r in best})

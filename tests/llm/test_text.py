@@ -65,7 +65,7 @@ def test_toxicity_learns(spark):
     table = docs(spark, [*texts, None, ""])
     labels = spark.createDataFrame([(i, 1, int(x)) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int")
     lexicon = toxicity.fit(table, labels)
-    assert set(lexicon.weights) == set(bad)
+    assert sorted(lexicon.weights, key=lexicon.weights.get)[-3:] == sorted(bad, key=lexicon.weights.get)
     scored = {r["doc_id"]: r["score"] for r in toxicity.score(table, lexicon).collect()}
     assert all((scored[i] >= 0.3) == x for i, x in enumerate(toxic)) and scored[600] == scored[601] < 0.3
     kept = toxicity.drop_toxic(table, labels)
