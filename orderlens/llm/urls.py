@@ -14,7 +14,7 @@ no rule blocks or none allows anything, URLs without a rule are allowed; repeate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, keep
@@ -54,21 +54,18 @@ def grams(host: Column, path: Column) -> Column:
 def log_ratios(counts: DataFrame) -> DataFrame:
     """(gram, ratio) for every gram, from counts (gram, allow, block): log-probability of the last sign as accepted, less that as rejected."""
     dense = counts.sparkSession.range(SIGNS**3, numPartitions=1).select(F.col("id").cast("int").alias("gram"))
-    c, b = F.col("gram") % SIGNS, F.floor(F.col("gram") / SIGNS).cast("int") % SIGNS
-    dense = dense.join(counts, "gram", "left").fillna(0).withColumns({"c": c, "bc": b * SIGNS + c, "b": b, "ab": F.floor(F.col("gram") / SIGNS).cast("int")})
-    for side in ("allow", "block"):
-        for keys, over, given in (("two", "bc", "b"), ("one", "c", None)):
-            table = dense.groupBy(*[k for k in (over, given) if k]).agg(F.sum(side).alias("n"))
-            whole = table.groupBy(*([given] if given else [])).agg(F.sum("n").alias("all"), F.count_if(F.col("n") > 0).alias("kinds"))
-            if given:
-                table = table.join(whole, given).drop(given)
-            else:
-                total = whole.first()
-                table = table.withColumns({"all": F.lit(total["all"]), "kinds": F.lit(total["kinds"])})
-            dense = dense.join(table.select(over, *[F.col(x).alias(f"{keys}_{x}_{side}") for x in ("n", "all", "kinds")]), over)
-        context = dense.groupBy("ab").agg(F.sum(side).alias(f"three_all_{side}"), F.count_if(F.col(side) > 0).alias(f"three_kinds_{side}"))
-        dense = dense.join(context, "ab")
-        p = (F.col(f"one_n_{side}") + 1.0) / (F.col(f"one_all_{side}") + SIGNS)
+    total = counts.agg(F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.coalesce(F.sum("block"), F.lit(0)).alias("block")).first()
+    first, last_two = F.floor(F.col("gram") / SIGNS).cast("int"), F.col("gram") % SIGNS**2
+    dense = dense.join(counts, "gram", "left").fillna(0).withColumns({"ab": first, "bc": last_two, "b": first % SIGNS, "c": F.col("gram") % SIGNS})
+    over = {k: Window.partitionBy(k) for k in ("bc", "b", "c", "ab")}
+    sides = ("allow", "block")
+    dense = dense.withColumns({f"two_n_{s}": F.sum(s).over(over["bc"]) for s in sides})
+    # A pair of signs has a row for each sign before it.
+    dense = dense.withColumns({f"two_all_{s}": F.sum(s).over(over["b"]) for s in sides} | {f"two_kinds_{s}": F.count_if(F.col(f"two_n_{s}") > 0).over(over["b"]) / SIGNS for s in sides})
+    dense = dense.withColumns({f"one_n_{s}": F.sum(s).over(over["c"]) for s in sides})
+    dense = dense.withColumns({f"three_all_{s}": F.sum(s).over(over["ab"]) for s in sides} | {f"three_kinds_{s}": F.count_if(F.col(s) > 0).over(over["ab"]) for s in sides})
+    for side in sides:
+        p = (F.col(f"one_n_{side}") + 1.0) / (total[side] + SIGNS)
         for order, n in (("two", f"two_n_{side}"), ("three", side)):
             seen, kinds = F.col(f"{order}_all_{side}"), F.col(f"{order}_kinds_{side}")
             p = F.when(seen > 0, (F.col(n) + kinds * p) / (seen + kinds)).otherwise(p)
@@ -82,7 +79,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     names = ["_id", "host", "path", "_rule"]
     rows = rows.withColumnRenamed(id_col, "_id").withColumn("_row", F.monotonically_increasing_id()).select("_row", *names, F.explode(grams(F.col("host"), F.col("path"))).alias("gram"))
-    counts = rows.where("_rule is not null").groupBy("gram").agg(F.count_if(F.col("_rule.verdict") == "allow").alias("allow"), F.count_if(F.col("_rule.verdict") == "block").alias("block"))
+    counts = keep(rows.where("_rule is not null").groupBy("gram").agg(F.count_if(F.col("_rule.verdict") == "allow").alias("allow"), F.count_if(F.col("_rule.verdict") == "block").alias("block")))
     # 39^3 rows of two numbers: bounded by the alphabet, so it can be broadcast.
     model = F.broadcast(keep(log_ratios(counts)))
     # A row's grams stand together, so each task sends about one row for each url.
