@@ -85,8 +85,8 @@ def next_by_id(rows: DataFrame, carried: list[str]) -> DataFrame:
     Rows go to chunks of ids between quantiles that are ids themselves. A chunk's largest id is therefore known beforehand, and its
     rows are sent to the chunk above as well, where they stand last; so no order over all rows is needed in one place.
     """
-    chunks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # As many numbers as shuffle partitions, and the largest.
+    # Several chunks for each shuffle partition even out what hashing deals to one; the driver holds one number for each.
+    chunks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     quantiles = rows.agg(F.percentile_approx("id", [(i + 1) / chunks for i in range(chunks)], max(10_000, 20 * chunks)).alias("q"), F.max("id").alias("top")).first()
     bounds = sorted({*(quantiles["q"] or []), *([quantiles["top"]] if quantiles["top"] is not None else [])})
     if not bounds:
@@ -94,7 +94,7 @@ def next_by_id(rows: DataFrame, carried: list[str]) -> DataFrame:
     else:
         own = chunk_of(bounds)
         above = F.when(F.col("own") == len(bounds) - 1, 0).otherwise(F.col("own") + 1)
-        edge = F.col("id").isin(bounds) if len(bounds) < 64 else F.col("id") == F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("own") + 1)
+        edge = F.col("id") == F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("own") + 1)
         home = F.struct(F.col("own").alias("chunk"), F.lit(False).alias("guest"))
         visit = F.struct(above.alias("chunk"), F.lit(True).alias("guest"))
         placed = rows.withColumn("own", own).withColumn("at", F.explode(F.when(F.coalesce(edge, F.lit(False)), F.array(home, visit)).otherwise(F.array(home)))).select("id", *carried, "at.*")
