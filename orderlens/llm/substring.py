@@ -193,7 +193,7 @@ def cut_factors(batches: Iterator[pa.RecordBatch], window: int, with_text: bool)
         yield pa.RecordBatch.from_pydict(out | {"factors": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(texts, pa.string())} if with_text else out)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 8, block_words: int = 1_000_000, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 8, block_words: int = 1_000_000, hot_entries: int = 1000, with_text: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed, kept_sha256; with_text adds factors (first word, word after the last) and the kept words.
 
     Texts go through a shuffle twice, to meet their shared anchors and their factors; all else that moves is hashes.
@@ -205,9 +205,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = anchors.join(shared, "anchor").groupBy("id", "mark").agg(F.collect_set("anchor").alias("anchors"))
     some = rows.select("id", "mark", "text").join(wanted.hint("shuffle_hash"), ["id", "mark"])
     index = keep(some.mapInArrow(lambda b: find_entries(b, window, gram, block_words), ENTRY_SCHEMA))
-    # All entries of an anchor meet in one task: at most one for each block and context of the anchor.
-    entry = index.where("anchor is not null").select("anchor", "id", "mark", "start", "hashes").repartition("anchor").select("anchor", "id", "mark", "start", F.posexplode("hashes").alias("offset", "hash"))
-    found = entry.withColumn("least", F.min("id").over(Window.partitionBy("anchor", "hash"))).where("id > least")
+    # Entries of an anchor meet in one task, one for each block and context; where those are many, its windows are dealt by their hash.
+    entry = index.where("anchor is not null").select("anchor", "id", "mark", "start", "hashes")
+    hot = keep(entry.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_entries).select("anchor"))
+    some = not hot.isEmpty()
+    each = [F.col("anchor"), F.col("id"), F.col("mark"), F.col("start"), F.posexplode("hashes").alias("offset", "hash")]
+    least = F.min("id").over(Window.partitionBy("anchor", "hash"))
+    cold = entry.join(hot, "anchor", "left_anti") if some else entry
+    found = cold.repartition("anchor").select(*each).withColumn("least", least).where("id > least")
+    if some:
+        spread = entry.join(hot, "anchor").select(*each).repartition("anchor", "hash")
+        found = found.unionByName(spread.withColumn("least", least).where("id > least"))
     there = found.groupBy("id", "mark").agg(F.collect_list(F.col("start") + F.col("offset")).alias("starts"))
     starts = keep(index.where("anchor is null").select("id", "mark", "starts").union(there).groupBy("id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts")))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", factors array<array<long>>, kept string" * with_text

@@ -124,10 +124,10 @@ def brute_substring(texts, ids, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "gram", "block"), [(50, 8, 1_000_000), (50, 8, 500), (10, 4, 300)])
-def test_substring_against_brute_force(spark, window, gram, block):
+@pytest.mark.parametrize(("window", "gram", "block", "hot"), [(50, 8, 1_000_000, 1000), (50, 8, 500, 1000), (10, 4, 300, 3)])
+def test_substring_against_brute_force(spark, window, gram, block, hot):
     texts = corpus(n=150, words=40)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.substring_dedup(docs(spark, texts), window=window, gram=gram, block_words=block).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.substring_dedup(docs(spark, texts), window=window, gram=gram, block_words=block, hot_entries=hot).collect()}
     want = brute_substring(texts, range(len(texts)), window)
     assert got == want
     assert sum(n for _, n, _ in want.values()) > 500
