@@ -105,7 +105,7 @@ def fill_gaps(groups: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pattern": groups["pattern"].iloc[0], "key": pd.Series(chosen, dtype="int64")})
 
 
-def mix(docs: DataFrame, members: Column, weight_of=None, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, members: Column, weight_of=None, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = 7, max_broadcast: int = 10_000) -> DataFrame:
     """One row per row of docs: id_col, size, pattern, source_size, target, taken.
 
     members is an array of sources; weight_of maps the ordered list of sources to weights (default 1, 2, 3, repeating). source_size
@@ -134,11 +134,13 @@ def mix(docs: DataFrame, members: Column, weight_of=None, id_col: str = "doc_id"
         total = sum(flow.get((p, s), 0) for s in p) * g["size"] // max(1, by_members[p])
         passes = min(most, total // g["size"]) if g["size"] else 0
         plan.append((g["pattern"], passes, total - passes * g["size"], sum(sizes[s] for s in p), float(sum(targets[s] for s in p))))
-    # A row for each pattern, as the driver has just seen; Spark broadcasts it if it is small enough.
+    # A row for each pattern, counted here: few are broadcast, so that rows aren't dealt by pattern; many patterns have no third of all rows to deal.
     plan_df = spark.createDataFrame(plan, "pattern string, passes long, rest long, source_size long, target double")
+    plan_df = F.broadcast(plan_df) if len(plan) <= max_broadcast else plan_df
     lots = sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("lot"))
     before = F.sum("lot").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("lot")
-    lots = lots.withColumn("before", before).drop("lot")
+    # Dealt anew by both keys: else the join would take over the window's partitioning and bring a source's rows into one task.
+    lots = lots.withColumn("before", before).drop("lot").repartition("pattern", "bucket")
     rows = sized.drop("members").join(lots, ["pattern", "bucket"]).join(plan_df, "pattern")
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("pattern", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
     rows = keep(rows.withColumn("chosen", upto <= F.col("rest")))
