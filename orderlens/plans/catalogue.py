@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import market, rng, stats
-from ..operators import book, flow, simulate
+from ..operators import agents, book, flow, simulate
 from ..streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,3 +545,77 @@ def calibration_run(spark, sf_dir):
     candidates = spark.range(6).select(F.col("id").alias("candidate_id"), (0.5 + F.col("id") / 6).alias("scale"))
     targets = spark.createDataFrame([("mean_spread", 300.0, 2.5, 100.0), ("limit_order_rate", 24.0, 1.0, 1.0), ("cancel_rate", 36.0, 1.0, 1.0), ("mid_move_rate", 0.25, 3.0, 0.02)], "name string, target double, weight double, scale_floor double")
     return flow.first_best(simulate.calibrate(spark, candidates, targets, config, ("scale",)), "candidate_id")
+
+
+def quote_states(spark, sf_dir) -> DataFrame:
+    k, i = F.col("k"), F.col("event_id")
+    return events(spark, sf_dir).where("event_type = 'click'").select(
+        "event_id", F.when(k % 9 == 0, 0).otherwise(10_000 + k * 10).alias("best_bid"), F.when(k % 8 == 0, 0).otherwise(10_050 + k * 10 + (i % 7) * 100).alias("best_ask"), (i % 61 - 30).alias("inventory"),
+    )
+
+
+@query(f"""{E}, s AS (SELECT event_id, CASE WHEN k % 9 = 0 THEN 0 ELSE 10000 + k * 10 END AS bid, CASE WHEN k % 8 = 0 THEN 0 ELSE 10050 + k * 10 + (event_id % 7) * 100 END AS ask, event_id % 61 - 30 AS held FROM e WHERE event_type = 'click'),
+c AS (SELECT *, CAST(round((bid + ask) / 2) AS BIGINT) - CAST(least(3, greatest(-3, round(0.25 * held / 10))) AS BIGINT) * 50 AS centre FROM s),
+q AS (SELECT event_id, held, CASE WHEN bid > 0 AND ask > 0 THEN least(CASE WHEN ask - bid > 100 THEN greatest(bid + 50, centre - 50) ELSE bid END, ask - 50) WHEN bid > 0 THEN bid WHEN ask > 0 THEN ask - 100 END AS low,
+ CASE WHEN bid > 0 AND ask > 0 THEN greatest(CASE WHEN ask - bid > 100 THEN least(ask - 50, centre + 50) ELSE ask END, bid + 50) WHEN bid > 0 THEN bid + 100 WHEN ask > 0 THEN ask END AS high FROM c),
+t AS (SELECT event_id, held, low - low % 50 AS low, high + 49 - (high + 49) % 50 AS high FROM q)
+SELECT event_id, l.level, d.side, CAST(CASE WHEN d.side > 0 THEN low - l.level * 50 ELSE high + l.level * 50 END AS BIGINT) AS price,
+ CAST(CASE WHEN held * d.side > 0 THEN 5 WHEN held * d.side < 0 THEN least(20, 10 + abs(held) // 4) ELSE 10 END AS BIGINT) AS quantity
+FROM t, (VALUES (0), (1)) l(level), (VALUES (1), (-1)) d(side) WHERE low > 0 AND high > low AND low - l.level * 50 > 0""")
+def passive_quotes(spark, sf_dir):
+    return agents.passive_quotes(quote_states(spark, sf_dir), ["event_id"], 50, 10, levels=2)
+
+
+@query(f"""{E}, s AS (SELECT t_us // {DAY} AS day, user_id % 4 AS book_id, avg(value) AS mid FROM (SELECT *, book_id AS user_id FROM e) GROUP BY ALL),
+p AS (SELECT day, 10000 * (max(CASE WHEN book_id = 0 THEN mid END) / (sum(CASE WHEN book_id <> 0 THEN book_id * mid END) / sum(CASE WHEN book_id <> 0 THEN book_id END)) - 1) AS x, count(*) AS n FROM s GROUP BY day),
+c AS (SELECT day, x, CASE WHEN x > 800 THEN -1 WHEN x < -800 THEN 1 WHEN abs(x) < 200 THEN 0 END AS c FROM p)
+SELECT CAST(day AS BIGINT) AS day, round(x, 6) AS premium_bps, coalesce(last_value(c IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 0) AS direction FROM c""")
+def basket_arbitrage(spark, sf_dir):
+    df = events(spark, sf_dir).select(F.floor(F.col("t_us") / DAY).cast("long").alias("day"), (F.col("book_id") % 4).alias("book_id"), "value")
+    states = df.groupBy("day", "book_id").agg(F.avg("value").alias("mid"))
+    weights = spark.range(4).select(F.col("id").alias("book_id"), F.col("id").cast("double").alias("weight"))
+    premium = agents.basket_premium(states, weights, ["day"]).withColumn("market", F.lit(0))
+    # One market: as many rows as days.
+    out = agents.with_hysteresis(premium, ["market"], ["day"], "premium_bps", 800.0, 200.0)
+    return out.select("day", F.round("premium_bps", 6).alias("premium_bps"), "direction")
+
+
+@query(f"WITH {TRADES}, i AS (SELECT a % 5 AS book_id, CAST(sum(side * q) AS BIGINT) AS inventory FROM t GROUP BY ALL), r(source, target, weight) AS (SELECT a.x, b.x, b.x + 1.0 FROM (VALUES (0), (1), (2), (3), (4)) a(x), (VALUES (0), (1), (2), (3), (4)) b(x) WHERE a.x <> b.x), s AS (SELECT source, sum(weight) AS total FROM r GROUP BY source), h AS (SELECT i.book_id, r.target, CAST(-sign(inventory) * floor(abs(0.5 * inventory) * weight / total / 10) * 10 AS BIGINT) AS quantity FROM i JOIN r ON i.book_id = r.source JOIN s ON s.source = r.source WHERE abs(0.5 * inventory) > 100) SELECT book_id, CAST(target AS BIGINT) AS target, quantity FROM h WHERE quantity <> 0")
+def hedge_orders(spark, sf_dir):
+    held = trades(spark, sf_dir).groupBy((F.col("a") % 5).alias("book_id")).agg(F.sum(F.col("side") * F.col("q")).alias("inventory")).withColumns({"beta": F.lit(0.5), "pending": F.lit(0)})
+    pairs = [(a, b, b + 1.0) for a in range(5) for b in range(5) if a != b]
+    return agents.hedge_orders(held, spark.createDataFrame(pairs, "source long, target long, weight double"), 100.0, 10)
+
+
+@query("WITH c AS (SELECT c_custkey % 700 AS book_id, count(*) AS n FROM customer GROUP BY ALL), x AS (SELECT unnest(range(0, 750)) AS book_id) SELECT coalesce(c.book_id, x.book_id) AS book_id, CASE WHEN n IS NULL THEN 'missing' WHEN x.book_id IS NULL THEN 'unknown' WHEN n > 1 THEN 'twice' END AS fault FROM c FULL JOIN x ON c.book_id = x.book_id WHERE n IS NULL OR x.book_id IS NULL OR n > 1")
+def completeness(spark, sf_dir):
+    seen = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 700).alias("book_id"))
+    return agents.complete(seen, spark.range(750).withColumnRenamed("id", "book_id"), "book_id")
+
+
+@query(f"WITH {STAGES}, r AS (SELECT rank, sum(CASE WHEN stage LIKE '1%' OR stage LIKE '2%' THEN seconds ELSE 0 END) AS c, sum(seconds) AS a FROM s GROUP BY rank) SELECT round(max(c), 2) AS max_communication, round(avg(c), 2) AS mean_communication, round(max(a) / avg(a), 9) AS imbalance FROM r")
+def communication_rollup(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("rank"), F.substring("o_orderpriority", 1, 1).alias("stage"), F.col("o_totalprice").alias("seconds"))
+    out = agents.communication(df, ["1", "2"])
+    return out.select(F.round("max_communication", 2).alias("max_communication"), F.round("mean_communication", 2).alias("mean_communication"), F.round("imbalance", 9).alias("imbalance"))
+
+
+@query(f"{SPLITMIX}, s AS (SELECT e.event_id, e.event_type, row_number() OVER (PARTITION BY e.event_type ORDER BY CASE WHEN c.z >= 9223372036854775808 THEN CAST(c.z::HUGEINT - 18446744073709551616 AS BIGINT) ELSE CAST(c.z AS BIGINT) END, e.event_id) AS n FROM e JOIN c ON c.event_id = e.event_id AND c.n = 1) SELECT event_id, event_type FROM s WHERE n <= 20")
+def bucket_samples(spark, sf_dir):
+    return agents.seeded_sample(events(spark, sf_dir).select("event_id", "event_type"), ["event_type"], "event_id", 20, 1)
+
+
+@query("SELECT unnest(range(0, 7)) AS part, 143 // 7 + CASE WHEN unnest(range(0, 7)) < 143 % 7 THEN 1 ELSE 0 END AS agents")
+def population_split(spark, sf_dir):
+    return spark.range(7).select(F.col("id").alias("part"), agents.split_count(F.lit(143), F.lit(7), F.col("id")).alias("agents"))
+
+
+@query()
+def agent_population(spark, sf_dir):
+    return agents.population(spark, {"market_maker": 3, "momentum": 600, "informed": 290, "institutional": 10}, 42)
+
+
+@query()
+def fundamental_path(spark, sf_dir):
+    grid = spark.range(20).select(F.col("id").alias("book_id"), F.explode(F.sequence(F.lit(1), F.lit(200))).alias("step"))
+    return agents.fundamental_path(grid, BOOK, "step", 2203550.0, 1.0, 7)
