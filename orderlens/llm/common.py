@@ -13,6 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Paths of the tables in the shared folder that this program wrote.
+KEPT: list[str] = []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -34,9 +38,19 @@ def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again, so that lost executors cost no recomputation."""
     path = f"{scratch(df.sparkSession)}/orderlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that keep() wrote in this program, once no result that reads them is needed; how many there were."""
+    n = len(KEPT)
+    while KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(KEPT.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def whole(text: str | Column) -> Column:
     """The text, a null one as the empty one."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -177,3 +177,13 @@ def test_urls_against_brute_force(spark):
             assert got[i]["score"] == pytest.approx(scores[i])
     assert urls.judge_urls(df.where("page_id < 0")).count() == 0
     assert {r["verdict"] for r in urls.judge_urls(df.where("url = 'http://net/'")).collect()} == {"allow"}
+
+
+def test_kept_tables_can_be_released(spark):
+    from orderlens.llm import common
+
+    common.release(spark)
+    df = common.keep(spark.range(3))
+    assert df.count() == 3 and common.release(spark) == 1 and common.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|cannot"):
+        df.collect()
