@@ -33,6 +33,7 @@ LOOK_ALIKE = {
 }
 FOR_LETTER = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
 EXCEPTIONS = ("trash can", "trash bin", "trash day", "class clown", "clown fish", "clown car", "sore loser board", "idiot proof", "idiot light", "scum line", "pond scum")
+SIGN = re.compile("[" + re.escape("".join(FOR_LETTER)) + "]")
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -49,11 +50,11 @@ SIGNS = {ord(k): v for k, v in FOR_LETTER.items()}
 
 
 def fold(text: str) -> tuple[str, str]:
-    """The text with letters folded, and with digits and signs too. Both have the text's length."""
+    """The text with letters folded, and with digits and signs too (the same one if it has none). Both have the text's length."""
     low = text.lower()
     plain = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     plain = plain if plain.isascii() else plain.translate(LETTERS)
-    return plain, plain.translate(SIGNS)
+    return plain, plain.translate(SIGNS) if SIGN.search(plain) else plain
 
 
 @dataclass
