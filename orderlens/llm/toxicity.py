@@ -1,18 +1,20 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding undoes look-alike letters and digits or signs put for letters, character for character, so that a match can be checked
-against the text as written: it counts if it starts and ends at a word's edge. A match inside an exception phrase
-doesn't count. The weighted sum of matches is normalised by the text's length and turned into a probability.
+against the text as written: a word counts if it starts and ends at a word's edge, a stem (written with a star) if it starts a
+longer word. A match inside an exception phrase doesn't count. The weighted sum of matches is normalised by the text's
+length and turned into a probability.
 
-The lexicon and the two numbers of that last step are learned from labelled rows: a term's weight is the lower confidence
-bound of its log-odds between toxic and other texts. At most ``max_fit_rows`` labelled rows are used, those whose ids hash
-lowest; scoring takes every row and whole text.
+The lexicon and the two numbers of that last step are learned from labelled rows: words and stems are chosen by the likelihood
+ratio between toxic and other texts, the strongest of each chain of prefixes, and weigh their log-odds less one standard
+error. At most ``max_fit_rows`` labelled rows are used, those whose ids hash lowest; scoring takes every row and whole text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import free, whole
+from .common import free, keep, whole
 
 # Letters that look like Latin ones, and digits and signs written for letters.
 LOOK_ALIKE = {
@@ -35,6 +37,8 @@ FOR_LETTER = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "
 EXCEPTIONS = ("trash can", "trash bin", "trash day", "class clown", "clown fish", "clown car", "sore loser board", "idiot proof", "idiot light", "scum line", "pond scum")
 SIGN = re.compile("[" + re.escape("".join(FOR_LETTER)) + "]")
 TOKEN = re.compile(r"[^\W_]+")
+#: Lengths of words and of stems that can be learned.
+WORD_SIZES, STEM_SIZES = range(3, 41), range(4, 13)
 
 
 def letter_fold() -> dict[int, str]:
@@ -57,6 +61,13 @@ def fold(text: str) -> tuple[str, str]:
     return plain, plain.translate(SIGNS) if SIGN.search(plain) else plain
 
 
+def terms_of(text: str) -> set[str]:
+    """Folded words of a text, and the stems of longer ones with a star."""
+    plain, signs = fold(text)
+    words = {w for w in {*TOKEN.findall(plain), *TOKEN.findall(signs)} if len(w) in WORD_SIZES}
+    return words | {f"{w[:n]}*" for w in words for n in STEM_SIZES if n < len(w)}
+
+
 @dataclass
 class Lexicon:
     """weights: of folded terms. A text's score is the logistic value of slope times its strength, plus offset."""
@@ -73,26 +84,34 @@ class Lexicon:
     def found(self, text: str) -> list[tuple[int, int, str]]:
         """Start, end and term of each match that counts."""
         if self.machine is None:
-            self.machine = ahocorasick.Automaton()
+            entries: dict[str, list[str | None]] = defaultdict(list)
             for term in self.weights:
-                self.machine.add_word(term, (term, True))
+                entries[term.removesuffix("*")].append(term)
             for phrase in self.exceptions:
-                self.machine.add_word(fold(phrase)[1], (fold(phrase)[1], False))
+                entries[fold(phrase)[1]].append(None)
+            self.machine = ahocorasick.Automaton()
+            for letters, terms in entries.items():
+                self.machine.add_word(letters, (len(letters), terms))
             self.machine.make_automaton()
         if not self.weights:
             return []
         plain, signs = fold(text)
         hits, excused = set(), []
         for look in (plain, signs) if signs is not plain else (plain,):
-            for last, (term, counts) in self.machine.iter(look):
-                start = last + 1 - len(term)
+            for last, (size, terms) in self.machine.iter(look):
+                start, end = last + 1 - size, last + 1
                 # An edge is judged as written: a sign or digit beside a match is no letter.
-                if (start and plain[start - 1].isalpha()) or (last + 1 < len(plain) and plain[last + 1].isalpha()):
+                if start and plain[start - 1].isalpha():
                     continue
-                if counts:
-                    hits.add((start, last + 1, term))
-                else:
-                    excused.append((start, last + 1))
+                whole_word = end == len(plain) or not plain[end].isalpha()
+                for term in terms:
+                    if term is not None and term.endswith("*"):
+                        if look[end : end + 1].isalnum():
+                            hits.add((start, end, term))
+                    elif whole_word and term is not None:
+                        hits.add((start, end, term))
+                    elif whole_word:
+                        excused.append((start, end))
         return [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in excused)]
 
     def strength(self, text: str) -> float:
@@ -124,34 +143,66 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit_rows: int = 20_000, max_terms: int = 500, least_share: float = 0.02) -> Lexicon:
-    """Learn a lexicon from labelled rows outside the held-out fold. A term has to occur in a share of the toxic texts. No toxic or no other rows: an empty lexicon, with the labels' mean as every score."""
+def strongest(found: list[tuple[str, float, float]], max_terms: int) -> dict[str, float]:
+    """Weights of terms given as (term, evidence, weight): of terms that start one another the one with the most evidence stays, the longest of equals."""
+    chosen: dict[str, float] = {}
+    for term, _, weight in sorted(found, key=lambda f: (-f[1], -len(f[0].removesuffix("*")), f[0])):
+        letters = term.removesuffix("*")
+        if len(chosen) < max_terms and not any(letters.startswith(c.removesuffix("*")) or c.startswith(letters) for c in chosen):
+            chosen[term] = weight
+    return chosen
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_fit_rows: int = 20_000, max_terms: int = 500, least_share: float = 0.02, least_deviation: float = 4.5,
+) -> Lexicon:
+    """Learn a lexicon from labelled rows outside the held-out fold.
+
+    A term has to occur in a share of the toxic texts (three at least), and its likelihood ratio has to be as unlikely by chance as
+    least_deviation standard deviations, since many terms are tried. No toxic or no other rows: an empty lexicon, with the labels' mean as every score.
+    """
     chosen = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(label_col).cast("int").alias("label"))
     # Bounded by max_fit_rows rows of 12 bytes, so it can be broadcast.
     chosen = chosen.orderBy(F.xxhash64("key"), "key", "label").limit(max_fit_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), whole(text_col).alias("text")).join(F.broadcast(chosen), "key").select("label", "text")
+    # Written once: the passes below read the chosen texts only, not the whole table again.
+    rows = keep(docs.select(F.col(id_col).cast("long").alias("key"), whole(text_col).alias("text")).join(F.broadcast(chosen), "key").select("label", "text"))
+
+    def terms(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+
+        def counted() -> pa.RecordBatch:
+            columns = [pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(columns, ["term", "other", "toxic"])
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list[int]] = {"": [0, 0]}
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                plain, signs = fold(text)
-                for term in {"", *TOKEN.findall(plain), *TOKEN.findall(signs)}:
-                    if len(term) <= 40:
-                        counts.setdefault(term, [0, 0])[label > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], ["term", "other", "toxic"])
+                for term in terms_of(text):
+                    counts.setdefault(term, [0, 0])[label > 0] += 1
+                if len(counts) > most:
+                    yield counted()
+        yield counted()
 
-    counted = rows.mapInArrow(terms, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     total = rows.agg(F.count_if(F.col("label") > 0).alias("toxic"), F.count_if(F.col("label") <= 0).alias("other")).first()
     if not total["toxic"] or not total["other"]:
         mean = (total["toxic"] + 0.5) / (total["toxic"] + total["other"] + 1)
         return Lexicon({}, 0.0, math.log(mean / (1 - mean)))
-    a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
-    c, d = total["toxic"] + 1 - a, total["other"] + 1 - b
-    weight = F.log(a * d / (b * c)) - 3.0 * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    often = F.greatest(F.lit(3.0), F.lit(least_share * total["toxic"]))
-    best = counted.where((F.col("term") != "") & (F.length("term") > 2) & (F.col("toxic") >= often)).withColumn("weight", weight).where("weight > 0").orderBy(F.desc("weight"), "term").limit(max_terms).collect()
-    lexicon = Lexicon({r["term"]: r["weight"] for r in best})
+    counted = rows.mapInArrow(terms, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    often = max(3.0, least_share * total["toxic"])
+    counted = counted.where((F.col("toxic") >= often) & (F.col("toxic") * total["other"] > F.col("other") * total["toxic"]))
+    a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
+    share = (a + b) / (total["toxic"] + total["other"])
+    excess = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    evidence = F.lit(0.0)
+    for seen, n in ((a, total["toxic"]), (b, total["other"])):
+        evidence += 2 * (excess(seen, share * n) + excess(n - seen, (1 - share) * n))
+    p, q, r, t = a + 0.5, b + 0.5, total["toxic"] + 0.5 - a, total["other"] + 0.5 - b
+    weight = F.log(p * t / (q * r)) - F.sqrt(1 / p + 1 / q + 1 / r + 1 / t)
+    found = counted.select("term", evidence.alias("evidence"), weight.alias("weight")).where((F.col("evidence") >= least_deviation**2) & (F.col("weight") > 0))
+    # At most twenty candidates for each term to be chosen: prefixes of one word, mostly.
+    best = found.orderBy(F.desc("evidence"), F.desc(F.length(F.rtrim("term", F.lit("*")))), "term").limit(20 * max_terms).collect()
+    lexicon = Lexicon(strongest([(f["term"], f["evidence"], f["weight"]) for f in best], max_terms))
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

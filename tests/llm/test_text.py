@@ -56,6 +56,26 @@ def test_toxicity_folds_and_excuses():
     assert lexicon.score("idiot " + "x " * 10) > lexicon.score("idiot " + "x " * 10_000) > lexicon.score("")
 
 
+def test_toxicity_stems():
+    lexicon = toxicity.Lexicon({"grub*": 2.0, "grub": 1.0, "class*": 1.0}, 5.0, -2.0)
+    for text, terms in (("Grubbing", ["grub*"]), ("gru8bers!", ["grub*"]), ("grub", ["grub"]), ("agrubber", []), ("grub-by", ["grub"]), ("a class clown", []), ("classy", ["class*"]), ("", [])):
+        assert [h[2] for h in lexicon.found(text)] == terms, text
+    assert toxicity.terms_of("Snarking ab") == {"snarking", "snar*", "snark*", "snarki*", "snarkin*"}
+    found = [("snark*", 9.0, 2.0), ("snarking", 9.0, 1.0), ("snar*", 8.0, 3.0), ("vex", 7.0, 1.0), ("vexed", 7.5, 1.0), ("other", 1.0, 1.0)]
+    assert toxicity.strongest(found, 2) == {"snarking": 1.0, "vexed": 1.0}
+
+
+def test_toxicity_learns_stems(spark):
+    rng = random.Random(2)
+    plain = [f"w{i}" for i in range(50)]
+    toxic = [rng.random() < 0.25 for _ in range(500)]
+    texts = [" ".join([*rng.choices(plain, k=20), "snark" + "".join(rng.choices("abcdefgh", k=3))] if x else rng.choices(plain, k=20)) for x in toxic]
+    labels = spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs(spark, texts), labels)
+    assert list(lexicon.weights) == ["snark*"]
+    assert all((lexicon.score(t) >= 0.3) == x for t, x in zip(texts, toxic))
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(1)
     bad = ["grubber", "snark", "vexer"]
