@@ -42,8 +42,38 @@ def water_fill(sizes: dict, weights: dict, most: float) -> dict:
     return out
 
 
+def parts(patterns: dict) -> list[dict]:
+    """The patterns cut into groups that share no source. A flow through one group never touches another."""
+    parent: dict = {}
+
+    def top(s):
+        while parent.setdefault(s, s) != s:
+            parent[s] = s = parent[parent[s]]
+        return s
+
+    for p in patterns:
+        for s in p:
+            parent[top(s)] = top(next(iter(p)))
+    out: dict = defaultdict(dict)
+    for p, tokens in patterns.items():
+        if p:
+            out[top(next(iter(p)))][p] = tokens
+    return list(out.values())
+
+
 def route(patterns: dict, quotas: dict, passes: int) -> dict:
-    """Min-cost flow by successive cheapest paths: {(pattern, source): tokens} from patterns {members: tokens a pass} to quotas {source: tokens}.
+    """Min-cost flow {(pattern, source): tokens} from patterns {members: tokens a pass} to quotas {source: tokens}.
+
+    Groups of patterns that share no source are solved one by one, so the work for sources that don't overlap grows with their number only.
+    """
+    out: dict = {}
+    for group in parts(patterns):
+        out |= cheapest_flow(group, {s: quotas[s] for p in group for s in p if s in quotas}, passes)
+    return out
+
+
+def cheapest_flow(patterns: dict, quotas: dict, passes: int) -> dict:
+    """route() for one network, by successive cheapest paths.
 
     The network: start to pattern, an edge for each pass with the pass as cost; pattern to each member; source to end.
     """
