@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import free, whole
 
 #: A clause ends at a space after a character that is neither letter nor digit.
 CLAUSE_END = r"(?<=[^\p{L}\p{N}]) "
@@ -29,18 +29,19 @@ def digest(children: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the fingerprint of a text column more."""
+    _leaves, _paragraphs, _ends, _sections, _shown = free(df, "_leaves", "_paragraphs", "_ends", "_sections", "_shown")
     leaves = F.transform(F.split(text, "\n", -1), lambda p: F.transform(F.split(p, CLAUSE_END, -1), lambda s: F.sha2(s, 256)))
-    df = df.withColumn("_leaves", leaves).withColumn("_paragraphs", F.transform("_leaves", digest))
-    ends = F.filter(F.sequence(F.lit(1), F.size("_paragraphs")), lambda i: (i == F.size("_paragraphs")) | F.element_at("_paragraphs", i).rlike("^[01]"))
-    df = df.withColumn("_ends", ends)
-    bounds = F.transform("_ends", lambda end, k: F.struct(F.when(k == 0, 1).otherwise(F.get("_ends", k - 1) + 1).alias("first"), end.alias("last")))
-    df = df.withColumn("_sections", bounds)
+    df = df.withColumn(_leaves, leaves).withColumn(_paragraphs, F.transform(_leaves, digest))
+    ends = F.filter(F.sequence(F.lit(1), F.size(_paragraphs)), lambda i: (i == F.size(_paragraphs)) | F.element_at(_paragraphs, i).rlike("^[01]"))
+    df = df.withColumn(_ends, ends)
+    bounds = F.transform(_ends, lambda end, k: F.struct(F.when(k == 0, 1).otherwise(F.get(_ends, k - 1) + 1).alias("first"), end.alias("last")))
+    df = df.withColumn(_sections, bounds)
     part = lambda of, s: F.slice(of, s["first"], s["last"] - s["first"] + 1)
-    root = digest(F.transform("_sections", lambda s: digest(part("_paragraphs", s))))
-    shown = F.transform("_leaves", lambda p: F.array_join(F.transform(p, lambda h: F.substring(h, 1, LEAF)), ""))
-    df = df.withColumn("_shown", shown)
-    branches = F.array_join(F.transform("_sections", lambda s: F.array_join(part("_shown", s), "/")), ";")
-    return df.withColumn(out, F.concat(root, F.lit(":"), branches)).drop("_leaves", "_paragraphs", "_ends", "_sections", "_shown")
+    root = digest(F.transform(_sections, lambda s: digest(part(_paragraphs, s))))
+    shown = F.transform(_leaves, lambda p: F.array_join(F.transform(p, lambda h: F.substring(h, 1, LEAF)), ""))
+    df = df.withColumn(_shown, shown)
+    branches = F.array_join(F.transform(_sections, lambda s: F.array_join(part(_shown, s), "/")), ";")
+    return df.withColumn(out, F.concat(root, F.lit(":"), branches)).drop(_leaves, _paragraphs, _ends, _sections, _shown)
 
 
 def leaves_of(fingerprint: str) -> Column:
@@ -61,8 +62,9 @@ def differing_branches(ours: str, theirs: str) -> Column:
 
 
 def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a fingerprint column more. No shuffle."""
-    return with_fingerprint(docs.withColumn("_text", whole(text_col)), "_text", "fingerprint").drop("_text")
+    """docs with a fingerprint column more, its name led by underscores where docs has one of that name. No shuffle."""
+    text, out = free(docs, "_text", "fingerprint")
+    return with_fingerprint(docs.withColumn(text, whole(text_col)), text, out).drop(text)
 
 
 def chunk_of(bounds: list[int]) -> Column:
