@@ -215,8 +215,8 @@ def fit(
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score column more; a null text scores as an empty one. No shuffle."""
-    (text,) = free(docs, "text_to_score")
+    """docs with a score column more, its name led by underscores where docs has one of that name; a null text scores as an empty one. No shuffle."""
+    text, score_col = free(docs, "text_to_score", score_col)
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

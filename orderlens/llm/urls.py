@@ -5,7 +5,7 @@ smoothing: each order falls back on the one below, and a context never seen leav
 length-normalised difference of its log-likelihoods, and is allowed if it isn't under the threshold, which lies between the
 means of the two taught classes in proportion to their spreads.
 
-Characters are folded to 38 signs and a boundary, so the whole model has 39^3 numbers whatever the input: half a megabyte, the
+Characters are folded to 39 signs and a boundary, so the whole model has 40^3 numbers whatever the input: half a megabyte, the
 only thing sent to all tasks.
 
 Defined results: a null url, or one without ://, has empty host and path, no rule, and the verdict of the empty text; if
@@ -80,7 +80,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     names = ["_id", "host", "path", "_rule"]
     rows = rows.withColumnRenamed(id_col, "_id").withColumn("_row", F.monotonically_increasing_id()).select("_row", *names, F.explode(grams(F.col("host"), F.col("path"))).alias("gram"))
     counts = keep(rows.where("_rule is not null").groupBy("gram").agg(F.count_if(F.col("_rule.verdict") == "allow").alias("allow"), F.count_if(F.col("_rule.verdict") == "block").alias("block")))
-    # 39^3 rows of two numbers: bounded by the alphabet, so it can be broadcast.
+    # 40^3 rows of two numbers: bounded by the alphabet, so it can be broadcast.
     model = F.broadcast(keep(log_ratios(counts)))
     # A row's grams stand together, so each task sends about one row for each url.
     scored = keep(rows.join(model, "gram").groupBy("_row", *names).agg(F.avg("ratio").alias("score")).drop("_row"))

@@ -71,6 +71,20 @@ def test_merkle_differences(spark):
     assert hashlib.sha256(texts[17].split(". ")[0].encode() + b".").hexdigest()[:6] in row["d"][0]["branch"]
 
 
+def test_merkle_keeps_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "a. b", "x", "y", "z")], "doc_id long, text string, _text string, _leaves string, fingerprint string")
+    out = merkle.merkle_fingerprints(df)
+    assert out.columns == [*df.columns, "_fingerprint"] and out.first()[:5] == (1, "a. b", "x", "y", "z") and out.first()["_fingerprint"] == brute_tree("a. b")
+
+
+def test_flow_of_many_sources_apart():
+    patterns = {frozenset({i}): 10 + i % 7 for i in range(4000)} | {frozenset(): 5, frozenset({5000, 5001}): 8}
+    flow = mixing.route(patterns, {i: 15 for i in range(4000)} | {5000: 3, 5001: 50}, 3)
+    assert all(flow[frozenset({i}), i] == 15 for i in range(4000))
+    assert flow[frozenset({5000, 5001}), 5000] + flow[frozenset({5000, 5001}), 5001] == 24
+    assert [len(p) for p in mixing.parts({frozenset("ab"): 1, frozenset("bc"): 1, frozenset("d"): 1, frozenset(): 1})] == [2, 1]
+
+
 def test_water_fill():
     got = mixing.water_fill({"a": 10, "b": 100, "c": 0}, {"a": 1, "b": 1, "c": 1}, 3)
     assert got == {"a": 30.0, "b": 80.0, "c": 0.0}

@@ -91,6 +91,8 @@ def test_toxicity_learns(spark):
     kept = toxicity.drop_toxic(table, labels)
     assert kept.columns == table.columns and kept.count() == 602 - sum(toxic)
     assert toxicity.score(docs(spark, []), lexicon).count() == 0
+    clash = toxicity.score(spark.createDataFrame([("snark", 2.0)], "text string, score double"), lexicon).first()
+    assert clash["score"] == 2.0 and clash["_score"] >= 0.3
     assert toxicity.fit(table, labels.where("toxic = 0")).score("x") < 0.1
 
 
