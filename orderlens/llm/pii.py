@@ -1,6 +1,7 @@
 """PII by format-preserving pseudonyms: a keyed Feistel permutation within each value's format.
 
-Values are found by form and validated first (Luhn, mod 97, calendar, octets, number ranges); what fails stays as it is. A
+Values are found by form and validated first (Luhn, mod 97, calendar, octets, number ranges). Where the longest match fails, shorter
+ones, other forms and later starts inside it are tried; what fails them all stays as it is. A
 valid value's index among all values of its format is permuted by a balanced Feistel network, walking the cycle
 until the result is an index again, and written back in the same form. One key maps equal values to equal pseudonyms,
 wherever and however punctuated they occur, so they stay linked; different values stay different.
@@ -167,24 +168,54 @@ FORMS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "phone": (r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w)", phone),
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{form})" for kind, (form, _) in FORMS.items()))
+ONE = {kind: re.compile(form) for kind, (form, _) in FORMS.items()}
+#: Issuers' first digits and lengths. Digits of a failed value of another form pass Luhn by chance one time in ten, so a card among them has to fit an issuer too.
+ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|(?:6\d|5[06-8])\d{11,17}")
+#: Where a value of a form with groups can end before the longest match does.
+EDGE = {"iban": re.compile(" "), "card": re.compile("[ -]"), "phone": re.compile(r"(?<=[\d)])[ .-]")}
 SIGN = re.compile(r"[0-9@]")
 
 
+def valid(match: re.Match, key: bytes, in_other: bool = False) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the first valid value at the match's start: forms in order, of each the longest match, then shorter ones that end between groups."""
+    text, start = match.string, match.start()
+    first = next(k for k in FORMS if match[k] is not None)
+    kinds = list(FORMS)
+    for kind in kinds[kinds.index(first) :]:
+        longest = ONE[kind].match(text, start)
+        if not longest:
+            continue
+        edges = [start + gap.start() for gap in EDGE[kind].finditer(longest[0])] if kind in EDGE else []
+        for end in [longest.end(), *reversed(edges)]:
+            if (in_other or first != "card") and kind == "card" and not ISSUED.fullmatch(re.sub("[ -]", "", text[start:end])):
+                continue
+            if end == longest.end() or ONE[kind].fullmatch(text, start, end):
+                new = FORMS[kind][1](text[start:end], key)
+                if new is not None:
+                    return kind, end, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind it had."""
     found: dict[str, int] = {}
     if not SIGN.search(text):
         return text, found
 
-    def change(match: re.Match) -> str:
-        kind = next(k for k in FORMS if match[k] is not None)
-        new = FORMS[kind][1](match[0], key)
-        if new is None:
-            return match[0]
+    out, done, at, other_end = [], 0, 0, 0
+    while match := ANY.search(text, at):
+        value = valid(match, key, match.start() < other_end)
+        if value is None:
+            if match["card"] is None:
+                other_end = max(other_end, match.end())
+            # What failed can hold a value that starts later.
+            at = match.start() + 1
+            continue
+        kind, end, new = value
         found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return ANY.sub(change, text), found
+        out += text[done : match.start()], new
+        done = at = end
+    return "".join([*out, text[done:]]), found
 
 
 def mask(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, found_col: str = "found") -> DataFrame:
