@@ -1,12 +1,12 @@
 """URL filter: rules first, then a character language-model ratio, in DataFrame functions only.
 
-URLs that a rule allows or blocks teach two variable-order Markov models over characters (orders 0 to 2, Witten-Bell
+URLs that a rule allows or blocks teach two variable-order Markov models over characters (orders 0 to a top order, Witten-Bell
 smoothing: each order falls back on the one below, and a context never seen leaves all to it). A URL without a rule gets the
 length-normalised difference of its log-likelihoods, and is allowed if it isn't under the threshold, which lies between the
 means of the two taught classes in proportion to their spreads.
 
-Characters are folded to 39 signs and a boundary, so the whole model has 40^3 numbers whatever the input: half a megabyte, the
-only thing sent to all tasks.
+The model is a table of the grams that occur, which grows with the URLs: a gram has the top order's context and its sign, and the
+counts of lower orders are sums over it. Only the grams that are most frequent, of a bounded number, are sent to all tasks.
 
 Defined results: a null url, or one without ://, has empty host and path, no rule, and the verdict of the empty text; if
 no rule blocks or none allows anything, URLs without a rule are allowed; repeated rows repeat their result.
@@ -42,48 +42,57 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def grams(host: Column, path: Column) -> Column:
-    """Each three neighbouring signs of the folded text, as one number; two boundaries stand before it and one after."""
+def folded(host: Column, path: Column, order: int) -> Column:
+    """The text in the signs of the alphabet; a boundary for each place of a context stands before it and one after."""
     text = F.translate(ascii_lower(F.concat(host, path)), "0123456789", "0" * 10)
     text = F.regexp_replace(text, r"[^a-z0\-./?=&_%#:~]", "*")
-    single = F.filter(F.split(F.concat(F.lit("^^"), text, F.lit("^")), ""), lambda c: c != "")
-    signs = F.transform(single, lambda c: F.position(c, F.lit(ALPHABET)) - 1)
-    return F.transform(F.sequence(F.lit(0), F.size(signs) - 3), lambda i: (F.get(signs, i) * SIGNS + F.get(signs, i + 1)) * SIGNS + F.get(signs, i + 2))
-
-
-def log_ratios(counts: DataFrame) -> DataFrame:
-    """(gram, ratio) for every gram, from counts (gram, allow, block): log-probability of the last sign as accepted, less that as rejected."""
-    dense = counts.sparkSession.range(SIGNS**3, numPartitions=1).select(F.col("id").cast("int").alias("gram"))
-    total = counts.agg(F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.coalesce(F.sum("block"), F.lit(0)).alias("block")).first()
-    first, last_two = F.floor(F.col("gram") / SIGNS).cast("int"), F.col("gram") % SIGNS**2
-    dense = dense.join(counts, "gram", "left").fillna(0).withColumns({"ab": first, "bc": last_two, "b": first % SIGNS, "c": F.col("gram") % SIGNS})
-    over = {k: Window.partitionBy(k) for k in ("bc", "b", "c", "ab")}
+    return F.concat(F.lit("^" * order), text, F.lit("^"))
+
+
+def grams(rows: DataFrame, order: int, *names: str) -> DataFrame:
+    """The named columns and gram, a row for each sign of column text with the order signs before it."""
+    places = F.explode(F.sequence(F.lit(1), F.char_length("text") - order)).alias("_at")
+    return rows.select("text", *names, places).select(*names, F.substring("text", F.col("_at"), F.lit(order + 1)).alias("gram"))
+
+
+def log_ratios(counts: DataFrame, order: int, signs: int) -> DataFrame:
+    """(gram, ratio) for each gram of counts (gram, allow, block): log-probability of the last sign as accepted, less that as rejected."""
     sides = ("allow", "block")
-    dense = dense.withColumns({f"two_n_{s}": F.sum(s).over(over["bc"]) for s in sides})
-    # A pair of signs has a row for each sign before it.
-    dense = dense.withColumns({f"two_all_{s}": F.sum(s).over(over["b"]) for s in sides} | {f"two_kinds_{s}": F.count_if(F.col(f"two_n_{s}") > 0).over(over["b"]) / SIGNS for s in sides})
-    dense = dense.withColumns({f"one_n_{s}": F.sum(s).over(over["c"]) for s in sides})
-    dense = dense.withColumns({f"three_all_{s}": F.sum(s).over(over["ab"]) for s in sides} | {f"three_kinds_{s}": F.count_if(F.col(s) > 0).over(over["ab"]) for s in sides})
-    for side in sides:
-        p = (F.col(f"one_n_{side}") + 1.0) / (total[side] + SIGNS)
-        for order, n in (("two", f"two_n_{side}"), ("three", side)):
-            seen, kinds = F.col(f"{order}_all_{side}"), F.col(f"{order}_kinds_{side}")
-            p = F.when(seen > 0, (F.col(n) + kinds * p) / (seen + kinds)).otherwise(p)
-        dense = dense.withColumn(f"log_{side}", F.log(p))
-    return dense.select("gram", (F.col("log_allow") - F.col("log_block")).alias("ratio"))
-
-
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """One row per row of pages: id_col, host, path, rule, verdict, score (length-normalised log ratio)."""
+    total = counts.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sides]).first()
+    below = None
+    for k in range(order + 1):
+        level = counts.groupBy(F.substring("gram", -(k + 1), k + 1).alias("gram")).agg(*[F.sum(s).alias(s) for s in sides])
+        if not k:
+            below = level.select("gram", *[((F.col(s) + 1.0) / (total[s] + signs)).alias(f"p_{s}") for s in sides])
+            continue
+        # A context is followed by one row for each sign at most.
+        over = Window.partitionBy(F.substring("gram", 1, k))
+        level = level.withColumns({f"all_{s}": F.sum(s).over(over) for s in sides} | {f"kinds_{s}": F.count_if(F.col(s) > 0).over(over) for s in sides})
+        level = level.withColumn("shorter", F.substring("gram", 2, k)).join(below.withColumnRenamed("gram", "shorter"), "shorter")
+        p = {s: (F.col(s) + F.col(f"kinds_{s}") * F.col(f"p_{s}")) / (F.col(f"all_{s}") + F.col(f"kinds_{s}")) for s in sides}
+        below = level.select("gram", *[F.when(F.col(f"all_{s}") > 0, p[s]).otherwise(F.col(f"p_{s}")).alias(f"p_{s}") for s in sides])
+    return below.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = 2, often: int = 5000) -> DataFrame:
+    """One row per row of pages: id_col, host, path, rule, verdict, score (length-normalised log ratio over contexts of up to order signs)."""
     host, path = host_and_path(url_col)
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    names = ["_id", "host", "path", "_rule"]
-    rows = rows.withColumnRenamed(id_col, "_id").withColumn("_row", F.monotonically_increasing_id()).select("_row", *names, F.explode(grams(F.col("host"), F.col("path"))).alias("gram"))
-    counts = keep(rows.where("_rule is not null").groupBy("gram").agg(F.count_if(F.col("_rule.verdict") == "allow").alias("allow"), F.count_if(F.col("_rule.verdict") == "block").alias("block")))
-    # 40^3 rows of two numbers: bounded by the alphabet, so it can be broadcast.
-    model = F.broadcast(keep(log_ratios(counts)))
+    rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    rows = keep(rows.withColumn("text", folded(F.col("host"), F.col("path"), order)).withColumn("_row", F.monotonically_increasing_id()))
+    verdict = F.col("verdict")
+    taught = grams(rows.withColumn("verdict", F.col("_rule.verdict")), order, "verdict")
+    counts = keep(taught.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_if(verdict == "allow").alias("allow"), F.count_if(verdict == "block").alias("block")))
+    model = keep(log_ratios(counts, order, SIGNS).join(counts.select("gram", "n"), "gram"))
+    # Grams with over a share of 1 / often of all places are fewer than often: these alone are sent to all tasks, so no gram is a hot key of the join.
+    limit = (model.agg(F.sum("n")).first()[0] or 0) / often
+    hot, rare = F.broadcast(model.where(F.col("n") > limit).select("gram", "ratio")), model.where(F.col("n") <= limit).select("gram", "ratio")
+    places = grams(rows, order, "_row")
     # A row's grams stand together, so each task sends about one row for each url.
-    scored = keep(rows.join(model, "gram").groupBy("_row", *names).agg(F.avg("ratio").alias("score")).drop("_row"))
+    of_hot = places.join(hot, "gram").groupBy("_row").agg(F.sum("ratio").alias("part"))
+    of_rare = places.join(hot, "gram", "left_anti").join(rare.hint("shuffle_hash"), "gram").groupBy("_row").agg(F.sum("ratio").alias("part"))
+    scores = of_hot.unionAll(of_rare).groupBy("_row").agg(F.sum("part").alias("part"))
+    scored = rows.join(scores, "_row").withColumn("score", F.col("part") / (F.char_length("text") - order))
+    scored = keep(scored.select("_id", "host", "path", "_rule", "score"))
     mean = {v: F.avg(F.when(F.col("_rule.verdict") == v, F.col("score"))) for v in ("allow", "block")}
     spread = {v: F.coalesce(F.stddev_pop(F.when(F.col("_rule.verdict") == v, F.col("score"))), F.lit(0.0)) + 1e-9 for v in mean}
     threshold = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])

@@ -193,6 +193,25 @@ def test_urls_against_brute_force(spark):
     assert {r["verdict"] for r in urls.judge_urls(df.where("url = 'http://net/'")).collect()} == {"allow"}
 
 
+def test_urls_learn_long_contexts(spark):
+    """Two words of the same triples of signs, told apart by longer contexts; and grams joined by hash as those that are sent to all."""
+    allow, block = "xyaxybxy", "xybxyaxy"
+    table = [f"http://x.com/{'fr' if i % 2 else 'de'}/{allow if i % 2 else block}" for i in range(60)] + [f"http://x.net/{allow}", f"http://x.net/{block}"]
+    df = spark.createDataFrame(list(enumerate(table)), "page_id long, url string")
+    judge = lambda **how: {r["page_id"]: r for r in urls.judge_urls(df, **how).collect()}
+    long, joined, short = judge(order=5), judge(order=5, often=20), judge(order=2)
+    assert (long[60]["rule"], long[60]["verdict"], long[61]["verdict"]) == (None, "allow", "block")
+    assert [joined[i]["score"] for i in range(62)] == pytest.approx([long[i]["score"] for i in range(62)])
+    assert short[60]["score"] == pytest.approx(short[61]["score"]) and long[60]["score"] > long[61]["score"] + 0.1
+    # By hand: each context of the allowed word's last sign has one sign after it in its class, and none of four signs in the other.
+    grams = spark.createDataFrame([("bcdda", 30, 0), ("acddb", 0, 30)], "gram string, allow long, block long")
+    ratio = {r["gram"]: r["ratio"] for r in urls.log_ratios(grams, 4, urls.SIGNS).collect()}
+    p, q = 31 / (30 + urls.SIGNS), 1 / (30 + urls.SIGNS)
+    for k in range(1, 5):
+        p, q = (30 + p) / 31, q / 31 if k < 4 else q
+    assert ratio["bcdda"] == pytest.approx(math.log(p / q)) == -ratio["acddb"]
+
+
 def test_kept_tables_can_be_released(spark):
     from orderlens.llm import common
 
