@@ -53,7 +53,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(read(spark, sf_dir, "pages"), order=5)
+    return urls.judge_urls(read(spark, sf_dir, "pages"), order=5, wide=True)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from .common import ascii_lower, keep
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0-./?=&_%#:~*^"
 SIGNS = len(ALPHABET)
+#: All of printable ASCII but the boundary, a sign each for letters, numbers and others outside ASCII, and the boundary.
+WIDE = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "^") + "\u00aa\u00b9\u00a4^"
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -42,10 +44,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def folded(host: Column, path: Column, order: int) -> Column:
-    """The text in the signs of the alphabet; a boundary for each place of a context stands before it and one after."""
-    text = F.translate(ascii_lower(F.concat(host, path)), "0123456789", "0" * 10)
-    text = F.regexp_replace(text, r"[^a-z0\-./?=&_%#:~]", "*")
+def folded(host: Column, path: Column, order: int, wide: bool) -> Column:
+    """The text in the signs of the alphabet; a boundary for each place of a context stands before it and one after.
+
+    The wide alphabet keeps digits apart and the path's capitals; the narrow one folds them.
+    """
+    text = F.concat(host, path)
+    if wide:
+        for sign, others in (("*", r"[\x00-\x20^\x7f]"), ("\u00aa", r"[\p{L}&&[^\x00-\x7f]]"), ("\u00b9", r"[\p{N}&&[^\x00-\x7f]]"), ("\u00a4", r"[^\x00-\x7f\u00aa\u00b9]")):
+            text = F.regexp_replace(text, others, sign)
+    else:
+        text = F.translate(ascii_lower(text), "0123456789", "0" * 10)
+        text = F.regexp_replace(text, r"[^a-z0\-./?=&_%#:~]", "*")
     return F.concat(F.lit("^" * order), text, F.lit("^"))
 
 
@@ -74,15 +84,15 @@ def log_ratios(counts: DataFrame, order: int, signs: int) -> DataFrame:
     return below.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = 2, often: int = 5000) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = 2, wide: bool = False, often: int = 5000) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict, score (length-normalised log ratio over contexts of up to order signs)."""
     host, path = host_and_path(url_col)
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    rows = keep(rows.withColumn("text", folded(F.col("host"), F.col("path"), order)).withColumn("_row", F.monotonically_increasing_id()))
+    rows = keep(rows.withColumn("text", folded(F.col("host"), F.col("path"), order, wide)).withColumn("_row", F.monotonically_increasing_id()))
     verdict = F.col("verdict")
     taught = grams(rows.withColumn("verdict", F.col("_rule.verdict")), order, "verdict")
     counts = keep(taught.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_if(verdict == "allow").alias("allow"), F.count_if(verdict == "block").alias("block")))
-    model = keep(log_ratios(counts, order, SIGNS).join(counts.select("gram", "n"), "gram"))
+    model = keep(log_ratios(counts, order, len(WIDE) if wide else SIGNS).join(counts.select("gram", "n"), "gram"))
     # Grams with over a share of 1 / often of all places are fewer than often: these alone are sent to all tasks, so no gram is a hot key of the join.
     limit = (model.agg(F.sum("n")).first()[0] or 0) / often
     hot, rare = F.broadcast(model.where(F.col("n") > limit).select("gram", "ratio")), model.where(F.col("n") <= limit).select("gram", "ratio")

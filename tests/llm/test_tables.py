@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens.llm import merkle, mixing, urls
 
@@ -212,6 +213,20 @@ def test_urls_learn_long_contexts(spark):
     assert ratio["bcdda"] == pytest.approx(math.log(p / q)) == -ratio["acddb"]
 
 
+def test_urls_keep_digits_and_capitals_apart(spark, tmp_path):
+    """The query's scores of pages that differ only in a digit, a capital or a class outside ASCII; the blocked and the allowed differ in a digit alone."""
+    from orderlens.llm.queries import queries
+
+    table = [f"http://{h}.example.org/en/{n}" for h in "ab" for n in (1, 11, 12, 2, 22, 23)] + ["http://a.net/en/11", "http://a.net/en/22", "http://a.net/en/X", "http://a.net/en/x", "http://a.net/\u00e9^ \u0663\u20ac", "http://a.net/\u0436^ \u0664\u20ac"]
+    spark.createDataFrame(list(enumerate(table)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in queries()["op9_url_filter"](spark, str(tmp_path)).collect()}
+    assert {got[i]["verdict"] for i in (0, 1, 2)} == {"block"} and {got[i]["verdict"] for i in (3, 4, 5)} == {"allow"}
+    assert (got[12]["verdict"], got[13]["verdict"]) == ("block", "allow") and got[12]["score"] < got[13]["score"]
+    assert got[16]["score"] == pytest.approx(got[17]["score"])
+    text = spark.createDataFrame([("h", "/aZ09^ \u00e9\u0663\u20ac\u00aa")], "host string, path string").select(urls.folded(F.col("host"), F.col("path"), 2, True)).first()[0]
+    assert text == "^^h/aZ09**\u00aa\u00b9\u00a4\u00aa^" and set(text) <= set(urls.WIDE) and len(set(urls.WIDE)) == len(urls.WIDE) == 97
+
+
 def test_kept_tables_can_be_released(spark):
     from orderlens.llm import common
 
