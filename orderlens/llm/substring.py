@@ -1,9 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all reference blocks.
+"""Substring dedup by an index of windows and the union of the places where they are found.
+
+This stands in for a relative Lempel-Ziv parse and isn't one: a factor here is a run of words covered by found windows, which can come
+from different documents, and it has no reference document or offset. The words removed are those of all found windows.
 
 A window is ``window`` consecutive words. The reference index holds, by hash of a content anchor, the windows of every block of
-documents with the smallest document that has each. Parsing a document is greedy: from a window found in a smaller
-document the factor is extended as long as the next window is found too, so a factor is at least a window long and its
-words are those that some earlier document has at the factor's place.
+documents with the smallest document that has each. The windows of a document that a smaller one has are found in it, and
+touching or overlapping ones are joined, so a factor is at least a window long and each of its words lies in a window that
+some smaller document has.
 
 Only windows that can be shared are indexed. The anchor of a window is the smallest hash among its ``gram``-word grams;
 equal windows have equal anchors, and neighbouring windows mostly share theirs, so one in about 22 words is an anchor.
@@ -162,7 +165,7 @@ def find_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int, bloc
 
 
 def factors(starts: np.ndarray, window: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors (first word, word after the last) from the places of the windows that were found: each next window extends the factor."""
+    """Factors (first word, word after the last): the union of the places of the windows that were found."""
     starts = np.unique(starts)
     edge = np.zeros(n_words + 1, np.int64)
     np.add.at(edge, starts, 1)
