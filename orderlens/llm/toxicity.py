@@ -143,19 +143,19 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def strongest(found: list[tuple[str, float, float]], max_terms: int) -> dict[str, float]:
+def strongest(found: list[tuple[str, float, float]], max_terms: int | None = None) -> dict[str, float]:
     """Weights of terms given as (term, evidence, weight): of terms that start one another the one with the most evidence stays, the longest of equals."""
     chosen: dict[str, float] = {}
     for term, _, weight in sorted(found, key=lambda f: (-f[1], -len(f[0].removesuffix("*")), f[0])):
         letters = term.removesuffix("*")
-        if len(chosen) < max_terms and not any(letters.startswith(c.removesuffix("*")) or c.startswith(letters) for c in chosen):
+        if (max_terms is None or len(chosen) < max_terms) and not any(letters.startswith(c.removesuffix("*")) or c.startswith(letters) for c in chosen):
             chosen[term] = weight
     return chosen
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_fit_rows: int = 20_000, max_terms: int = 500, least_share: float = 0.02, least_deviation: float = 4.5,
+    max_fit_rows: int = 20_000, least_share: float = 0.02, least_deviation: float = 4.5,
 ) -> Lexicon:
     """Learn a lexicon from labelled rows outside the held-out fold.
 
@@ -200,9 +200,8 @@ def fit(
     p, q, r, t = a + 0.5, b + 0.5, total["toxic"] + 0.5 - a, total["other"] + 0.5 - b
     weight = F.log(p * t / (q * r)) - F.sqrt(1 / p + 1 / q + 1 / r + 1 / t)
     found = counted.select("term", evidence.alias("evidence"), weight.alias("weight")).where((F.col("evidence") >= least_deviation**2) & (F.col("weight") > 0))
-    # At most twenty candidates for each term to be chosen: prefixes of one word, mostly.
-    best = found.orderBy(F.desc("evidence"), F.desc(F.length(F.rtrim("term", F.lit("*")))), "term").limit(20 * max_terms).collect()
-    lexicon = Lexicon(strongest([(f["term"], f["evidence"], f["weight"]) for f in best], max_terms))
+    # All that pass: terms in a share of at most max_fit_rows rows, so their number has a bound of its own.
+    lexicon = Lexicon(strongest([(f["term"], f["evidence"], f["weight"]) for f in found.collect()]))
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

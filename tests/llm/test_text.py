@@ -96,6 +96,14 @@ def test_toxicity_learns(spark):
     assert toxicity.fit(table, labels.where("toxic = 0")).score("x") < 0.1
 
 
+def test_toxicity_learns_all_terms(spark):
+    rng = random.Random(4)
+    bad = sorted({"".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(620)})
+    table = docs(spark, [" ".join(bad if i % 2 else ["fine", "day", "today"]) for i in range(120)])
+    lexicon = toxicity.fit(table, spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int"))
+    assert all(any(w.startswith(t.removesuffix("*")) for t in lexicon.weights) for w in bad) and len(lexicon.weights) > 500
+
+
 def test_permutations_are_permutations():
     for size in (1, 2, 7, 100, 366):
         assert sorted(pii.permute(i, size, b"k", "f") for i in range(size)) == list(range(size))
