@@ -7,7 +7,8 @@ length and turned into a probability.
 
 The lexicon and the two numbers of that last step are learned from labelled rows: words and stems are chosen by the likelihood
 ratio between toxic and other texts, the strongest of each chain of prefixes, and weigh their log-odds less one standard
-error. At most ``max_fit_rows`` labelled rows are used, those whose ids hash lowest; scoring takes every row and whole text.
+error. Defined results: a null text is the empty text; repeated rows repeat their score; an empty table gives an empty result; all columns of
+the table are kept, the new one gives way to one of its name. At most ``max_fit_rows`` labelled rows are used, those whose ids hash lowest; scoring takes every row and whole text.
 """
 
 from __future__ import annotations
@@ -155,14 +156,17 @@ def strongest(found: list[tuple[str, float, float]], max_terms: int | None = Non
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_fit_rows: int = 20_000, least_share: float = 0.02, least_deviation: float = 4.5,
+    max_fit_rows: int = 20_000, least_share: float = 0.02, least_deviation: float = 4.5, prior: float = 0.05,
 ) -> Lexicon:
     """Learn a lexicon from labelled rows outside the held-out fold.
 
     A term has to occur in a share of the toxic texts (three at least), and its likelihood ratio has to be as unlikely by chance as
-    least_deviation standard deviations, since many terms are tried. No toxic or no other rows: an empty lexicon, with the labels' mean as every score.
+    least_deviation standard deviations, since many terms are tried. Where there are no toxic or no other rows to learn from, nothing can be
+    told apart: the lexicon is empty and ``prior`` is every text's score. A document labelled more than once counts once, as toxic if any label says so;
+    rows of documents that repeat an id count each. Labels of unknown ids and null labels are left out.
     """
-    chosen = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(label_col).cast("int").alias("label"))
+    chosen = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), (F.col(label_col) > 0).cast("int").alias("label"))
+    chosen = chosen.groupBy("key").agg(F.max("label").alias("label"))
     # Bounded by max_fit_rows rows of 12 bytes, so it can be broadcast.
     chosen = chosen.orderBy(F.xxhash64("key"), "key", "label").limit(max_fit_rows)
     # Written once: the passes below read the chosen texts only, not the whole table again.
@@ -186,8 +190,7 @@ def fit(
 
     total = rows.agg(F.count_if(F.col("label") > 0).alias("toxic"), F.count_if(F.col("label") <= 0).alias("other")).first()
     if not total["toxic"] or not total["other"]:
-        mean = (total["toxic"] + 0.5) / (total["toxic"] + total["other"] + 1)
-        return Lexicon({}, 0.0, math.log(mean / (1 - mean)))
+        return Lexicon({}, 0.0, math.log(prior / (1 - prior)))
     counted = rows.mapInArrow(terms, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     often = max(3.0, least_share * total["toxic"])
     counted = counted.where((F.col("toxic") >= often) & (F.col("toxic") * total["other"] > F.col("other") * total["toxic"]))
