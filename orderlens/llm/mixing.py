@@ -3,12 +3,13 @@
 Documents may belong to several sources. They are aggregated by membership pattern, and the flow routes a pattern's tokens to the
 quotas of its sources. A pattern's first pass costs nothing, its second 1 a token, its third 2: with convex costs the
 cheapest flow repeats as little as it can. Of a pattern, whole passes take all documents; the rest of its flow is met by documents
-in a seeded order up to the quota, and by single smaller ones that fill what is left.
+in a seeded order up to the quota, the one at its edge in part. Where documents have to stay whole, single smaller ones fill what is left instead.
 
-The flow has a node for each pattern and source, so only a row for each pattern reaches the driver.
+The flow has a node for each pattern and source, so only a row for each pattern reaches the driver, of a bounded number.
 
 Defined results: a null text has no words; no sources is a pattern of its own and takes nothing; a null source is a source,
-ordered last; repeated rows count each and share decisions; an empty table gives an empty result. Reruns agree, as the order is a hash of seed and id.
+ordered last; a null id is an id; rows that repeat an id are told apart by their texts, equal ones count each; an empty table gives an
+empty result; other columns are ignored, and kept by apply_mix(). Reruns agree, as the order is a hash of seed and id.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free, keep, whole
+from .common import WORD, free, keep, marked, whole
 
 BUCKETS = 4096
 
@@ -126,28 +127,42 @@ def cheapest_flow(patterns: dict, quotas: dict, passes: int) -> dict:
 
 
 def fill_gaps(groups: pd.DataFrame) -> pd.DataFrame:
-    """Of one pattern's candidates (one for each size): the largest that fit into the gap, one after another."""
+    """Of one pattern's candidates (one for each total of equal rows): the largest that fit into the gap, one after another."""
     left, chosen = int(groups["gap"].iloc[0]), []
-    for size, key in sorted(zip(groups["size"], groups["key"]), reverse=True):
+    for size, key, mark in sorted(zip(groups["all"], groups["key"], groups["mark"]), reverse=True):
         if size <= left:
             left -= size
-            chosen.append(key)
-    return pd.DataFrame({"pattern": groups["pattern"].iloc[0], "key": pd.Series(chosen, dtype="int64")})
+            chosen.append((key, mark))
+    return pd.DataFrame({"pattern": groups["pattern"].iloc[0], "key": pd.Series([k for k, _ in chosen], dtype="int64"), "mark": pd.Series([m for _, m in chosen], dtype="int64")})
 
 
-def mix(docs: DataFrame, members: Column, weight_of=None, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = 7, max_broadcast: int = 10_000) -> DataFrame:
-    """One row per row of docs: id_col, size, pattern, source_size, target, taken.
+def pattern_of(members: Column) -> Column:
+    return F.to_json(F.struct(members.alias("m")), {"ignoreNullFields": "false"})
+
+
+def mix(
+    docs: DataFrame, members: Column, weight_of=None, id_col: str = "doc_id", text_col: str = "text", most: int = 3, seed: int = 7,
+    in_part: bool = True, max_patterns: int = 200_000, max_broadcast: int = 10_000, with_marks: bool = False,
+) -> DataFrame:
+    """One row per row of docs: id_col, size, pattern, source_size, target, taken (and id, mark, check, which name the row, with_marks).
 
     members is an array of sources; weight_of maps the ordered list of sources to weights (default 1, 2, 3, repeating). source_size
-    and target are sums over a row's sources. taken is a multiple of size, at most ``most`` times.
+    and target are sums over a row's sources. taken is at most ``most`` times the size: with in_part the document at a quota's edge is taken in
+    part, so that the words taken are the flow to the word; else whole documents only, and rows that repeat an id and a text are taken alike.
+    The driver holds the flow network, a row for each pattern: more than max_patterns of them are refused, not cut.
     """
     weight_of = weight_of or (lambda sources: {s: i % 3 + 1 for i, s in enumerate(sources)})
     spark = docs.sparkSession
     size = F.regexp_count(whole(text_col), F.lit(WORD)).cast("long")
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"))
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.to_json(F.struct(members.alias("m")), {"ignoreNullFields": "false"}).alias("pattern"), members.alias("members"), size.alias("size"), key.alias("key"))
+    _id, _mark, _check = free(docs, "id", "mark", "check")
+    named = marked(docs, id_col, text_col, _id, _mark, _check)
+    key = F.xxhash64(F.lit(seed), F.col(_id))
+    sized = named.select(F.col(_id).alias("id"), F.col(_mark).alias("mark"), F.col(_check).alias("check"), pattern_of(members).alias("pattern"), members.alias("members"), size.alias("size"), key.alias("key"))
     sized = keep(sized.withColumn("bucket", F.shiftrightunsigned("key", 64 - int(math.log2(BUCKETS))).cast("int")))
-    groups = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).collect()
+    by_pattern = keep(sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")))
+    if by_pattern.count() > max_patterns:
+        raise ValueError(f"more than {max_patterns} membership patterns: the flow network of so many is too large for the driver")
+    groups = by_pattern.collect()
     sizes: dict = defaultdict(int)
     for g in groups:
         for s in set(g["members"] or ()):
@@ -172,26 +187,40 @@ def mix(docs: DataFrame, members: Column, weight_of=None, id_col: str = "doc_id"
     # Dealt anew by both keys: else the join would take over the window's partitioning and bring a source's rows into one task.
     lots = lots.withColumn("before", before).drop("lot").repartition("pattern", "bucket")
     rows = sized.drop("members").join(lots, ["pattern", "bucket"]).join(plan_df, "pattern")
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("pattern", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    rows = keep(rows.withColumn("chosen", upto <= F.col("rest")))
-    gaps = rows.groupBy("pattern").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("gap"))
-    spare = rows.where("not chosen and size > 0").groupBy("pattern", "size").agg(F.min("key").alias("key")).join(gaps, "pattern").where("size <= gap")
-    # One candidate for each size of a pattern: as many rows as there are different text lengths.
-    fillers = spare.select("pattern", "size", "key", "gap").groupBy("pattern").applyInPandas(fill_gaps, "pattern string, key long")
-    out = rows.join(fillers.withColumn("fills", F.lit(1)), ["pattern", "key"], "left")
-    taken = F.col("size") * (F.col("passes") + F.when(F.col("chosen"), 1).otherwise(0) + F.coalesce("fills", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), "size", "pattern", "source_size", "target", F.least(taken, most * F.col("size")).alias("taken"))
+    order = Window.partitionBy("pattern", "bucket").orderBy("key", "id", "mark", "check")
+    repeats = F.col("passes") * F.col("size")
+    if in_part:
+        upto = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - upto + F.col("size")))
+        out = rows.withColumn("taken", repeats + last)
+    else:
+        # Equal rows are peers of a range: they share what their last one gets.
+        upto = F.col("before") + F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0))
+        rows = keep(rows.withColumn("chosen", upto <= F.col("rest")))
+        gaps = rows.groupBy("pattern").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("gap"))
+        peers = rows.where("not chosen and size > 0").groupBy("pattern", "key", "mark").agg(F.sum("size").alias("all"))
+        spare = peers.groupBy("pattern", "all").agg(F.min(F.struct("key", "mark")).alias("name")).join(gaps, "pattern").where(F.col("all") <= F.col("gap"))
+        # One candidate for each size of a pattern: as many rows as there are different text lengths.
+        fillers = spare.select("pattern", "all", "name.*", "gap").groupBy("pattern").applyInPandas(fill_gaps, "pattern string, key long, mark long")
+        filled = rows.join(fillers.withColumn("fills", F.lit(1)), ["pattern", "key", "mark"], "left")
+        out = filled.withColumn("taken", repeats + F.when(F.col("chosen") | F.col("fills").isNotNull(), F.col("size")).otherwise(0))
+    marks = ["id", "mark", "check"] if with_marks else [F.col("id").alias(id_col)]
+    return out.select(*marks, "size", "pattern", "source_size", "target", "taken")
 
 
 def by_source(docs: DataFrame, source_col: str = "source") -> Column:
     return F.array(F.col(source_col))
 
 
-def apply_mix(docs: DataFrame, members: Column, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs as mixed: each row as often as the mix takes it. Rows without words take no part and stay once."""
-    name, times = free(docs, "mixed_id", "times")
-    taken = mix(docs, members, id_col=id_col, **how)
+def apply_mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs as mixed, whole documents only: each row as often as the mix takes it. Rows without words take no part and stay once."""
+    key = ["id", "mark", "check", "pattern"]
+    *names, times = free(docs, *(f"mixed_{k}" for k in key), "times")
+    taken = mix(docs, members, id_col=id_col, text_col=text_col, in_part=False, with_marks=True, **how)
     repeats = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
-    chosen = taken.select(F.col(id_col).alias(name), repeats.alias(times)).distinct()
-    joined = docs.join(chosen.where(F.col(times) > 0).hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(F.col(name)))
-    return joined.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(name, times)
+    # Rows of one id, text and pattern are taken alike, so a row for each of these is enough.
+    told = taken.groupBy(*key).agg(F.max(repeats).alias("times")).where("times > 0").select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("times").alias(times))
+    rows = marked(docs, id_col, text_col, *names[:3]).withColumn(names[3], pattern_of(members))
+    match = [F.col(f"d.{n}").eqNullSafe(F.col(f"t.{n}")) for n in names]
+    joined = rows.alias("d").join(told.alias("t").hint("shuffle_hash"), match).select("d.*", f"t.{times}")
+    return joined.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(*names, times)
