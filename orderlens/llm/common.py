@@ -22,11 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session that names none (tests, one machine) gets a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder on one machine; a cluster must name one."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="orderlens-"))
@@ -34,21 +36,29 @@ def scratch(spark: SparkSession) -> str:
     return held.get()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again, so that lost executors cost no recomputation."""
+def keep(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it again, so that lost executors cost no recomputation.
+
+    instead_of is a kept table that nothing but df reads; it is deleted once df is written.
+    """
     path = f"{scratch(df.sparkSession)}/orderlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     KEPT.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        release(df.sparkSession, [instead_of.kept_at])
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that keep() wrote in this program, once no result that reads them is needed; how many there were."""
-    n = len(KEPT)
-    while KEPT:
-        path = spark._jvm.org.apache.hadoop.fs.Path(KEPT.pop())
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables that keep() wrote in this program (all, or those at the paths), once no result that reads them is needed; how many there were."""
+    gone = [p for p in KEPT if paths is None or p in paths]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+        KEPT.remove(name)
+    return len(gone)
 
 
 def whole(text: str | Column) -> Column:
@@ -75,3 +85,27 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
 def same(left: Column, right: Column) -> Column:
     """Equality where null equals null."""
     return left.eqNullSafe(right)
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, *names: str) -> DataFrame:
+    """docs with three columns more, which together name a row's id and text: the id as a long, and two hashes of the text."""
+    text = whole(docs[text_col])
+    return docs.withColumns(dict(zip(names, (docs[id_col].cast("long"), F.xxhash64(text, F.octet_length(text)), F.hash(text)))))
+
+
+def stay(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay, by verdicts (id, mark, check, kept: a row for each row of docs, marked() as there).
+
+    Ids alone don't decide, as they can repeat or be null. Of rows that repeat an id and a text one stays.
+    """
+    key = ["id", "mark", "check"]
+    names = free(docs, *(f"key_{k}" for k in key))
+    told = verdicts.groupBy(*key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    told = keep(told.select(*[F.col(k).alias(n) for k, n in zip(key, names)], "kept"))
+    rows, match = marked(docs, id_col, text_col, *names), lambda t: [F.col(f"d.{n}").eqNullSafe(F.col(f"t.{n}")) for n in names]
+    gone, twice = told.where("not kept").select(*names), told.where("kept").select(*names)
+    left = rows.alias("d").join(gone.alias("t").hint("shuffle_hash"), match("t"), "left_anti")
+    if not twice.isEmpty():
+        once = left.alias("d").join(twice.alias("t"), match("t"), "left_semi").dropDuplicates(names)
+        left = left.alias("d").join(twice.alias("t"), match("t"), "left_anti").unionByName(once)
+    return left.drop(*names)

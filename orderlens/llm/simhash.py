@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, keep, whole
+from .common import keep, marked, stay, whole
 from .graph import stars
 
 BITS = 3
@@ -48,14 +48,16 @@ def fingerprint(text: str, size: int = 3, block: int = 200_000) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed 64-bit integer."""
+    """(id, mark, check, fp): fp is the fingerprint as a signed 64-bit integer; mark and check name the text."""
+    names = ["id", "mark", "check"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter(map(fingerprint, batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    rows = marked(docs.select(id_col, text_col), id_col, text_col, *names)
+    return rows.select(*names, whole(text_col).alias("text")).mapInArrow(run, "id long, mark long, check int, fp long")
 
 
 def linked(members: np.ndarray, all_pairs: int) -> np.ndarray:
@@ -139,24 +141,30 @@ def links(distinct: DataFrame, long_list: int = 1024, all_pairs: int = 1024) ->
     return lists.mapInArrow(lambda batches: link_lists(batches, all_pairs), "u long, v long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 1024) -> DataFrame:
-    """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (smallest id reachable over links, its own included).
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 1024, with_marks: bool = False) -> DataFrame:
+    """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (smallest id reachable over links, its own included); with_marks: id, mark, check and root instead.
 
     A null or empty text has fingerprint zero and is linked like any other; a null id gets its component's smallest id, or null
     if there is none; repeated rows repeat their result; an empty table gives an empty result.
     """
-    rows = keep(fingerprints(docs, id_col, text_col))
+    rows = fingerprints(docs, id_col, text_col)
+    rows = keep(rows if with_marks else rows.select("id", "fp"))
     groups = keep(rows.groupBy("fp").agg(F.min("id").alias("least")))
     star = stars(links(groups.select("fp"), long_list))
     member = groups.join(star.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(roots, "root").select("fp", "component_id")
+    named = member.join(roots, "root").select("fp", "root", "component_id")
     out = rows.join(named, "fp")
+    if with_marks:
+        return out.select("id", "mark", "check", "root")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is their component's smallest, with all their columns."""
-    (gone,) = free(docs, "gone_id")
-    dropped = near_components(docs, id_col, text_col, **how).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(dropped.hint("shuffle_hash"), docs[id_col].cast("long") == F.col(gone), "left_anti")
+    """The rows of docs that stay, with all their columns: of each component the row of the smallest id, a null id last; of rows of that id the text that hashes lowest."""
+    rows = near_components(docs, id_col, text_col, with_marks=True, **how)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "check")
+    rows = rows.select("root", "id", "mark", "check", rank.alias("rank"))
+    ends = rows.groupBy("root").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    told = rows.join(ends, "root").withColumn("kept", F.col("rank") == F.col("best"))
+    return stay(docs, told.select("id", "mark", "check", "kept"), id_col, text_col)

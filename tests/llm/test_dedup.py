@@ -32,13 +32,43 @@ def test_exact_dedup_against_brute_force(spark, largest):
             assert got[i]["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def odd_rows(spark):
+    """Repeated ids with equal and other texts, null ids, and columns of names used inside."""
+    rows = [(1, "alpha beta"), (1, "other text here"), (2, "alpha beta"), (3, "zz"), (3, "zz"), (4, "Case"), (4, "cASE"), (None, "zz"), (None, "lone"), (None, "lone"), (5, None), (6, "")]
+    return spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, id int, mark int, kept int, key_id int")
+
+
 def test_exact_dedup_odd_rows(spark):
-    table = docs(spark, ["a"] * 3).union(docs(spark, ["a", "b"])).union(docs(spark, ["b"]).selectExpr("cast(null as long)", *docs(spark, []).columns[1:]))
+    table = odd_rows(spark)
     rows = exact_dedup.exact_dedup(table).collect()
-    assert sorted((r["keep_id"], r["group_size"]) for r in rows) == [(0, 5)] * 5 + [(1, 2)] * 0 or len(rows) == 6
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in rows)
+    assert got == sorted(
+        [("1", "1", 2, True), ("1", "1", 1, True), ("2", "1", 2, False), ("3", "3", 3, True), ("3", "3", 3, True), ("4", "4", 2, True), ("4", "4", 2, True)]
+        + [("None", "3", 3, False), ("None", "None", 2, True), ("None", "None", 2, True), ("5", "5", 2, True), ("6", "5", 2, False)]
+    )
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
-    kept = exact_dedup.drop_copies(docs(spark, corpus()))
-    assert kept.columns == docs(spark, []).columns
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_drop_copies_odd_rows(spark, largest):
+    table = odd_rows(spark)
+    kept = exact_dedup.drop_copies(table, keep_largest=largest)
+    rows = [(r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()]
+    want = [(2 if largest else 1, "alpha beta"), (1, "other text here"), (None if largest else 3, "zz"), (4, "case"), (None, "lone"), (6 if largest else 5, "")]
+    assert kept.columns == table.columns and sorted(rows, key=str) == sorted(want, key=str)
+    assert exact_dedup.drop_copies(docs(spark, [])).count() == 0
+    many = docs(spark, corpus())
+    assert exact_dedup.drop_copies(many).columns == many.columns
+
+
+def test_drop_near_copies_odd_rows(spark):
+    table = odd_rows(spark)
+    kept = simhash.drop_near_copies(table)
+    rows = [(r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()]
+    want = [(1, "alpha beta"), (1, "other text here"), (3, "zz"), (4, "case"), (None, "lone"), (5, "")]
+    assert kept.columns == table.columns and sorted(rows, key=str) == sorted(want, key=str)
+    found = simhash.near_components(table).collect()
+    assert len(found) == 12 and {r["component_id"] for r in found if r["doc_id"] is None} == {3, None}
 
 
 def brute_fingerprint(text):

@@ -5,13 +5,15 @@ import struct
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orderlens.llm import mixing, toxicity
 from orderlens.llm.common import keep, read
 from orderlens.llm.queries import piece_model_path
 
-from .test_dedup import LOWER, brute_components, brute_fingerprint
+from .test_dedup import LOWER, odd_rows
+from .test_shingles import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,11 +44,23 @@ def test_exact_stage(stages):
 
 
 def test_near_stage(stages):
+    """Groups by all pairs of five-word shingle sets of similarity 0.8 or more; op8's three bits are that query's contract, not the stage's."""
     rows = sorted(stages[2][1], key=lambda r: r["doc_id"])
-    components = brute_components([brute_fingerprint(r["text"]) for r in rows])
+    components = brute([r["text"] for r in rows])
     assert sorted(r["doc_id"] for r in stages[3][1]) == [r["doc_id"] for i, r in enumerate(rows) if components[i] == i]
 
 
+def test_stages_with_odd_rows(spark):
+    """Repeated rows, null ids and texts, an empty table, and columns of names used inside."""
+    table = odd_rows(spark).withColumn("source", F.when(F.col("doc_id") == 1, "a"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns and out.count() > 0
+        assert stage(spark, table.limit(0), SF).count() == 0
+    tokens = corpus_pipeline.stage_tokens(spark, table, SF)
+    assert tokens.count() == 12 and corpus_pipeline.stage_tokens(spark, table.limit(0), SF).count() == 0
+
+
 def test_mixing_stage(stages):
     words = lambda r: len((r["text"] or "").encode().split())
     before = {r["doc_id"]: r for r in stages[3][1]}

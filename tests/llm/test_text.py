@@ -10,12 +10,12 @@ from orderlens.llm.queries import piece_model_path
 
 from .helpers import corpus, docs
 
-spm = pytest.importorskip("sentencepiece")
 ALPHABET = [*"abtheion  \u2581\n\r\t.\u00e9\u65e5\u672c\x00x<s>0123\U0001f600\ufdfd\u00f1\ufffd", "the", "tion", " in", "    ", "\u00a0", "\u200b"]
 
 
 @pytest.fixture(scope="module")
 def library():
+    spm = pytest.importorskip("sentencepiece")
     return spm.SentencePieceProcessor(model_file=piece_model_path())
 
 
@@ -94,6 +94,15 @@ def test_toxicity_learns(spark):
     clash = toxicity.score(spark.createDataFrame([("snark", 2.0)], "text string, score double"), lexicon).first()
     assert clash["score"] == 2.0 and clash["_score"] >= 0.3
     assert toxicity.fit(table, labels.where("toxic = 0")).score("x") < 0.1
+    again = toxicity.fit(table, labels.union(labels))
+    assert again.weights == lexicon.weights and again.score("snark") == lexicon.score("snark")
+
+
+@pytest.mark.parametrize("which", ["toxic = 1", "toxic = 2", "toxic = 0"])
+def test_toxicity_without_two_kinds_of_labels(spark, which):
+    table = docs(spark, ["a", "b c", None, "d"])
+    labels = spark.createDataFrame([(0, 1), (1, 1), (3, 0), (9, 1), (2, None)], "doc_id long, toxic int").where(which)
+    assert toxicity.drop_toxic(table, labels).count() == 4
 
 
 def test_toxicity_learns_all_terms(spark):
