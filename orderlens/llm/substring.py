@@ -1,21 +1,21 @@
-"""Substring dedup by an index of windows and the union of the places where they are found.
-
-This stands in for a relative Lempel-Ziv parse and isn't one: a factor here is a run of words covered by found windows, which can come
-from different documents, and it has no reference document or offset. The words removed are those of all found windows.
-
-A window is ``window`` consecutive words. The reference index holds, by hash of a content anchor, the windows of every block of
-documents with the smallest document that has each. The windows of a document that a smaller one has are found in it, and
-touching or overlapping ones are joined, so a factor is at least a window long and each of its words lies in a window that
-some smaller document has.
-
-Only windows that can be shared are indexed. The anchor of a window is the smallest hash among its ``gram``-word grams;
-equal windows have equal anchors, and neighbouring windows mostly share theirs, so one in about 22 words is an anchor.
-Anchors seen in two documents select the windows; a window's identity is its anchor and an independent 64-bit hash
-of all its words, 128 bits, and both ends of a factor are windows checked this way. Windows shared inside a batch of
-documents are settled there, so a passage that a third of all rows share sends one entry per batch.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+
+A window is ``window`` consecutive words. A document's reference are the documents of smaller ids, cut into blocks. A block indexes its
+windows, each by the smallest place (document, word) that has it, and texts are factored against it greedily: at the first word whose window
+the block has, the factor follows the reference word by word as long as the texts agree, and parsing goes on behind it. A
+factor names its reference (document, word) and is at least a window long. Both texts are compared over the whole factor, its ends included,
+so no hash decides. Touching factors of one reference and offset are joined over blocks, and of overlapping ones a document keeps those that
+reach furthest. The words of all factors are removed; they are exactly the words of windows that a smaller document has.
+
+Parsing each document against each block of whole texts would be quadratic, so blocks hold what can be shared only. The anchor of a
+window is the smallest hash among its ``gram``-word grams; equal windows have equal anchors, and neighbouring windows mostly share
+theirs, so one in about 22 words is an anchor. Only windows whose anchor is in two documents are indexed, and blocks are of two kinds: first
+the documents of a batch are each other's reference, so a passage that a third of all rows share sends one run of words per batch;
+then the runs that are left meet by anchor. Of an anchor with more than ``hot_entries`` runs (a common phrase in many contexts)
+the windows are dealt by their hashes and find their reference by a smallest place that is combined before the shuffle; 192 bits name a window there.
 
 Defined results: a null text is the empty text; a null id counts as larger than all others; rows with one id never remove each other's words;
-documents under a window stay as they are; repeated rows repeat their result; an empty table gives an empty result.
+documents under a window stay as they are; repeated rows repeat their result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, whole
@@ -96,11 +96,6 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
-    """values cut at starts."""
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
-
-
 def find_anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
@@ -116,40 +111,97 @@ def find_anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
             yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(ids[at]), pa.array(marks[at])], ["anchor", "id", "mark"])
 
 
-ENTRY_SCHEMA = "id long, mark long, anchor long, start int, hashes array<long>, starts array<int>"
-
-
-def entries(texts: list[bytes], ids: np.ndarray, marks: np.ndarray, anchors: list[np.ndarray], window: int, gram: int) -> pa.RecordBatch | None:
-    """Of a block of documents: runs of windows for the index (start, hashes), and the windows that the block settles itself (starts)."""
+FACTOR = [("start", "int"), ("source", "bigint"), ("source_start", "int"), ("length", "int")]
+FACTORS = f"array<struct<{','.join(f'{n}:{t}' for n, t in FACTOR)}>>"
+RUN_SCHEMA = f"id long, mark long, anchor long, start int, words binary, factors {FACTORS}"
+FACTOR_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32()), ("length", pa.int32())]))
+
+
+class Block:
+    """A reference block: rows of words that start at a word of a document, and their windows (anchor, hash, place in the row, row), by row and place."""
+
+    def __init__(self, rows: list[list[bytes]], ids: np.ndarray, starts: np.ndarray, anchors: np.ndarray, hashes: np.ndarray, at: np.ndarray, row: np.ndarray, window: int):
+        self.rows, self.ids, self.starts, self.window, self.at, self.row = rows, ids, starts, window, at, row
+        order = np.lexsort((starts[row] + at, ids[row], hashes, anchors))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchors[order][1:] != anchors[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+        #: For each window the one of the smallest place that equals it.
+        self.source = np.empty(len(order), np.int64)
+        self.source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+    def parse(self) -> list[tuple[int, int, int, int, int]]:
+        """Factors (row, word, row and word of the reference, length), by row and word: each follows its reference as far as the texts agree."""
+        row, at, source = self.row, self.at, self.source
+        there, where = row[source], at[source]
+        found = self.ids[row] > self.ids[there]
+        # Windows that follow one another in both texts are one match, seen at its first window.
+        goes_on = np.zeros(len(row), bool)
+        goes_on[1:] = found[:-1] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (there[1:] == there[:-1]) & (where[1:] == where[:-1] + 1)
+        out, last_row, covered = [], -1, 0
+        for j in np.flatnonzero(found & ~goes_on).tolist():
+            r, p, q, x = int(row[j]), int(at[j]), int(there[j]), int(where[j])
+            if r != last_row:
+                last_row, covered = r, 0
+            run = 1
+            while j + run < len(row) and goes_on[j + run]:
+                run += 1
+            if p + run - 1 + self.window <= covered:
+                continue
+            # Windows of this match that the factor before has are left to it.
+            skip = max(0, covered - self.window - p + 1)
+            p, x, run = p + skip, x + skip, run - skip
+            ours, theirs, n = self.rows[r], self.rows[q], run - 1 + self.window
+            if ours[p : p + n] != theirs[x : x + n]:
+                continue
+            while p + n < len(ours) and x + n < len(theirs) and ours[p + n] == theirs[x + n]:
+                n += 1
+            covered = p + n
+            out.append((r, p, q, x, n))
+        return out
+
+
+def packed_factors(block: Block, found: list[tuple[int, int, int, int, int]]) -> list[dict]:
+    return [{"start": int(block.starts[r]) + p, "source": int(block.ids[q]), "source_start": int(block.starts[q]) + x, "length": n} for r, p, q, x, n in found]
+
+
+def batch_of(rows: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), FACTOR_TYPE]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["id", "mark", "anchor", "start", "words", "factors"])
+
+
+def runs_of_batch(texts: list[list[bytes]], ids: list[int], marks: list[int], shared: list[np.ndarray], window: int, gram: int) -> pa.RecordBatch | None:
+    """Documents of a batch parsed against each other: their factors, and runs of words whose windows found no reference here."""
     a, h, at, row = [], [], [], []
     for i, words in enumerate(texts):
         anchor, hashes = windows(words, window, gram)
-        can = np.flatnonzero(np.isin(anchor, anchors[i]))
+        can = np.flatnonzero(np.isin(anchor, shared[i]))
         a.append(anchor[can]), h.append(hashes[can]), at.append(can), row.append(np.full(len(can), i))
     a, h, at, row = map(np.concatenate, (a, h, at, row))
     if not len(a):
         return None
-    order = np.lexsort((ids[row], h, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (h[order][1:] != h[order][:-1])
-    least = ids[row[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
-    settled = np.zeros(len(order), bool)
-    settled[order] = ids[row[order]] > least
-    parts = []
-    done = np.flatnonzero(settled)
-    if len(done):
-        cuts = np.flatnonzero(np.append(True, row[done][1:] != row[done][:-1]))
-        first = row[done][cuts]
-        none = pa.nulls(len(cuts), pa.int64())
-        parts.append([pa.array(ids[first]), pa.array(marks[first]), none, pa.nulls(len(cuts), pa.int32()), pa.nulls(len(cuts), pa.list_(pa.int64())), lists(at[done].astype(np.int32), cuts)])
+    block = Block(texts, np.array(ids), np.zeros(len(ids), np.int64), a, h, at, row, window)
+    found = block.parse()
+    out, settled = [], np.zeros(len(row), bool)
+    of_row: dict[int, list] = {}
+    for f in found:
+        of_row.setdefault(f[0], []).append(f)
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    for r, factors_of in of_row.items():
+        part = slice(bounds[r], bounds[r + 1])
+        for _, p, _, _, n in factors_of:
+            settled[part] |= (at[part] >= p) & (at[part] + window <= p + n)
+        out.append([ids[r], marks[r], None, None, None, packed_factors(block, factors_of)])
     left = np.flatnonzero(~settled)
-    cuts = np.flatnonzero(np.append(True, (row[left][1:] != row[left][:-1]) | (a[left][1:] != a[left][:-1]) | (at[left][1:] != at[left][:-1] + 1)))
-    first = left[cuts]
-    parts.append([pa.array(ids[row[first]]), pa.array(marks[row[first]]), signed(a[first]), pa.array(at[first].astype(np.int32)), lists(h[left].view(np.int64), cuts), pa.nulls(len(cuts), pa.list_(pa.int32()))])
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([p[i] for p in parts]) for i in range(6)], [c.split()[0] for c in ENTRY_SCHEMA.split(", ")])
+    if len(left):
+        new = np.append(True, (row[left][1:] != row[left][:-1]) | (a[left][1:] != a[left][:-1]) | (at[left][1:] != at[left][:-1] + 1))
+        first = np.flatnonzero(new)
+        for i, n in zip(first.tolist(), np.diff(np.append(first, len(left))).tolist()):
+            r, p = int(row[left[i]]), int(at[left[i]])
+            out.append([ids[r], marks[r], int(a[left[i]].view(np.int64)), p, b" ".join(texts[r][p : p + n - 1 + window]), None])
+    return batch_of(out)
 
 
-def find_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int, block_words: int) -> Iterator[pa.RecordBatch]:
+def find_runs(batches: Iterator[pa.RecordBatch], window: int, gram: int, block_words: int) -> Iterator[pa.RecordBatch]:
     texts, ids, marks, anchors, held = [], [], [], [], 0
     for batch in batches:
         for doc, mark, text, found in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text").to_pylist(), batch.column("anchors")):
@@ -157,49 +209,117 @@ def find_entries(batches: Iterator[pa.RecordBatch], window: int, gram: int, bloc
             texts.append(words), ids.append(doc), marks.append(mark), anchors.append(found.values.to_numpy().view(np.uint64))
             held += len(words)
             if held >= block_words:
-                if (out := entries(texts, np.array(ids), np.array(marks), anchors, window, gram)) is not None:
+                if (out := runs_of_batch(texts, ids, marks, anchors, window, gram)) is not None:
                     yield out
                 texts, ids, marks, anchors, held = [], [], [], [], 0
-    if texts and (out := entries(texts, np.array(ids), np.array(marks), anchors, window, gram)) is not None:
+    if texts and (out := runs_of_batch(texts, ids, marks, anchors, window, gram)) is not None:
         yield out
 
 
-def factors(starts: np.ndarray, window: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Factors (first word, word after the last): the union of the places of the windows that were found."""
-    starts = np.unique(starts)
-    edge = np.zeros(n_words + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
-    inside = np.append(0, (np.cumsum(edge[:-1]) > 0).astype(np.int8))
-    change = np.diff(np.append(inside, 0))
-    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+def windows_of_runs(batch: pa.RecordBatch, window: int, bases: tuple[int, ...] = (BASES[1],)) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Words of each run, and row, place and hashes of each window of a run."""
+    rows = [w.split(b" ") for w in batch.column("words").to_pylist()]
+    sizes = np.array([len(r) for r in rows])
+    hashes = word_hashes([w for r in rows for w in r])
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    at = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
+    inside = np.flatnonzero(at + window <= sizes[row])
+    return rows, row[inside], at[inside], [rolling(hashes, window, base)[inside] for base in bases]
+
+
+def parse_runs(batches: Iterator[pa.RecordBatch], window: int, block_runs: int) -> Iterator[pa.RecordBatch]:
+    """Runs, sorted by anchor, parsed in blocks of whole anchors."""
+    schema = ["id", "mark", "factors"]
+
+    def parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, row, at, (hashes,) = windows_of_runs(batch, window)
+        column = lambda name: batch.column(name).to_numpy()
+        block = Block(rows, column("id"), column("start").astype(np.int64), column("anchor")[row], hashes, at, row, window)
+        found = block.parse()
+        own = np.array([f[0] for f in found], np.int64)
+        factors = pa.array([[f] for f in packed_factors(block, found)], FACTOR_TYPE)
+        return pa.RecordBatch.from_arrays([pa.array(column("id")[own]), pa.array(column("mark")[own]), factors], schema)
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks()
+        held = table.to_batches()[0] if table.num_rows else None
+        while held is not None and held.num_rows > block_runs:
+            anchors = held.column("anchor").to_numpy()
+            change = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+            if not len(change):
+                break
+            # As many whole anchors as a block takes, one at least; the last of a batch can go on in the next one.
+            cut = int(change[max(0, np.searchsorted(change, block_runs, "right") - 1)])
+            yield parsed(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield parsed(held)
+
+
+def hot_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Each window of runs: its anchor, two hashes and place."""
+    for batch in batches:
+        if batch.num_rows:
+            _, row, at, (first, second) = windows_of_runs(batch, window, (BASES[1], BASES[0]))
+            pick = lambda name: batch.column(name).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(pick("anchor")), signed(first), signed(second), pa.array(pick("id")), pa.array(pick("mark")), pa.array((pick("start") + at).astype(np.int32))], ["anchor", "first", "second", "id", "mark", "start"])
 
 
-def cut_factors(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def joined_factors(found: list[dict]) -> list[tuple[int, int, int, int]]:
+    """Factors of one document (word, reference document and word, length) that cover the words of all found ones and don't overlap.
+
+    Pieces of one reference and offset that touch are one; of those that start by a word, the one that reaches furthest follows.
+    """
+    pieces: list[list[int]] = []
+    for f in sorted(found, key=lambda f: (f["source"], f["source_start"] - f["start"], f["start"])):
+        start, end = f["start"], f["start"] + f["length"]
+        if pieces and pieces[-1][2] == f["source"] and pieces[-1][3] == f["source_start"] - start and start <= pieces[-1][1]:
+            pieces[-1][1] = max(pieces[-1][1], end)
+        else:
+            pieces.append([start, end, f["source"], f["source_start"] - start])
+    pieces.sort(key=lambda p: (p[0], -p[1], p[2]))
+    out, done, i = [], 0, 0
+    while i < len(pieces):
+        best = None
+        while i < len(pieces) and (pieces[i][0] <= done or best is None and pieces[i][1] > done):
+            if pieces[i][0] > done:
+                done = pieces[i][0]
+            if pieces[i][1] > done and (best is None or pieces[i][1] > best[1]):
+                best = pieces[i]
+            i += 1
+        if best is not None:
+            out.append((done, best[2], done + best[3], best[1] - done))
+            done = best[1]
+    return out
+
+
+def cut_factors(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, digests, spans, texts = [], [], [], [], []
-        for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts")):
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("factors").to_pylist()):
             words = text.encode().split()
-            cut: list[list[int]] = []
-            kept = words
-            if starts.is_valid:
+            kept, cut = words, joined_factors(found) if found else []
+            if cut:
                 stay = np.ones(len(words), bool)
-                for first, last in zip(*factors(starts.values.to_numpy(), window, len(words))):
-                    stay[first:last] = False
-                    cut.append([int(first), int(last)])
+                for start, _, _, length in cut:
+                    stay[start : start + length] = False
                 kept = list(compress(words, stay))
             joined = b" ".join(kept)
             n_words.append(len(words)), n_removed.append(len(words) - len(kept)), digests.append(hashlib.sha256(joined).hexdigest())
             if with_text:
-                spans.append(cut), texts.append(joined.decode())
+                spans.append([dict(zip(("start", "source", "source_start", "length"), f)) for f in cut]), texts.append(joined.decode())
         out = {"id": batch.column("given"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-        yield pa.RecordBatch.from_pydict(out | {"factors": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(texts, pa.string())} if with_text else out)
+        yield pa.RecordBatch.from_pydict(out | {"factors": pa.array(spans, FACTOR_TYPE), "kept": pa.array(texts, pa.string())} if with_text else out)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 8, block_words: int = 1_000_000, hot_entries: int = 1000, with_text: bool = False) -> DataFrame:
-    """One row per row of docs: id_col, n_words, n_removed, kept_sha256; with_text adds factors (first word, word after the last) and the kept words.
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 8, block_words: int = 500_000, block_runs: int = 4000, hot_entries: int = 1000, with_text: bool = False,
+) -> DataFrame:
+    """One row per row of docs: id_col, n_words, n_removed, kept_sha256; with_text adds factors (start, source: the reference document, source_start, length; in words) and the kept words.
 
-    Texts go through a shuffle twice, to meet their shared anchors and their factors; all else that moves is hashes.
+    Texts go through a shuffle twice, to meet their shared anchors and their factors; besides, the runs of words that can be shared do.
     """
     id_long = F.col(id_col).cast("long")
     rows = docs.select(id_long.alias("given"), F.coalesce(id_long, F.lit(LAST)).alias("id"), F.xxhash64(whole(text_col)).alias("mark"), whole(text_col).alias("text"))
@@ -207,20 +327,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("id", "mark").agg(F.collect_set("anchor").alias("anchors"))
     some = rows.select("id", "mark", "text").join(wanted.hint("shuffle_hash"), ["id", "mark"])
-    index = keep(some.mapInArrow(lambda b: find_entries(b, window, gram, block_words), ENTRY_SCHEMA))
-    # Entries of an anchor meet in one task, one for each block and context; where those are many, its windows are dealt by their hash.
-    entry = index.where("anchor is not null").select("anchor", "id", "mark", "start", "hashes")
-    hot = keep(entry.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_entries).select("anchor"))
-    some = not hot.isEmpty()
-    each = [F.col("anchor"), F.col("id"), F.col("mark"), F.col("start"), F.posexplode("hashes").alias("offset", "hash")]
-    least = F.min("id").over(Window.partitionBy("anchor", "hash"))
-    cold = entry.join(hot, "anchor", "left_anti") if some else entry
-    found = cold.repartition("anchor").select(*each).withColumn("least", least).where("id > least")
-    if some:
-        spread = entry.join(hot, "anchor").select(*each).repartition("anchor", "hash")
-        found = found.unionByName(spread.withColumn("least", least).where("id > least"))
-    there = found.groupBy("id", "mark").agg(F.collect_list(F.col("start") + F.col("offset")).alias("starts"))
-    starts = keep(index.where("anchor is null").select("id", "mark", "starts").union(there).groupBy("id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", factors array<array<long>>, kept string" * with_text
-    out = rows.join(starts.hint("shuffle_hash"), ["id", "mark"], "left").select("given", "text", "starts").mapInArrow(lambda b: cut_factors(b, window, with_text), schema)
+    parsed = keep(some.mapInArrow(lambda b: find_runs(b, window, gram, block_words), RUN_SCHEMA), instead_of=anchors)
+    runs = parsed.where("anchor is not null").select("anchor", "id", "mark", "start", "words")
+    hot = keep(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_entries).select("anchor"))
+    any_hot = not hot.isEmpty()
+    cold = runs.join(hot, "anchor", "left_anti") if any_hot else runs
+    found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: parse_runs(b, window, block_runs), f"id long, mark long, factors {FACTORS}")
+    if any_hot:
+        name = ["anchor", "first", "second"]
+        spread = keep(runs.join(hot, "anchor").mapInArrow(lambda b: hot_windows(b, window), "anchor long, first long, second long, id long, mark long, start int"))
+        least = spread.groupBy(*name).agg(F.min(F.struct("id", "start")).alias("least"))
+        factor = F.struct("start", F.col("least.id").alias("source"), F.col("least.start").alias("source_start"), F.lit(window).alias("length"))
+        found = found.union(spread.join(least, name).where("id > least.id").select("id", "mark", F.array(factor).cast(FACTORS).alias("factors")))
+    found = found.union(parsed.where("anchor is null").select("id", "mark", "factors"))
+    factors = keep(found.groupBy("id", "mark").agg(F.flatten(F.collect_list("factors")).alias("factors")), instead_of=parsed)
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + f", factors {FACTORS}, kept string" * with_text
+    out = rows.join(factors.hint("shuffle_hash"), ["id", "mark"], "left").select("given", "text", "factors").mapInArrow(lambda b: cut_factors(b, with_text), schema)
     return out.withColumnRenamed("id", id_col)

@@ -163,9 +163,36 @@ def test_substring_against_brute_force(spark, window, gram, block, hot):
     assert sum(n for _, n, _ in want.values()) > 500
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_factors_name_their_reference(spark, hot):
+    texts = corpus(n=150, words=40)
+    rows = {r["doc_id"]: r for r in substring.substring_dedup(docs(spark, texts), window=20, gram=5, block_words=2000, block_runs=7, hot_entries=hot, with_text=True).collect()}
+    words, total = [words_of(t) for t in texts], 0
+    for i, r in rows.items():
+        end = 0
+        for f in r["factors"]:
+            ours, theirs = words[i], words[f["source"]]
+            assert f["source"] < i and f["start"] >= end and f["length"] > 0
+            assert ours[f["start"] : f["start"] + f["length"]] == theirs[f["source_start"] : f["source_start"] + f["length"]]
+            end = f["start"] + f["length"]
+        assert sum(f["length"] for f in r["factors"]) == r["n_removed"]
+        total += len(r["factors"])
+    assert total > 20
+
+
+def test_a_long_copy_is_one_factor(spark):
+    """Copied over many anchors and blocks, a passage stays one factor; an edit cuts it."""
+    passage = [f"p{i * i % 977}" for i in range(900)]
+    edited = [*passage[:400], "edit", *passage[401:]]
+    texts = [" ".join(["a"] * 30 + passage), "b " * 10, " ".join(passage), " ".join(["c"] * 70 + edited)]
+    rows = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring.substring_dedup(docs(spark, texts).repartition(4), block_words=100, with_text=True).collect()}
+    assert rows[2] == [(0, 0, 30, 900)] and rows[0] == rows[1] == []
+    assert rows[3] == [(70, 0, 30, 400), (471, 0, 431, 499)]
+
+
 def test_substring_odd_rows(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     table = docs(spark, [passage, passage]).union(docs(spark, [passage, passage + " end"]))
     rows = substring.substring_dedup(table, with_text=True).collect()
-    assert sorted((r["doc_id"], r["n_removed"], r["factors"], r["kept"] != passage) for r in rows) == [(0, 0, [], False)] * 2 + [(1, 60, [[0, 60]], True)] * 2
+    assert sorted((r["doc_id"], r["n_removed"], [tuple(f) for f in r["factors"]], r["kept"] != passage) for r in rows) == [(0, 0, [], False)] * 2 + [(1, 60, [(0, 0, 0, 60)], True)] * 2
     assert substring.substring_dedup(docs(spark, [])).count() == 0
