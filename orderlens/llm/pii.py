@@ -6,14 +6,19 @@ valid value's index among all values of its format is permuted by a balanced Fei
 until the result is an index again, and written back in the same form. One key maps equal values to equal pseudonyms,
 wherever and however punctuated they occur, so they stay linked; different values stay different.
 
-Defined results: a null text stays null and has no values; an empty text stays empty; other columns are ignored by the query form and
-kept by mask(); repeated rows repeat their result; an empty table gives an empty result.
+Telephone numbers are linked by country code and national digits, so +12125550188 and +1 (212) 555-0188 stay one number; dates by day, whatever
+the order and mark of their parts. Where a date of the form 03/04/2021 can be read both ways, the day comes first.
+
+Defined results: a null text stays null and has no values; an empty text stays empty; a null id stays null; values that two forms fit belong to the
+form that comes first; other columns, whatever their names, are ignored by the query form and kept by mask(); repeated rows repeat their result;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -26,7 +31,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import free
 
 ROUNDS = 10
-#: Any key works; production passes its own secret.
+#: For tests and examples only: whoever reads this can undo the pseudonyms. Production sets a secret of its own in the setting KEY_SETTING.
+KEY_SETTING = "spark.orderlens.pii.key"
 DEFAULT_KEY = b"orderlens example key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -93,29 +99,61 @@ def ip(text: str, key: bytes) -> str | None:
     return ".".join(map(str, new.to_bytes(4, "big")))
 
 
+# The country calling codes of one and of two digits; all others have three.
+COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+#: Numbers of the North American plan: area and exchange don't start with 0 or 1.
+NORTH_AMERICAN = re.compile(r"[2-9]\d\d[2-9]\d{6}")
+
+
 def phone(text: str, key: bytes) -> str | None:
-    """The country code stays."""
-    code = re.match(r"\+\d{1,3}(?=[ .(-])|", text)[0]
+    """The country code stays. North American numbers are permuted among themselves, with or without the code, all others of a length among the rest."""
+    code = "+" + COUNTRY.match(text, 1)[0] if text[0] == "+" else ""
     digits = re.sub(r"\D", "", text[len(code) :])
-    if not 7 <= len(digits) <= 12:
+    if not 7 <= len(digits) <= 12 or code == "+1" and len(digits) != 10:
         return None
-    new = permute(int(digits), 10 ** len(digits), key, "phone")
-    return code + refill(text[len(code) :], f"{new:0{len(digits)}}")
+    if NORTH_AMERICAN.fullmatch(digits) and code in ("", "+1"):
+        area, exchange, line = int(digits[:3]) - 200, int(digits[3:6]) - 200, int(digits[6:])
+        index, line = divmod(permute((area * 800 + exchange) * 10_000 + line, 6_400_000_000, key, "phone"), 10_000)
+        return code + refill(text[len(code) :], f"{index // 800 + 200}{index % 800 + 200}{line:04}")
+    if not code and "(" not in text and not re.search(r"\D", text):
+        return None
+    new = digits
+    while True:
+        new = f"{permute(int(new), 10 ** len(digits), key, 'phone'):0{len(digits)}}"
+        if len(new) != 10 or code not in ("", "+1") or not NORTH_AMERICAN.fullmatch(new):
+            return code + refill(text[len(code) :], new)
 
 
 def date(text: str, key: bytes) -> str | None:
+    """Year first, else day first, else month first; parts keep their order, mark and least width."""
     parts = re.split(r"[-/.]", text)
-    year_first = len(parts[0]) == 4
-    a, b, c = (int(x) for x in parts)
+    orders = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy")
+    for order in orders:
+        at = {c: int(parts[order.index(c)]) for c in order}
+        try:
+            day = datetime.date(at["y"], at["m"], at["d"])
+        except ValueError:
+            continue
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+            return None
+        new = datetime.date.fromordinal(FIRST_DAY + permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+        value = {"y": new.year, "m": new.month, "d": new.day}
+        return text[len(parts[0])].join(f"{value[c]:0{len(p)}}" for c, p in zip(order, parts))
+    return None
+
+
+def ip6(text: str, key: bytes) -> str | None:
+    """Written in the shortest form, in the letters' case. Without any digit (a::b) it is code rather than an address."""
+    if not re.search(r"\d", text):
+        return None
     try:
-        day = datetime.date(a, b, c) if year_first else datetime.date(c, b, a)
+        value = int(ipaddress.IPv6Address(text))
     except ValueError:
         return None
-    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+    if not value:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
-    mark = text[len(parts[0])]
-    return mark.join((f"{new.year:04}", f"{new.month:02}", f"{new.day:02}") if year_first else (f"{new.day:02}", f"{new.month:02}", f"{new.year:04}"))
+    new = str(ipaddress.IPv6Address(permute(value, 1 << 128, key, "ip6")))
+    return new.upper() if text.isupper() else new
 
 
 def by_character(text: str, key: bytes, form: str) -> str:
@@ -149,6 +187,12 @@ def email(text: str, key: bytes) -> str:
     return f"{by_character(name, key, 'email')}@{domain}"
 
 
+def token(text: str, key: bytes) -> str:
+    """Keys of services: what names the service stays."""
+    lead = TOKEN_LEAD.match(text)[0]
+    return lead + by_character(text[len(lead) :], key, "token")
+
+
 def secret(text: str, key: bytes) -> str:
     """Hexadecimal digits stay hexadecimal ones, in the letters' case."""
     low = text.islower() or text.isdigit()
@@ -156,16 +200,20 @@ def secret(text: str, key: bytes) -> str:
     return new if low else new.upper()
 
 
+# What keys of services start with.
+TOKEN_LEAD = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-(?:[a-z]+-)*|xox[abprs]-")
 # What a value of each kind looks like, in the order in which they are tried at a place.
 FORMS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "email": (r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
+    "token": (r"(?<![0-9A-Za-z_-])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|sk-[0-9A-Za-z_-]{20,200}|xox[abprs]-[0-9A-Za-z-]{10,200})(?![0-9A-Za-z_-])", token),
     "secret": (r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])", secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", iban),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ip),
-    "date": (r"(?<![\w/.-])(?:\d{4}(?P<m1>[-/.])\d{2}(?P=m1)\d{2}|\d{2}(?P<m2>[-/.])\d{2}(?P=m2)\d{4})(?![\w/-])", date),
+    "ip6": (r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])", ip6),
+    "date": (r"(?<![\w/.-])(?:\d{4}(?P<m1>[-/.])\d{1,2}(?P=m1)\d{1,2}|\d{1,2}(?P<m2>[-/.])\d{1,2}(?P=m2)\d{4})(?![\w/-])", date),
     "ssn": (r"(?<![\w-])\d{3}(?P<m3>[- ])\d{2}(?P=m3)\d{4}(?![\w-])", ssn),
     "card": (r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)", card),
-    "phone": (r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\w)", phone),
+    "phone": (r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|(?<![/-])[2-9]\d{2}[2-9]\d{6}(?![/-]))(?!\w)", phone),
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{form})" for kind, (form, _) in FORMS.items()))
 ONE = {kind: re.compile(form) for kind, (form, _) in FORMS.items()}
@@ -173,7 +221,7 @@ ONE = {kind: re.compile(form) for kind, (form, _) in FORMS.items()}
 ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|(?:6\d|5[06-8])\d{11,17}")
 #: Where a value of a form with groups can end before the longest match does.
 EDGE = {"iban": re.compile(" "), "card": re.compile("[ -]"), "phone": re.compile(r"(?<=[\d)])[ .-]")}
-SIGN = re.compile(r"[0-9@]")
+SIGN = re.compile(r"[0-9@]|" + TOKEN_LEAD.pattern)
 
 
 def valid(match: re.Match, key: bytes, in_other: bool = False) -> tuple[str, int, str] | None:

@@ -45,7 +45,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(read(spark, sf_dir, "documents"))
+    key = spark.conf.get(pii.KEY_SETTING, None)
+    return pii.pseudonyms(read(spark, sf_dir, "documents"), key=key.encode() if key else pii.DEFAULT_KEY)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
