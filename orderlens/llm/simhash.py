@@ -1,15 +1,20 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
 A fingerprint is eight bytes. Two that differ in at most three bits differ in at most three bytes, so they share
-at least five of eight (position, byte) pairs: five is the guaranteed minimum of matches. A posting list per single
-byte would hold a 256th of all rows, so postings are keyed by three positions together: of any five positions, three
-lie in one half (0-3 or 4-7), so the eight triples within halves miss no pair. Within a list shared bytes are tallied
-per pair, pairs below five matches are dropped and the rest verified bit by bit. Lists longer than ``long_list``
-(counted first) are cut by two more of the remaining positions, which a pair of five matches shares as well; such a
-list has at most 2^24 members, and above ``all_pairs`` members it is searched by flipping up to three of its open
-bits, in time proportional to its length. A list gives a spanning star per local component, never its pairs.
+at least five of eight (position, byte) pairs: five is the guaranteed minimum of matches. Members of a posting list for each
+(position, byte) are paired, shared bytes are tallied per pair over all lists, pairs below five are dropped and the rest verified bit by bit.
+
+A posting list per single byte over all rows would hold a 256th of them, so the index is cut into blocks first: of any five positions, three
+lie in one half (0-3 or 4-7), so a pair that reaches the minimum shares three positional bytes of one half and meets in one of the eight
+blocks that are keyed by these (a prefix filter, which misses no pair). Within a block the index is the one above. Blocks longer than
+``long_list`` (counted first) are cut by two more of the remaining positions, which a pair of five matches shares as well. There the minimum is
+reached by all, and at most 2^24 fingerprints are possible; above ``all_pairs`` members they are searched by flipping up to three of the open
+bits, in time proportional to their number. A block gives a spanning star per local component, never its pairs.
 
 Rows of one fingerprint meet before the index, so copies cost nothing there.
+
+Defined results: a null or empty text has fingerprint zero and is linked like any other; null ids: see near_components(); ties of ids don't
+matter, as the smallest names a component; other columns are ignored, and kept by drop_near_copies().
 """
 
 from __future__ import annotations
@@ -60,53 +65,83 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(*names, whole(text_col).alias("text")).mapInArrow(run, "id long, mark long, check int, fp long")
 
 
-def linked(members: np.ndarray, all_pairs: int) -> np.ndarray:
-    """For each of the sorted distinct fingerprints the index of its local component's first member."""
-    n = len(members)
+def pairs_within(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (earlier, later) of all pairs of equal values in a sorted array."""
+    start = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.empty(0, np.int64)
+    rank = np.arange(len(groups)) - np.repeat(start, np.diff(np.append(start, len(groups))))
+    later = np.repeat(np.arange(len(groups)), rank)
+    return later - 1 - (np.arange(len(later)) - np.repeat(np.cumsum(rank) - rank, rank)), later
+
+
+def near_pairs(values: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one block that share MATCHES positional bytes, by postings and a tally, and differ in BITS bits at most. Values come by block."""
+    n, starts = len(values), np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    number = np.cumsum(np.append(0, (block[1:] != block[:-1]).astype(np.int64)))
+    common = np.zeros(len(starts), np.int64)
+    seen = []
+    for position in range(8):
+        byte = ((values >> np.uint64(8 * position)) & np.uint64(255)).astype(np.int64)
+        # A byte that a whole block has counts for each of its pairs without a posting.
+        everywhere = np.minimum.reduceat(byte, starts) == np.maximum.reduceat(byte, starts)
+        common += everywhere
+        posted = np.flatnonzero(~everywhere[number])
+        posted = posted[np.argsort(number[posted] * 256 + byte[posted], kind="stable")]
+        earlier, later = pairs_within(number[posted] * 256 + byte[posted])
+        seen.append(posted[earlier] * n + posted[later])
+    pair, tally = np.unique(np.concatenate(seen), return_counts=True)
+    enough = tally + common[number[pair // n]] >= MATCHES
+    reached = np.flatnonzero((common >= MATCHES)[number])
+    earlier, later = pairs_within(number[reached])
+    a, b = np.concatenate([pair[enough] // n, reached[earlier]]), np.concatenate([pair[enough] % n, reached[later]])
+    near = np.bitwise_count(values[a] ^ values[b]) <= BITS
+    return a[near], b[near]
+
+
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that links reach from it."""
     label = np.arange(n)
-    if n <= all_pairs:
-        differing = members[:, None] ^ members[None, :]
-        tally = np.zeros((n, n), np.uint8)
-        for i in range(8):
-            tally += ((differing >> np.uint64(8 * i)) & np.uint64(255)) == 0
-        near = (tally >= MATCHES) & (np.bitwise_count(differing) <= BITS)
-        while True:
-            lower = np.where(near, label[None, :], n).min(axis=1)
-            lower = lower[lower]
-            if (lower == label).all():
-                return label
-            label = lower
-    fixed = members[0] ^ members
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+    return label
+
+
+def by_flipping(members: np.ndarray) -> np.ndarray:
+    """For each of the sorted distinct fingerprints the place of its component's first member."""
+    n, fixed = len(members), members[0] ^ members
     open_bits = [i for i in range(64) if int(np.bitwise_or.reduce(fixed)) >> i & 1]
-    flips = [np.uint64(sum(1 << b for b in c)) for k in range(1, BITS + 1) for c in combinations(open_bits, k)]
-    while True:
-        before = label.copy()
-        for flip in flips:
-            other = members ^ flip
+    us, vs = [], []
+    for k in range(1, BITS + 1):
+        for bits in combinations(open_bits, k):
+            other = members ^ np.uint64(sum(1 << b for b in bits))
             at = np.minimum(np.searchsorted(members, other), n - 1)
-            hit = members[at] == other
-            np.minimum.at(label, np.flatnonzero(hit), label[at[hit]])
-        label = label[label]
-        if (label == before).all():
-            return label
+            hit = np.flatnonzero((members[at] == other) & (at > np.arange(n)))
+            us.append(hit), vs.append(at[hit])
+    return components(n, np.concatenate(us), np.concatenate(vs))
+
 
+def link_lists(batches: Iterator[pa.RecordBatch], all_pairs: int, at_once: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    def stars_of(members: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        off = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (members[off], members[label[off]])], ["u", "v"])
 
-def link_lists(batches: Iterator[pa.RecordBatch], all_pairs: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("fps")
-        values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        us, vs = [], []
-        for start, end in zip(offsets[:-1], offsets[1:]):
-            if end - start == 2:
-                a, b = values[start:end]
-                if np.bitwise_count(a ^ b) <= BITS:
-                    us.append(a), vs.append(b)
-                continue
-            members = np.sort(values[start:end])
-            label = linked(members, all_pairs)
-            off = np.flatnonzero(label != np.arange(len(label)))
-            us.extend(members[off]), vs.extend(members[label[off]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)], ["u", "v"])
+        values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(offsets)
+        for i in np.flatnonzero(sizes > all_pairs):
+            members = np.sort(values[offsets[i] : offsets[i + 1]])
+            yield stars_of(members, by_flipping(members))
+        # As many blocks at once as have so many pairs together.
+        short = np.flatnonzero(sizes <= all_pairs)
+        for part in np.split(short, np.flatnonzero(np.diff(np.cumsum(sizes[short] ** 2) // at_once)) + 1):
+            if len(part):
+                block = np.repeat(part, sizes[part])
+                members = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in part])
+                order = np.lexsort((members, block))
+                yield stars_of(members[order], components(len(order), *near_pairs(members[order], block)))
 
 
 def byte_at(position: int):

@@ -128,7 +128,22 @@ def test_simhash_long_lists_by_flipping():
     rng = np.random.default_rng(1)
     members = np.unique(np.uint64(0xABCDEF0123 << 24) + rng.integers(0, 1 << 24, 300).astype(np.uint64))
     members = np.unique(np.concatenate([members, members ^ np.uint64(7), members ^ np.uint64(1 << 20)]))
-    assert (simhash.linked(members, 10) == simhash.linked(members, 10_000)).all()
+    tallied = simhash.components(len(members), *simhash.near_pairs(members, np.zeros(len(members), np.int64)))
+    assert (simhash.by_flipping(members) == tallied).all() and len(set(tallied)) < len(members)
+
+
+def test_simhash_tally_against_all_pairs():
+    """Pairs of several blocks at once: those within three bits that are in one block, none else."""
+    rng = random.Random(9)
+    values, block = [], []
+    for k in range(40):
+        base = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 60)):
+            values.append(base ^ sum(1 << b for b in rng.sample(range(rng.choice([8, 64])), rng.randrange(0, 5))))
+            block.append(k)
+    a, b = simhash.near_pairs(np.array(values, np.uint64), np.array(block))
+    want = {(i, j) for j in range(len(values)) for i in range(j) if block[i] == block[j] and (values[i] ^ values[j]).bit_count() <= 3}
+    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} == want and len(want) > 500
 
 
 def test_simhash_blocks():
