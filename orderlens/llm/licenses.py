@@ -1,14 +1,17 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment decides.
 
 Templates are cut into words. Of every ``WINNOW`` neighbouring k-grams the one with the smallest hash goes into the inverted
-index (gram to template and place), so any stretch of k + WINNOW - 1 words copied from a template holds an indexed gram. A
-document's grams are looked up in the index; hits of one template whose diagonals lie within the band form a candidate, and
-alignment within the band around it counts the template's words that occur in order, and where they start and end.
+index (gram to template and place), so any stretch of k + WINNOW - 1 words copied from a template holds an indexed gram (of templates shorter
+than that each gram is indexed). A document's grams are looked up in the index; hits of one template whose diagonals lie within the band
+of one another form a group, long templates need two hits, and alignment within the band around all of the group's diagonals counts the
+template's words that occur in order, and where they start and end. Words that a match has are taken out and the rest of the group is aligned again,
+so each repeat of a notice is found.
 
 Templates are a constant of the program (or a parameter), so the index is bounded and goes to each task with the code. No shuffle.
 
-Defined results: a null or empty text has no licenses; overlapping candidates of one template give their best; repeated rows
-repeat their result; an empty table gives an empty result.
+Defined results: a null or empty text has no licenses; of overlapping matches the one of most words counts, then that of the best coverage, then the
+first name; a null id stays null; repeated rows repeat their result; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,33 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole
+from .license_texts import TEMPLATES
 
-# Notices and opening clauses of public licenses.
-TEMPLATES = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    ),
-}
-GRAM, WINNOW, BAND = 3, 2, 8
+GRAM, WINNOW, BAND = 3, 4, 8
+#: Diagonals of one group are at most so far apart, and templates of at least so many words need two hits.
+SPREAD, LONG = 32, 20
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -85,60 +66,100 @@ class TemplateIndex:
         hits = np.flatnonzero(np.isin(grams, self.indexed))
         if not len(hits):
             return []
-        diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
+        diagonals: dict[int, set[int]] = defaultdict(set)
         for at in hits:
             for t, place in self.places[int(grams[at])]:
-                diagonals[t, (int(at) - place) // BAND].append(int(at) - place)
+                diagonals[t].add((int(at) - place, int(at)))
         spans, out = None, []
-        for (t, _), found in sorted(diagonals.items()):
-            matched, first, last = align(self.words[t], numbers, found[len(found) // 2], BAND)
-            coverage = matched / len(self.words[t])
-            if coverage >= least:
-                if spans is None:
-                    low = text.lower()
-                    spans = [m.span() for m in WORD.finditer(text if len(low) != len(text) else low)]
-                    spans = spans if len(spans) == len(words) else [m.span() for m in WORD.finditer(low)]
-                out.append((self.names[t][0], coverage, spans[first][0], spans[last][1]))
-        return best_spans(out)
+        for t, found in sorted(diagonals.items()):
+            words_of = self.words[t]
+            for group in grouped(sorted(found)):
+                if len(words_of) >= LONG and len(group) < 2:
+                    continue
+                low, high = group[0][0] - BAND, group[-1][0] + BAND
+                start = max(0, low)
+                part = numbers[start : high + len(words_of)].copy()
+                while True:
+                    matched, first, last, _ = align(words_of, part, low - start, high - start)
+                    coverage = matched / len(words_of)
+                    if coverage < least:
+                        break
+                    part[first : last + 1] = -1
+                    if spans is None:
+                        spans = [m.span() for m in WORD.finditer(text)]
+                        if len(spans) != len(words):
+                            spans = [m.span() for m in WORD.finditer(text.lower())]
+                    out.append((self.names[t][0], coverage, spans[start + first][0], spans[start + last][1], matched))
+        return [m[:4] for m in best_spans(out)]
+
+
+def grouped(found: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Sorted (diagonal, place) pairs, cut where diagonals are more than the band apart or the group would spread too far."""
+    group: list[tuple[int, int]] = []
+    for pair in found:
+        if group and (pair[0] - group[-1][0] > BAND or pair[0] - group[0][0] > SPREAD):
+            yield group
+            group = []
+        group.append(pair)
+    if group:
+        yield group
 
 
 def winnow(grams: np.ndarray) -> list[tuple[int, int]]:
-    """The gram with the smallest hash of every WINNOW neighbours, the last of equal ones."""
+    """The gram with the smallest hash of every WINNOW neighbours, the last of equal ones; all of them where there are few."""
     hashes = [zlib.crc32(int(g).to_bytes(8, "little", signed=True)) for g in grams]
-    chosen = {min(range(i, min(i + WINNOW, len(hashes))), key=lambda j: (hashes[j], -j)) for i in range(max(1, len(hashes) - WINNOW + 1))} if hashes else set()
+    if len(hashes) < 3 * WINNOW:
+        return [(int(g), i) for i, g in enumerate(grams)]
+    chosen = {min(range(i, i + WINNOW), key=lambda j: (hashes[j], -j)) for i in range(len(hashes) - WINNOW + 1)}
     return [(int(grams[i]), i) for i in sorted(chosen)]
 
 
-def align(template: np.ndarray, numbers: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Words matched in order within the band around a diagonal, with a small charge for words skipped between, and the first and last place matched."""
-    width = 2 * band + 1
-    best = (0.0, 0, 0, 0)
-    row: list[tuple[float, int, int, int]] = [(0.0, 0, -1, -1)] * width
+def align(template: np.ndarray, numbers: np.ndarray, low: int, high: int) -> tuple[int, int, int, float]:
+    """Words matched in order between two diagonals, with a small charge for words skipped between, the first and last place matched, and the score.
+
+    A row of the table is computed at once: along it a charge for each skipped word makes the best score a running maximum.
+    """
+    width, charge = high - low + 1, 0.3
+    steps = charge * np.arange(width)
+    score, count = np.zeros(width), np.zeros(width, np.int64)
+    first, last = np.full(width, -1), np.full(width, -1)
+    best, n = (0.0, 0, 0, 0), len(numbers)
+    padded = np.full(len(template) + width, -2, np.int64)
+    begin, end = max(0, low), min(n, low + len(padded))
+    if begin >= end:
+        return 0, 0, 0, 0.0
+    padded[begin - low : end - low] = numbers[begin:end]
     for i, word in enumerate(template):
-        new: list[tuple[float, int, int, int]] = []
-        for j in range(width):
-            at = i + diagonal + j - band
-            score, count, first, last = row[j]
-            if 0 <= at < len(numbers) and numbers[at] == word:
-                cell = (score + 1.0, count + 1, at if first < 0 else first, at)
-            else:
-                cell = (score - 0.3, count, first, last)
-            if j + 1 < width and row[j + 1][0] - 0.3 > cell[0]:
-                cell = (row[j + 1][0] - 0.3, *row[j + 1][1:])
-            if j and new[j - 1][0] - 0.3 > cell[0]:
-                cell = (new[j - 1][0] - 0.3, *new[j - 1][1:])
-            if cell[0] <= 0:
-                cell = (0.0, 0, -1, -1)
-            new.append(cell)
-            best = max(best, cell, key=lambda c: (c[0], -c[3]))
-        row = new
-    return best[1], best[2], best[3]
-
-
-def best_spans(found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
-    """Of overlapping matches the longest, then the one with the best coverage."""
-    out: list[tuple[str, float, int, int]] = []
-    for match in sorted(set(found), key=lambda m: (m[2] - m[3], -m[1], m[0])):
+        hit = padded[i : i + width] == word
+        at = i + low + np.arange(width)
+        started = np.where(first < 0, at, first)
+        new = np.where(hit, score + 1.0, score - charge)
+        new_count, new_first, new_last = count + hit, np.where(hit, started, first), np.where(hit, at, last)
+        # A template word left out: the cell to the right of the row before.
+        up = np.append(score[1:], -np.inf) - charge
+        take = up > new
+        shift = lambda x: np.append(x[1:], x[-1])
+        new, new_count, new_first, new_last = np.where(take, up, new), np.where(take, shift(count), new_count), np.where(take, shift(first), new_first), np.where(take, shift(last), new_last)
+        # Words of the document left out: from the best cell to the left, less a charge for each.
+        ahead = new + steps
+        peak = np.maximum.accumulate(ahead)
+        source = np.maximum.accumulate(np.where(ahead >= peak, np.arange(width), 0))
+        better = peak - steps > new
+        pick = np.where(better, source, np.arange(width))
+        new, new_count, new_first, new_last = np.where(better, peak - steps, new), new_count[pick], new_first[pick], new_last[pick]
+        dead = new <= 0
+        score, count = np.where(dead, 0.0, new), np.where(dead, 0, new_count)
+        first, last = np.where(dead, -1, new_first), np.where(dead, -1, new_last)
+        top = int(np.argmax(score))
+        if score[top] > best[0] + 1e-9:
+            best = (float(score[top]), int(count[top]), int(first[top]), int(last[top]))
+    return best[1], best[2], best[3], best[0]
+
+
+def best_spans(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """Of overlapping matches the one of most words, then of the best coverage, then of the first name."""
+    out: list[tuple[str, float, int, int, int]] = []
+    for match in sorted(set(found), key=lambda m: (-m[4], -m[1], m[0], m[2])):
         if all(match[3] <= o[2] or o[3] <= match[2] for o in out):
             out.append(match)
     return sorted(out, key=lambda m: m[2])

@@ -214,3 +214,66 @@ def test_licenses(spark):
     span = got[1]["spans"][0]
     assert 0.9 < span["coverage"] < 1 and texts[1][span["first"] : span["last"]].startswith("Permission") and texts[1][span["first"] : span["last"]].endswith("conditions")
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+def brute_align(template, words):
+    """The best local alignment over all diagonals: one for a word in common, a charge of 0.3 for a word left out of either text or put for another."""
+    best, before = (0.0, 0), [(0.0, 0)] * (len(words) + 1)
+    for t in template:
+        row = [(0.0, 0)]
+        for j, w in enumerate(words):
+            cell = (before[j][0] + 1, before[j][1] + 1) if t == w else (before[j][0] - 0.3, before[j][1])
+            cell = max(cell, (before[j + 1][0] - 0.3, before[j + 1][1]), (row[j][0] - 0.3, row[j][1]), key=lambda c: c[0])
+            row.append(cell if cell[0] > 0 else (0.0, 0))
+            best = max(best, row[-1], key=lambda c: c[0])
+        before = row
+    return best
+
+
+def test_licenses_against_brute_force(spark):
+    """Notices with random edits: found in nine of ten at least where the best alignment covers 0.8 of the template, with its coverage, and nothing else."""
+    rng = random.Random(11)
+    names = [(n, t) for n, texts in licenses.TEMPLATES.items() for t in texts if 8 < len(t.split()) < 70 and n in ("MIT", "Apache-2.0", "GPL-3.0", "ISC", "MPL-2.0", "EPL-2.0")]
+    texts, planted = [], []
+    for _ in range(80):
+        name, text = rng.choice(names)
+        words = text.split()
+        for _ in range(rng.randrange(0, 1 + len(words) // 5)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choice([[], ["foo"], ["bar", "baz"]])
+        around = [rng.choice(["of", "the", "software", "and", "in", "x"]) for _ in range(30)]
+        texts.append(" ".join([*around[:15], *words, *around[15:]]))
+        planted.append((name, text))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    cut = lambda t: licenses.WORD.findall(t.lower())
+    there = found = 0
+    for i, (name, text) in enumerate(planted):
+        best = max(brute_align(cut(t), cut(texts[i]))[1] / len(cut(t)) for t in licenses.TEMPLATES[name])
+        if best >= 0.8:
+            there += 1
+            hit = [s for s in got[i]["spans"] if s["license"] == name]
+            found += bool(hit)
+        else:
+            assert name not in got[i]["license"].split(",")
+    assert there > 40 and found >= 0.9 * there, (there, found)
+
+
+def test_alignment_against_brute_force():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(200):
+        template = [rng.randrange(1, 9) for _ in range(rng.randrange(3, 20))]
+        words = [rng.randrange(0, 9) for _ in range(rng.randrange(0, 30))]
+        *_, score = licenses.align(np.array(template), np.array(words, np.int64), -len(template), len(words))
+        assert score == pytest.approx(brute_align(template, words)[0]), (template, words)
+
+
+def test_license_lines_one_after_another(spark):
+    line = "Released under the MIT License."
+    texts = [" ".join([line] * n) for n in (1, 2, 3, 5, 40)] + ["Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", licenses.TEMPLATES["BSD-3-Clause"][1], licenses.TEMPLATES["BSD-2-Clause"][0], licenses.TEMPLATES["LGPL-3.0"][2]]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert [got[i]["n_matches"] for i in range(5)] == [1, 2, 3, 5, 40]
+    assert [got[i]["license"] for i in range(5, 10)] == ["CC-BY-4.0", "CC-BY-NC-4.0", "BSD-3-Clause", "BSD-2-Clause", "LGPL-3.0"]
+    nulls = spark.createDataFrame([(None, line, 1), (None, line, 1), (3, None, 2)], "doc_id long, text string, spans int")
+    assert sorted((str(r["doc_id"]), r["license"]) for r in licenses.scan_licenses(nulls).collect()) == [("3", ""), ("None", "MIT"), ("None", "MIT")]
