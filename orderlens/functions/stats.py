@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import lagged, running_totals
+
 
 def mean(x: Column) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
@@ -20,6 +22,28 @@ def percentile(x: Column, p: float) -> Column:
     return F.coalesce(F.percentile(x, F.lit(p)), F.lit(0.0))
 
 
+def percentiles(df: DataFrame, keys: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
+    """keys with a column for each name and p, linear between neighbours at p (n-1); 0 where a group has no values.
+
+    Values are counted first, the counts summed up over ranges of values that are counted as well, and only the two neighbours of each rank are
+    picked: no task holds a group's values, however many are distinct.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_totals(counts, keys, ["_v"], {"_upto": F.col("_c")})
+    groups = df.groupBy(*keys).agg(F.count(x).alias("_n"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(p * (F.col("_n") - 1)).cast("long").alias("low"), (p * (F.col("_n") - 1)).alias("at")) for name, p in wanted.items()])
+    asked = groups.withColumn("_r", F.explode(ranks)).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_r.name").alias("_name"), F.col("_r.low").alias("_low"), F.col("_r.at").alias("_at"), "_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = upto.join(asked, same) if keys else upto.join(F.broadcast(asked))  # without keys: one row for each name
+    below, above = F.least("_low", F.col("_n") - 1), F.least(F.col("_low") + 1, F.col("_n") - 1)
+    has = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
+    picked = joined.where(has(below) | has(above)).groupBy(*keys, "_name").agg(F.max(F.when(has(below), F.col("_v"))).alias("_a"), F.max(F.when(has(above), F.col("_v"))).alias("_b"), F.first("_at").alias("_at"), F.first("_low").alias("_low"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.col("_low"))
+    wide = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, value)).alias(name) for name in wanted])
+    out = groups.select(*keys).join(wide.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *wanted), same, "left") if keys else wide
+    return out.select(*keys, *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in wanted])
+
+
 def skewness(x: Column) -> Column:
     """The third moment in units of the sample deviation."""
     n, v = F.count(x), F.var_samp(x)
@@ -40,22 +64,21 @@ def correlation(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.when(scale > 0, scale)), F.lit(0.0))
 
 
-def autocorrelations(df: DataFrame, keys: list[str], order: list[str], x: str, lags: list[int], prefix: str) -> DataFrame:
+def autocorrelations(df: DataFrame, keys: list[str], order: list[str], x: str, lags: list[int], prefix: str, width: float | None = None) -> DataFrame:
     """keys with one column for each lag: mean and denominator over the whole series; 0 where it isn't longer than the lag."""
-    series = Window.partitionBy(*keys)
-    ordered = series.orderBy(*order)
-    d = df.where(F.col(x).isNotNull()).withColumn("_d", F.col(x) - F.avg(x).over(series))
-    shifted = d.select(*keys, "_d", *[F.lag("_d", k).over(ordered).alias(f"_d{k}") for k in lags])
+    rows = df.where(F.col(x).isNotNull())
+    means = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.avg(x).alias("_mean"))
+    centred = rows.join(means, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).select(*keys, *[c for c in order if c not in keys], (F.col(x) - F.col("_mean")).alias("_d"))
+    shifted = lagged(centred, keys, order, {f"_d{k}": ("_d", k) for k in lags}, width)
     below = F.sum(F.col("_d") * F.col("_d"))
     return shifted.groupBy(*keys).agg(*[F.coalesce(F.try_divide(F.sum(F.col("_d") * F.col(f"_d{k}")), F.when(below > 0, below)), F.lit(0.0)).alias(f"{prefix}{k}") for k in lags])
 
 
-def log_returns(df: DataFrame, keys: list[str], order: list[str], price: str, out: str = "r") -> DataFrame:
+def log_returns(df: DataFrame, keys: list[str], order: list[str], price: str, out: str = "r", width: float | None = None) -> DataFrame:
     """Rows with a positive price and one before it in the same series, with the log return; rows that aren't positive break the pair."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.lag(price).over(w)
-    r = F.when((F.col(price) > 0) & (before > 0), F.log(price) - F.log(before))
-    return df.withColumn(out, r).where(F.col(out).isNotNull())
+    df = lagged(df, keys, order, {"_before": (price, 1)}, width)
+    r = F.when((F.col(price) > 0) & (F.col("_before") > 0), F.log(price) - F.log("_before"))
+    return df.withColumn(out, r).where(F.col(out).isNotNull()).drop("_before")
 
 
 #: Name, default weight and scale floor of each moment, and where it comes from.
@@ -73,19 +96,20 @@ MOMENTS = {
 
 def market_moments(samples: DataFrame, keys: list[str], order: list[str], interval_s: float) -> DataFrame:
     """The moments of sampled market states (mid, spread, bid_depth, ask_depth, volume) of each series, one row for each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
     steps = max(1, round(10 / interval_s))
-    df = samples.withColumn("_before", F.lag("mid").over(w)).withColumn("r", F.when((F.col("mid") > 0) & (F.col("_before") > 0), F.log("mid") - F.log("_before")))
-    df = df.withColumn("_ar", F.abs("r")).withColumn("_step", F.col("mid") - F.col("_before")).withColumn("_far", F.col("mid") - F.lag("mid", steps).over(w))
+    df = lagged(samples, keys, order, {"_before": ("mid", 1), "_earlier": ("mid", steps)})
+    df = df.withColumn("r", F.when((F.col("mid") > 0) & (F.col("_before") > 0), F.log("mid") - F.log("_before")))
+    df = df.withColumn("_ar", F.abs("r")).withColumn("_step", F.col("mid") - F.col("_before")).withColumn("_far", F.col("mid") - F.col("_earlier"))
     still = F.coalesce(F.avg(F.when(F.col("_step").isNotNull(), F.when(F.abs("_step") < 1e-12, 1.0).otherwise(0.0))), F.lit(0.0))
     r = F.col("r")
     out = df.groupBy(*keys).agg(
         mean(r).alias("return_mean"), variance(r).alias("return_variance"), skewness(r).alias("return_skewness"), kurtosis(r).alias("return_kurtosis"),
-        mean(F.col("spread")).alias("mean_spread"), percentile(F.col("spread"), 0.9).alias("spread_p90"), percentile(F.col("spread"), 0.95).alias("spread_p95"),
+        mean(F.col("spread")).alias("mean_spread"),
         correlation(F.col("volume").cast("double"), F.col("_ar")).alias("volume_volatility_corr"), variance(F.col("_far")).alias("price_diffusion_10s"),
         mean(F.col("bid_depth")).alias("mean_best_bid_depth"), mean(F.col("ask_depth")).alias("mean_best_ask_depth"),
         still.alias("zero_mid_change_ratio"), (1 - still).alias("mid_move_rate"),
     )
+    out = out.join(percentiles(df, keys, "spread", {"spread_p90": 0.9, "spread_p95": 0.95}), keys)
     first = autocorrelations(df, keys, order, "r", [1], "return_acf_lag")
     later = autocorrelations(df, keys, order, "_ar", [1, 2, 5, 10, 25, 50, 100], "abs_return_acf_lag")
     return out.join(first, keys, "left").join(later, keys, "left").fillna(0.0)

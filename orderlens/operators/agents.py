@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import market, rng
+from ..functions.windows import last_known, running_totals
 
 #: Share and wake rate (per second) of each kind of agent.
 RATES = {"market_maker": 50.0, "momentum": 0.20, "informed": 0.05, "institutional": 0.01}
@@ -42,8 +43,8 @@ def fundamental_path(grid: DataFrame, keys: list[str], step: str, start: float,
     sigma = bps / 1e4
     base = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
     z = rng.normal01(rng.uniform01(rng.draw(base, 2 * F.col(step))), rng.uniform01(rng.draw(base, 2 * F.col(step) + 1)))
-    w = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    return grid.withColumn("_z", sigma * z - sigma * sigma / 2).withColumn("fundamental", start * F.exp(F.sum("_z").over(w))).drop("_z")
+    path = running_totals(grid.withColumn("_z", sigma * z - sigma * sigma / 2), keys, [step], {"_sum": F.col("_z")})
+    return path.withColumn("fundamental", start * F.exp("_sum")).drop("_z", "_sum")
 
 
 def basket_premium(states: DataFrame, weights: DataFrame, keys: list[str], basket: int = 0) -> DataFrame:
@@ -60,8 +61,7 @@ def with_hysteresis(df: DataFrame, keys: list[str], order: list[str], premium: s
     """-1 from a premium above the trigger on, 1 from one below its negative on, 0 once its size is under the release; else as before."""
     x = F.col(premium)
     change = F.when(x > trigger, -1).when(x < -trigger, 1).when(F.abs(x) < release, 0)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.coalesce(F.last(change, ignorenulls=True).over(w), F.lit(0)))
+    return last_known(df, keys, order, change, out).withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def passive_quotes(states: DataFrame, keep: list[str], tick: int, quantity: int, min_spread: int = 2, levels: int = 1) -> DataFrame:

@@ -7,8 +7,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 LIMIT, MARKET, CANCEL_OWNER, CANCEL_AT = 0, 1, 2, 3
 # The opening book, price to quantity.
@@ -64,6 +67,12 @@ class Book:
             "last_trade": self.last_trade, "mid": (bid + ask) / 2 if bid and ask else 0.0, "bought": self.bought, "sold": self.sold,
         }
 
+    def touched(self, action: int, side: int) -> int:
+        """The best price that an order of this kind can take away: the other side's for a market order, its own side's for a cancel at a distance, else none."""
+        if action == MARKET:
+            return (self.asks if side > 0 else self.bids).best()
+        return (self.bids if side > 0 else self.asks).best() if action == CANCEL_AT else 0
+
     def sweep(self, side: int, quantity: int, owner: int, sequence: int, time: int, limit: int | None) -> int:
         """Match an aggressor against the other side, best price first and oldest order first."""
         other, left = (self.asks if side > 0 else self.bids), quantity
@@ -136,68 +145,98 @@ class Book:
 
 
 STATE = "best_bid long, best_ask long, bid_depth long, ask_depth long, last_trade long, mid double, bought long, sold long"
-ORDER_KEY = ["arrival_ns", "priority", "tie_breaker", "source_rank", "sequence"]
 TRADE_SCHEMA = "book_id long, time_ns long, trade_sequence long, price long, quantity long, buyer long, seller long, buyer_sequence long, seller_sequence long, aggressor_side int"
+DONE_SCHEMA = f"book_id long, sequence long, arrival_ns long, owner long, agent_kind int, action int, side int, requested long, executed long, resting long, cancelled long, best_removed boolean, {STATE}"
+INSTITUTIONAL = 4
 
 
-def priority(action):
-    """Cancels of an owner come before limits, these before markets, these before cancels at a distance."""
+def action_priority(action):
+    """Of orders pending at one time, cancels of an owner come before limits, these before markets, these before cancels at a distance."""
     return F.when(action == CANCEL_OWNER, 0).when(action == LIMIT, 1).when(action == MARKET, 2).otherwise(3)
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Rows of one book after another; a book may span batches."""
-    for batch in batches:
-        for book_id, rows in batch.groupby("book_id", sort=False):
-            yield int(book_id), rows
-
-
-def _kernel(orders: DataFrame, schema: str, emit, seeded: bool, depth_scale: float) -> DataFrame:
-    """Run books over their orders in priority order, streaming: a task holds one book and one batch, never all orders of a book."""
-    columns = ["book_id", "arrival_ns", "action", "side", "quantity", "price", "distance", "owner", "sequence"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, book = None, None
-        for book_id, rows in _runs(batches):
-            if book_id != current:
-                current, book = book_id, Book(seeded=seeded, depth_scale=depth_scale)
-            yield emit(book_id, book, rows)
-
-    ordered = orders.withColumn("priority", priority(F.col("action"))).repartition("book_id").sortWithinPartitions("book_id", *ORDER_KEY)
-    return ordered.select(*[F.col(c).cast("long").alias(c) for c in columns]).mapInPandas(run, schema)
-
-
-def _applied(book: Book, rows: pd.DataFrame):
-    return zip(*(rows[c].to_numpy().tolist() for c in ("action", "side", "quantity", "price", "distance", "owner", "sequence", "arrival_ns")))
+def in_order(rows: list[tuple]) -> list[tuple]:
+    """Orders (generated, owner, action, sequence, tie, rank, ...) of one arrival time in the order in which they apply.
+
+    What an owner generated at one time stays together, its cancel of all before the rest, then by sequence; such batches and orders of no owner
+    follow each other by their smallest tie-breaker, then source rank and sequence. Unlike a comparison by pairs, this has no cycles.
+    """
+    if len(rows) < 2:
+        return rows
+    batches: dict[tuple, list[tuple]] = {}
+    for r in rows:
+        batches.setdefault((r[1], r[0]) if r[1] > 0 else (0, r[3], r[4], r[5]), []).append(r)
+    for batch in batches.values():
+        batch.sort(key=lambda r: (r[2] != CANCEL_OWNER, r[3], r[4], r[5]))
+    first = sorted(batches.values(), key=lambda b: min((r[4], r[5], r[3]) for r in b))
+    return [r for batch in first for r in batch]
+
+
+def run_books(orders: DataFrame, seeded: bool = True, depth_scale: float = 1.0) -> DataFrame:
+    """One pass over all books: a row for each order (what it did, the top of the book after it), with its trades.
+
+    Orders need book_id, arrival_ns, action, side, quantity, price, distance, owner and sequence; generated_ns, tie_breaker, source_rank and
+    agent_kind count where they are there. Rows stream: a task holds one book, one batch and the orders of one arrival time.
+    """
+    optional = {"generated_ns": F.col("arrival_ns"), "tie_breaker": F.col("sequence"), "source_rank": F.lit(0), "agent_kind": F.lit(0)}
+    columns = ["book_id", "arrival_ns", "generated_ns", "owner", "action", "sequence", "tie_breaker", "source_rank", "agent_kind", "side", "quantity", "price", "distance"]
+    names = [c.split()[0] for c in DONE_SCHEMA.split(", ")]
+    trade = [c.split() for c in TRADE_SCHEMA.split(", ")[1:]]
+    schema = f"{DONE_SCHEMA}, trades array<struct<{', '.join(f'{n}: {k}' for n, k in trade)}>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, book, instant, waiting = None, None, None, []
+        out: list[tuple] = []
+        told: list[list[dict]] = []
+
+        def settle() -> None:
+            for _, owner, action, sequence, _, _, kind, side, quantity, price, distance in in_order(waiting):
+                before = book.touched(action, side)
+                done = book.apply(action, side, quantity, price, distance, owner, sequence, instant)
+                removed = before > 0 and book.touched(action, side) != before and (action == CANCEL_AT or done[0] > 0)
+                told.append([dict(zip((n for n, _ in trade), t)) for t in book.trades])
+                book.trades.clear()
+                out.append((current, sequence, instant, owner, kind, action, side, quantity, *done, removed, *book.state().values()))
+            waiting.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)] + [pa.array(told, pa.list_(pa.struct([(n, pa.int32() if k == "int" else pa.int64()) for n, k in trade])))], [*names, "trades"])
+            out.clear(), told.clear()
+            return table.cast(wanted)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if row[0] != current or row[1] != instant:
+                    settle()
+                    if row[0] != current:
+                        current, book = row[0], Book(seeded=seeded, depth_scale=depth_scale)
+                    instant = row[1]
+                waiting.append(row[2:])
+            if out:
+                yield batch_of()
+        settle()
+        if out:
+            yield batch_of()
+
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
+    given = [F.coalesce(F.col(c), optional[c]) if c in optional and c in orders.columns else optional.get(c, F.col(c)) for c in columns]
+    ordered = orders.select(*[g.cast("long").alias(c) for g, c in zip(given, columns)]).repartition("book_id").sortWithinPartitions("book_id", "arrival_ns")
+    return ordered.mapInArrow(run, schema)
 
 
 def match_orders(orders: DataFrame, seeded: bool = True, depth_scale: float = 1.0) -> DataFrame:
     """Each order with what it did and the top of the book after it."""
-    schema = f"book_id long, sequence long, arrival_ns long, executed long, resting long, cancelled long, {STATE}"
+    return run_books(orders, seeded, depth_scale).drop("trades")
 
-    def emit(book_id: int, book: Book, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for order in _applied(book, rows):
-            done = book.apply(*order)
-            out.append({"book_id": book_id, "sequence": order[6], "arrival_ns": order[7], "executed": done[0], "resting": done[1], "cancelled": done[2]} | book.state())
-            book.trades.clear()
-        return pd.DataFrame(out)
 
-    return _kernel(orders, schema, emit, seeded, depth_scale)
+def trades_of(done: DataFrame) -> DataFrame:
+    """The trades of orders that run_books() applied."""
+    return done.select("book_id", F.explode("trades").alias("t")).select("book_id", "t.*")
 
 
 def match_trades(orders: DataFrame, seeded: bool = True, depth_scale: float = 1.0) -> DataFrame:
     """The trades of all books."""
-
-    def emit(book_id: int, book: Book, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for order in _applied(book, rows):
-            book.apply(*order)
-            out += [(book_id, *t) for t in book.trades]
-            book.trades.clear()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TRADE_SCHEMA.split(", ")])
-
-    return _kernel(orders, TRADE_SCHEMA, emit, seeded, depth_scale)
+    return trades_of(run_books(orders, seeded, depth_scale))
 
 
 def reports(trades: DataFrame) -> DataFrame:
@@ -206,6 +245,20 @@ def reports(trades: DataFrame) -> DataFrame:
     return trades.select("book_id", "time_ns", legs.alias("leg"), F.col("quantity").alias("fill_quantity"), F.col("price").alias("fill_price")).where("leg.owner > 0 and fill_quantity > 0").select("book_id", "time_ns", "leg.*", "fill_quantity", "fill_price")
 
 
+def routed_reports(done: DataFrame) -> DataFrame:
+    """All reports of orders that run_books() applied: fills of both owners, and the result of each institutional order; columns that a kind lacks are null."""
+    fills = reports(trades_of(done)).withColumn("kind", F.lit("FILL"))
+    results = done.where((F.col("owner") > 0) & (F.col("agent_kind") == INSTITUTIONAL)).select("book_id", F.col("arrival_ns").alias("time_ns"), "owner", "sequence", "side", F.lit("ORDER_RESULT").alias("kind"), "action", "requested", "executed", "resting", "cancelled")
+    return fills.unionByName(results, allowMissingColumns=True)
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Rows of one book after another; a book may span batches."""
+    for batch in batches:
+        for book_id, rows in batch.groupby("book_id", sort=False):
+            yield int(book_id), rows
+
+
 def tape_hash(trades: DataFrame) -> DataFrame:
     """For each book the FNV-1a hash of its tape, in the order of its trades, and how many there are."""
     columns = [c.split()[0] for c in TRADE_SCHEMA.split(", ")]

@@ -8,49 +8,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import market
+from ..functions.windows import carried, extreme_of, last_known, row_numbers, running_totals, total_of
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, payload: list[str], lookback: int = 0, tolerance: int | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, payload: list[str], lookback: int = 0, tolerance: int | None = None, width: int | None = None) -> DataFrame:
     """left with the payload of the last right row of its key at or before time - lookback; null if there is none, or if it is older than the tolerance.
 
-    One shuffle by key: both sides are united and the last right row is carried forward; equal times see the right row.
+    Both sides are united and the last right row is carried forward, over slices of time, so a hot key isn't one task; equal times see the right row.
     Of right rows with one time, the one with the largest payload counts.
     """
     carried = F.struct(F.col(time).alias("_at"), *[F.col(c) for c in payload])
     asked = left.withColumn("_t", F.col(time) - lookback).withColumn("_side", F.lit(1)).withColumn("_given", F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType))
     given = right.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), carried.alias("_given"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_given").rowsBetween(Window.unboundedPreceding, 0)
-    both = asked.unionByName(given, allowMissingColumns=True).withColumn("_found", F.last("_given", ignorenulls=True).over(w)).where("_side = 1")
+    both = last_known(asked.unionByName(given, allowMissingColumns=True), keys, ["_t", "_side", "_given"], F.col("_given"), "_found", width).where("_side = 1")
     if tolerance is not None:
         both = both.withColumn("_found", F.when(F.col("_t") - F.col("_found._at") <= tolerance, F.col("_found")))
     return both.select(*left.columns, *[F.col(f"_found.{c}").alias(f"asof_{c}") for c in payload])
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, width: int | None = None) -> DataFrame:
     """The last value that isn't null, up to and including the row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    return last_known(df, keys, order, value, out, width)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, how=F.sum) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, how(value).over(w))
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, minima: dict[str, Column] | None = None, width: int | None = None) -> DataFrame:
+    """Sums, maxima and minima up to and including the row, by name. width: of the slices of the order's first column, if known."""
+    values = {n: total_of(v) for n, v in (sums or {}).items()} | {n: extreme_of(v, True) for n, v in (maxima or {}).items()} | {n: extreme_of(v, False) for n, v in (minima or {}).items()}
+    return carried(df, keys, order, values, width)
 
 
 def trailing(df: DataFrame, keys: list[str], time: str, span: int, value: Column, out: str) -> DataFrame:
-    """The sum over the span of time that ends at the row."""
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-span, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+    """The sum over the span of time that ends at the row: the window of a bin of one span and of the one before it, so a hot key is spread over its bins."""
+    rows = df.withColumn("_bin", F.floor(F.col(time) / span).cast("long")).withColumn("_x", value).withColumn("_own", F.lit(True))
+    # Of the bin before, what the window needs: a row for each time.
+    guests = rows.groupBy(*keys, time, "_bin").agg(F.sum("_x").alias("_x")).withColumn("_bin", F.col("_bin") + 1)
+    w = Window.partitionBy(*keys, "_bin").orderBy(time).rangeBetween(-span, 0)
+    both = rows.unionByName(guests, allowMissingColumns=True).withColumn(out, F.sum("_x").over(w))
+    return both.where("_own").drop("_bin", "_x", "_own")
 
 
-def merge_flows(flows: list[DataFrame], keys: list[str], order: list[str], out: str = "position") -> DataFrame:
+def merge_flows(flows: list[DataFrame], keys: list[str], order: list[str], out: str = "position", width: int | None = None) -> DataFrame:
     """Several flows as one, numbered within each key; of rows with equal order the earlier flow's come first."""
     both = None
     for i, flow in enumerate(flows):
         flow = flow.withColumn("flow", F.lit(i))
         both = flow if both is None else both.unionByName(flow)
     first, *rest = order
-    return both.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(first, "flow", *rest)))
+    return row_numbers(both, keys, [first, "flow", *rest], out, width)
 
 
 def grid(df: DataFrame, keys: list[str], time: str, step: int, end: int) -> DataFrame:
@@ -67,7 +71,7 @@ def union_of_clocks(spark, steps: list[int], end: int) -> DataFrame:
     return ticks.groupBy("boundary").agg(F.count(F.lit(1)).alias("clocks"))
 
 
-def fifo_match(takers: DataFrame, makers: DataFrame, keys: list[str], taker_order: list[str], maker_order: list[str], quantity: str, lots: int = 64) -> DataFrame:
+def fifo_match(takers: DataFrame, makers: DataFrame, keys: list[str], taker_order: list[str], maker_order: list[str], quantity: str, lots: int = 64, width: int | None = None) -> DataFrame:
     """Fills (taker, maker, quantity) of takers that sweep makers in order, without cancels between: the overlaps of running quantities.
 
     Both sides are cut at multiples of a lot of running quantity, so the join has the lot as an equality besides the key and a
@@ -75,9 +79,8 @@ def fifo_match(takers: DataFrame, makers: DataFrame, keys: list[str], taker_orde
     """
 
     def spans(df: DataFrame, order: list[str], name: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        high = F.sum(quantity).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        df = df.select(*keys, F.row_number().over(w).alias(name), (high - F.col(quantity)).cast("long").alias(f"{name}_low"), high.cast("long").alias(f"{name}_high"))
+        df = running_totals(df, keys, order, {"_high": F.col(quantity), name: F.lit(1)}, width)
+        df = df.select(*keys, name, (F.col("_high") - F.col(quantity)).cast("long").alias(f"{name}_low"), F.col("_high").cast("long").alias(f"{name}_high"))
         last = F.floor((F.col(f"{name}_high") - 1) / lot).cast("long")
         return df.where(F.col(f"{name}_high") > F.col(f"{name}_low")).withColumn("lot", F.explode(F.sequence(F.floor(F.col(f"{name}_low") / lot).cast("long"), last)))
 
@@ -143,15 +146,26 @@ def hedge_routes(books: DataFrame, book: str, weight: str, basket: int = 0) -> D
 
 
 def intensity(events: DataFrame, at: DataFrame, keys: list[str], time: str, alpha: float, beta: float, mu: float, cutoff: float = 1e-6) -> DataFrame:
-    """Intensity mu + sum of alpha exp(-beta (t - s)) over earlier events s; terms below the cutoff are left out, so the join is over neighbouring time bins only."""
+    """Intensity mu + sum of alpha exp(-beta (t - s)) over earlier events s, at each distinct time t; terms below the cutoff are left out.
+
+    Decay sums are differences of running sums: in a bin of the time that a term lasts, with the events of the bin before it, events weigh
+    exp(beta (s - the bin's start)), and a time t takes what lies between t less the bin's length and t. So the work is linear in the rows, and bursts cost no pairs.
+    """
     reach = math.log(1 / cutoff) / beta
     bin_of = lambda c: F.floor(c / reach).cast("long")
-    asked = at.select(*keys, F.col(time).alias("_t")).distinct().withColumn("_bin", F.explode(F.array(bin_of(F.col("_t")), bin_of(F.col("_t")) - 1)))
-    given = events.select(*keys, F.col(time).alias("_s")).withColumn("_bin", bin_of(F.col("_s")))
-    near = (F.col("_s") < F.col("_t")) & (F.col("_t") - F.col("_s") <= reach)
-    summed = asked.join(given, [*keys, "_bin"]).where(near).groupBy(*keys, "_t").agg(F.sum(alpha * F.exp(-beta * (F.col("_t") - F.col("_s")))).alias("_x"))
-    base = at.select(*keys, F.col(time).alias("_t")).distinct()
-    return base.join(summed, [*keys, "_t"], "left").select(*keys, F.col("_t").alias(time), (mu + F.coalesce("_x", F.lit(0.0))).alias("intensity"))
+    place = lambda b, pos, rank, n: F.struct(b.cast("long").alias("bin"), pos.cast("double").alias("pos"), F.lit(rank).alias("rank"), n.cast("long").alias("n"))
+    t, none = F.col("_t"), F.lit(0)
+    given = events.groupBy(*keys, F.col(time).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    given = given.select(*keys, F.lit(None).cast("double").alias("_t"), F.explode(F.array(place(bin_of(t), t, 2, F.col("_n")), place(bin_of(t) + 1, t, 2, F.col("_n")))).alias("p"))
+    # Both stand before events of their time: what a time sees, and what is too old for it.
+    asked = at.select(*keys, F.col(time).cast("double").alias("_t")).distinct()
+    asked = asked.select(*keys, "_t", F.explode(F.array(place(bin_of(t), t, 1, none), place(bin_of(t), t - reach, 0, none))).alias("p"))
+    both = given.unionByName(asked).select(*keys, "_t", "p.*")
+    weight = F.col("n") * F.exp(beta * (F.col("pos") - F.col("bin") * reach))
+    upto = F.sum(weight).over(Window.partitionBy(*keys, "bin").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, 0))
+    seen = both.withColumn("_upto", upto).where("rank < 2").groupBy(*keys, "bin", "_t").agg(F.max(F.when(F.col("rank") == 1, F.col("_upto"))).alias("_new"), F.max(F.when(F.col("rank") == 0, F.col("_upto"))).alias("_old"))
+    value = mu + alpha * (F.col("_new") - F.col("_old")) * F.exp(-beta * (F.col("_t") - F.col("bin") * reach))
+    return seen.select(*keys, F.col("_t").alias(time), value.alias("intensity"))
 
 
 def seeded_top(df: DataFrame, key: Column, id_col: str, k: int) -> DataFrame:
@@ -159,11 +173,10 @@ def seeded_top(df: DataFrame, key: Column, id_col: str, k: int) -> DataFrame:
     return df.withColumn("_key", key).orderBy("_key", id_col).limit(k).drop("_key")
 
 
-def slices(df: DataFrame, keys: list[str], order: list[str], wanted: Column, parent: int, out: str = "executed") -> DataFrame:
+def slices(df: DataFrame, keys: list[str], order: list[str], wanted: Column, parent: int, out: str = "executed", width: int | None = None) -> DataFrame:
     """What each wanted slice gets while a parent quantity lasts."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.coalesce(F.sum(wanted).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn(out, market.clamp(parent - before, 0, wanted))
+    rows = running_totals(df.withColumn("_wanted", wanted), keys, order, {"_upto": F.col("_wanted")}, width)
+    return rows.withColumn(out, market.clamp(parent - F.col("_upto") + F.col("_wanted"), 0, F.col("_wanted"))).drop("_wanted", "_upto")
 
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Generated flow: a mutually exciting point process, its orders, whole-market runs, shocks and calibration.
+"""Whole-market runs of several books: makers, value traders, hedges and shocks over background flow; moments, calibration and contagion.
 
-A run (all its books) is one row of a table and one kernel call, so runs, candidates and repeats spread over the cluster; windows and
-feedback between agents stay inside the call.
+Books that aren't coupled are units of work of their own; with hedges a run (all its books) is one. Runs, candidates and repeats spread over
+the cluster; feedback between agents stays inside the call.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from heapq import merge
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,62 +20,8 @@ from ..functions import stats
 from ..functions.rng import MASK, MIX_1, Stream
 from . import flow
 from .book import CANCEL_AT, CANCEL_OWNER, LIMIT, MARKET, TICK, Book
-
-
-@dataclass
-class HawkesConfig:
-    """Six event types; alpha[i][j] is what an event j adds to intensity i."""
-
-    mu: tuple = (18.0, 18.0, 3.5, 3.5, 28.0, 28.0)
-    beta: float = 10.0
-    own: float = 0.20
-    limit_to_market: float = 0.04
-    limit_to_cancel: float = 0.10
-    scale: float = 1.0
-
-    def alpha(self) -> list[list[float]]:
-        out = [[self.own if i == j else 0.0 for j in range(6)] for i in range(6)]
-        for side in (0, 1):
-            out[2 + side][side] = self.limit_to_market
-            out[4 + side][side] = self.limit_to_cancel
-        return out
-
-
-def hawkes(config: HawkesConfig, seed: int, end_s: float) -> Iterator[tuple[int, int]]:
-    """(time in ns, type) by thinning: excitation decays between candidates, so its value at the last candidate bounds the next."""
-    rng, alpha, now, excited = Stream(seed), config.alpha(), 0.0, [0.0] * 6
-    base = [config.scale * m for m in config.mu]
-    while True:
-        bound = sum(max(0.0, b + e) for b, e in zip(base, excited))
-        if bound <= 1e-12:
-            return
-        wait = -math.log(rng.uniform()) / bound
-        now += wait
-        if now >= end_s:
-            return
-        fade = math.exp(-max(1e-6, config.beta) * wait)
-        excited = [e * fade for e in excited]
-        rates = [max(0.0, b + e) for b, e in zip(base, excited)]
-        if rng.uniform() * bound > sum(rates):
-            continue
-        left, kind = rng.uniform() * sum(rates), 0
-        while kind < 5 and left > rates[kind]:
-            left -= rates[kind]
-            kind += 1
-        yield math.floor(now * 1e9 + 0.5), kind
-        excited = [e + max(0.0, alpha[i][kind]) for i, e in enumerate(excited)]
-
-
-def hawkes_events(runs: DataFrame, config: HawkesConfig, end_s: float) -> DataFrame:
-    """Events of each row (run_id, book_id, seed)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                found = list(hawkes(config, int(row.seed), end_s))
-                yield pd.DataFrame({"run_id": row.run_id, "book_id": row.book_id, "sequence": range(1, len(found) + 1), "time_ns": [t for t, _ in found], "type": [k for _, k in found]})
-
-    return runs.select("run_id", "book_id", "seed").mapInPandas(run, "run_id long, book_id long, sequence long, time_ns long, type int")
+from .hawkes import HawkesConfig, clusters, hawkes_events
+from .windowed import background_order
 
 
 @dataclass
@@ -96,108 +44,119 @@ class MarketConfig:
     maker_levels: int = 1
     shock_s: float | None = None
     shock_multiple: float = 0.0
+    shock_quantity: int | None = None
     shocked: tuple = ()
+    value_step_bps: float = 1.0
+    value_base: int = 50
+    value_most: int = 250
+    value_capacity: int = 5000
+    hedge_threshold: float = 400.0
+    hedge_share: float = 0.5
     improve: float = 0.05
+    improve_from: int = 2
     quantities: tuple = ((25, 200), (25, 200), (25, 700), (25, 700), (25, 500), (25, 500))
-    distance: tuple = (0, 5)
+    distances: tuple = ((0, 5), (0, 5), (0, 5), (0, 5))
     hawkes: HawkesConfig = field(default_factory=HawkesConfig)
 
 
 MAKER, VALUE, SHOCK = 1_000_001, 2_000_001, 3_000_001
-SAMPLE_SCHEMA = "run_id long, book_id long, time_ns long, best_bid long, best_ask long, bid_depth long, ask_depth long, last_trade long, mid double, spread double, volume long, n_limit_buy long, n_limit_sell long, n_market_buy long, n_market_sell long, n_cancel_bid long, n_cancel_ask long, maker_inventory long, shock_filled long, shock_by_maker long"
-
-
-def background_order(kind: int, state: dict, rng: Stream, config: MarketConfig) -> tuple[int, int, int, int, int]:
-    """Action, side, quantity, price and distance of an event: a limit stands some ticks from its own best, sometimes one tick better where the spread has room."""
-    side = 1 if kind % 2 == 0 else -1
-    quantity = rng.integer(*config.quantities[kind])
-    if kind in (2, 3):
-        return MARKET, side, quantity, 0, 0
-    distance = rng.integer(*config.distance)
-    if kind in (4, 5):
-        return CANCEL_AT, side, quantity, 0, distance
-    best, other = (state["best_bid"], state["best_ask"]) if side > 0 else (state["best_ask"], state["best_bid"])
-    price = best - side * distance * config.tick if best else round(state["mid"]) - side * config.tick
-    if state["best_bid"] and state["best_ask"] - state["best_bid"] >= 2 * config.tick and rng.uniform() < config.improve:
-        price = best + side * config.tick if (other - best) * side > config.tick else other - side * config.tick
-    return LIMIT, side, quantity, price, distance
-
-
-def simulate(run_id: int, seed: int, config: MarketConfig) -> Iterator[tuple]:
-    """Samples of all books of a run, in time order. Clocks and background events are merged by time; at one time clocks come first, then books in order."""
-    end = round(config.seconds * 1e9)
-    books = [Book(config.tick, depth_scale=config.depth_scale) for _ in range(config.books)]
-    rngs = [Stream((seed * MIX_1 + 7919 * b + 1) & MASK) for b in range(config.books)]
-    flows = [hawkes(config.hawkes, (seed + 911382323 * (b + 1)) & MASK, config.seconds) for b in range(config.books)]
-    fair, position, counts, seen = [config.fundamental] * config.books, [0] * config.books, [[0] * 6 for _ in books], [[0, 0] for _ in books]
-    due: list[tuple] = [(t, 0, -1, -1) for t in range(0, end + 1, config.sample_ms * 1_000_000)]
-    due += [(t, 1, -1, -1) for t in range(config.quote_ms * 1_000_000, end, config.quote_ms * 1_000_000)] if config.makers or config.value_traders else []
-    due += [(round(config.shock_s * 1e9), 2, -1, -1)] if config.shock_s is not None else []
-    due += [(t, 3, b, kind) for b, events in enumerate(flows) for t, kind in events]
+SAMPLE_SCHEMA = "run_id long, book_id long, time_ns long, best_bid long, best_ask long, bid_depth long, ask_depth long, last_trade long, mid double, spread double, volume long, n_limit_buy long, n_limit_sell long, n_market_buy long, n_market_sell long, n_cancel_bid long, n_cancel_ask long, market_best_removals long, cancel_best_removals long, maker_inventory long, shock_filled long, shock_by_maker long"
+
+
+def simulate(run_id: int, seed: int, config: MarketConfig, which: range | None = None) -> Iterator[tuple]:
+    """Samples of a run's books (all, or those in a range), in time order. Clocks and background events are merged by time; at one time clocks come first, then books in order."""
+    end, members = round(config.seconds * 1e9), which or range(config.books)
+    books = {b: Book(config.tick, depth_scale=config.depth_scale) for b in members}
+    rngs = {b: Stream((seed * MIX_1 + 7919 * b + 1) & MASK) for b in members}
+    fair, position, counts = dict.fromkeys(members, config.fundamental), dict.fromkeys(members, 0), {b: [0] * 6 for b in members}
+    removed, shocked = {b: [0, 0] for b in members}, {b: [0, 0] for b in members}
+    held = dict.fromkeys(members, 0)
+    clock = lambda what, start, step, stop: ((t, what, -1, -1) for t in range(start, stop, step))
+    flows = ((t, 3, b, k) for b in members for t, k in zip(*(x.tolist() for x in clusters(config.hawkes, seed + 911382323 * (b + 1), config.seconds))))
+    quote = config.quote_ms * 1_000_000
+    clocks = [clock(0, 0, config.sample_ms * 1_000_000, end + 1), clock(1, quote, quote, end) if config.makers or config.value_traders else (), [(round(config.shock_s * 1e9), 2, -1, -1)] if config.shock_s is not None else ()]
     sequence = 0
 
     def send(b: int, action: int, side: int, quantity: int, price: int, distance: int, owner: int, time: int) -> int:
         nonlocal sequence
         sequence += 1
+        before = books[b].touched(action, side)
         done = books[b].apply(action, side, quantity, price, distance, owner, sequence, time)[0]
+        if owner == 0 and before and books[b].touched(action, side) != before and (action == CANCEL_AT or done):
+            removed[b][action == CANCEL_AT] += 1
         for t in books[b].trades:
             position[b] += t[3] * ((t[4] == MAKER + b) - (t[5] == MAKER + b))
+            held[b] += t[3] * ((t[4] == VALUE + b) - (t[5] == VALUE + b))
             if SHOCK + b in (t[4], t[5]):
-                seen[b][0] += t[3]
-                seen[b][1] += t[3] * (MAKER + b in (t[4], t[5]))
+                shocked[b][0] += t[3]
+                shocked[b][1] += t[3] * (MAKER + b in (t[4], t[5]))
         books[b].trades.clear()
         return done
 
-    for time, what, book, kind in sorted(due):
+    def quotes(b: int, time: int) -> None:
+        send(b, CANCEL_OWNER, 1, 0, 0, 0, MAKER + b, time)
+        state, tick = books[b].state(), config.tick
+        skew = max(-3, min(3, round(0.25 * position[b] / max(1, config.maker_quantity)))) * tick
+        low = int(((state["mid"] or state["last_trade"] or fair[b]) - skew) // tick)
+        bid, ask = (low - 1) * tick, (low + 1) * tick
+        bid = min(bid, state["best_ask"] - tick) if state["best_ask"] else bid
+        ask = max(ask, state["best_bid"] + tick) if state["best_bid"] else ask
+        for level in range(config.maker_levels):
+            send(b, LIMIT, 1, config.maker_quantity, bid - level * tick, 0, MAKER + b, time)
+            send(b, LIMIT, -1, config.maker_quantity, ask + level * tick, 0, MAKER + b, time)
+
+    def value(b: int, time: int) -> None:
+        """Steps of a base quantity for each step of mispricing over the threshold, as far as the capacity left allows."""
+        mid = books[b].state()["mid"]
+        excess = abs(1e4 * (mid / fair[b] - 1)) - config.value_threshold_bps if mid else 0
+        if excess > 0:
+            side = -1 if mid > fair[b] else 1
+            size = min(config.value_most, config.value_base * (1 + int(excess // config.value_step_bps)), config.value_capacity - side * held[b])
+            if size > 0:
+                send(b, MARKET, side, size, 0, 0, VALUE + b, time)
+
+    for time, what, book, kind in merge(*clocks, sorted(flows)):
         if what == 3:
             counts[book][kind] += 1
             send(book, *background_order(kind, books[book].state(), rngs[book], config), 0, time)
             continue
-        for b, each in enumerate(books):
-            state = each.state()
+        for b, each in books.items():
             if what == 0:
-                yield (run_id, b, time, state["best_bid"], state["best_ask"], state["bid_depth"], state["ask_depth"], state["last_trade"], state["mid"], float(state["best_ask"] - state["best_bid"]) if state["mid"] else 0.0, each.bought + each.sold, *counts[b], position[b], *seen[b])
+                s = each.state()
+                yield (run_id, b, time, s["best_bid"], s["best_ask"], s["bid_depth"], s["ask_depth"], s["last_trade"], s["mid"], float(s["best_ask"] - s["best_bid"]) if s["mid"] else 0.0, each.bought + each.sold, *counts[b], *removed[b], position[b], *shocked[b])
             elif what == 2 and b in config.shocked:
-                send(b, MARKET, -1, max(1, round(config.shock_multiple * state["bid_depth"])), 0, 0, SHOCK + b, time)
+                send(b, MARKET, -1, config.shock_quantity or max(1, round(config.shock_multiple * each.state()["bid_depth"])), 0, 0, SHOCK + b, time)
             elif what == 1:
                 sigma = config.fundamental_bps / 1e4 * math.sqrt(config.quote_ms / 1000)
                 fair[b] *= math.exp(sigma * rngs[b].normal() - sigma * sigma / 2)
                 if config.makers:
-                    send(b, CANCEL_OWNER, 1, 0, 0, 0, MAKER + b, time)
-                    state = each.state()
-                    skew = max(-3, min(3, round(0.25 * position[b] / max(1, config.maker_quantity)))) * config.tick
-                    centre = state["mid"] or state["last_trade"] or fair[b]
-                    bid, ask = (int((centre - skew) // config.tick) - 1) * config.tick, (int((centre - skew) // config.tick) + 1) * config.tick
-                    bid = min(bid, state["best_ask"] - config.tick) if state["best_ask"] else bid
-                    ask = max(ask, state["best_bid"] + config.tick) if state["best_bid"] else ask
-                    for level in range(config.maker_levels):
-                        send(b, LIMIT, 1, config.maker_quantity, bid - level * config.tick, 0, MAKER + b, time)
-                        send(b, LIMIT, -1, config.maker_quantity, ask + level * config.tick, 0, MAKER + b, time)
-                if config.value_traders and state["mid"]:
-                    bps = 1e4 * (state["mid"] / fair[b] - 1)
-                    if abs(bps) > config.value_threshold_bps:
-                        send(b, MARKET, -1 if bps > 0 else 1, 50 * min(5, 1 + int((abs(bps) - config.value_threshold_bps) // 1)), 0, 0, VALUE + b, time)
-        if what == 1 and config.hedging and config.books > 1 and abs(sum(position)) > 4 * config.maker_quantity:
-            excess = sum(position)
-            send(0, MARKET, -1 if excess > 0 else 1, abs(excess) // 2, 0, 0, MAKER, time)
-
-
-def run_markets(runs: DataFrame, config: MarketConfig, varied: tuple[str, ...] = ()) -> DataFrame:
+                    quotes(b, time)
+                if config.value_traders:
+                    value(b, time)
+        excess = sum(position.values())
+        if what == 1 and config.hedging and len(books) > 1 and abs(excess) > config.hedge_threshold:
+            send(0, MARKET, -1 if excess > 0 else 1, int(abs(excess) * config.hedge_share), 0, 0, MAKER, time)
+
+
+def run_markets(runs: DataFrame, config: MarketConfig, varied: tuple[str, ...] = (), chunk: int = 5000) -> DataFrame:
     """Samples of each run (run_id, seed, and a column for each varied field of the configuration or of its point process)."""
     columns = [c.split()[0] for c in SAMPLE_SCHEMA.split(", ")]
-    plain = asdict(config)
-    plain.pop("hawkes")
+    process = set(asdict(config.hawkes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                own = {k: row[k] for k in varied}
-                process = HawkesConfig(**(asdict(config.hawkes) | {k: v for k, v in own.items() if k in HawkesConfig.__dataclass_fields__}))
-                market = MarketConfig(**(plain | {k: v for k, v in own.items() if k in plain}), hawkes=process)
-                yield pd.DataFrame(list(simulate(int(row["run_id"]), int(row["seed"]), market)), columns=columns)
+                inner, outer = ({k: row[k] for k in varied if (k in process) == yes} for yes in (True, False))
+                market = replace(config, hawkes=replace(config.hawkes, **inner), **outer)
+                first, n = int(row["first_book"]), int(row["n_books"])
+                samples = simulate(int(row["run_id"]), int(row["seed"]), market, range(first, first + n))
+                while part := list(islice(samples, chunk)):
+                    yield pd.DataFrame(part, columns=columns)
 
-    # A run is a unit of work: each goes to a partition of its own, as far as there are partitions.
-    return runs.select("run_id", "seed", *varied).repartition("run_id").mapInPandas(run, SAMPLE_SCHEMA)
+    # A run is a unit of work, or each of its books where no hedge couples them: each goes to a partition of its own, as far as there are partitions.
+    apart = F.sequence(F.lit(0), F.lit(config.books - 1)) if not config.hedging else F.array(F.lit(0))
+    units = runs.select("run_id", "seed", *varied, F.explode(apart).alias("first_book"), F.lit(1 if not config.hedging else config.books).alias("n_books"))
+    return units.repartition("run_id", "first_book").mapInPandas(run, SAMPLE_SCHEMA)
 
 
 def with_volume(samples: DataFrame) -> DataFrame:
@@ -211,8 +170,10 @@ def run_moments(samples: DataFrame, config: MarketConfig) -> DataFrame:
     wide = stats.market_moments(with_volume(samples), keys, ["time_ns"], config.sample_ms / 1000)
     seconds = max(1e-9, config.seconds)
     n = {k: F.max(f"n_{k}") / seconds for k in ("limit_buy", "limit_sell", "market_buy", "market_sell", "cancel_bid", "cancel_ask")}
+    rate = lambda top, a, b: F.coalesce(F.try_divide(F.max(top).cast("double"), (F.max(a) + F.max(b)).cast("double")), F.lit(0.0))
     rates = samples.groupBy(*keys).agg(
         *[v.alias(f"{k}_rate") for k, v in n.items()],
+        rate("market_best_removals", "n_market_buy", "n_market_sell").alias("market_order_best_removal_rate"), rate("cancel_best_removals", "n_cancel_bid", "n_cancel_ask").alias("cancel_best_removal_rate"),
         (n["limit_buy"] + n["limit_sell"]).alias("limit_order_rate"), (n["market_buy"] + n["market_sell"]).alias("market_order_rate"), (n["cancel_bid"] + n["cancel_ask"]).alias("cancel_rate"),
     )
     wide = wide.join(rates, keys)
@@ -243,3 +204,6 @@ def shock_metrics(samples: DataFrame, shocked: tuple) -> DataFrame:
         F.sum("shock_filled").alias("shock_filled"), F.sum("shock_by_maker").alias("shock_by_maker"),
         flow.fixed_sum(F.abs(F.col("maker_inventory").cast("double"))).alias("maker_exposure"),
     )
+
+
+__all__ = ["HawkesConfig", "MarketConfig", "calibrate", "hawkes_events", "run_markets", "run_moments", "shock_metrics", "simulate", "with_volume"]

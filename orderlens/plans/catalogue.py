@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import market, rng, stats
-from ..operators import agents, book, flow, simulate
+from ..functions.windows import lagged
+from ..operators import agents, book, flow, hawkes, simulate, windowed
 from ..streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,8 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
+#: Width of the slices of time that a book's series is cut into.
+SLICE = 6 * HOUR
 START = 1_704_067_200_000_000
 E = r"WITH e AS (SELECT event_id, user_id AS book_id, epoch_us(ts) AS t_us, event_type, value, CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS k FROM events)"
 
@@ -64,7 +67,7 @@ R = f"{E}, r0 AS (SELECT *, lag(value) OVER {W} AS b FROM e), r AS (SELECT *, ln
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.log_returns(events(spark, sf_dir), BOOK, ORDER, "value")
+    return stats.log_returns(events(spark, sf_dir), BOOK, ORDER, "value", width=SLICE)
 
 
 @query(f"""{R}, m AS (SELECT book_id, count(*) AS n, avg(r) AS a, coalesce(var_samp(r), 0) AS v, quantile_cont(r, 0.9) AS q FROM r GROUP BY book_id),
@@ -79,9 +82,9 @@ def log_return_moments(spark, sf_dir):
 
 @query(f"{E} SELECT event_type, round(avg(value), 6) AS mean_spread, round(quantile_cont(value, 0.9), 9) AS spread_p90, round(quantile_cont(value, 0.95), 9) AS spread_p95 FROM e GROUP BY event_type")
 def spread_percentiles(spark, sf_dir):
-    v = F.col("value")
-    out = events(spark, sf_dir).groupBy("event_type").agg(F.round(stats.mean(v), 6).alias("mean_spread"), stats.percentile(v, 0.9).alias("spread_p90"), stats.percentile(v, 0.95).alias("spread_p95"))
-    return rounded(out)
+    df = events(spark, sf_dir)
+    means = df.groupBy("event_type").agg(F.round(stats.mean(F.col("value")), 6).alias("mean_spread"))
+    return rounded(means.join(stats.percentiles(df, ["event_type"], "value", {"spread_p90": 0.9, "spread_p95": 0.95}), "event_type"))
 
 
 def acf_sql(x: str, lags: list[int], prefix: str) -> str:
@@ -92,7 +95,7 @@ def acf_sql(x: str, lags: list[int], prefix: str) -> str:
 
 @query(acf_sql("r", [1], "return_acf_lag"))
 def acf_returns_lag1(spark, sf_dir):
-    return rounded(stats.autocorrelations(returns(spark, sf_dir), BOOK, ORDER, "r", [1], "return_acf_lag"), 8)
+    return rounded(stats.autocorrelations(returns(spark, sf_dir), BOOK, ORDER, "r", [1], "return_acf_lag", SLICE), 8)
 
 
 LAGS = [1, 2, 5, 10, 25, 50, 100]
@@ -101,7 +104,7 @@ LAGS = [1, 2, 5, 10, 25, 50, 100]
 @query(acf_sql("abs(r)", LAGS, "abs_return_acf_lag"))
 def acf_abs_lags(spark, sf_dir):
     df = returns(spark, sf_dir).withColumn("ar", F.abs("r"))
-    return rounded(stats.autocorrelations(df, BOOK, ORDER, "ar", LAGS, "abs_return_acf_lag"), 8)
+    return rounded(stats.autocorrelations(df, BOOK, ORDER, "ar", LAGS, "abs_return_acf_lag", SLICE), 8)
 
 
 @query(f"{R} SELECT book_id, round(coalesce(covar_pop(k, abs(r)) / nullif(sqrt(var_pop(k) * var_pop(abs(r))), 0), 0), 9) AS volume_volatility_corr FROM r GROUP BY book_id")
@@ -111,15 +114,13 @@ def volume_volatility_corr(spark, sf_dir):
 
 @query(f"{E}, d AS (SELECT book_id, value - lag(value, 10) OVER {W} AS d FROM e) SELECT book_id, round(coalesce(var_samp(d), 0), 5) AS price_diffusion FROM d GROUP BY book_id")
 def price_diffusion_lag10(spark, sf_dir):
-    w = Window.partitionBy(*BOOK).orderBy(*ORDER)
-    df = events(spark, sf_dir).withColumn("d", F.col("value") - F.lag("value", 10).over(w))
+    df = lagged(events(spark, sf_dir), BOOK, ORDER, {"before": ("value", 10)}, SLICE).withColumn("d", F.col("value") - F.col("before"))
     return rounded(df.groupBy("book_id").agg(stats.variance(F.col("d")).alias("price_diffusion")), 5)
 
 
 @query(f"{E}, d AS (SELECT book_id, value - lag(value) OVER {W} AS d FROM e), z AS (SELECT book_id, coalesce(avg(CASE WHEN abs(d) < 1e-12 THEN 1.0 ELSE 0.0 END), 0) AS z FROM d WHERE d IS NOT NULL GROUP BY book_id) SELECT book_id, round(z, 9) AS zero_mid_change_ratio, round(1 - z, 9) AS mid_move_rate FROM z")
 def zero_move_ratio(spark, sf_dir):
-    w = Window.partitionBy(*BOOK).orderBy(*ORDER)
-    df = events(spark, sf_dir).withColumn("d", F.col("value") - F.lag("value").over(w)).where("d is not null")
+    df = lagged(events(spark, sf_dir), BOOK, ORDER, {"before": ("value", 1)}, SLICE).withColumn("d", F.col("value") - F.col("before")).where("d is not null")
     z = df.groupBy("book_id").agg(F.avg(F.when(F.abs("d") < 1e-12, 1.0).otherwise(0.0)).alias("z"))
     return rounded(z.select("book_id", F.col("z").alias("zero_mid_change_ratio"), (1 - F.col("z")).alias("mid_move_rate")))
 
@@ -135,8 +136,7 @@ def event_type_rates(spark, sf_dir):
 m AS (SELECT book_id, count(*) AS n, avg(r) AS m1, avg(r * r) AS m2, avg(r * r * r * r) AS m4, avg(a) AS am, avg(a * a) AS a2, avg(a * b) AS ab FROM l GROUP BY book_id)
 SELECT book_id, n, round(m2 - m1 * m1, 8) AS variance, round(CASE WHEN m2 - m1 * m1 > 2.2e-16 THEN m4 / pow(m2 - m1 * m1, 2) ELSE 0 END, 7) AS kurtosis, round(CASE WHEN a2 - am * am > 2.2e-16 AND ab IS NOT NULL THEN (ab - am * am) / (a2 - am * am) ELSE 0 END, 7) AS abs_acf1 FROM m""")
 def onepass_moments(spark, sf_dir):
-    w = Window.partitionBy(*BOOK).orderBy(*ORDER)
-    df = returns(spark, sf_dir).withColumn("a", F.abs("r")).withColumn("b", F.lag("a").over(w))
+    df = lagged(returns(spark, sf_dir).withColumn("a", F.abs("r")), BOOK, ORDER, {"b": ("a", 1)}, SLICE)
     r, a = F.col("r"), F.col("a")
     m = df.groupBy("book_id").agg(F.count(r).alias("n"), F.avg(r).alias("m1"), F.avg(r * r).alias("m2"), F.avg(r * r * r * r).alias("m4"), F.avg(a).alias("am"), F.avg(a * a).alias("a2"), F.avg(a * F.col("b")).alias("ab"))
     v, av = F.col("m2") - F.col("m1") * F.col("m1"), F.col("a2") - F.col("am") * F.col("am")
@@ -148,13 +148,13 @@ def onepass_moments(spark, sf_dir):
 @query(f"{E} SELECT p.event_id, p.book_id, v.event_id AS past_event_id, v.value AS past_value FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') v ON p.book_id = v.book_id AND p.t_us - {HOUR} >= v.t_us")
 def asof_past_state(spark, sf_dir):
     df = events(spark, sf_dir)
-    out = flow.asof(df.where("event_type = 'purchase'"), df.where("event_type = 'view'"), BOOK, "t_us", ["event_id", "value"], lookback=HOUR)
+    out = flow.asof(df.where("event_type = 'purchase'"), df.where("event_type = 'view'"), BOOK, "t_us", ["event_id", "value"], lookback=HOUR, width=SLICE)
     return out.select("event_id", "book_id", F.col("asof_event_id").alias("past_event_id"), F.col("asof_value").alias("past_value"))
 
 
 @query(f"{E} SELECT event_id, book_id, last_value(CASE WHEN k % 5 <> 0 THEN value END IGNORE NULLS) OVER {UPTO} AS carried FROM e")
 def locf_value(spark, sf_dir):
-    out = flow.carry_forward(events(spark, sf_dir), BOOK, ORDER, F.when(F.col("k") % 5 != 0, F.col("value")), "carried")
+    out = flow.carry_forward(events(spark, sf_dir), BOOK, ORDER, F.when(F.col("k") % 5 != 0, F.col("value")), "carried", SLICE)
     return out.select("event_id", "book_id", "carried")
 
 
@@ -164,15 +164,13 @@ PAST = f"{CUM}, p AS (SELECT c.*, q.value AS past_value, " + ", ".join(f"greates
 
 
 def cumulative(spark, sf_dir) -> DataFrame:
-    df = events(spark, sf_dir)
-    for name, kind in KINDS.items():
-        df = flow.running(df, BOOK, ORDER, F.when(F.col("event_type") == kind, F.col("k")).otherwise(0), name)
-    return df
+    sums = {name: F.when(F.col("event_type") == kind, F.col("k")).otherwise(0) for name, kind in KINDS.items()}
+    return flow.running(events(spark, sf_dir), BOOK, ORDER, sums, width=SLICE)
 
 
 def against_past(spark, sf_dir) -> DataFrame:
     df = cumulative(spark, sf_dir)
-    out = flow.asof(df, df, BOOK, "t_us", ["value", *KINDS], lookback=DAY)
+    out = flow.asof(df, df, BOOK, "t_us", ["value", *KINDS], lookback=DAY, width=SLICE)
     deltas = {f"d_{n}": F.when(F.col(f"asof_{n}").isNotNull(), F.greatest(F.lit(0), F.col(n) - F.col(f"asof_{n}"))) for n in KINDS}
     return out.withColumns(deltas | {"past_value": F.col("asof_value")})
 
@@ -244,7 +242,7 @@ def beta_exposure(spark, sf_dir):
 SELECT a.book_id, count(*) AS fills, CAST(sum(least(a.hi, m.hi) - greatest(a.hi - a.k, m.hi - m.k)) AS BIGINT) AS filled FROM s a JOIN s m ON a.book_id = m.book_id AND a.event_type = 'purchase' AND m.event_type = 'click' AND a.k > 0 AND m.k > 0 AND a.hi - a.k < m.hi AND m.hi - m.k < a.hi GROUP BY a.book_id""")
 def fifo_match_totals(spark, sf_dir):
     df = events(spark, sf_dir)
-    fills = flow.fifo_match(df.where("event_type = 'purchase'"), df.where("event_type = 'click'"), BOOK, ORDER, ORDER, "k")
+    fills = flow.fifo_match(df.where("event_type = 'purchase'"), df.where("event_type = 'click'"), BOOK, ORDER, ORDER, "k", width=SLICE)
     return fills.groupBy("book_id").agg(F.count(F.lit(1)).alias("fills"), F.sum("filled").alias("filled"))
 
 
@@ -279,7 +277,7 @@ def due_future_split(spark, sf_dir):
 SELECT s.book_id, s.t // {DAY // 2} AS step, e.value FROM s ASOF LEFT JOIN e ON s.book_id = e.book_id AND s.t >= e.t_us - {START}""")
 def sample_grid_state(spark, sf_dir):
     df = events(spark, sf_dir).withColumn("t", F.col("t_us") - START)
-    out = flow.asof(flow.grid(df, BOOK, "t", DAY // 2, 30 * DAY), df, BOOK, "t", ["value"])
+    out = flow.asof(flow.grid(df, BOOK, "t", DAY // 2, 30 * DAY), df, BOOK, "t", ["value"], width=SLICE)
     return out.select("book_id", F.floor(F.col("t") / (DAY // 2)).cast("long").alias("step"), F.col("asof_value").alias("value"))
 
 
@@ -345,8 +343,9 @@ def seeded_topk(spark, sf_dir):
 
 @query(f"{E}, b AS (SELECT *, first_value(value) OVER {W} AS v0, first_value(k) OVER {W} AS k0 FROM e) SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 2 * v0 OR k < 0.5 * k0 THEN 1.0 ELSE 0.0 END), 9) AS affected FROM b GROUP BY event_type")
 def affected_assets(spark, sf_dir):
-    w = Window.partitionBy(*BOOK).orderBy(*ORDER)
-    df = events(spark, sf_dir).withColumn("v0", F.first("value").over(w)).withColumn("k0", F.first("k").over(w))
+    df = events(spark, sf_dir)
+    first = df.groupBy("book_id").agg(F.min_by(F.struct(F.col("value").alias("v0"), F.col("k").alias("k0")), F.struct(*ORDER)).alias("f"))
+    df = df.join(first.select("book_id", "f.*"), "book_id")
     hit = (F.col("value") > 2 * F.col("v0")) | (F.col("k") < 0.5 * F.col("k0"))
     return rounded(df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("affected")))
 
@@ -409,14 +408,14 @@ def union_clocks(spark, sf_dir):
 @query(f"{E}, m AS (SELECT *, 0 AS flow FROM e WHERE event_type = 'purchase' UNION ALL SELECT *, 1 FROM e WHERE event_type = 'signup') SELECT event_id, book_id, flow, row_number() OVER (PARTITION BY book_id ORDER BY t_us, flow, event_id) AS position FROM m")
 def merge_two_flows(spark, sf_dir):
     df = events(spark, sf_dir)
-    out = flow.merge_flows([df.where("event_type = 'purchase'"), df.where("event_type = 'signup'")], BOOK, ORDER)
+    out = flow.merge_flows([df.where("event_type = 'purchase'"), df.where("event_type = 'signup'")], BOOK, ORDER, width=SLICE)
     return out.select("event_id", "book_id", "flow", "position")
 
 
 @query(f"{E} SELECT event_id, book_id, max(value) OVER {UPTO} AS peak, min(value) OVER {UPTO} AS low FROM e")
 def running_peak(spark, sf_dir):
-    df = flow.running(events(spark, sf_dir), BOOK, ORDER, F.col("value"), "peak", F.max)
-    return flow.running(df, BOOK, ORDER, F.col("value"), "low", F.min).select("event_id", "book_id", "peak", "low")
+    v = F.col("value")
+    return flow.running(events(spark, sf_dir), BOOK, ORDER, maxima={"peak": v}, minima={"low": v}, width=SLICE).select("event_id", "book_id", "peak", "low")
 
 
 @query(f"{E} SELECT book_id, count(*) AS processed, round(count(*) / nullif((max(t_us) - min(t_us)) / 1e6, 0), 9) AS throughput FROM e GROUP BY book_id")
@@ -429,13 +428,13 @@ def throughput_rollup(spark, sf_dir):
 def peak_pending(spark, sf_dir):
     changes = F.explode(F.array(F.struct(F.col("t_us").alias("t"), F.lit(1).alias("d"), F.lit(0).alias("o")), F.struct((F.col("t_us") + F.col("k") * 60_000_000).alias("t"), F.lit(-1).alias("d"), F.lit(1).alias("o"))))
     df = events(spark, sf_dir).select("book_id", changes.alias("c")).select("book_id", "c.*")
-    w = Window.partitionBy("book_id").orderBy("t", F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("n", F.sum("d").over(w)).groupBy("book_id").agg(F.max("n").alias("peak_pending"))
+    df = flow.running(df.withColumn("o", -F.col("o")), BOOK, ["t", "o"], {"n": F.col("d")}, width=SLICE)
+    return df.groupBy("book_id").agg(F.max("n").alias("peak_pending"))
 
 
 @query(f"{E}, w AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY book_id ORDER BY t_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM e WHERE event_type = 'purchase') SELECT event_id, book_id, CAST(least(greatest(300 - b, 0), k) AS BIGINT) AS executed FROM w")
 def institutional_slices(spark, sf_dir):
-    df = flow.slices(events(spark, sf_dir).where("event_type = 'purchase'"), BOOK, ORDER, F.col("k"), 300)
+    df = flow.slices(events(spark, sf_dir).where("event_type = 'purchase'"), BOOK, ORDER, F.col("k"), 300, width=SLICE)
     return df.select("event_id", "book_id", "executed")
 
 
@@ -519,7 +518,7 @@ def runs(spark: SparkSession, n: int) -> DataFrame:
 
 @query()
 def hawkes_run(spark, sf_dir):
-    return simulate.hawkes_events(runs(spark, 16), simulate.HawkesConfig(), 5.0)
+    return hawkes.hawkes_events(runs(spark, 16), hawkes.HawkesConfig(), 5.0)
 
 
 @query()

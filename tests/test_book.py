@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from orderlens.operators import book, simulate
+from orderlens.operators import book, hawkes, simulate, windowed
 from orderlens.operators.book import CANCEL_AT, CANCEL_OWNER, LIMIT, MARKET, Book
 
 
@@ -93,12 +94,129 @@ def test_reports_have_both_parties(spark):
     assert book.reports(trades).count() == want > 0
 
 
-def test_hawkes_rates():
-    seen = list(simulate.hawkes(simulate.HawkesConfig(), 5, 60.0))
-    assert [t for t, _ in seen] == sorted(t for t, _ in seen) and {k for _, k in seen} == set(range(6))
-    config = simulate.HawkesConfig(own=0.0, limit_to_market=0.0, limit_to_cancel=0.0)
-    assert len(list(simulate.hawkes(config, 5, 100.0))) == pytest.approx(9900, rel=0.04)
-    assert list(simulate.hawkes(simulate.HawkesConfig(mu=(0,) * 6), 5, 10.0)) == []
+def orders_at(*rows):
+    """(generated, owner, action, sequence, tie, rank)"""
+    return [r[3] for r in book.in_order(list(rows))]
+
+
+def test_order_of_one_arrival_time():
+    cancel, limit, other = (5, 1, CANCEL_OWNER, 2, 3, 0), (5, 1, LIMIT, 1, 1, 0), (5, 2, MARKET, 3, 2, 0)
+    for rows in ([cancel, limit, other], [other, limit, cancel], [limit, other, cancel]):
+        assert orders_at(*rows) == [2, 1, 3]
+    # A limit of one owner doesn't overtake another's market order for its kind.
+    assert orders_at((5, 1, LIMIT, 1, 9, 0), (5, 2, MARKET, 2, 4, 0)) == [2, 1]
+    assert orders_at((5, 0, LIMIT, 1, 9, 0), (5, 0, CANCEL_AT, 2, 4, 0), (4, 1, CANCEL_OWNER, 3, 5, 0), (5, 1, LIMIT, 4, 3, 0)) == [4, 2, 3, 1]
+    assert book.in_order([]) == []
+
+
+def test_replays_and_results(spark):
+    """Results are told to institutions alone, fills to all; executed quantities are the trades'."""
+    from pyspark.sql import functions as F
+
+    flow = orders(spark).withColumn("agent_kind", F.when(F.col("owner") == 1, book.INSTITUTIONAL).otherwise(0))
+    done = book.run_books(flow).cache()
+    told = book.routed_reports(done).collect()
+    results = [r for r in told if r["kind"] == "ORDER_RESULT"]
+    assert {r["owner"] for r in results} == {1} and len(results) == flow.where("owner = 1").count()
+    assert sum(r["kind"] == "FILL" for r in told) == book.reports(book.trades_of(done)).count() > 0
+    totals = done.agg(F.sum("executed"), F.sum(F.aggregate("trades", F.lit(0).cast("long"), lambda a, t: a + t["quantity"]))).first()
+    assert totals[0] == totals[1] > 0 and done.where("best_removed and action = 0").count() == 0 and done.where("best_removed").count() > 0
+
+
+def test_clusters_have_the_rates_of_the_process():
+    config = hawkes.HawkesConfig()
+    times, kinds = hawkes.clusters(config, 5, 400.0)
+    assert (times[1:] >= times[:-1]).all() and set(kinds) == set(range(6)) and times[-1] < 400 * hawkes.NANO
+    plain = hawkes.HawkesConfig(own=0.0, limit_to_market=0.0, limit_to_cancel=0.0)
+    assert len(hawkes.clusters(plain, 5, 100.0)[0]) == pytest.approx(9900, rel=0.04)
+    assert len(hawkes.clusters(hawkes.HawkesConfig(mu=(0,) * 6), 5, 10.0)[0]) == 0
+    # Stationary means solve m = mu + alpha m / beta.
+    excited = hawkes.HawkesConfig(own=5.0, limit_to_market=2.0, limit_to_cancel=1.0)
+    want = np.linalg.solve(np.eye(6) - excited.alpha() / excited.beta, np.array(excited.mu))
+    assert np.bincount(hawkes.clusters(excited, 7, 500.0)[1]) / 500 == pytest.approx(want, rel=0.05)
+
+
+def test_arrivals_one_by_one():
+    """The same means as by cluster; multipliers scale them; steps are whole and end at the end."""
+    excited = hawkes.HawkesConfig(own=5.0, limit_to_market=2.0, limit_to_cancel=1.0)
+    seen = list(hawkes.Arrivals(excited, 3).until(150 * hawkes.NANO))
+    assert all(b > a for (a, _), (b, _) in zip(seen, seen[1:])) and seen[-1][0] <= 150 * hawkes.NANO
+    want = np.linalg.solve(np.eye(6) - excited.alpha() / excited.beta, np.array(excited.mu))
+    assert np.bincount([k for _, k in seen]) / 150 == pytest.approx(want, rel=0.1)
+    calm, n = hawkes.Arrivals(hawkes.HawkesConfig(own=0.0, limit_to_market=0.0, limit_to_cancel=0.0), 3), 0
+    while calm.next(100 * hawkes.NANO, (0.5, 0, 0, 0, 0, 0)) is not None:
+        n += 1
+    assert n == pytest.approx(900, rel=0.1)
+    assert hawkes.Arrivals(hawkes.HawkesConfig(), 3).next(hawkes.NANO, (0,) * 6) is None and hawkes.Arrivals(hawkes.HawkesConfig(), 3).next(0) is None
+
+
+SMALL = windowed.WindowedConfig(seconds=3.0, momentum=60, informed=30, institutional=8, momentum_rate=2.0, informed_rate=2.0, institutional_rate=5.0, with_reports=True)
+
+
+def test_windowed_run():
+    rows = list(windowed.play(1, 11, SMALL))
+    assert rows == list(windowed.play(1, 11, SMALL)) and rows != list(windowed.play(1, 12, SMALL))
+    summary, told = rows[-1], [r for r in rows if r["row"] == "report"]
+    assert summary["generated"] == summary["processed_strategic"] + summary["pending_end"] and summary["windows"] == 300
+    fills, results = ([r for r in told if r["report"] == kind] for kind in ("FILL", "ORDER_RESULT"))
+    assert (len(fills), len(results)) == (summary["fill_reports"], summary["order_result_reports"]) and fills and results
+    assert {r["agent_kind"] for r in results} == {book.INSTITUTIONAL} and {r["agent_kind"] for r in fills} == set(windowed.KINDS)
+    held = {r["owner"]: (r["executed"], r["fill_price"]) for r in rows if r["row"] == "agent"}
+    for owner, (inventory, cash) in held.items():
+        mine = [r for r in fills if r["owner"] == owner]
+        assert inventory == sum(r["side"] * r["fill_quantity"] for r in mine) and cash == -sum(r["side"] * r["fill_quantity"] * r["fill_price"] for r in mine)
+    states = [r for r in rows if r["row"] == "state"]
+    assert [r["time_ns"] for r in states] == [i * 100_000_000 for i in range(31)]
+    assert all(not r["best_bid"] or not r["best_ask"] or r["best_bid"] < r["best_ask"] for r in states)
+    assert sum(summary[f"n_{n}"] for n in ("limit_buy", "limit_sell", "market_buy", "market_sell", "cancel_bid", "cancel_ask")) == summary["processed_background"]
+
+
+def two_sided(bid=1000, ask=1500, **more):
+    return {"best_bid": bid, "best_ask": ask, "bid_depth": 500, "ask_depth": 400, "mid": (bid + ask) / 2 if bid and ask else 0.0, "bought": 0, "sold": 0, "last_trade": 0, "fundamental": 1250.0} | more
+
+
+def test_momentum_trader():
+    agent = windowed.Momentum(1, windowed.WindowedConfig(), 5)
+    act = lambda now, past: [(o[1], o[2]) for o in agent.act(now, past, 0)]
+    full, half = agent.quantity, max(1, agent.quantity // 2)
+    assert act(two_sided(), None) == [] and act(two_sided(1100, 1600), two_sided()) == [(1, full)]
+    assert act(two_sided(1100, 1600, sold=1000), two_sided()) == []
+    assert act(two_sided(bought=1000), two_sided()) == [(1, full)] and act(two_sided(bid_depth=100), two_sided()) == [(-1, half)]
+    assert act(two_sided(), two_sided()) == []
+
+
+def test_informed_trader():
+    agent = windowed.Informed(1, windowed.WindowedConfig(noise=0.001), 5)
+    assert agent.act(two_sided(), None, 0) == [] and agent.act(two_sided(fundamental=2250.0), None, 0)[0][:2] == (MARKET, 1)
+    agent.inventory = 5000
+    assert agent.act(two_sided(fundamental=2250.0), None, 0) == [] and agent.act(two_sided(fundamental=0.0), None, 0)[0][1] == -1
+
+
+def test_institution_works_its_parent_off():
+    agent = windowed.Institutional(3, windowed.WindowedConfig(), 5)
+    agent.side, agent.parent, agent.child, agent.cap, agent.start, agent.end = 1, 60, 50, 0.1, 10, 20
+    assert agent.act(two_sided(), None, 9) == agent.act(two_sided(), None, 21) == []
+    size = agent.act(two_sided(), None, 10)[0][2]
+    assert size == 40 and agent.remaining() == 20 and agent.act(two_sided(), None, 20)[0][2] == 20 and agent.act(two_sided(), None, 20) == []
+    agent.result(40, 30)
+    assert agent.remaining() == 10 and agent.executed == 30
+
+
+def test_passive_maker():
+    agent = windowed.Maker(4, windowed.WindowedConfig(quantities=((100, 100),) * 6), 5)
+    quotes = lambda s: [(o[1], o[2], o[3]) for o in agent.act(s, None, 0)[1:]]
+    assert agent.act(two_sided(), None, 0)[0][0] == CANCEL_OWNER
+    assert quotes(two_sided()) == [(1, 100, 1100), (-1, 100, 1400)] and quotes(two_sided(1000, 1200)) == [(1, 100, 1000), (-1, 100, 1200)]
+    assert quotes(two_sided(1000, 0)) == [(1, 100, 1000), (-1, 100, 1200)] and quotes(two_sided(0, 1200)) == [(1, 100, 1000), (-1, 100, 1200)] and agent.act(two_sided(0, 0), None, 0) == []
+    agent.inventory = 400
+    assert quotes(two_sided()) == [(1, 50, 1100), (-1, 200, 1300)]
+
+
+def test_draws_from_a_distribution():
+    from orderlens.functions.rng import Stream
+
+    rng = Stream(3)
+    assert {windowed.drawn((7, 9, 400), rng) for _ in range(60)} == {7, 9, 400} and {windowed.drawn((1, 3), rng) for _ in range(60)} == {1, 2, 3}
 
 
 def test_simulation_repeats_and_shocks():
@@ -107,3 +225,7 @@ def test_simulation_repeats_and_shocks():
     assert first == again and len(first) == 2 * 11
     last = {r[1]: r for r in first[-2:]}
     assert last[1][-2] > 0 and last[0][-2] == 0 and last[1][-1] <= last[1][-2]
+    alone = list(simulate.simulate(1, 9, config, range(1, 2)))
+    assert alone == [r for r in first if r[1] == 1]
+    fixed = simulate.MarketConfig(books=1, seconds=1.0, shock_s=0.5, shock_quantity=77, shocked=(0,))
+    assert list(simulate.simulate(1, 9, fixed))[-1][-2] == 77
