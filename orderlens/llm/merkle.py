@@ -7,8 +7,8 @@ A fingerprint shows the root and, section by section (;) and paragraph by paragr
 fingerprints tell which branches differ and how alike the texts are.
 
 Defined results: a null text is the empty text, with one empty leaf; a null id counts as smaller than all others; among
-rows that repeat an id the digest decides the order; with one row only, the next document is the row itself; an empty
-table gives an empty result.
+rows that repeat an id (or have none) a hash of the text decides the order; with one row only, the next document is the row itself; an empty
+table gives an empty result; other columns are ignored by the query form and kept by merkle_fingerprints().
 """
 
 from __future__ import annotations
@@ -44,21 +44,56 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.concat(root, F.lit(":"), branches)).drop(_leaves, _paragraphs, _ends, _sections, _shown)
 
 
-def leaves_of(fingerprint: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(fingerprint, ":", -1), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))
+def sections_of(fingerprint: str | Column) -> Column:
+    return F.split(F.substring_index(fingerprint, ":", -1), ";")
 
 
-def likeness(ours: Column, theirs: Column) -> Column:
-    """Of two leaf sets: twice the shared leaves over all."""
-    return 2 * F.size(F.array_intersect(ours, theirs)) / (F.size(ours) + F.size(theirs))
+def leaves_of(branches: Column) -> Column:
+    """The distinct leaves of an array of branches."""
+    return F.array_distinct(F.regexp_extract_all(F.array_join(branches, ";"), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))
 
 
-def differing_branches(ours: str, theirs: str) -> Column:
-    """Of two fingerprint columns: the sections of the first, with their place, that the second doesn't have; none where the roots are equal."""
-    branches = lambda c: F.split(F.substring_index(c, ":", -1), ";")
-    placed = F.transform(branches(ours), lambda b, i: F.struct(i.alias("section"), b.alias("branch")))
-    changed = F.filter(placed, lambda x: ~F.array_contains(branches(theirs), x["branch"]))
-    return F.when(F.substring_index(ours, ":", 1) == F.substring_index(theirs, ":", 1), F.slice(changed, 1, 0)).otherwise(changed)
+def with_likeness(df: DataFrame, ours: str, theirs: str, out: str) -> DataFrame:
+    """df with the likeness of two fingerprint columns more: twice the shared leaves over all.
+
+    Equal sections share all their leaves; only the leaves of sections that the other doesn't have are compared.
+    """
+    _a, _b, _same, _left, _right = free(df, "_a", "_b", "_same", "_left", "_right")
+    df = df.withColumns({_a: sections_of(ours), _b: sections_of(theirs)})
+    df = df.withColumns({_same: F.size(leaves_of(F.array_intersect(_a, _b))), _left: leaves_of(F.array_except(_a, _b)), _right: leaves_of(F.array_except(_b, _a))})
+    shared = F.col(_same) + F.size(F.array_intersect(_left, _right))
+    return df.withColumn(out, 2 * shared / (2 * F.col(_same) + F.size(_left) + F.size(_right))).drop(_a, _b, _same, _left, _right)
+
+
+def differing(ours: Column, theirs: Column) -> tuple[Column, Column, Column]:
+    """Of two arrays: how many parts they have in common at the start, and what is left of each without those and the common ones at the end."""
+
+    def common(a: Column, b: Column) -> Column:
+        unequal = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+        return F.when(unequal == 0, F.least(F.size(a), F.size(b))).otherwise(unequal - 1).cast("int")
+
+    start = common(ours, theirs)
+    rest = lambda a: F.slice(a, start + 1, F.size(a))
+    end = common(F.reverse(rest(ours)), F.reverse(rest(theirs)))
+    return start, F.slice(rest(ours), 1, F.size(ours) - start - end), F.slice(rest(theirs), 1, F.size(theirs) - start - end)
+
+
+def with_difference(df: DataFrame, ours: str, theirs: str, out: str) -> DataFrame:
+    """df with a struct more (section, paragraph, leaf, leaves): where the first text differs from the second, from 0, and how many of its leaves are in the differing part.
+
+    Found by descent from the root: of the sections that differ the paragraphs that differ, of these the leaves. Null where the roots are equal.
+    """
+    columns = free(df, "_section", "_a1", "_b1", "_paragraph", "_a2", "_b2", "_leaf", "_a3", "_b3")
+    _section, _a1, _b1, _paragraph, _a2, _b2, _leaf, _a3, _b3 = columns
+    leaves = lambda branches: F.regexp_extract_all(F.array_join(branches, "/"), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0))
+    paragraphs = lambda branches: F.flatten(F.transform(branches, lambda b: F.split(b, "/", -1)))
+    df = df.withColumns(dict(zip(columns[0:3], differing(sections_of(ours), sections_of(theirs)))))
+    df = df.withColumns({_a1: paragraphs(F.col(_a1)), _b1: paragraphs(F.col(_b1))})
+    df = df.withColumns(dict(zip(columns[3:6], differing(F.col(_a1), F.col(_b1)))))
+    df = df.withColumns({_a2: leaves(F.col(_a2)), _b2: leaves(F.col(_b2))})
+    df = df.withColumns(dict(zip(columns[6:9], differing(F.col(_a2), F.col(_b2)))))
+    place = F.struct(F.col(_section).alias("section"), F.col(_paragraph).alias("paragraph"), F.col(_leaf).alias("leaf"), F.size(_a3).alias("leaves"))
+    return df.withColumn(out, F.when(F.substring_index(ours, ":", 1) != F.substring_index(theirs, ":", 1), place)).drop(*columns)
 
 
 def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,7 +103,7 @@ def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def chunk_of(bounds: list[int]) -> Column:
-    """Index of the first bound that isn't below the row's id, by halving; null ids go to the first chunk."""
+    """Index of the first bound that isn't below the row's id, by halving; null ids have a chunk of their own below the first."""
     held = F.array(*[F.lit(b).cast("long") for b in bounds])
 
     def halve(s: Column, _: Column) -> Column:
@@ -78,43 +113,59 @@ def chunk_of(bounds: list[int]) -> Column:
 
     steps = F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length())))
     start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds) - 1).alias("high"))
-    return F.when(F.col("id").isNull(), 0).otherwise(F.aggregate(steps, start, halve)["low"])
+    return F.when(F.col("id").isNull(), -1).otherwise(F.aggregate(steps, start, halve)["low"])
 
 
 def next_by_id(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """Each row (id and the carried columns) with those of the next row in descending order of id (next_*), the first after the last.
+    """Each row (id, tie and the carried columns) with those of the next row in descending order of id (next_*), the first after the last.
 
-    Rows go to chunks of ids between quantiles that are ids themselves. A chunk's largest id is therefore known beforehand, and its
-    rows are sent to the chunk above as well, where they stand last; so no order over all rows is needed in one place.
+    Rows go to chunks of ids between quantiles. An id that fills a chunk or more (or null) is a chunk of its own, cut by ranges of the tie,
+    a hash that orders the rows of one id. Each chunk's first row is found beforehand, by id and tie alone, and sent to the chunk
+    before it as well, where it stands last; so no order over all rows is needed in one place, and no id brings its rows into one task.
     """
-    # Several chunks for each shuffle partition even out what hashing deals to one; the driver holds one number for each.
+    # Several chunks for each shuffle partition even out what hashing deals to one; the driver holds a few numbers for each.
     chunks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = rows.agg(F.percentile_approx("id", [(i + 1) / chunks for i in range(chunks)], max(10_000, 20 * chunks)).alias("q"), F.max("id").alias("top")).first()
-    bounds = sorted({*(quantiles["q"] or []), *([quantiles["top"]] if quantiles["top"] is not None else [])})
-    if not bounds:
-        placed = rows.withColumn("chunk", F.lit(0)).withColumn("guest", F.lit(False))
-    else:
-        own = chunk_of(bounds)
-        above = F.when(F.col("own") == len(bounds) - 1, 0).otherwise(F.col("own") + 1)
-        edge = F.col("id") == F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("own") + 1)
-        home = F.struct(F.col("own").alias("chunk"), F.lit(False).alias("guest"))
-        visit = F.struct(above.alias("chunk"), F.lit(True).alias("guest"))
-        placed = rows.withColumn("own", own).withColumn("at", F.explode(F.when(F.coalesce(edge, F.lit(False)), F.array(home, visit)).otherwise(F.array(home)))).select("id", *carried, "at.*")
-    order = Window.partitionBy("chunk").orderBy("guest", F.desc_nulls_last("id"), "fingerprint")
+    ids = rows.select("id", "tie")
+    told = ids.agg(F.percentile_approx("id", [(i + 1) / chunks for i in range(chunks)], max(10_000, 20 * chunks)).alias("q"), F.max("id").alias("top"), F.count("id").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    quantiles = sorted([*(told["q"] or []), *([told["top"]] if told["top"] is not None else [])])
+    often = {b: quantiles.count(b) for b in {a for a, c in zip(quantiles, quantiles[1:]) if a == c}}
+    bounds = sorted({*quantiles, *(b - 1 for b in often)})
+    own = chunk_of(bounds) if bounds else F.lit(-1)
+    parts = {bounds.index(b): n for b, n in often.items()} | {-1: 1 + chunks * told["nulls"] // (told["n"] + told["nulls"] or 1)}
+    split = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+    part = F.floor((F.shiftright("tie", 33) + (1 << 30)) * F.coalesce(F.try_element_at(split, F.col("own")), F.lit(1)) / (1 << 31)).cast("int")
+    placed = lambda df: df.withColumn("own", own).withColumn("part", part)
+    first = F.min(F.struct((-F.col("id")).alias("id"), "tie"))
+    heads = [(r["own"], r["part"], None if r["head"]["id"] is None else -r["head"]["id"], r["head"]["tie"]) for r in placed(ids).groupBy("own", "part").agg(first.alias("head")).collect()]
+    # In the order of the rows: the largest ids first, the parts of one id by tie.
+    heads.sort(key=lambda h: (-h[0], h[1]))
+    before = {h[:2]: heads[i - 1][:2] for i, h in enumerate(heads)}
+    schema = "own int, part int, head_id long, head_tie long, to_own int, to_part int"
+    table = rows.sparkSession.createDataFrame([(*h, *before[h[:2]]) for h in heads], schema)
+    # One row for each chunk.
+    sent = placed(rows).join(F.broadcast(table), ["own", "part"])
+    is_head = F.col("id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
+    place = lambda o, p, guest: F.struct(F.col(o).alias("own"), F.col(p).alias("part"), F.lit(guest).alias("guest"))
+    both = F.array(place("own", "part", False), place("to_own", "to_part", True))
+    sent = sent.select("id", "tie", *carried, F.explode(F.when(is_head, both).otherwise(F.array(place("own", "part", False)))).alias("at")).select("id", "tie", *carried, "at.*")
+    order = Window.partitionBy("own", "part").orderBy("guest", F.desc_nulls_last("id"), "tie")
     follow = F.lead(F.struct(*carried)).over(order)
-    return placed.repartition("chunk").withColumn("_next", follow).where("not guest").withColumn("_next", F.coalesce("_next", F.struct(*carried))).select("id", *carried, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carried])
+    return sent.repartition("own", "part").withColumn("_next", follow).where("not guest").withColumn("_next", F.coalesce("_next", F.struct(*carried))).select("id", *carried, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carried])
 
 
 def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per row of docs: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, first_change.
 
-    The edited text has its last half replaced by as much of the next document (descending id). Texts go through one shuffle.
+    The edited text has its last half replaced by as much of the next document (descending id); first_change is the section, paragraph and leaf
+    where the edit shows, or null. Texts go through one shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     pairs = next_by_id(with_fingerprint(rows, "text", "fingerprint"), ["text", "fingerprint"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     pairs = pairs.select("id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     made = with_fingerprint(pairs, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    made = made.withColumn("_ours", leaves_of("fingerprint")).withColumn("_edited", leaves_of("edited_fingerprint")).withColumn("_next", leaves_of("next_fingerprint"))
-    return made.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("_ours"), F.col("_edited")).alias("near_edited"), likeness(F.col("_ours"), F.col("_next")).alias("near_next"))
+    made = with_likeness(with_likeness(made, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    made = with_difference(made, "fingerprint", "edited_fingerprint", "_change")
+    change = F.when(F.col("_change").isNotNull(), F.concat_ws(".", *[F.col(f"_change.{c}").cast("string") for c in ("section", "paragraph", "leaf")]))
+    return made.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", change.alias("first_change"))
