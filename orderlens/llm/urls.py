@@ -2,14 +2,16 @@
 
 URLs that a rule allows or blocks teach two variable-order Markov models over characters (orders 0 to a top order, Witten-Bell
 smoothing: each order falls back on the one below, and a context never seen leaves all to it). A URL without a rule gets the
-length-normalised difference of its log-likelihoods, and is allowed if it isn't under the threshold, which lies between the
-means of the two taught classes in proportion to their spreads.
+length-normalised difference of its log-likelihoods, and is allowed if it isn't under the threshold. One in ``HELD_OUT`` ruled URLs, by hash of
+host and path, isn't taught: the threshold is calibrated on these, between the means of the two classes in proportion to their spreads, and
+they show what the model is worth (columns held_out and model_verdict). Where a class has no URL held out, all ruled ones calibrate.
 
 The model is a table of the grams that occur, which grows with the URLs: a gram has the top order's context and its sign, and the
 counts of lower orders are sums over it. Only the grams that are most frequent, of a bounded number, are sent to all tasks.
 
 Defined results: a null url, or one without ://, has empty host and path, no rule, and the verdict of the empty text; if
-no rule blocks or none allows anything, URLs without a rule are allowed; repeated rows repeat their result.
+no rule blocks or none allows anything, URLs without a rule are allowed; ties of the score with the threshold are allowed; a null id stays
+null; repeated rows repeat their result; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .common import ascii_lower, keep
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0-./?=&_%#:~*^"
 SIGNS = len(ALPHABET)
+HELD_OUT = 4
 #: All of printable ASCII but the boundary, a sign each for letters, numbers and others outside ASCII, and the boundary.
 WIDE = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "^") + "\u00aa\u00b9\u00a4^"
 
@@ -84,13 +87,14 @@ def log_ratios(counts: DataFrame, order: int, signs: int) -> DataFrame:
     return below.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = 2, wide: bool = False, often: int = 5000) -> DataFrame:
-    """One row per row of pages: id_col, host, path, rule, verdict, score (length-normalised log ratio over contexts of up to order signs)."""
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = 5, wide: bool = True, often: int = 5000) -> DataFrame:
+    """One row per row of pages: id_col, host, path, rule, verdict, score (length-normalised log ratio over contexts of up to order signs), held_out (from teaching), model_verdict (without the rules)."""
     host, path = host_and_path(url_col)
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    rows = keep(rows.withColumn("text", folded(F.col("host"), F.col("path"), order, wide)).withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("text", folded(F.col("host"), F.col("path"), order, wide)).withColumn("_row", F.monotonically_increasing_id())
+    rows = keep(rows.withColumn("_held_out", F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0))
     verdict = F.col("verdict")
-    taught = grams(rows.withColumn("verdict", F.col("_rule.verdict")), order, "verdict")
+    taught = grams(rows.withColumn("verdict", F.when(~F.col("_held_out"), F.col("_rule.verdict"))), order, "verdict")
     counts = keep(taught.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_if(verdict == "allow").alias("allow"), F.count_if(verdict == "block").alias("block")))
     model = keep(log_ratios(counts, order, len(WIDE) if wide else SIGNS).join(counts.select("gram", "n"), "gram"))
     # Grams with over a share of 1 / often of all places are fewer than often: these alone are sent to all tasks, so no gram is a hot key of the join.
@@ -102,9 +106,15 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     of_rare = places.join(hot, "gram", "left_anti").join(rare.hint("shuffle_hash"), "gram").groupBy("_row").agg(F.sum("ratio").alias("part"))
     scores = of_hot.unionAll(of_rare).groupBy("_row").agg(F.sum("part").alias("part"))
     scored = rows.join(scores, "_row").withColumn("score", F.col("part") / (F.char_length("text") - order))
-    scored = keep(scored.select("_id", "host", "path", "_rule", "score"))
-    mean = {v: F.avg(F.when(F.col("_rule.verdict") == v, F.col("score"))) for v in ("allow", "block")}
-    spread = {v: F.coalesce(F.stddev_pop(F.when(F.col("_rule.verdict") == v, F.col("score"))), F.lit(0.0)) + 1e-9 for v in mean}
+    scored = keep(scored.select("_id", "host", "path", "_rule", "score", "_held_out"))
+    sides = ("allow", "block")
+    of = {v: F.when(F.col("_rule.verdict") == v, F.col("score")) for v in sides}
+    apart = {v: F.when(F.col("_held_out"), of[v]) for v in sides}
+    # Both classes from the URLs held out, or both from all.
+    both = F.count(apart["allow"]) * F.count(apart["block"]) > 0
+    mean = {v: F.when(both, F.avg(apart[v])).otherwise(F.avg(of[v])) for v in sides}
+    spread = {v: F.when(both, F.stddev_pop(apart[v])).otherwise(F.coalesce(F.stddev_pop(of[v]), F.lit(0.0))) + 1e-9 for v in sides}
     threshold = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
     by_model = F.when(F.col("score") < scored.agg(threshold).scalar(), "block").otherwise("allow")
-    return scored.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), by_model).alias("verdict"), "score")
+    out = scored.withColumn("_by_model", by_model)
+    return out.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), "_by_model").alias("verdict"), "score", F.col("_held_out").alias("held_out"), F.col("_by_model").alias("model_verdict"))

@@ -1,10 +1,12 @@
 import hashlib
 import math
 import random
-from collections import Counter, defaultdict
+import statistics
+from collections import Counter
 from itertools import product
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from orderlens.llm import merkle, mixing, urls
@@ -27,10 +29,27 @@ def brute_tree(text):
     return root + ":" + ";".join("/".join("".join(h[:6] for h in p) for p in leaves[a:b]) for a, b in sections)
 
 
-def leaf_set(fingerprint):
-    import re
+def brute_likeness(ours, theirs):
+    """Equal sections share their leaves; those of the others are compared as sets."""
+    cut = lambda f: f.partition(":")[2].split(";")
+    leaves = lambda branches: {m for b in branches for p in b.split("/") for m in (p[i : i + 6] for i in range(0, len(p), 6))}
+    a, b = set(cut(ours)), set(cut(theirs))
+    same, left, right = len(leaves(a & b)), leaves(a - b), leaves(b - a)
+    return 2 * (same + len(left & right)) / (2 * same + len(left) + len(right))
+
 
-    return set(re.findall("[0-9a-f]{6}", fingerprint.partition(":")[2]))
+def brute_change(ours, theirs):
+    """The first leaf, from the start, at which the nested lists differ."""
+    if ours.partition(":")[0] == theirs.partition(":")[0]:
+        return None
+    a, b = ([[[p[i : i + 6] for i in range(0, len(p), 6)] for p in s.split("/")] for s in f.partition(":")[2].split(";")] for f in (ours, theirs))
+    place = []
+    for _ in range(3):
+        start = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        end = next((i for i, (x, y) in enumerate(zip(a[start:][::-1], b[start:][::-1])) if x != y), min(len(a), len(b)) - start)
+        place.append(start)
+        a, b = ([x for part in t[start : len(t) - end] for x in part] for t in (a, b))
+    return ".".join(map(str, place))
 
 
 def test_merkle_against_brute_force(spark):
@@ -47,29 +66,43 @@ def test_merkle_against_brute_force(spark):
         assert row["n_chars"] == len(text) and row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert row["fingerprint"] == brute_tree(text) and row["edited_fingerprint"] == brute_tree(edited)
         for name, other in (("near_edited", edited), ("near_next", following)):
-            a, b = leaf_set(brute_tree(text)), leaf_set(brute_tree(other))
-            assert row[name] == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
+            assert row[name] == pytest.approx(brute_likeness(brute_tree(text), brute_tree(other)))
+        assert row["first_change"] == brute_change(brute_tree(text), brute_tree(edited))
 
 
 def test_merkle_odd_rows(spark):
     one = merkle.compare_with_edit(docs(spark, ["ab. cd. ef."])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert merkle.compare_with_edit(docs(spark, [])).count() == 0
-    nulls = docs(spark, ["a b", "c d"]).selectExpr("cast(null as long) doc_id", "text")
-    assert merkle.compare_with_edit(nulls).count() == 2
     repeated = docs(spark, ["a b", "c d"]).union(docs(spark, ["a b"]))
     assert merkle.compare_with_edit(repeated).count() == 3
 
 
+@pytest.mark.parametrize("hot", [None, 7, -2, 200])
+def test_merkle_hot_ids(spark, hot):
+    """A third of all rows without id or with one id: the order goes on by the texts' hashes, over several chunks."""
+    texts = [f"text {i}. " + "x" * (i % 9) for i in range(240)] + [None, "", "long. " * 20_000]
+    ids = [hot if i % 3 == 0 else i for i in range(len(texts))]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "id long, text string").repartition(6).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    got = merkle.next_by_id(rows.withColumn("tie", F.xxhash64("text")), ["text"]).collect()
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    order = sorted(((i, t or "") for i, t in zip(ids, texts)), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = [(i, t, n) for (i, t), (_, n) in zip(order, order[1:] + order[:1])]
+    assert sorted(((r["id"], r["text"], r["next_text"]) for r in got), key=str) == sorted(want, key=str)
+    assert merkle.compare_with_edit(rows.withColumnRenamed("id", "doc_id")).count() == len(texts)
+
+
 def test_merkle_differences(spark):
-    texts = [f"line {i}. and more." for i in range(40)]
+    texts = [f"line {i}. and more. of it." for i in range(40)]
     changed = [*texts]
-    changed[17] = "another line."
+    changed[17] = "line 17. and less. of it."
     df = spark.createDataFrame([("\n".join(texts), "\n".join(changed))], "a string, b string")
     df = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "fa"), "b", "fb")
-    row = df.select(merkle.differing_branches("fa", "fb").alias("d"), merkle.differing_branches("fa", "fa").alias("same")).first()
-    assert row["same"] == [] and 1 <= len(row["d"]) <= 2
-    assert hashlib.sha256(texts[17].split(". ")[0].encode() + b".").hexdigest()[:6] in row["d"][0]["branch"]
+    row = merkle.with_difference(merkle.with_difference(df, "fa", "fb", "d"), "fa", "fa", "same").first()
+    sections = brute_tree("\n".join(texts)).partition(":")[2].split(";")
+    counts = [len(s.split("/")) for s in sections]
+    section = next(i for i in range(len(counts)) if sum(counts[: i + 1]) > 17)
+    assert row["same"] is None and tuple(row["d"]) == (section, 17 - sum(counts[:section]), 1, 1)
 
 
 def test_merkle_keeps_columns_of_its_names(spark):
@@ -191,41 +224,65 @@ def brute_url(url):
     return host, path, max(fits)[1:] if fits else (None, None)
 
 
-def test_urls_against_brute_force(spark):
+def brute_fold(text, order, wide):
+    if wide:
+        kind = lambda c: c if c.isascii() and "!" <= c <= "~" and c != "^" else "*" if c.isascii() else "\u00aa" if c.isalpha() else "\u00b9" if c.isnumeric() else "\u00a4"
+    else:
+        kind = lambda c: "0" if c in "0123456789" else c.lower() if c.isascii() and c.lower() in urls.ALPHABET[:-2] else "*"
+    return "^" * order + "".join(map(kind, text)) + "^"
+
+
+class BruteModel:
+    """Witten-Bell by the definition, over whole grams."""
+
+    def __init__(self, grams, signs):
+        self.grams, self.signs = grams, signs
+
+    def p(self, gram):
+        n = sum(k for g, k in self.grams.items() if g.endswith(gram))
+        if len(gram) == 1:
+            return (n + 1) / (sum(self.grams.values()) + self.signs)
+        after = Counter()
+        for g, k in self.grams.items():
+            if g[-len(gram) : -1] == gram[:-1]:
+                after[g[-1]] += k
+        low = self.p(gram[1:])
+        return (n + len(after) * low) / (sum(after.values()) + len(after)) if after else low
+
+
+@pytest.mark.parametrize(("order", "wide"), [(2, False), (4, True)])
+def test_urls_against_brute_force(spark, order, wide):
     rng = random.Random(6)
     table = [*URLS, *(rng.choice([u for u in URLS if u]) + str(rng.randrange(99)) for _ in range(200))]
-    df = spark.createDataFrame(list(enumerate(table)), "page_id long, url string").selectExpr("page_id", "url", "1 as host", "2 as gram")
-    got = {r["page_id"]: r for r in urls.judge_urls(df).collect()}
-    folded = []
-    for u in table:
-        host, path, _ = brute_url(u)
-        low = "".join(c.lower() if c.isascii() else c for c in host + path)
-        low = "".join("0" if c in "0123456789" else c if c in urls.ALPHABET[:-2] else "*" for c in low)
-        folded.append([urls.ALPHABET.index(c) for c in "^^" + low + "^"])
+    df = spark.createDataFrame(list(enumerate(table)), "page_id long, url string").selectExpr("page_id", "url", "1 as host", "2 as gram", "3 as held_out")
+    got = {r["page_id"]: r for r in urls.judge_urls(df, order=order, wide=wide).collect()}
+    texts = [brute_fold(brute_url(u)[0] + brute_url(u)[1], order, wide) for u in table]
+    held = [xxhash.xxh64_intdigest(t.encode(), 42) % 2**64 for t in texts]
+    held = [(h - (1 << 64) if h >> 63 else h) % urls.HELD_OUT == 0 for h in held]
+    grams_of = lambda t: [t[i : i + order + 1] for i in range(len(t) - order)]
     counts = {v: Counter() for v in ("allow", "block")}
-    for u, f in zip(table, folded):
-        verdict = brute_url(u)[2][1]
-        if verdict:
-            counts[verdict].update(zip(f, f[1:], f[2:]))
-
-    def log_p(c, a, b, x):
-        one, two, three, kinds2, kinds3 = (defaultdict(int) for _ in range(5))
-        for (i, j, k), n in c.items():
-            one[k] += n
-            two[j, k] += n
-        p = (one[x] + 1) / (sum(one.values()) + urls.SIGNS)
-        seen = [n for (j, _), n in two.items() if j == b]
-        p = (two[b, x] + len(seen) * p) / (sum(seen) + len(seen)) if seen else p
-        seen = [n for (i, j, _), n in c.items() if (i, j) == (a, b)]
-        return math.log((c[a, b, x] + len(seen) * p) / (sum(seen) + len(seen)) if seen else p)
-
-    scores = [sum(log_p(counts["allow"], *g) - log_p(counts["block"], *g) for g in zip(f, f[1:], f[2:])) / (len(f) - 2) for f in folded[:40]]
+    for u, t, out in zip(table, texts, held):
+        if (verdict := brute_url(u)[2][1]) and not out:
+            counts[verdict].update(grams_of(t))
+    models = {v: BruteModel(c, len(urls.WIDE) if wide else urls.SIGNS) for v, c in counts.items()}
+    ratio = {}
+    for g in {g for t in texts for g in grams_of(t)}:
+        ratio[g] = math.log(models["allow"].p(g)) - math.log(models["block"].p(g))
+    scores = [sum(ratio[g] for g in grams_of(t)) / (len(t) - order) for t in texts]
+    by_class = {v: [s for u, s, out in zip(table, scores, held) if out and brute_url(u)[2][1] == v] for v in counts}
+    assert all(by_class.values()) and sum(map(len, by_class.values())) < sum(held) + 1
+    mean, spread = ({v: f(x) for v, x in by_class.items()} for f in (statistics.fmean, lambda x: statistics.pstdev(x) + 1e-9))
+    threshold = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
+    told = Counter()
     for i, u in enumerate(table):
         host, path, (rule, verdict) = brute_url(u)
-        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
-        assert got[i]["verdict"] == verdict if verdict else got[i]["verdict"] in ("allow", "block")
-        if i < len(scores):
-            assert got[i]["score"] == pytest.approx(scores[i])
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["held_out"]) == (host, path, rule, held[i]), u
+        assert got[i]["score"] == pytest.approx(scores[i], abs=1e-9)
+        if abs(scores[i] - threshold) > 1e-6:
+            by_model = "block" if scores[i] < threshold else "allow"
+            assert got[i]["verdict"] == (verdict or by_model) and got[i]["model_verdict"] == by_model
+            told[verdict is None, by_model] += 1
+    assert len(told) >= 3
     assert urls.judge_urls(df.where("page_id < 0")).count() == 0
     assert {r["verdict"] for r in urls.judge_urls(df.where("url = 'http://net/'")).collect()} == {"allow"}
 
@@ -234,12 +291,13 @@ def test_urls_learn_long_contexts(spark):
     """Two words of the same triples of signs, told apart by longer contexts; and grams joined by hash as those that are sent to all."""
     allow, block = "xyaxybxy", "xybxyaxy"
     table = [f"http://x.com/{'fr' if i % 2 else 'de'}/{allow if i % 2 else block}" for i in range(60)] + [f"http://x.net/{allow}", f"http://x.net/{block}"]
+    table += [f"http://{c}.com/{'fr' if i % 2 else 'de'}/{allow if i % 2 else block}" for i, c in enumerate("abcdefghijklmnopqrst")]
     df = spark.createDataFrame(list(enumerate(table)), "page_id long, url string")
     judge = lambda **how: {r["page_id"]: r for r in urls.judge_urls(df, **how).collect()}
-    long, joined, short = judge(order=5), judge(order=5, often=20), judge(order=2)
+    long, joined, short = judge(order=5), judge(order=5, often=20), judge(order=2, wide=False)
     assert (long[60]["rule"], long[60]["verdict"], long[61]["verdict"]) == (None, "allow", "block")
     assert [joined[i]["score"] for i in range(62)] == pytest.approx([long[i]["score"] for i in range(62)])
-    assert short[60]["score"] == pytest.approx(short[61]["score"]) and long[60]["score"] > long[61]["score"] + 0.1
+    assert long[60]["score"] - long[61]["score"] > short[60]["score"] - short[61]["score"] + 0.1
     # By hand: each context of the allowed word's last sign has one sign after it in its class, and none of four signs in the other.
     grams = spark.createDataFrame([("bcdda", 30, 0), ("acddb", 0, 30)], "gram string, allow long, block long")
     ratio = {r["gram"]: r["ratio"] for r in urls.log_ratios(grams, 4, urls.SIGNS).collect()}
