@@ -96,6 +96,46 @@ def inventory_scale(inventory: Column, limit: Column) -> Column:
     return F.least(F.lit(0.75), F.abs(inventory) / F.greatest(F.lit(1), limit))
 
 
+def inventory_scales(inventory: Column, limit: Column) -> tuple[Column, Column]:
+    """Factors of bid and ask quantities: the side that adds to the inventory shrinks, the other grows."""
+    x = inventory_scale(inventory, limit)
+    return F.when(inventory > 0, 1 - x).otherwise(1 + x), F.when(inventory < 0, 1 - x).otherwise(1 + x)
+
+
+def notional(price: Column, quantity: Column) -> Column:
+    """Raises where the product leaves 64 bits (in ANSI mode)."""
+    return price.cast("long") * quantity.cast("long")
+
+
+def event_name(code: Column) -> Column:
+    """The name of an event's code, or null."""
+    return F.get(F.array(*[F.lit(n) for n in EVENT_NAMES]), code)
+
+
+def seconds_to_ns(seconds: Column) -> Column:
+    """Rounded half away from zero; raises where it leaves 64 bits (in ANSI mode)."""
+    return F.round(seconds * 1e9).cast("long")
+
+
+def shock_size(depth: Column, multiple: float, fixed: int | None = None) -> Column:
+    """A fixed quantity, or a multiple of the depth, at least 1."""
+    return F.lit(fixed).cast("long") if fixed is not None else scaled_quantity(depth.cast("double"), multiple)
+
+
+def passes(x: Column, threshold: float, inclusive: bool) -> Column:
+    """Whether |x| is over the threshold, or on it where that counts."""
+    return F.abs(x) >= threshold if inclusive else F.abs(x) > threshold
+
+
+def rank_sequence(rank: Column, counter: Column) -> Column:
+    """A sequence number that no other rank has: the rank in the top byte."""
+    return F.shiftleft(rank.cast("long"), 56).bitwiseOR(counter.cast("long"))
+
+
+def owner_sequence(owner: Column, counter: Column) -> Column:
+    return F.shiftleft(owner.cast("long"), 32).bitwiseOR(counter.cast("long"))
+
+
 def inventory_skew(inventory: Column, quantity: int, most: int = 3) -> Column:
     return clamp(F.round(0.25 * inventory / max(1, quantity)), -most, most).cast("int")
 

@@ -66,6 +66,11 @@ def draw(seed: Column, n: Column) -> Column:
     return mix64(wrap_add(start, wrap_multiply(n.cast("long"), GOLDEN)))
 
 
+def stable_sequence(entity: Column, sequence: Column, child: Column) -> Column:
+    """An id of its own for each (entity, sequence, child), the same on every run and partition."""
+    return mix64(wrap_add(mix64(wrap_add(mix64(entity.cast("long")), sequence.cast("long"))), child.cast("long")))
+
+
 def uniform01(z: Column) -> Column:
     """The top 53 bits over 2^53, at least 1e-12."""
     return F.greatest(F.lit(1e-12), F.shiftrightunsigned(z, 11).cast("double") / F.lit(float(1 << 53)))

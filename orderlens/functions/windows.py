@@ -99,18 +99,22 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return carried(df, keys, order, {out: last_of(value, order)}, width)
 
 
-def lagged(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, int]], width: float | None = None, block: int = 4096) -> DataFrame:
-    """df with, for each name, a column as it was so many rows before in the series.
+def framed(df: DataFrame, keys: list[str], order: list[str], reach: int, values: Callable[[WindowSpec], dict[str, Column]], width: float | None = None, block: int = 4096) -> DataFrame:
+    """df with columns more that look at most reach rows back in the series: values gets a window ordered by row.
 
     Rows are numbered over slices first; then a window is a block of numbers, with the last rows of the block before it as guests.
     """
-    reach = max(k for _, k in values.values())
     block = max(block, 16 * reach)
     rows = row_numbers(df, keys, order, "_number", width).withColumn("_block", F.floor((F.col("_number") - 1) / block))
     home = F.struct(F.col("_block").alias("at"), F.lit(False).alias("guest"))
     visit = F.struct((F.col("_block") + 1).alias("at"), F.lit(True).alias("guest"))
     late = (F.col("_number") - 1) % block >= block - reach
     rows = rows.withColumn("_place", F.explode(F.when(late, F.array(home, visit)).otherwise(F.array(home))))
-    w = Window.partitionBy(*keys, "_place.at").orderBy("_number")
-    out = rows.withColumns({name: F.lag(column, k).over(w) for name, (column, k) in values.items()})
+    out = rows.withColumns(values(Window.partitionBy(*keys, "_place.at").orderBy("_number")))
     return out.where("not _place.guest").drop("_number", "_block", "_place")
+
+
+def lagged(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, int]], width: float | None = None) -> DataFrame:
+    """df with, for each name, a column as it was so many rows before in the series."""
+    reach = max(k for _, k in values.values())
+    return framed(df, keys, order, reach, lambda w: {name: F.lag(column, k).over(w) for name, (column, k) in values.items()}, width)

@@ -41,12 +41,24 @@ def split_count(total: Column, parts: Column, index: Column) -> Column:
 def fundamental_path(grid: DataFrame, keys: list[str], step: str, start: float, bps: float, seed: int) -> DataFrame:
     """A log-normal martingale on a grid of steps (from 1): each shock is the step's own draw, the path their running sum."""
     sigma = bps / 1e4
-    base = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    base = F.lit(seed).cast("long")
+    for k in keys:
+        base = base * 1_000_003 + F.col(k)
     z = rng.normal01(rng.uniform01(rng.draw(base, 2 * F.col(step))), rng.uniform01(rng.draw(base, 2 * F.col(step) + 1)))
     path = running_totals(grid.withColumn("_z", sigma * z - sigma * sigma / 2), keys, [step], {"_sum": F.col("_z")})
     return path.withColumn("fundamental", start * F.exp("_sum")).drop("_z", "_sum")
 
 
+def gaussian_walk(grid: DataFrame, keys: list[str], step: str, start: float, shock: float, step_ms: float, tick: int, seed: int) -> DataFrame:
+    """A fundamental that moves by a normal shock a window: its deviation grows with the root of the window's milliseconds."""
+    base = F.lit(seed).cast("long")
+    for k in keys:
+        base = base * 1_000_003 + F.col(k)
+    z = rng.normal01(rng.uniform01(rng.draw(base, 2 * F.col(step))), rng.uniform01(rng.draw(base, 2 * F.col(step) + 1)))
+    path = running_totals(grid.withColumn("_z", z * (shock * max(0.0, step_ms) ** 0.5 * tick)), keys, [step], {"_sum": F.col("_z")})
+    return path.withColumn("fundamental", start + F.col("_sum")).drop("_z", "_sum")
+
+
 def basket_premium(states: DataFrame, weights: DataFrame, keys: list[str], basket: int = 0) -> DataFrame:
     """Premium in bps of a basket book over the weighted middle of its components at each time; null where one lacks a middle."""
     df = states.join(weights, "book_id")
@@ -94,6 +106,18 @@ def hedge_orders(exposures: DataFrame, routes: DataFrame, threshold: float, lot:
     return out.select("book_id", "target", (-F.signum("exposure") * lots * lot).cast("long").alias("quantity")).where("quantity <> 0")
 
 
+def to_owners(reports: DataFrame, owners: DataFrame, key: str, max_broadcast: int = 1_000_000) -> DataFrame:
+    """Reports with the columns of their owner; owners are sent to all tasks only where they are counted to be few."""
+    small = owners.limit(max_broadcast + 1).count() <= max_broadcast
+    return reports.join(F.broadcast(owners) if small else owners, key)
+
+
+def repair_wakes(trades: DataFrame, traded: Column, depleted: Column, time: str, report_latency: int, repair_latency: int) -> DataFrame:
+    """Wakes of a maker after its book traded or lost a side: one for each cause, later by its latency."""
+    causes = F.filter(F.array(F.when(traded, F.struct(F.lit("traded").alias("cause"), F.lit(report_latency).alias("late"))), F.when(depleted, F.struct(F.lit("depleted").alias("cause"), F.lit(repair_latency).alias("late")))), lambda c: c.isNotNull())
+    return trades.select("event_id", "book_id", F.col(time), F.explode(causes).alias("c")).select("event_id", "book_id", (F.col(time) + F.col("c.late")).alias("wake_us"), "c.cause")
+
+
 def seeded_sample(df: DataFrame, keys: list[str], id_col: str, k: int, seed: int) -> DataFrame:
     """k rows of each bucket, those whose draw is smallest: a sample that doesn't depend on partitions."""
     order = rng.draw(F.col(id_col) + seed, F.lit(1))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import market
-from ..functions.windows import carried, lagged, last_of, running_totals, total_of
+from ..functions.windows import carried, framed, lagged, last_of, running_totals, total_of
 
 
 def combined_stages(stages: DataFrame) -> DataFrame:
@@ -104,15 +104,16 @@ def first_trade(trades: DataFrame, keys: list[str], order: list[str], payload: l
 
 def rolling(df: DataFrame, keys: list[str], order: list[str], x: str, samples: int = 30, share: float = 0.2, memory: int = 100, width: float | None = None) -> DataFrame:
     """Sample deviation of the last samples (0 for fewer than two), and the exponentially weighted mean of the last memory values, the oldest of them as it is."""
-    reach = max(samples, memory)
-    wide = lagged(df, keys, order, {f"_x{i}": (x, i) for i in range(1, reach)}, width)
-    values = lambda n: F.filter(F.array(F.col(x).cast("double"), *[F.col(f"_x{i}").cast("double") for i in range(1, n)]), lambda v: v.isNotNull())
-    last, n = values(samples), F.size(values(samples))
-    mean = F.aggregate(last, F.lit(0.0), lambda a, v: a + v) / n
-    spread = F.aggregate(F.transform(last, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v)
-    oldest_first = F.reverse(values(memory))
-    weighted = F.aggregate(F.slice(oldest_first, 2, memory), F.element_at(oldest_first, 1), lambda a, v: (1 - share) * a + share * v)
-    return wide.select(*df.columns, F.when(n < 2, 0.0).otherwise(F.sqrt(spread / F.greatest(F.lit(1), n - 1))).alias("volatility"), weighted.alias("ewma"))
+    value = F.col(x).cast("double")
+
+    def values(w):
+        last = w.rowsBetween(-(memory - 1), 0)
+        return {"volatility": F.coalesce(F.stddev_samp(value).over(w.rowsBetween(-(samples - 1), 0)), F.lit(0.0)), "_list": F.collect_list(value).over(last)}
+
+    wide = framed(df, keys, order, max(samples, memory), values, width)
+    oldest = F.get("_list", F.lit(0))
+    weighted = F.aggregate(F.slice("_list", 2, memory), oldest, lambda a, v: (1 - share) * a + share * v)
+    return wide.withColumn("ewma", weighted).drop("_list")
 
 
 def stale_uses(samples: DataFrame, keys: list[str], order: list[str], valid: Column, value: str, width: float | None = None) -> DataFrame:

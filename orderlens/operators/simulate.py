@@ -189,21 +189,24 @@ def calibrate(spark: SparkSession, candidates: DataFrame, targets: DataFrame, co
     return flow.weighted_loss(averaged, targets, ["candidate_id"])
 
 
+def contagion_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Spreads, depths, and shares of affected and of two-sided books, over all, over shocked and over other books (hit, sided, spread, depth and both at the start), in one aggregation."""
+    bad = ~F.col("sided") | (F.col("spread") > 2 * F.col("spread_0")) | (F.col("depth") < 0.5 * F.col("depth_0"))
+    share = lambda x: F.when(x, 1.0).otherwise(0.0)
+    hit, sided = F.col("hit"), F.col("sided")
+    return rows.groupBy(*keys).agg(
+        F.avg(F.when(sided, F.col("spread"))).alias("mean_spread"), F.avg("depth").alias("mean_top_depth"), F.avg(share(bad)).alias("affected"), F.avg(share(sided)).alias("two_sided"),
+        F.avg(F.when(hit, share(bad))).alias("affected_shocked"), F.avg(F.when(~hit, share(bad))).alias("affected_unshocked"), F.avg(F.when(hit & sided, F.col("spread"))).alias("spread_shocked"), F.avg(F.when(~hit & sided, F.col("spread"))).alias("spread_unshocked"),
+        F.avg(F.when(hit, F.col("depth"))).alias("depth_shocked"), F.avg(F.when(~hit, F.col("depth"))).alias("depth_unshocked"),
+    )
+
+
 def shock_metrics(samples: DataFrame, shocked: tuple) -> DataFrame:
-    """For each run and time: affected shares, mean spread and depth of shocked and other books against their state at time 0."""
+    """For each run and time the books' state against that at time 0, what the shock order filled, and the makers' exposure."""
     first = samples.where("time_ns = 0").select("run_id", "book_id", F.col("spread").alias("spread_0"), (F.col("bid_depth") + F.col("ask_depth")).alias("depth_0"))
-    df = samples.join(first, ["run_id", "book_id"]).withColumn("depth", F.col("bid_depth") + F.col("ask_depth"))
-    sided = (F.col("best_bid") > 0) & (F.col("best_ask") > F.col("best_bid"))
-    hit = F.col("book_id").isin(*shocked) if shocked else F.lit(False)
-    affected = ~sided | (F.col("spread") > 2 * F.col("spread_0")) | (F.col("depth") < 0.5 * F.col("depth_0"))
-    ratio = lambda top, bottom: F.try_divide(F.sum(F.when(top, 1.0).otherwise(0.0)), F.sum(F.when(bottom, 1.0)))
-    return df.groupBy("run_id", "time_ns").agg(
-        ratio(affected & hit, hit).alias("affected_shocked"), ratio(affected & ~hit, ~hit).alias("affected_others"),
-        F.avg(F.when(hit & sided, F.col("spread"))).alias("spread_shocked"), F.avg(F.when(~hit & sided, F.col("spread"))).alias("spread_others"),
-        F.avg(F.when(hit, F.col("depth"))).alias("depth_shocked"), F.avg(F.when(~hit, F.col("depth"))).alias("depth_others"),
-        F.sum("shock_filled").alias("shock_filled"), F.sum("shock_by_maker").alias("shock_by_maker"),
-        flow.fixed_sum(F.abs(F.col("maker_inventory").cast("double"))).alias("maker_exposure"),
-    )
+    rows = samples.join(first, ["run_id", "book_id"]).withColumns({"depth": F.col("bid_depth") + F.col("ask_depth"), "sided": (F.col("best_bid") > 0) & (F.col("best_ask") > F.col("best_bid")), "hit": F.col("book_id").isin(*shocked) if shocked else F.lit(False)})
+    filled = rows.groupBy("run_id", "time_ns").agg(F.sum("shock_filled").alias("shock_filled"), F.sum("shock_by_maker").alias("shock_by_maker"), flow.fixed_sum(F.abs(F.col("maker_inventory").cast("double"))).alias("maker_exposure"))
+    return contagion_sums(rows, ["run_id", "time_ns"]).join(filled, ["run_id", "time_ns"])
 
 
 __all__ = ["HawkesConfig", "MarketConfig", "calibrate", "hawkes_events", "run_markets", "run_moments", "shock_metrics", "simulate", "with_volume"]

@@ -609,12 +609,4 @@ def population_split(spark, sf_dir):
     return spark.range(7).select(F.col("id").alias("part"), agents.split_count(F.lit(143), F.lit(7), F.col("id")).alias("agents"))
 
 
-@query()
-def agent_population(spark, sf_dir):
-    return agents.population(spark, {"market_maker": 3, "momentum": 600, "informed": 290, "institutional": 10}, 42)
-
-
-@query()
-def fundamental_path(spark, sf_dir):
-    grid = spark.range(20).select(F.col("id").alias("book_id"), F.explode(F.sequence(F.lit(1), F.lit(200))).alias("step"))
-    return agents.fundamental_path(grid, BOOK, "step", 2203550.0, 1.0, 7)
+from . import ledger  # noqa: E402, F401 - adds its queries

@@ -14,7 +14,14 @@ from ..operators.book import OPENING_ASKS, OPENING_BIDS
 
 #: Other names of target columns and of moments; an empty one is dropped.
 TARGET_COLUMNS = {"name": ("moment_name", "moment", "metric", "name"), "target": ("target", "value", "empirical"), "weight": ("weight", "w"), "scale_floor": ("scale_floor", "floor", "scale")}
-MOMENT_ALIASES = {"mean_return": "return_mean", "variance_return": "return_variance", "return_var": "return_variance", "skewness": "return_skewness", "kurtosis": "return_kurtosis", "acf1": "return_acf_lag1", "abs_acf1": "abs_return_acf_lag1", "spread_mean": "mean_spread", "bid_depth": "mean_best_bid_depth", "ask_depth": "mean_best_ask_depth", "moment": ""}
+#: Fixed values.
+MOMENT_ALIASES = {
+    "moment": "", "mean_return": "return_mean", "var_return": "return_variance", "variance_return": "return_variance", "skew_return": "return_skewness", "skewness_return": "return_skewness",
+    "kurt_return": "return_kurtosis", "kurtosis_return": "return_kurtosis", "acf_return_lag1": "return_acf_lag1", "acf_abs_return_lag1": "abs_return_acf_lag1", "acf_abs_return_lag2": "abs_return_acf_lag2",
+    "acf_abs_return_lag5": "abs_return_acf_lag5", "acf_abs_return_lag10": "abs_return_acf_lag10", "acf_abs_return_lag25": "abs_return_acf_lag25", "acf_abs_return_lag50": "abs_return_acf_lag50",
+    "acf_abs_return_lag100": "abs_return_acf_lag100", "diffusion_10s": "price_diffusion_10s", "price_diffusion_coefficient": "price_diffusion_10s", "average_bid_ask_spread": "mean_spread",
+    "avg_spread": "mean_spread", "p90_spread": "spread_p90", "p95_spread": "spread_p95",
+}
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +53,10 @@ def loss_targets(spark: SparkSession, path: str) -> DataFrame:
     default = spark.createDataFrame([(k, *v) for k, v in MOMENTS.items()], "name string, default_weight double, default_floor double")
     df = df.select(name.alias("name"), given("target").alias("target"), given("weight").alias("weight"), given("scale_floor").alias("scale_floor")).where("name is not null and target is not null")
     df = df.join(F.broadcast(default), "name", "left")  # one row for each name of a moment
-    return df.select("name", "target", F.coalesce("weight", "default_weight", F.lit(1.0)).alias("weight"), F.coalesce("scale_floor", "default_floor", F.lit(1e-6)).alias("scale_floor")).where("weight > 0")
+    out = df.select("name", "target", F.coalesce("weight", "default_weight", F.lit(1.0)).alias("weight"), F.coalesce("scale_floor", "default_floor", F.lit(1e-6)).alias("scale_floor")).where("weight > 0")
+    if out.isEmpty():
+        raise ValueError("a table of loss targets needs a row that parses and has a weight above 0")
+    return out
 
 
 BOOK_FIELDS = "book_id int, symbol string, data_dir string, hawkes_rates_file string, fundamental_price_ticks double, initial_best_bid_ticks int, initial_best_ask_ticks int, initial_best_bid_depth int, initial_best_ask_depth int, beta double, basket_weight double, market_maker_quote_quantity int, target_spread_ticks int"
@@ -101,6 +111,58 @@ def calibrated_book(books: DataFrame, tick: int, levels: int = 10) -> DataFrame:
     return df.select("book_id", "s.side", (F.col("s.best") - F.col("s.side") * F.col("level") * tick).alias("price"), F.col("s.depth").alias("quantity")).where("price > 0 and quantity > 0")
 
 
+#: What each type of event draws, and the file that says how it is distributed.
+DISTRIBUTIONS = {
+    "limit_buy_quantity": ("quantity", 25), "limit_sell_quantity": ("quantity", 25), "market_buy_quantity": ("quantity", 25), "market_sell_quantity": ("quantity", 25), "cancel_bid_quantity": ("quantity", 25),
+    "cancel_ask_quantity": ("quantity", 25), "limit_buy_distance": ("distance_ticks", 0), "limit_sell_distance": ("distance_ticks", 0), "cancel_bid_distance": ("distance_ticks", 0), "cancel_ask_distance": ("distance_ticks", 0),
+}
+
+
+def data_paths(folder: str) -> dict[str, str]:
+    """The ten distribution files of a folder."""
+    return {name: f"{folder}/{name}_distribution.csv" for name in DISTRIBUTIONS}
+
+
+def drawn_values(spark: SparkSession, folder: str) -> dict[str, tuple[tuple[int, ...], ...]]:
+    """quantities and distances of a run, from a folder's files: the distinct values, each as likely as the others. A file without any is an error."""
+    found = {}
+    for name, path in data_paths(folder).items():
+        column, least = DISTRIBUTIONS[name]
+        # A distribution has as many rows as there are distinct values in ticks or shares.
+        values = tuple(r["value"] for r in distribution(spark, path, column, least).distinct().orderBy("value").collect())
+        if not values:
+            raise ValueError(f"no values in {path}")
+        found[name] = values if len(values) != 2 else (*values, *values)
+    names = list(DISTRIBUTIONS)
+    return {"quantities": tuple(found[n] for n in names[:6]), "distances": tuple(found[n] for n in names[6:])}
+
+
+def resolved_books(spark: SparkSession, path: str | None, count: int, fundamental: float = 2203550.0, beta: float = 1.0, quantity: int = 100, spread: int = 2) -> DataFrame:
+    """Books of a configuration file, checked; or, without one, as many clones of a default book as asked for."""
+    if path is not None:
+        books = book_configs(spark, path)
+        faults = [f"{r['rule']} of book {r['book_id']}" for r in book_violations(books).limit(20).collect()]
+        if faults:
+            raise ValueError("book configuration: " + ", ".join(faults))
+        return books
+    if count < 1:
+        raise ValueError("a run needs one book at least")
+    ids = spark.range(count).select(F.col("id").cast("int").alias("book_id"))
+    plain = {"data_dir": "", "hawkes_rates_file": "", "fundamental_price_ticks": fundamental, "initial_best_bid_ticks": 0, "initial_best_ask_ticks": 0, "initial_best_bid_depth": 0, "initial_best_ask_depth": 0, "beta": beta, "basket_weight": 1.0, "market_maker_quote_quantity": quantity, "target_spread_ticks": spread}
+    kinds = dict(f.split() for f in BOOK_FIELDS.split(", "))
+    out = ids.select("book_id", F.concat(F.lit("BOOK"), F.col("book_id")).alias("symbol"), *[F.lit(v).cast(kinds[k]).alias(k) for k, v in plain.items()], F.lit(0.05).alias("quote_improvement_probability"))
+    return out.select(*kinds, "quote_improvement_probability")
+
+
+def process_of(spark: SparkSession, book_id: int, seed: int, rates: str | None):
+    """The point process of a book: base rates from its file if there is one, and a seed of its own."""
+    from ..functions.rng import MASK, Stream
+    from ..operators.hawkes import HawkesConfig
+
+    config = HawkesConfig(mu=hawkes_rates(spark, rates)) if rates else HawkesConfig()
+    return config, Stream((seed ^ (book_id + 1) * 0x9E3779B97F4A7C15) & MASK).next()
+
+
 @dataclass
 class RunConfig:
     profile: str = "debug"
@@ -131,6 +193,17 @@ def run_config(args: list[str]) -> RunConfig:
             parser.add_argument(f"--{f.name.replace('_', '-')}", type={"int": int, "float": float, "str": str}[f.type], default=None)
     given = {k: v for k, v in vars(parser.parse_args(args)).items() if v is not None}
     config = RunConfig(**(PROFILES[given["profile"]] | given))
-    if config.seconds <= 0 or config.window_ms <= 0 or min(config.makers, config.momentum, config.informed, config.institutional) < 0:
-        parser.error("durations have to be positive and counts not below 0")
+    faults = {
+        "seconds and window_ms have to be positive": config.seconds <= 0 or config.window_ms <= 0, "seconds has to be finite and under 10^9": not config.seconds < 1e9, "a window has to fit into the run": config.window_ms / 1000 > config.seconds,
+        "counts can't be below 0": min(config.makers, config.momentum, config.informed, config.institutional) < 0, "the scale has to be positive": not config.scale > 0, "the seed has to fit into 64 bits": not 0 <= config.seed < 1 << 64, "the output needs a name": not config.output,
+    }
+    if wrong := [text for text, bad in faults.items() if bad]:
+        parser.error("; ".join(wrong))
     return config
+
+
+def windowed_of(config: RunConfig):
+    """The configuration of a windowed run: milliseconds become microseconds, whole numbers stay whole."""
+    from ..operators.windowed import WindowedConfig
+
+    return WindowedConfig(seconds=config.seconds, window_us=config.window_ms * 1000, makers=max(0, config.makers), momentum=max(0, round(config.momentum / max(1.0, config.scale))), informed=max(0, round(config.informed / max(1.0, config.scale))), institutional=max(0, round(config.institutional / max(1.0, config.scale))), scale=max(1, round(config.scale)))
