@@ -156,7 +156,7 @@ def strongest(found: list[tuple[str, float, float]], max_terms: int | None = Non
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_fit_rows: int = 20_000, least_share: float = 0.02, least_deviation: float = 4.5, prior: float = 0.05,
+    max_fit_rows: int = 20_000, least_share: float = 0.02, least_deviation: float = 4.0, prior: float = 0.05,
 ) -> Lexicon:
     """Learn a lexicon from labelled rows outside the held-out fold.
 
