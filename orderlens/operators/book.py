@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import struct
 from collections import deque
 from collections.abc import Iterator
 
@@ -252,31 +253,41 @@ def routed_reports(done: DataFrame) -> DataFrame:
     return fills.unionByName(results, allowMissingColumns=True)
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Rows of one book after another; a book may span batches."""
-    for batch in batches:
-        for book_id, rows in batch.groupby("book_id", sort=False):
-            yield int(book_id), rows
+BASIS, PRIME = 14695981039346656037, 1099511628211
 
 
-def tape_hash(trades: DataFrame) -> DataFrame:
-    """For each book the FNV-1a hash of its tape, in the order of its trades, and how many there are."""
-    columns = [c.split()[0] for c in TRADE_SCHEMA.split(", ")]
+def fnv(state: int, data: bytes) -> int:
+    """FNV-1a, carried on from a state."""
+    for byte in data:
+        state = (state ^ byte) * PRIME & 0xFFFFFFFFFFFFFFFF
+    return state
+
+
+def record_bytes(values) -> bytes:
+    """Big-endian: whole numbers as 64 bits, others by their bit pattern as doubles."""
+    return b"".join(struct.pack(">d", v) if isinstance(v, float) else int(v).to_bytes(8, "big", signed=True) for v in values)
+
+
+def ordered_hash(rows: DataFrame, key: str, order: list[str], columns: list[str], n: str, out: str) -> DataFrame:
+    """For each key the hash of its rows' columns in order, and how many there are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, n = None, 0, 0
-        for book_id, rows in _runs(batches):
-            if book_id != current:
-                if current is not None:
-                    yield pd.DataFrame({"book_id": [current], "trades": [n], "tape_hash": [f"{state:016x}"]})
-                current, state, n = book_id, 14695981039346656037, 0
-            for row in rows[columns].to_numpy().tolist():
-                n += 1
-                for value in row:
-                    for byte in int(value).to_bytes(8, "big", signed=True):
-                        state = (state ^ byte) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+        current, state, seen = None, BASIS, 0
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row[0] != current:
+                    if current is not None:
+                        yield pd.DataFrame({key: [current], n: [seen], out: [f"{state:016x}"]})
+                    current, state, seen = row[0], BASIS, 0
+                state, seen = fnv(state, record_bytes(row[1:])), seen + 1
         if current is not None:
-            yield pd.DataFrame({"book_id": [current], "trades": [n], "tape_hash": [f"{state:016x}"]})
+            yield pd.DataFrame({key: [current], n: [seen], out: [f"{state:016x}"]})
+
+    sorted_ = rows.repartition(key).sortWithinPartitions(key, *order)
+    return sorted_.select(F.col(key).alias("_key"), *columns).mapInPandas(run, f"{key} long, {n} long, {out} string")
+
 
-    ordered = trades.repartition("book_id").sortWithinPartitions("book_id", "time_ns", "trade_sequence")
-    return ordered.select(*columns).mapInPandas(run, "book_id long, trades long, tape_hash string")
+def tape_hash(trades: DataFrame) -> DataFrame:
+    """For each book the FNV-1a hash of its tape, in the order of its trades, and how many there are."""
+    columns = [c.split()[0] for c in TRADE_SCHEMA.split(", ")]
+    return ordered_hash(trades, "book_id", ["time_ns", "trade_sequence"], columns, "trades", "tape_hash")

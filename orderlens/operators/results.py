@@ -159,6 +159,56 @@ def shock_targets(books: DataFrame, share: float, seed: int, multiple: float, fi
     return books.join(chosen, "book_id", "left").select(F.col("book_id").alias("asset_id"), "symbol", hit.alias("is_shock_target"), F.lit(int(enabled)).alias("shock_enabled"), F.when(hit == 1, size).otherwise(0).cast("long").alias("counterfactual_sell_quantity"))
 
 
+def simulation_summary(summary: DataFrame, rollup: DataFrame, ranks: int, wall_seconds: float) -> DataFrame:
+    """The one-row summary of a windowed run: its counters and market means, with the times of its stages (run_rollup()) and its throughput."""
+    total = (F.col("processed_strategic") + F.col("processed_background")).cast("double")
+    times = rollup.select(*[F.col(c).alias(f"_{c}") for c in ("max_agent_seconds", "max_communication_seconds", "mean_communication_seconds")])
+    # One row of times, joined to a row for each run.
+    out = summary.join(F.broadcast(times))
+    return out.select(
+        "profile", F.lit(ranks).alias("ranks"), F.lit(max(1, ranks - 1)).alias("agent_workers"), "duration_seconds", "sync_window_us", "population_scale", "market_makers", "momentum", "informed", "institutional", "total_agents",
+        "generated_strategic", "processed_strategic", "processed_background", "fill_reports", "order_result_reports", "pending_end", "peak_pending", F.lit(wall_seconds).alias("wall_seconds"),
+        (total / wall_seconds if wall_seconds > 0 else F.lit(0.0)).alias("throughput_events_per_second"), *[F.col(f"_{c}").alias(c) for c in ("max_agent_seconds", "max_communication_seconds", "mean_communication_seconds")],
+        "mean_spread", "mean_best_bid_depth", "mean_best_ask_depth",
+    )
+
+
+def distributed_summary(summary: DataFrame, moments: DataFrame, ranks: int, wall_seconds: float, activations: int, mode: str = "windowed", ended: str = "completed", final_ns: int = 0) -> DataFrame:
+    """The summary of a run with the moments of its states (asset_summary() by run_id), how it ended and whether it is structurally valid."""
+    m = moments.select("run_id", F.col("structurally_valid").alias("_valid"), *[F.col(c).alias(f"_{c}") for c in ("mean_spread_ticks", "mean_bid_depth", "mean_ask_depth", "mid_move_rate", "return_variance", "return_kurtosis", "absolute_return_acf1")])
+    return summary.join(m, "run_id").select(
+        F.lit(ranks).alias("ranks"), "duration_seconds", F.lit(mode).alias("communication_mode"), "sync_window_us", F.lit(0).alias("shared_snapshot"), F.lit(1.0).alias("fixed_hawkes_activity_scale"), "market_makers", "momentum", "informed", "institutional", "total_agents",
+        "generated_strategic", "processed_strategic", "processed_background", "pending_end", "peak_pending", F.lit(activations).alias("activations"), F.lit(wall_seconds).alias("wall_seconds"), F.lit(int(ended != "completed")).alias("terminated_early"),
+        F.lit(final_ns).alias("final_simulated_time_ns"), F.lit(ended).alias("termination_reason"), (F.col("_valid") & F.col("conserved")).cast("int").alias("structurally_valid"),
+        *[F.col(f"_{c}").alias(c) for c in ("mean_spread_ticks", "mean_bid_depth", "mean_ask_depth", "mid_move_rate", "return_variance", "return_kurtosis", "absolute_return_acf1")],
+    )
+
+
+def book_summary(samples: DataFrame, tapes: DataFrame, symbols: DataFrame, tick: int, expected: int, seconds: float, ranks: int | None = None) -> DataFrame:
+    """A row for each book of a run: final state, moments, event counts, inventories, its tape's length and hash, and those of all tapes together.
+
+    samples: of run_markets(); tapes: of tape_hash() (book_id, trades, tape_hash); symbols: book_id and symbol. With ranks, also who holds a book.
+    """
+    kinds = [f"n_{n}" for n in market.EVENT_NAMES]
+    last = samples.groupBy("book_id").agg(F.max_by(F.struct("best_bid", "best_ask", "bid_depth", "ask_depth", "last_trade", "maker_inventory", *kinds), F.col("time_ns")).alias("s"), F.max("time_ns").alias("final_time_ns")).select("book_id", "s.*", "final_time_ns")
+    moments = asset_summary(samples, ["book_id"], ["time_ns"], tick, expected, seconds, kinds).drop("background_event_count", "background_event_rate", "invalid_sample_count")
+    whole = combined_tape(tapes)
+    owner = [F.pmod(F.col("book_id"), F.lit(ranks)).alias("owner_rank"), F.lit(ranks).alias("mpi_ranks")] if ranks else []
+    events = sum((F.col(k) for k in kinds), F.lit(0))
+    return symbols.join(last, "book_id").join(moments, "book_id").join(tapes, "book_id", "left").join(F.broadcast(whole)).select(
+        "book_id", "symbol", *owner, events.alias("processed_events"), F.coalesce("trades", F.lit(0)).alias("trade_count"), "tape_hash",
+        *[F.col(c).alias(f"{c}_ticks" if "depth" not in c else f"best_{c}") for c in ("best_bid", "best_ask", "bid_depth", "ask_depth")], F.col("last_trade").alias("last_trade_price_ticks"), F.col("maker_inventory").alias("market_maker_inventory"),
+        "sample_count", "expected_sample_count", "structurally_valid", "mean_spread_ticks", "mean_bid_depth", "mean_ask_depth", "mid_move_rate", "return_variance", "return_kurtosis", "absolute_return_acf1",
+        *[F.col(f"n_{n}").alias(f"{n}_events") for n in market.EVENT_NAMES], "combined_trade_count", "combined_trade_hash", "final_time_ns",
+    )
+
+
+def combined_tape(tapes: DataFrame) -> DataFrame:
+    """Length and hash of all books' tapes together: the books' hashes in order of book, hashed again; a row for each book reaches one task."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("book_id", "trades", "tape_hash"))), lambda t: F.concat_ws(":", t["book_id"].cast("string"), t["trades"].cast("string"), t["tape_hash"])), ";")
+    return tapes.agg(F.coalesce(F.sum("trades"), F.lit(0)).alias("combined_trade_count"), F.substring(F.sha2(listed, 256), 1, 16).alias("combined_trade_hash"))
+
+
 @dataclass
 class StageClock:
     """Wall time of named stages of a driver program, as rows for combined_stages()."""

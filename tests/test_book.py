@@ -1,11 +1,12 @@
 """The book by hand-computed cases, and invariants over random flows."""
 
 import random
+import struct
 
 import numpy as np
 import pytest
 
-from orderlens.operators import book, hawkes, simulate, windowed
+from orderlens.operators import book, hawkes, results, simulate, windowed
 from orderlens.operators.book import CANCEL_AT, CANCEL_OWNER, LIMIT, MARKET, Book
 
 
@@ -229,3 +230,56 @@ def test_simulation_repeats_and_shocks():
     assert alone == [r for r in first if r[1] == 1]
     fixed = simulate.MarketConfig(books=1, seconds=1.0, shock_s=0.5, shock_quantity=77, shocked=(0,))
     assert list(simulate.simulate(1, 9, fixed))[-1][-2] == 77
+
+
+def test_hashes():
+    """FNV-1a of the empty string, of "a", and of numbers as big-endian 64 bits or doubles."""
+    assert book.fnv(book.BASIS, b"") == 0xCBF29CE484222325 and book.fnv(book.BASIS, b"a") == 0xAF63DC4C8601EC8C
+    assert book.record_bytes([1, -1, 1.5]) == bytes(7) + b"\x01" + b"\xff" * 8 + bytes.fromhex("3ff8000000000000")
+
+
+def test_tapes_of_order(spark):
+    trades = book.match_trades(orders(spark, 100))
+    rows = sorted(trades.collect(), key=lambda t: (t["book_id"], t["time_ns"], t["trade_sequence"]))
+    want = {}
+    for t in rows:
+        n, state = want.get(t["book_id"], (0, book.BASIS))
+        want[t["book_id"]] = n + 1, book.fnv(state, book.record_bytes(list(t)))
+    tapes = book.tape_hash(trades)
+    assert {r["book_id"]: (r["trades"], int(r["tape_hash"], 16)) for r in tapes.collect()} == want
+    whole = results.combined_tape(tapes).first()
+    assert whole["combined_trade_count"] == len(rows) and whole == results.combined_tape(tapes.repartition(3)).first()
+    floats = spark.createDataFrame([(1, 2, 0.5), (1, 1, 0.25)], "k long, t long, x double")
+    state = book.fnv(book.fnv(book.BASIS, struct.pack(">d", 0.25)), struct.pack(">d", 0.5))
+    assert tuple(book.ordered_hash(floats, "k", ["t"], ["x"], "n", "h").first()) == (1, 2, f"{state:016x}")
+
+
+def test_summaries_of_runs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from orderlens.sources import sinks
+
+    config = windowed.WindowedConfig(seconds=1.0)
+    rows = windowed.run_windows(spark.createDataFrame([(0, 3), (1, 4)], "run_id long, seed long"), config).cache()
+    summary = windowed.run_summary(rows, config)
+    assert all(r["conserved"] and r["total_agents"] == 903 for r in summary.collect())
+    clock = results.StageClock()
+    with clock.stage("agents"):
+        pass
+    rollup = results.run_rollup(clock.rows(spark), ["gather"], "agents")
+    one = results.simulation_summary(summary, rollup, 1, 2.0)
+    assert len(one.columns) == 26 and one.count() == 2 and one.first()["throughput_events_per_second"] > 0
+    moments = results.asset_summary(windowed.states(rows), ["run_id"], ["time_ns"], 100, 11, 1.0, ["n_limit_buy"])
+    many = results.distributed_summary(summary, moments, 1, 2.0, 100, final_ns=10**9)
+    assert len(many.columns) == 29 and {r["structurally_valid"] for r in many.collect()} == {1} and {r["terminated_early"] for r in many.collect()} == {0}
+    sinks.write_summary(many, str(tmp_path / "s"))
+    assert spark.read.csv(str(tmp_path / "s"), header=True).count() == 2
+    market = simulate.MarketConfig(books=3, seconds=1.0)
+    samples = simulate.run_markets(spark.createDataFrame([(0, 3)], "run_id long, seed long"), market).cache()
+    tapes = spark.createDataFrame([(0, 5, "aa"), (1, 6, "bb")], "book_id long, trades long, tape_hash string")
+    symbols = spark.range(3).select(F.col("id").alias("book_id"), F.concat(F.lit("B"), "id").alias("symbol"))
+    books = results.book_summary(samples, tapes, symbols, 100, 11, 1.0, ranks=2).orderBy("book_id").collect()
+    assert [b["owner_rank"] for b in books] == [0, 1, 0] and {b["combined_trade_count"] for b in books} == {11} and books[2]["trade_count"] == 0
+    assert all(b["structurally_valid"] and b["processed_events"] == sum(b[f"{n}_events"] for n in ("limit_buy", "limit_sell", "market_buy", "market_sell", "cancel_bid", "cancel_ask")) for b in books)
+    found = {r["name"] for r in simulate.run_moments(samples, market).collect()}
+    assert {"market_order_best_removal_rate", "cancel_best_removal_rate", "spread_p90", "return_variance"} <= found
