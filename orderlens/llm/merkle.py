@@ -65,17 +65,13 @@ def with_likeness(df: DataFrame, ours: str, theirs: str, out: str) -> DataFrame:
     return df.withColumn(out, 2 * shared / (2 * F.col(_same) + F.size(_left) + F.size(_right))).drop(_a, _b, _same, _left, _right)
 
 
-def differing(ours: Column, theirs: Column) -> tuple[Column, Column, Column]:
-    """Of two arrays: how many parts they have in common at the start, and what is left of each without those and the common ones at the end."""
-
-    def common(a: Column, b: Column) -> Column:
-        unequal = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-        return F.when(unequal == 0, F.least(F.size(a), F.size(b))).otherwise(unequal - 1).cast("int")
-
-    start = common(ours, theirs)
-    rest = lambda a: F.slice(a, start + 1, F.size(a))
-    end = common(F.reverse(rest(ours)), F.reverse(rest(theirs)))
-    return start, F.slice(rest(ours), 1, F.size(ours) - start - end), F.slice(rest(theirs), 1, F.size(theirs) - start - end)
+def narrowed(df: DataFrame, ours: str, theirs: str, start: str, end: str) -> DataFrame:
+    """Of two array columns only what is left without the parts in common at the start and at the end; start and end tell how many these were. A column for each step, so that none is computed twice."""
+    common = lambda a, b: F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False), F.lit(0)) - 1, F.least(F.size(a), F.size(b))).cast("int")
+    df = df.withColumn(start, common(F.col(ours), F.col(theirs)))
+    df = df.withColumns({c: F.slice(c, F.col(start) + 1, F.size(c)) for c in (ours, theirs)})
+    df = df.withColumn(end, common(F.reverse(ours), F.reverse(theirs)))
+    return df.withColumns({c: F.slice(c, F.lit(1), F.size(c) - F.col(end)) for c in (ours, theirs)})
 
 
 def with_difference(df: DataFrame, ours: str, theirs: str, out: str) -> DataFrame:
@@ -83,16 +79,14 @@ def with_difference(df: DataFrame, ours: str, theirs: str, out: str) -> DataFram
 
     Found by descent from the root: of the sections that differ the paragraphs that differ, of these the leaves. Null where the roots are equal.
     """
-    columns = free(df, "_section", "_a1", "_b1", "_paragraph", "_a2", "_b2", "_leaf", "_a3", "_b3")
-    _section, _a1, _b1, _paragraph, _a2, _b2, _leaf, _a3, _b3 = columns
+    columns = free(df, "_ours", "_theirs", "_section", "_paragraph", "_leaf", "_end1", "_end2", "_end3")
+    a, b, *starts = columns[:5]
     leaves = lambda branches: F.regexp_extract_all(F.array_join(branches, "/"), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0))
-    paragraphs = lambda branches: F.flatten(F.transform(branches, lambda b: F.split(b, "/", -1)))
-    df = df.withColumns(dict(zip(columns[0:3], differing(sections_of(ours), sections_of(theirs)))))
-    df = df.withColumns({_a1: paragraphs(F.col(_a1)), _b1: paragraphs(F.col(_b1))})
-    df = df.withColumns(dict(zip(columns[3:6], differing(F.col(_a1), F.col(_b1)))))
-    df = df.withColumns({_a2: leaves(F.col(_a2)), _b2: leaves(F.col(_b2))})
-    df = df.withColumns(dict(zip(columns[6:9], differing(F.col(_a2), F.col(_b2)))))
-    place = F.struct(F.col(_section).alias("section"), F.col(_paragraph).alias("paragraph"), F.col(_leaf).alias("leaf"), F.size(_a3).alias("leaves"))
+    parts = [lambda c: F.flatten(F.transform(c, lambda x: F.split(x, "/", -1))), leaves]
+    df = narrowed(df.withColumns({a: sections_of(ours), b: sections_of(theirs)}), a, b, starts[0], columns[5])
+    for part, start, end in zip(parts, starts[1:], columns[6:]):
+        df = narrowed(df.withColumns({c: part(F.col(c)) for c in (a, b)}), a, b, start, end)
+    place = F.struct(*[F.col(c).alias(n) for c, n in zip(starts, ("section", "paragraph", "leaf"))], F.size(a).alias("leaves"))
     return df.withColumn(out, F.when(F.substring_index(ours, ":", 1) != F.substring_index(theirs, ":", 1), place)).drop(*columns)
 
 
