@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, marked, stay, whole
+from .common import keep, marked, spread_join, stay, whole
 from .graph import stars
 
 BITS = 3
@@ -184,12 +184,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = fingerprints(docs, id_col, text_col)
     rows = keep(rows if with_marks else rows.select("id", "fp"))
-    groups = keep(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    groups = keep(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     star = stars(links(groups.select("fp"), long_list))
     member = groups.join(star.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(roots, "root").select("fp", "root", "component_id")
-    out = rows.join(named, "fp")
+    out = spread_join(rows, named, "fp", groups.select("fp", "n"))
     if with_marks:
         return out.select("id", "mark", "check", "root")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -200,6 +200,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = near_components(docs, id_col, text_col, with_marks=True, **how)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "check")
     rows = rows.select("root", "id", "mark", "check", rank.alias("rank"))
-    ends = rows.groupBy("root").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    told = rows.join(ends, "root").withColumn("kept", F.col("rank") == F.col("best"))
+    rows = keep(rows)
+    best = keep(rows.groupBy("root").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    told = spread_join(rows, best.select("root", "best"), "root", best.select("root", "n")).withColumn("kept", F.col("rank") == F.col("best"))
     return stay(docs, told.select("id", "mark", "check", "kept"), id_col, text_col)
