@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market, rng
 from ..functions.windows import last_known, running_totals
+from .book import CANCEL_OWNER
 
 #: Share and wake rate (per second) of each kind of agent.
 RATES = {"market_maker": 50.0, "momentum": 0.20, "informed": 0.05, "institutional": 0.01}
@@ -76,6 +77,33 @@ def with_hysteresis(df: DataFrame, keys: list[str], order: list[str], premium: s
     return last_known(df, keys, order, change, out).withColumn(out, F.coalesce(out, F.lit(0)))
 
 
+def basket_legs(directions: DataFrame, weights: DataFrame, keys: list[str], quantity: int, basket: int = 0) -> DataFrame:
+    """Orders of an arbitrage (keys, direction): the basket one way, its components the other by their weights; none where the direction is 0."""
+    total = weights.where(F.col("book_id") != basket).agg(F.sum("weight")).scalar()
+    size = F.when(F.col("book_id") == basket, F.lit(quantity)).otherwise(-F.round(quantity * F.col("weight") / total)).cast("long")
+    legs = weights.select("book_id", size.alias("size"))
+    listed = legs.agg(F.collect_list(F.struct("book_id", "size"))).scalar()  # as many as a basket has components
+    return directions.where("direction <> 0").select(*keys, "direction", F.explode(listed).alias("leg")).select(*keys, "leg.book_id", (F.col("direction") * F.col("leg.size")).cast("long").alias("quantity"))
+
+
+#: Fixed value: salt of tie-breakers.
+TIE_SALT = 0xD1B54A32D192ED03 - (1 << 64)
+
+
+def order_messages(orders: DataFrame) -> DataFrame:
+    """Orders (owner, counter, generated_ns, latency_ns, action, quantity) as messages: a sequence that no other owner has, a seeded tie-breaker, the arrival, and no empty ones but cancels of all of an owner's orders."""
+    sequence = market.owner_sequence(F.col("owner"), F.col("counter"))
+    out = orders.withColumn("sequence", sequence).withColumn("tie_breaker", rng.draw(F.col("sequence").bitwiseXOR(F.lit(TIE_SALT)), F.lit(1)))
+    return out.withColumn("arrival_ns", market.add_time(F.col("generated_ns"), F.col("latency_ns"))).where((F.col("quantity") > 0) | (F.col("action") == CANCEL_OWNER))
+
+
+def maker_settings(books: DataFrame, latency_ns: int = 5000, threshold: float = 1000.0) -> DataFrame:
+    """What a shared maker needs of each book of a configuration, with the faults of each (an empty list where it is sound)."""
+    rules = {"quantity": F.col("market_maker_quote_quantity") > 0, "spread": F.col("target_spread_ticks") > 0, "beta": F.coalesce(F.abs("beta") < float("inf"), F.lit(False)) & (F.col("beta") != 0), "weight": F.col("basket_weight") >= 0, "latency": F.lit(latency_ns >= 0), "threshold": F.lit(threshold > 0)}
+    faults = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
+    return books.select("book_id", F.col("market_maker_quote_quantity").alias("quantity"), F.col("target_spread_ticks").alias("spread"), "beta", F.col("basket_weight").alias("weight"), F.lit(latency_ns).alias("latency_ns"), F.lit(threshold).alias("threshold"), faults.alias("faults"))
+
+
 def passive_quotes(states: DataFrame, keep: list[str], tick: int, quantity: int, min_spread: int = 2, levels: int = 1) -> DataFrame:
     """A local maker's quotes (best_bid, best_ask, inventory): joins the best unless the spread is wide, leans against inventory, rebuilds a missing side; a row for each side and level."""
     bid, ask, held = F.coalesce("best_bid", F.lit(0)), F.coalesce("best_ask", F.lit(0)), F.col("inventory")

@@ -58,6 +58,15 @@ def message_total(counters: DataFrame, names: list[str], out: str = "messages")
     return counters.withColumn(out, total)
 
 
+def admission_faults(events: DataFrame, id_col: str, key: str, known: Column, at: Column, now: int, end: int, quantity: Column, before: Column) -> DataFrame:
+    """(id, fault) of events that can't be scheduled: of an unknown book, in the past, after the end, empty, with a key that another one has, or not after the one before."""
+    twice = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_key"), F.lit(True).alias("_twice"))
+    rows = events.join(twice, F.col(key) == F.col("_key"), "left")
+    faults = {"book": ~F.coalesce(known, F.lit(False)), "past": at < now, "end": at > end, "quantity": quantity <= 0, "twice": F.col("_twice"), "order": at <= before}
+    found = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in faults.items()]), lambda x: x.isNotNull())
+    return rows.select(id_col, F.explode(found).alias("fault"))
+
+
 def at_boundaries(samples: DataFrame, at: str, interval: int) -> DataFrame:
     return samples.where(F.pmod(F.col(at), F.lit(interval)) == 0)
 

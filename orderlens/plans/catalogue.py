@@ -350,7 +350,7 @@ def affected_assets(spark, sf_dir):
     return rounded(df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("affected")))
 
 
-@query(f"""{E}, s AS (SELECT event_id, CASE WHEN k % 10 = 0 THEN 0 ELSE 10000 + k * 100 END AS bid, CASE WHEN k % 7 = 0 THEN 0 ELSE 10100 + k * 100 + (event_id % 6) * 100 END AS ask, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 10050 + k * 100 END AS last, 20000 AS fair, k + 1 AS q FROM e WHERE event_type = 'error'),
+@query(f"""{E}, s AS (SELECT event_id, CASE WHEN k % 10 = 0 THEN 0 ELSE 10000 + k * 100 END AS bid, CASE WHEN k % 7 = 0 THEN 0 ELSE 10100 + k * 100 + (event_id % 6) * 100 END AS ask, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 10050 + k * 100 END AS last, 20000 AS fair, k + 1 AS q FROM e),
 b AS (SELECT *, 200 AS wide, least(greatest(CAST(round(((CASE WHEN last > 0 THEN last ELSE (bid + ask) / 2 END) - 100) / 100) AS BIGINT) * 100, bid), ask - 200) AS bracket,
  CASE WHEN bid > 0 THEN CASE WHEN last > 0 THEN last ELSE bid + 100 END WHEN ask > 0 THEN CASE WHEN last > 0 THEN last ELSE ask - 100 END ELSE CAST(round((CASE WHEN last > 200 THEN last ELSE fair END) / 100) AS BIGINT) * 100 END AS centre FROM s),
 p AS (SELECT event_id, q, CASE WHEN bid > 0 AND ask > bid THEN CASE WHEN ask - bid >= 400 THEN bracket ELSE bid END ELSE centre - 100 END AS pb, CASE WHEN bid > 0 AND ask > bid THEN CASE WHEN ask - bid >= 400 THEN bracket + wide ELSE ask END ELSE centre + 100 END AS pa FROM b)
@@ -358,7 +358,7 @@ SELECT event_id, l.level, d.side, CAST(CASE WHEN d.side > 0 THEN pb - l.level *
 FROM p, (VALUES (0), (1), (2)) l(level), (VALUES (1), (-1)) d(side) WHERE pb > 0 AND pa > pb AND pb - l.level * 100 > 0""")
 def quote_ladder(spark, sf_dir):
     k, i = F.col("k"), F.col("event_id")
-    states = events(spark, sf_dir).where("event_type = 'error'").select(
+    states = events(spark, sf_dir).select(
         "event_id", F.when(k % 10 == 0, 0).otherwise(10_000 + k * 100).alias("best_bid"), F.when(k % 7 == 0, 0).otherwise(10_100 + k * 100 + (i % 6) * 100).alias("best_ask"),
         F.when(i % 3 == 0, 0).otherwise(10_050 + k * 100).alias("last_trade"), F.lit(20_000).alias("fundamental"), (k + 1).alias("q"),
     )
@@ -512,30 +512,34 @@ def trade_tape_hash(spark, sf_dir):
     return book.tape_hash(book.match_trades(book_orders(spark, sf_dir)))
 
 
-def runs(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("run_id"), F.lit(0).cast("long").alias("book_id"), (F.col("id") * 7919 + 17).alias("seed"))
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each supplier, with a seed of its own."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"), F.lit(0).cast("long").alias("book_id"), (F.col("s_suppkey") * 7919 + 17).alias("seed"))
+
+
+SHORT = {"seconds": 0.25, "sample_ms": 25}
 
 
 @query()
 def hawkes_run(spark, sf_dir):
-    return hawkes.hawkes_events(runs(spark, 16), hawkes.HawkesConfig(), 5.0)
+    return hawkes.hawkes_events(runs(spark, sf_dir), hawkes.HawkesConfig(), 5.0)
 
 
 @query()
 def market_run(spark, sf_dir):
-    return simulate.run_markets(runs(spark, 8), simulate.MarketConfig(books=3, seconds=2.0, hedging=True))
+    return simulate.run_markets(runs(spark, sf_dir), simulate.MarketConfig(books=3, hedging=True, **SHORT))
 
 
 @query()
 def market_run_moments(spark, sf_dir):
-    config = simulate.MarketConfig(books=2, seconds=2.0)
-    return simulate.run_moments(simulate.run_markets(runs(spark, 4), config), config)
+    config = simulate.MarketConfig(books=2, **SHORT)
+    return simulate.run_moments(simulate.run_markets(runs(spark, sf_dir), config), config)
 
 
 @query()
 def shock_run(spark, sf_dir):
-    config = simulate.MarketConfig(books=4, seconds=2.0, shock_s=1.0, shock_multiple=3.0, shocked=(0, 1))
-    return simulate.shock_metrics(simulate.run_markets(runs(spark, 4), config), config.shocked)
+    config = simulate.MarketConfig(books=4, shock_s=0.1, shock_multiple=3.0, shocked=(0, 1), **SHORT)
+    return simulate.shock_metrics(simulate.run_markets(runs(spark, sf_dir), config), config.shocked)
 
 
 @query()
@@ -548,12 +552,12 @@ def calibration_run(spark, sf_dir):
 
 def quote_states(spark, sf_dir) -> DataFrame:
     k, i = F.col("k"), F.col("event_id")
-    return events(spark, sf_dir).where("event_type = 'click'").select(
+    return events(spark, sf_dir).select(
         "event_id", F.when(k % 9 == 0, 0).otherwise(10_000 + k * 10).alias("best_bid"), F.when(k % 8 == 0, 0).otherwise(10_050 + k * 10 + (i % 7) * 100).alias("best_ask"), (i % 61 - 30).alias("inventory"),
     )
 
 
-@query(f"""{E}, s AS (SELECT event_id, CASE WHEN k % 9 = 0 THEN 0 ELSE 10000 + k * 10 END AS bid, CASE WHEN k % 8 = 0 THEN 0 ELSE 10050 + k * 10 + (event_id % 7) * 100 END AS ask, event_id % 61 - 30 AS held FROM e WHERE event_type = 'click'),
+@query(f"""{E}, s AS (SELECT event_id, CASE WHEN k % 9 = 0 THEN 0 ELSE 10000 + k * 10 END AS bid, CASE WHEN k % 8 = 0 THEN 0 ELSE 10050 + k * 10 + (event_id % 7) * 100 END AS ask, event_id % 61 - 30 AS held FROM e),
 c AS (SELECT *, CAST(round((bid + ask) / 2) AS BIGINT) - CAST(least(3, greatest(-3, round(0.25 * held / 10))) AS BIGINT) * 50 AS centre FROM s),
 q AS (SELECT event_id, held, CASE WHEN bid > 0 AND ask > 0 THEN least(CASE WHEN ask - bid > 100 THEN greatest(bid + 50, centre - 50) ELSE bid END, ask - 50) WHEN bid > 0 THEN bid WHEN ask > 0 THEN ask - 100 END AS low,
  CASE WHEN bid > 0 AND ask > 0 THEN greatest(CASE WHEN ask - bid > 100 THEN least(ask - 50, centre + 50) ELSE ask END, bid + 50) WHEN bid > 0 THEN bid + 100 WHEN ask > 0 THEN ask END AS high FROM c),

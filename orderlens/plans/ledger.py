@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import market, rng
 from ..functions.windows import lagged
 from ..operators import agents, flow, results, simulate, windowed
-from .catalogue import BOOK, CUT, DAY, E, ORDER, SLICE, SPLITMIX, STAGES, START, TRADES, UPTO, W, events, query, rounded, runs, table, trades
+from .catalogue import BOOK, CUT, DAY, E, ORDER, SLICE, SPLITMIX, STAGES, START, TRADES, UPTO, W, basket_arbitrage, events, query, rounded, runs, table, trades
 
 
 def stages(spark, sf_dir):
@@ -283,18 +283,46 @@ def repair_wakes(spark, sf_dir):
     return agents.repair_wakes(sided(spark, sf_dir), F.col("k") >= 50, F.col("k") == 99, "t_us", 5000, 20_000)
 
 
+BASKET = f"""{E}, s AS (SELECT t_us // {DAY} AS day, book_id % 4 AS book_id, avg(value) AS mid FROM e GROUP BY ALL),
+p AS (SELECT day, 10000 * (max(CASE WHEN book_id = 0 THEN mid END) / (sum(CASE WHEN book_id <> 0 THEN book_id * mid END) / sum(CASE WHEN book_id <> 0 THEN book_id END)) - 1) AS x FROM s GROUP BY day),
+c AS (SELECT day, CASE WHEN x > 800 THEN -1 WHEN x < -800 THEN 1 WHEN abs(x) < 200 THEN 0 END AS c FROM p), d AS (SELECT CAST(day AS BIGINT) AS day, coalesce(last_value(c IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 0) AS direction FROM c)"""
+
+
+@query(f"""{BASKET} SELECT day, b.i AS book_id, CAST(CASE WHEN b.i = 0 THEN direction * 100 ELSE -direction * round(100 * b.i / 6.0::DOUBLE) END AS BIGINT) AS quantity FROM d, range(4) b(i) WHERE direction <> 0""")
+def basket_legs(spark, sf_dir):
+    weights = spark.range(4).select(F.col("id").alias("book_id"), F.col("id").cast("double").alias("weight"))
+    return agents.basket_legs(basket_arbitrage(spark, sf_dir).select("day", "direction"), weights, ["day"], 100)
+
+
+@query(f"""{E}, a AS (SELECT event_id, book_id, t_us, k, count(*) OVER (PARTITION BY book_id, k % 50, t_us // {DAY}) AS same, lag(t_us) OVER (PARTITION BY book_id ORDER BY event_id) AS before FROM e),
+f AS (SELECT event_id, unnest([CASE WHEN book_id >= 140 OR book_id % 14 = 13 THEN 'book' END, CASE WHEN t_us < {START} + {DAY} THEN 'past' END, CASE WHEN t_us > {START} + {28 * DAY} THEN 'end' END, CASE WHEN k = 0 THEN 'quantity' END, CASE WHEN same > 1 THEN 'twice' END, CASE WHEN t_us <= before THEN 'order' END]) AS fault FROM a)
+SELECT event_id, fault FROM f WHERE fault IS NOT NULL""")
+def admission_faults(spark, sf_dir):
+    df = events(spark, sf_dir).withColumn("key", F.concat_ws("-", F.col("book_id").cast("string"), (F.col("k") % 50).cast("string"), F.floor(F.col("t_us") / DAY).cast("string")))
+    df = lagged(df, BOOK, ["event_id"], {"before": ("t_us", 1)})
+    known = (F.col("book_id") < 140) & (F.col("book_id") % 14 != 13)
+    return results.admission_faults(df, "event_id", "key", known, F.col("t_us"), START + DAY, START + 28 * DAY, F.col("k"), F.col("before"))
+
+
+@query(f"""{E}, g AS (SELECT event_id, book_id, k, t_us, (book_id << 32) | event_id AS seq FROM e), s AS (SELECT *, CAST(xor(seq::UBIGINT, 15111065706836454659::UBIGINT) AS UBIGINT) AS seed, 1 AS n FROM g), {draws_sql("s", "event_id, seq, k, t_us").replace("greatest(1e-12, (xor(z, z >> 31) >> 11) / 9007199254740992.0::DOUBLE) AS u", "xor(z, z >> 31) AS t")}
+SELECT event_id, seq AS sequence, CASE WHEN t >= 9223372036854775808 THEN CAST(t::HUGEINT - 18446744073709551616 AS BIGINT) ELSE CAST(t AS BIGINT) END AS tie_breaker, t_us * 1000 AS generated_ns, t_us * 1000 + 5000 AS arrival_ns, k AS quantity FROM d WHERE k > 0""")
+def order_messages(spark, sf_dir):
+    df = events(spark, sf_dir).select("event_id", F.col("book_id").alias("owner"), F.col("event_id").alias("counter"), (F.col("t_us") * 1000).alias("generated_ns"), F.lit(5000).alias("latency_ns"), F.col("k").alias("quantity"), F.lit(0).alias("action"))
+    return agents.order_messages(df).select("event_id", "sequence", "tie_breaker", "generated_ns", "arrival_ns", "quantity")
+
+
 @query()
 def windowed_run(spark, sf_dir):
-    return windowed.states(windowed.run_windows(runs(spark, 4), windowed.WindowedConfig(seconds=1.0)))
+    return windowed.states(windowed.run_windows(runs(spark, sf_dir), windowed.WindowedConfig(seconds=0.25, sample_windows=5)))
 
 
 @query()
 def windowed_reports(spark, sf_dir):
-    return windowed.run_reports(windowed.run_windows(runs(spark, 4), windowed.WindowedConfig(seconds=1.0, with_reports=True)))
+    return windowed.run_reports(windowed.run_windows(runs(spark, sf_dir), windowed.WindowedConfig(seconds=0.25, with_reports=True)))
 
 
 @query()
 def windowed_summary(spark, sf_dir):
-    config = windowed.WindowedConfig(seconds=1.0)
-    return windowed.run_summary(windowed.run_windows(runs(spark, 4), config), config)
+    config = windowed.WindowedConfig(seconds=0.25)
+    return windowed.run_summary(windowed.run_windows(runs(spark, sf_dir), config), config)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.book import LIMIT, MARKET, STATE, Book
@@ -36,6 +38,22 @@ def clamp_late(messages: DataFrame, arrival: str, window_start: int) -> DataFram
     return messages.withColumn(arrival, F.greatest(F.col(arrival), F.lit(window_start)))
 
 
+def run_for(query: StreamingQuery, seconds: float) -> str:
+    """Let a query run up to a wall-clock limit and stop it there; how it ended: completed, limit or failed."""
+    try:
+        done = query.awaitTermination(seconds)
+    except StreamingQueryException:
+        return "failed"
+    if not done:
+        query.stop()
+    return "completed" if done else "limit"
+
+
+def batch_horizon(horizons: dict[str, float], kinds: list[str]) -> str:
+    """The trigger interval of a stream that serves several kinds of agents: the shortest of theirs."""
+    return f"{max(0, int(1000 * min(horizons[k] for k in kinds)))} milliseconds"
+
+
 RESTING = "array<struct<price:long,owner:long,quantity:long,sequence:long>>"
 STATE_SCHEMA = f"bids {RESTING}, asks {RESTING}, last_trade long, bought long, sold long, pending array<{MESSAGE_STRUCT}>"
 
@@ -93,4 +111,4 @@ def dual_clock_flow(orders: DataFrame, decision: str, refresh: str) -> tuple[Dat
     return tumbling_flow(orders, decision), tumbling_flow(orders, refresh)
 
 
-__all__ = ["LIMIT", "MARKET", "clamp_late", "dual_clock_flow", "event_time", "split_due", "stateful_books", "tumbling_flow"]
+__all__ = ["LIMIT", "MARKET", "batch_horizon", "clamp_late", "dual_clock_flow", "event_time", "run_for", "split_due", "stateful_books", "tumbling_flow"]

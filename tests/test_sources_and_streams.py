@@ -289,3 +289,19 @@ def test_late_and_future(spark):
     due, later = flows.split_due(df, "t", 10)
     assert due.count() == 1 and later.count() == 2
     assert sorted(r[0] for r in flows.clamp_late(df, "t", 10).collect()) == [10, 10, 11]
+
+
+def test_wall_clock_limit(spark, tmp_path):
+    endless = spark.readStream.format("rate").option("rowsPerSecond", 5).load().writeStream.format("memory").queryName("endless").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert flows.run_for(endless, 2) == "limit" and not endless.isActive
+    short = spark.readStream.schema("k long").parquet(str(tmp_path)).writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
+    assert flows.run_for(short, 60) == "completed"
+    assert flows.batch_horizon({"market_maker": 0.02, "momentum": 1.0}, ["momentum", "market_maker"]) == "20 milliseconds"
+
+
+def test_maker_settings(spark, tmp_path):
+    from orderlens.operators import agents
+
+    books = tables.resolved_books(spark, None, 2).withColumn("beta", F.when(F.col("book_id") == 1, 0.0).otherwise(1.0))
+    rows = {r["book_id"]: r["faults"] for r in agents.maker_settings(books, latency_ns=-1).collect()}
+    assert rows == {0: ["latency"], 1: ["beta", "latency"]} and agents.maker_settings(books.where("book_id = 0")).first()["faults"] == []
