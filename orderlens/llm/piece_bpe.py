@@ -251,7 +251,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """id_col, n_tokens, ids (packed, little-endian unsigned 32-bit, with begin and end), decoded; a null text is the empty one.
 
     The model file (half a megabyte, whatever the input) is read by the driver and broadcast. No shuffle. with_text=False leaves
-    out ids and decoded and gives only their digests. Repeated rows give repeated results; a null id stays null.
+    out ids and decoded and gives only their digests. Repeated rows give repeated results; a null id stays null; an empty text has the begin
+    and the end id; an empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
