@@ -4,7 +4,8 @@ URLs that a rule allows or blocks teach two variable-order Markov models over ch
 smoothing: each order falls back on the one below, and a context never seen leaves all to it). A URL without a rule gets the
 length-normalised difference of its log-likelihoods, and is allowed if it isn't under the threshold. One in ``HELD_OUT`` ruled URLs, by hash of
 host and path, isn't taught: the threshold is calibrated on these, between the means of the two classes in proportion to their spreads, and
-they show what the model is worth (columns held_out and model_verdict). Where a class has no URL held out, all ruled ones calibrate.
+they show what the model is worth (columns held_out and model_verdict). Without evidence the threshold is 0, where both models find a URL equally
+likely; with n URLs held out in the smaller class the calibrated one counts n / (n + ``CAUTION``).
 
 The model is a table of the grams that occur, which grows with the URLs: a gram has the top order's context and its sign, and the
 counts of lower orders are sums over it. Only the grams that are most frequent, of a bounded number, are sent to all tasks.
@@ -24,7 +25,7 @@ from .common import ascii_lower, keep
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0-./?=&_%#:~*^"
 SIGNS = len(ALPHABET)
-HELD_OUT = 4
+HELD_OUT, CAUTION = 4, 20
 #: All of printable ASCII but the boundary, a sign each for letters, numbers and others outside ASCII, and the boundary.
 WIDE = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "^") + "\u00aa\u00b9\u00a4^"
 
@@ -110,11 +111,11 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     sides = ("allow", "block")
     of = {v: F.when(F.col("_rule.verdict") == v, F.col("score")) for v in sides}
     apart = {v: F.when(F.col("_held_out"), of[v]) for v in sides}
-    # Both classes from the URLs held out, or both from all.
-    both = F.count(apart["allow"]) * F.count(apart["block"]) > 0
-    mean = {v: F.when(both, F.avg(apart[v])).otherwise(F.avg(of[v])) for v in sides}
-    spread = {v: F.when(both, F.stddev_pop(apart[v])).otherwise(F.coalesce(F.stddev_pop(of[v]), F.lit(0.0))) + 1e-9 for v in sides}
-    threshold = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
+    n = F.least(*[F.count(apart[v]) for v in sides])
+    mean, spread = {v: F.avg(apart[v]) for v in sides}, {v: F.stddev_pop(apart[v]) + 1e-9 for v in sides}
+    middle = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
+    # Null, which blocks nothing, where one of the classes has no URL at all.
+    threshold = F.when(F.count(of["allow"]) * F.count(of["block"]) > 0, F.coalesce(middle * n / (n + CAUTION), F.lit(0.0)))
     by_model = F.when(F.col("score") < scored.agg(threshold).scalar(), "block").otherwise("allow")
     out = scored.withColumn("_by_model", by_model)
     return out.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), "_by_model").alias("verdict"), "score", F.col("_held_out").alias("held_out"), F.col("_by_model").alias("model_verdict"))
