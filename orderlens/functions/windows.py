@@ -2,7 +2,7 @@
 
 A plain window function sorts a whole series (a hot book, say) in one task. Here the rows of a series are cut into slices by the order's first
 column; each slice is one window, and what its predecessors carry into it comes from one row for each slice, joined back. The
-rows are dealt once: the slices' totals, their windows and the join all use that one exchange.
+rows are dealt once, for their windows and the join; slices' totals read the columns they need again and are combined before they move.
 
 Slices are ranges of a width where the caller knows one, else between quantiles of the column over all series, so that the slices of a series that
 holds a share of all rows hold equal shares of it (which reads the column once more).
@@ -56,14 +56,14 @@ def carried(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     # Two hashes name a series' slice, as keys can be null.
     rows = with_slice(df, order[0], width)
     names = [*keys, "_slice"]
-    rows = rows.withColumns({"_part": F.xxhash64(*names), "_check": F.hash(*names)}).repartition("_part", "_check")
+    rows = rows.withColumns({"_part": F.xxhash64(*names), "_check": F.hash(*names)})
     within = Window.partitionBy("_part", "_check").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     firsts = [F.first(c).alias(f"_n{i}") for i, c in enumerate(names)]
     slices = rows.groupBy("_part", "_check").agg(*firsts, *[v.whole.alias(f"_b{i}") for i, v in enumerate(values.values())])
     # A row for each series and slice, so this window is short.
     before = Window.partitionBy(*[f"_n{i}" for i in range(len(keys))]).orderBy(f"_n{len(keys)}").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("_part", "_check", *[v.total(F.col(f"_b{i}")).over(before).alias(f"_b{i}") for i, v in enumerate(values.values())])
-    out = rows.withColumns({f"_a{i}": v.inside(within) for i, v in enumerate(values.values())}).join(slices, ["_part", "_check"])
+    out = rows.repartition("_part", "_check").withColumns({f"_a{i}": v.inside(within) for i, v in enumerate(values.values())}).join(slices, ["_part", "_check"])
     both = [v.combine(F.col(f"_b{i}"), F.col(f"_a{i}")).alias(name) for i, (name, v) in enumerate(values.items())]
     return out.select(*[F.col(c) for c in df.columns if c not in values], *both)
 

@@ -54,6 +54,7 @@ class MarketConfig:
     hedge_share: float = 0.5
     improve: float = 0.05
     improve_from: int = 2
+    reject_crossing: bool = False
     quantities: tuple = ((25, 200), (25, 200), (25, 700), (25, 700), (25, 500), (25, 500))
     distances: tuple = ((0, 5), (0, 5), (0, 5), (0, 5))
     hawkes: HawkesConfig = field(default_factory=HawkesConfig)

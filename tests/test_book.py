@@ -213,6 +213,18 @@ def test_passive_maker():
     assert quotes(two_sided()) == [(1, 50, 1100), (-1, 200, 1300)]
 
 
+def test_background_limits():
+    """A limit stands at its own best less the distance; with room it can improve by a tick; one that would cross can be left out."""
+    from orderlens.functions.rng import Stream
+
+    fixed = {"quantities": ((10, 10),) * 6, "distances": ((2, 2),) * 4}
+    order = lambda state, **more: windowed.background_order(0, state, Stream(1), windowed.WindowedConfig(**fixed, **more))[:4]
+    assert order(two_sided(1000, 1500), improve=0.0) == (LIMIT, 1, 10, 800) and order(two_sided(1000, 1500), improve=1.0) == (LIMIT, 1, 10, 1100)
+    assert order(two_sided(1000, 1200), improve=1.0, improve_from=3) == (LIMIT, 1, 10, 800)
+    assert windowed.background_order(1, two_sided(1000, 0), Stream(1), windowed.WindowedConfig(**fixed, reject_crossing=True))[:4] == (LIMIT, -1, 0, 100)
+    assert windowed.background_order(5, two_sided(), Stream(1), windowed.WindowedConfig(**fixed))[:5] == (CANCEL_AT, -1, 10, 0, 2)
+
+
 def test_draws_from_a_distribution():
     from orderlens.functions.rng import Stream
 
