@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, licenses, merkle, mixing, pii, piece_bpe, simhash, substring, toxicity, urls
-from .common import WORD, read
+from .common import WORD, read, release
 
 
 def piece_model_path() -> str:
@@ -85,3 +85,6 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_stay, 0
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_exact_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL}
+
+
+__all__ = ["oracle_sql", "piece_model_path", "queries", "release"]
