@@ -61,7 +61,7 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """Encoder and decoder of one model file's bytes."""
 
-    def __init__(self, data: bytes, cached_words: int = 300_000):
+    def __init__(self, data: bytes, cached_words: int = 150_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -125,7 +125,7 @@ class PieceModel:
         """Do the two pieces (left: -1 for none) come back from merging their characters?"""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= 4 * self.cached_words:
+            if len(self.pairs) >= 2 * self.cached_words:
                 self.pairs.clear()
             text = (self.pieces[left] if left >= 0 else "") + self.pieces[right]
             found = self.pairs[left, right] = self.remerge(text) == ([left, right] if left >= 0 else [right])
