@@ -42,6 +42,7 @@ class MarketConfig:
     value_threshold_bps: float = 1.0
     maker_quantity: int = 100
     maker_levels: int = 1
+    risk_limit: float = 5000.0
     shock_s: float | None = None
     shock_multiple: float = 0.0
     shock_quantity: int | None = None
@@ -64,6 +65,15 @@ MAKER, VALUE, SHOCK = 1_000_001, 2_000_001, 3_000_001
 SAMPLE_SCHEMA = "run_id long, book_id long, time_ns long, best_bid long, best_ask long, bid_depth long, ask_depth long, last_trade long, mid double, spread double, volume long, n_limit_buy long, n_limit_sell long, n_market_buy long, n_market_sell long, n_cancel_bid long, n_cancel_ask long, market_best_removals long, cancel_best_removals long, maker_inventory long, shock_filled long, shock_by_maker long"
 
 
+def quote_sizes(inventory: int, gross: float, books: int, config: MarketConfig) -> tuple[int, int]:
+    """Bid and ask quantity of a maker: the side that adds to its inventory shrinks, the other grows, and both shrink once over half of the risk limit of its books is used."""
+    lean = min(0.75, abs(inventory) / max(1.0, config.risk_limit))
+    used = gross / (max(1.0, config.risk_limit) * max(1, books))
+    scale = 1.0 if used <= 0.5 else max(0.0, 2 * (1 - used))
+    bid, ask = (1 - lean if inventory * side > 0 else 1 + lean for side in (1, -1))
+    return math.floor(config.maker_quantity * bid * scale + 0.5), math.floor(config.maker_quantity * ask * scale + 0.5)
+
+
 def simulate(run_id: int, seed: int, config: MarketConfig, which: range | None = None) -> Iterator[tuple]:
     """Samples of a run's books (all, or those in a range), in time order. Clocks and background events are merged by time; at one time clocks come first, then books in order."""
     end, members = round(config.seconds * 1e9), which or range(config.books)
@@ -102,9 +112,12 @@ def simulate(run_id: int, seed: int, config: MarketConfig, which: range | None =
         bid, ask = (low - 1) * tick, (low + 1) * tick
         bid = min(bid, state["best_ask"] - tick) if state["best_ask"] else bid
         ask = max(ask, state["best_bid"] + tick) if state["best_bid"] else ask
+        # One maker holds all books where hedges couple them, else each book has its own.
+        gross = sum(abs(x) for x in position.values()) if config.hedging else abs(position[b])
+        sizes = quote_sizes(position[b], gross, len(books) if config.hedging else 1, config)
         for level in range(config.maker_levels):
-            send(b, LIMIT, 1, config.maker_quantity, bid - level * tick, 0, MAKER + b, time)
-            send(b, LIMIT, -1, config.maker_quantity, ask + level * tick, 0, MAKER + b, time)
+            send(b, LIMIT, 1, sizes[0], bid - level * tick, 0, MAKER + b, time)
+            send(b, LIMIT, -1, sizes[1], ask + level * tick, 0, MAKER + b, time)
 
     def value(b: int, time: int) -> None:
         """Steps of a base quantity for each step of mispricing over the threshold, as far as the capacity left allows."""

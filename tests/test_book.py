@@ -232,6 +232,13 @@ def test_draws_from_a_distribution():
     assert {windowed.drawn((7, 9, 400), rng) for _ in range(60)} == {7, 9, 400} and {windowed.drawn((1, 3), rng) for _ in range(60)} == {1, 2, 3}
 
 
+def test_quote_sizes():
+    config = simulate.MarketConfig(maker_quantity=100, risk_limit=1000.0)
+    sizes = lambda held, gross=0.0, books=1: simulate.quote_sizes(held, gross, books, config)
+    assert sizes(0) == (100, 100) and sizes(500, 500) == (50, 150) and sizes(-500, 500) == (150, 50) and sizes(9000)[0] == 25
+    assert sizes(0, 750.0) == (50, 50) and sizes(0, 750.0, 2) == (100, 100) and sizes(0, 1000.0) == (0, 0)
+
+
 def test_simulation_repeats_and_shocks():
     config = simulate.MarketConfig(books=2, seconds=1.0, shock_s=0.5, shock_multiple=2.0, shocked=(1,))
     first, again = list(simulate.simulate(1, 9, config)), list(simulate.simulate(1, 9, config))
