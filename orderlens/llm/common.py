@@ -61,14 +61,17 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> int:
     return len(gone)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, size: str | None = None, share: int = 1000, most_bytes: int = 32 << 20) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, size: str | None = None, share: int = 1000, least: int = 10_000, most_bytes: int = 32 << 20) -> DataFrame:
     """rows joined to a table with one row for each key, so that a key with many rows isn't one task's.
 
-    counts has the number n of rows of each key. Keys with over a share of all rows are fewer than that share's inverse; their rows of the table go to all tasks,
-    where they are small (column size, if its values vary); the others meet by key.
+    counts has the number n of rows of each key. Keys with over a share of all rows (and enough rows to matter to a task) are fewer than that share's inverse; their
+    rows of the table go to all tasks, where they are small (column size, if its values vary); the others meet by key. The result is the same either way.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = table.join(counts.where(F.col("n") > total / share).select(key), key)
+    told = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    enough = max(told["total"] / share, least)
+    if told["most"] <= enough:
+        return rows.join(table, key)
+    hot = table.join(counts.where(F.col("n") > enough).select(key), key)
     length = F.octet_length(size) if size else F.lit(64)
     if (hot.agg(F.sum(length + 64)).first()[0] or most_bytes + 1) > most_bytes:
         return rows.join(table, key)
