@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, merkle, mixing, pii, piece_bpe, simhash, substring, toxicity, urls
+from . import conversations, exact_dedup, licenses, merkle, mixing, pages, pii, piece_bpe, simhash, substring, toxicity, urls, whitening
 from .common import WORD, read, release
 
 
@@ -61,8 +61,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_piece_bpe, op3_mixing, op4_toxicity, op5_merkle, op6_substring_dedup, op7_pii, op8_simhash, op9_url_filter, op10_licenses)}
+    found = (
+        op1_exact_dedup, op2_piece_bpe, op3_mixing, op4_toxicity, op5_merkle, op6_substring_dedup, op7_pii, op8_simhash, op9_url_filter, op10_licenses,
+        op11_html, op12_conversations, op13_whitening,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP1_SQL = """
