@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import market
-from ..functions.windows import carried, extreme_of, last_known, row_numbers, running_totals, total_of
+from ..functions.kept import keep
+from ..functions.windows import carried, extreme_of, has_long, last_known, row_numbers, running_totals, total_of
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, payload: list[str], lookback: int = 0, tolerance: int | None = None, width: int | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, payload: list[str], lookback: int = 0, tolerance: int | None = None, width: int | None = None, long: bool | None = None) -> DataFrame:
     """left with the payload of the last right row of its key at or before time - lookback; null if there is none, or if it is older than the tolerance.
 
     Both sides are united and the last right row is carried forward, over slices of time, so a hot key isn't one task; equal times see the right row.
@@ -20,21 +21,30 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, payload:
     carried = F.struct(F.col(time).alias("_at"), *[F.col(c) for c in payload])
     asked = left.withColumn("_t", F.col(time) - lookback).withColumn("_side", F.lit(1)).withColumn("_given", F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType))
     given = right.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), carried.alias("_given"))
-    both = last_known(asked.unionByName(given, allowMissingColumns=True), keys, ["_t", "_side", "_given"], F.col("_given"), "_found", width).where("_side = 1")
+    both = last_known(asked.unionByName(given, allowMissingColumns=True), keys, ["_t", "_side", "_given"], F.col("_given"), "_found", width, long).where("_side = 1")
     if tolerance is not None:
         both = both.withColumn("_found", F.when(F.col("_t") - F.col("_found._at") <= tolerance, F.col("_found")))
     return both.select(*left.columns, *[F.col(f"_found.{c}").alias(f"asof_{c}") for c in payload])
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, width: int | None = None) -> DataFrame:
+def own_past(df: DataFrame, keys: list[str], time: str, payload: list[str], lookback: int, width: int | None = None, long: bool | None = None) -> DataFrame:
+    """asof() of a flow with itself: df with the payload of the last row of its key at or before time - lookback. One window, so that df is read once."""
+    if has_long(df, keys) if long is None else long:
+        df = keep(df)
+        return asof(df, df, keys, time, payload, lookback, width=width, long=True)
+    latest = F.max(F.struct(F.col(time), *[F.col(c) for c in payload])).over(Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, -lookback))
+    return df.withColumn("_past", latest).select(*df.columns, *[F.col(f"_past.{c}").alias(f"asof_{c}") for c in payload])
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, width: int | None = None, long: bool | None = None) -> DataFrame:
     """The last value that isn't null, up to and including the row."""
-    return last_known(df, keys, order, value, out, width)
+    return last_known(df, keys, order, value, out, width, long)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, minima: dict[str, Column] | None = None, width: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, minima: dict[str, Column] | None = None, width: int | None = None, long: bool | None = None) -> DataFrame:
     """Sums, maxima and minima up to and including the row, by name. width: of the slices of the order's first column, if known."""
     values = {n: total_of(v) for n, v in (sums or {}).items()} | {n: extreme_of(v, True) for n, v in (maxima or {}).items()} | {n: extreme_of(v, False) for n, v in (minima or {}).items()}
-    return carried(df, keys, order, values, width)
+    return carried(df, keys, order, values, width, long)
 
 
 def trailing(df: DataFrame, keys: list[str], time: str, span: int, value: Column, out: str) -> DataFrame:
@@ -168,8 +178,47 @@ def intensity(events: DataFrame, at: DataFrame, keys: list[str], time: str, alph
     return seen.select(*keys, F.col("_t").alias(time), value.alias("intensity"))
 
 
+def lowest(df: DataFrame, key: Column, id_col: str, k: int, bits: int = 16) -> DataFrame:
+    """The k rows with the smallest key (a long), ties by id, as a filter of df: no task takes k rows.
+
+    Keys are counted by their highest bits, then by the next ones within the bin that holds rank k, until that bin is one key; ids decide among its rows the same way. Each count is
+    one aggregation of at most 2^bits groups. A null key or id comes first.
+    """
+    n = df.count()
+    if k >= n:
+        return df
+    if k <= 0:
+        return df.limit(0)
+    first, second = F.coalesce(key, F.lit(-(1 << 63))), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    rows = df.withColumns({"_key": first, "_id": second})
+    edge, before = _rank_edge(rows, F.col("_key"), k, bits)
+    inside = rows.where(F.col("_key") == edge)
+    last, under = _rank_edge(inside, F.col("_id"), k - before, bits)
+    out = rows.where((F.col("_key") < edge) | ((F.col("_key") == edge) & (F.col("_id") < last)))
+    # Rows that agree in key and id are one row many times.
+    same = inside.where(F.col("_id") == last).limit(k - before - under)
+    return out.unionByName(same).drop("_key", "_id")
+
+
+def _rank_edge(rows: DataFrame, value: Column, k: int, bits: int) -> tuple[int, int]:
+    """The value (a long) of the row of rank k (from 1), and how many rows lie below that value."""
+    low, shift, before = -(1 << 63), 64, 0
+    while shift > 0:
+        step = min(bits, shift)
+        shift -= step
+        high = low + (1 << (shift + step)) - 1
+        part = rows.where(value.between(F.lit(low), F.lit(high)))
+        counts = sorted(part.groupBy(F.shiftright(value, shift).alias("bin")).count().collect())
+        for bin_, n in counts:
+            if before + n >= k:
+                low = bin_ << shift
+                break
+            before += n
+    return low, before
+
+
 def seeded_top(df: DataFrame, key: Column, id_col: str, k: int) -> DataFrame:
-    """The k rows with the smallest key, ties by id."""
+    """The k rows with the smallest key, ties by id: a report of few rows. lowest() takes a share of a table."""
     return df.withColumn("_key", key).orderBy("_key", id_col).limit(k).drop("_key")
 
 
@@ -179,19 +228,34 @@ def slices(df: DataFrame, keys: list[str], order: list[str], wanted: Column, par
     return rows.withColumn(out, market.clamp(parent - F.col("_upto") + F.col("_wanted"), 0, F.col("_wanted"))).drop("_wanted", "_upto")
 
 
-def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Empirical distribution: count, probability and cumulative probability of each value."""
+def distribution(df: DataFrame, keys: list[str], value: str, long: bool | None = None) -> DataFrame:
+    """Empirical distribution: count, probability and cumulative probability of each value.
+
+    Values are counted first; where a key (or all rows, without one) has too many distinct values for one task, running sums go over slices of them.
+    """
     counts = df.groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    total = F.sum("count").over(w)
-    upto = F.sum("count").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(*keys, "value", "count", (F.col("count") / total).alias("probability"), (upto / total).alias("cumulative_probability"))
+    if long is None and has_long(df, keys):
+        counts = keep(counts)
+        long = has_long(counts, keys)
+    if not long:
+        group = Window.partitionBy(*keys)
+        ranked = counts.withColumns({"_total": F.sum("count").over(group), "_upto": F.sum("count").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))})
+    else:
+        totals = counts.groupBy(*keys).agg(F.sum("count").alias("_total")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total")
+        upto = running_totals(counts, keys, ["value"], {"_upto": F.col("count")}, long=True)
+        # Without keys the totals are one row; with them, AQE splits the partition of a long one.
+        ranked = upto.join(totals, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else upto.join(F.broadcast(totals))
+    return ranked.select(*keys, "value", "count", (F.col("count") / F.col("_total")).alias("probability"), (F.col("_upto") / F.col("_total")).alias("cumulative_probability"))
 
 
 def weighted_loss(simulated: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Loss of each candidate: weighted mean of squared relative errors over all targets; a moment it lacks counts as 0."""
-    ids = simulated.select(*keys).distinct()
-    wanted = ids.join(F.broadcast(targets))  # targets: at most as many rows as there are names of moments
+    # Each candidate gets an array of all targets, which are as many as there are names of moments.
+    listed = targets.limit(1001).collect()
+    if len(listed) > 1000:
+        raise ValueError("more than 1000 targets")
+    each = F.array(*[F.struct(*[F.lit(r[c]).cast(kind).alias(c) for c, kind in targets.dtypes]) for r in listed])
+    wanted = simulated.select(*keys).distinct().select(*keys, F.inline(each))
     joined = wanted.join(simulated, [*keys, "name"], "left")
     error = (F.coalesce("value", F.lit(0.0)) - F.col("target")) / F.greatest(F.abs("target"), F.col("scale_floor"), F.lit(1e-12))
     return joined.groupBy(*keys).agg((F.sum(F.col("weight") * error * error) / F.sum("weight")).alias("loss"), F.count_if(F.col("value").isNull()).alias("missing"))

@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import market
-from ..functions.windows import carried, framed, lagged, last_of, running_totals, total_of
+from ..functions import market, stats
+from ..functions.windows import carried, decayed_means, framed, has_long, lagged, last_of, running_totals, total_of
+from . import flow
 
 
 def combined_stages(stages: DataFrame) -> DataFrame:
@@ -111,18 +112,12 @@ def first_trade(trades: DataFrame, keys: list[str], order: list[str], payload: l
     return trades.groupBy(*keys).agg(F.min_by(F.struct(*payload), F.struct(*order)).alias("f")).select(*keys, "f.*")
 
 
-def rolling(df: DataFrame, keys: list[str], order: list[str], x: str, samples: int = 30, share: float = 0.2, memory: int = 100, width: float | None = None) -> DataFrame:
-    """Sample deviation of the last samples (0 for fewer than two), and the exponentially weighted mean of the last memory values, the oldest of them as it is."""
+def rolling(df: DataFrame, keys: list[str], order: list[str], x: str, samples: int = 30, share: float = 0.2, width: float | None = None) -> DataFrame:
+    """Sample deviation of the last samples (0 for fewer than two), and the exponentially weighted mean of all values so far, the first of them as it is."""
+    long = has_long(df, keys)
     value = F.col(x).cast("double")
-
-    def values(w):
-        last = w.rowsBetween(-(memory - 1), 0)
-        return {"volatility": F.coalesce(F.stddev_samp(value).over(w.rowsBetween(-(samples - 1), 0)), F.lit(0.0)), "_list": F.collect_list(value).over(last)}
-
-    wide = framed(df, keys, order, max(samples, memory), values, width)
-    oldest = F.get("_list", F.lit(0))
-    weighted = F.aggregate(F.slice("_list", 2, memory), oldest, lambda a, v: (1 - share) * a + share * v)
-    return wide.withColumn("ewma", weighted).drop("_list")
+    wide = framed(df, keys, order, samples, lambda w: {"volatility": F.coalesce(F.stddev_samp(value).over(w.rowsBetween(-(samples - 1), 0)), F.lit(0.0))}, width, long=long)
+    return decayed_means(wide, keys, order, x, share, "ewma", width, long)
 
 
 def stale_uses(samples: DataFrame, keys: list[str], order: list[str], valid: Column, value: str, width: float | None = None) -> DataFrame:
@@ -143,16 +138,16 @@ def asset_summary(samples: DataFrame, keys: list[str], order: list[str], tick: i
     valid = market.two_sided(F.col("best_bid"), F.col("best_ask"))
     rows = samples.withColumn("_ok", valid).withColumn("_mid", F.when(valid, (F.col("best_bid") + F.col("best_ask")) / 2))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_ok")).alias("bad"), sum((F.max(e) for e in events), F.lit(0)).cast("long").alias("events"), F.avg(F.when(F.col("_ok"), (F.col("best_ask") - F.col("best_bid")) / tick)).alias("spread"), F.avg(F.when(F.col("_ok"), F.col("bid_depth"))).alias("bid"), F.avg(F.when(F.col("_ok"), F.col("ask_depth"))).alias("ask"))
-    steps = lagged(rows.where("_ok"), keys, order, {"_before": ("_mid", 1)}, width).where("_before is not null").withColumn("_r", F.log("_mid") - F.log("_before")).withColumn("_a", F.abs("_r"))
-    steps = lagged(steps, keys, order, {"_b": ("_a", 1)}, width)
-    r, a = F.col("_r"), F.col("_a")
-    m = steps.groupBy(*keys).agg(F.avg(r).alias("m1"), F.avg(r * r).alias("m2"), F.avg(r * r * r * r).alias("m4"), F.avg(a).alias("am"), F.avg(a * a).alias("a2"), F.avg(a * F.col("_b")).alias("ab"), F.avg(F.when(F.col("_mid") != F.col("_before"), 1.0).otherwise(0.0)).alias("moved"))
-    v, av = F.col("m2") - F.col("m1") * F.col("m1"), F.col("a2") - F.col("am") * F.col("am")
+    long = has_long(rows, keys)
+    steps = lagged(rows.where("_ok"), keys, order, {"_before": ("_mid", 1)}, width, long).where("_before is not null").withColumn("_r", F.log("_mid") - F.log("_before")).withColumn("_a", F.abs("_r"))
+    steps = lagged(steps, keys, order, {"_b": ("_a", 1)}, width, long)
+    one = stats.one_pass(F.col("_r"))
+    m = steps.groupBy(*keys).agg(one["variance"].alias("v"), one["kurtosis"].alias("q"), stats.one_pass_acf(F.col("_a"), F.col("_b")).alias("c"), F.avg(F.when(F.col("_mid") != F.col("_before"), 1.0).otherwise(0.0)).alias("moved"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return counts.join(m, keys, "left").select(
         *keys, F.col("n").alias("sample_count"), F.lit(expected).alias("expected_sample_count"), F.col("bad").alias("invalid_sample_count"), ((F.col("n") == expected) & (F.col("bad") == 0)).alias("structurally_valid"),
         F.col("events").alias("background_event_count"), (F.col("events") / max(1e-9, seconds)).alias("background_event_rate"), zero(F.col("spread")).alias("mean_spread_ticks"), zero(F.col("bid")).alias("mean_bid_depth"), zero(F.col("ask")).alias("mean_ask_depth"),
-        zero(F.col("moved")).alias("mid_move_rate"), zero(v).alias("return_variance"), zero(F.when(v > 2.2e-16, F.try_divide(F.col("m4"), v * v))).alias("return_kurtosis"), zero(F.when(av > 2.2e-16, F.try_divide(F.col("ab") - F.col("am") * F.col("am"), av))).alias("absolute_return_acf1"),
+        zero(F.col("moved")).alias("mid_move_rate"), zero(F.col("v")).alias("return_variance"), zero(F.col("q")).alias("return_kurtosis"), zero(F.col("c")).alias("absolute_return_acf1"),
     )
 
 
@@ -161,8 +156,8 @@ def shock_targets(books: DataFrame, share: float, seed: int, multiple: float, fi
     from ..functions import rng
 
     n = books.count()
-    k = max(1, round(share * n)) if n else 0
-    chosen = books.withColumn("_d", rng.draw(F.col("book_id") + seed, F.lit(1))).orderBy("_d", "book_id").limit(k).select("book_id", F.lit(1).alias("_hit"))
+    drawn = rng.draw(F.col("book_id") + seed, F.lit(1))
+    chosen = flow.lowest(books, drawn, "book_id", max(1, round(share * n)) if n else 0).select("book_id", F.lit(1).alias("_hit"))
     size = F.lit(fixed) if fixed is not None else market.scaled_quantity(F.col("bid_depth"), multiple)
     hit = F.coalesce("_hit", F.lit(0))
     return books.join(chosen, "book_id", "left").select(F.col("book_id").alias("asset_id"), "symbol", hit.alias("is_shock_target"), F.lit(int(enabled)).alias("shock_enabled"), F.when(hit == 1, size).otherwise(0).cast("long").alias("counterfactual_sell_quantity"))

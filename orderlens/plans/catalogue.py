@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import market, rng, stats
-from ..functions.windows import lagged
+from ..functions.windows import has_long, lagged
 from ..operators import agents, book, flow, hawkes, simulate, windowed
 from ..streaming import flows
 
@@ -66,8 +66,11 @@ UPTO = "(PARTITION BY book_id ORDER BY t_us, event_id ROWS BETWEEN UNBOUNDED PRE
 R = f"{E}, r0 AS (SELECT *, lag(value) OVER {W} AS b FROM e), r AS (SELECT *, ln(value) - ln(b) AS r FROM r0 WHERE value > 0 AND b > 0)"
 
 
-def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.log_returns(events(spark, sf_dir), BOOK, ORDER, "value", width=SLICE)
+def returns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """Log returns of all books, and whether a book is long."""
+    df = events(spark, sf_dir)
+    long = has_long(df, BOOK)
+    return stats.log_returns(df, BOOK, ORDER, "value", width=SLICE, long=long), long
 
 
 @query(f"""{R}, m AS (SELECT book_id, count(*) AS n, avg(r) AS a, coalesce(var_samp(r), 0) AS v, quantile_cont(r, 0.9) AS q FROM r GROUP BY book_id),
@@ -75,16 +78,17 @@ d AS (SELECT book_id, n, a, v, q, sum(pow(r - a, 3)) AS s3, sum(pow(r - a, 4)) A
 SELECT book_id, n, round(a, 9) AS return_mean, round(v, 9) AS return_variance, round(CASE WHEN n < 3 OR v <= 1e-30 THEN 0 ELSE s3 / n / pow(v, 1.5) END, 9) AS return_skewness,
 round(CASE WHEN n < 4 OR v <= 1e-30 THEN 0 ELSE s4 / n / (v * v) END, 9) AS return_kurtosis, round(q, 9) AS return_p90 FROM d""")
 def log_return_moments(spark, sf_dir):
+    df, long = returns(spark, sf_dir)
     r = F.col("r")
-    aggs = [F.count(r).alias("n"), stats.mean(r).alias("return_mean"), stats.variance(r).alias("return_variance"), stats.skewness(r).alias("return_skewness"), stats.kurtosis(r).alias("return_kurtosis"), stats.percentile(r, 0.9).alias("return_p90")]
-    return rounded(returns(spark, sf_dir).groupBy("book_id").agg(*aggs))
+    aggs = [F.count(r).alias("n"), stats.mean(r).alias("return_mean"), stats.variance(r).alias("return_variance"), stats.skewness(r).alias("return_skewness"), stats.kurtosis(r).alias("return_kurtosis")]
+    return rounded(stats.with_percentiles(df, BOOK, "r", aggs, {"return_p90": 0.9}, long))
 
 
 @query(f"{E} SELECT event_type, round(avg(value), 6) AS mean_spread, round(quantile_cont(value, 0.9), 9) AS spread_p90, round(quantile_cont(value, 0.95), 9) AS spread_p95 FROM e GROUP BY event_type")
 def spread_percentiles(spark, sf_dir):
     df = events(spark, sf_dir)
-    means = df.groupBy("event_type").agg(F.round(stats.mean(F.col("value")), 6).alias("mean_spread"))
-    return rounded(means.join(stats.percentiles(df, ["event_type"], "value", {"spread_p90": 0.9, "spread_p95": 0.95}), "event_type"))
+    out = stats.percentiles(df, ["event_type"], "value", {"spread_p90": 0.9, "spread_p95": 0.95}, mean_as="mean_spread")
+    return rounded(out.withColumn("mean_spread", F.round("mean_spread", 6)))
 
 
 def acf_sql(x: str, lags: list[int], prefix: str) -> str:
@@ -95,7 +99,8 @@ def acf_sql(x: str, lags: list[int], prefix: str) -> str:
 
 @query(acf_sql("r", [1], "return_acf_lag"))
 def acf_returns_lag1(spark, sf_dir):
-    return rounded(stats.autocorrelations(returns(spark, sf_dir), BOOK, ORDER, "r", [1], "return_acf_lag", SLICE), 8)
+    df, long = returns(spark, sf_dir)
+    return rounded(stats.autocorrelations(df, BOOK, ORDER, "r", [1], "return_acf_lag", SLICE, long), 8)
 
 
 LAGS = [1, 2, 5, 10, 25, 50, 100]
@@ -103,13 +108,13 @@ LAGS = [1, 2, 5, 10, 25, 50, 100]
 
 @query(acf_sql("abs(r)", LAGS, "abs_return_acf_lag"))
 def acf_abs_lags(spark, sf_dir):
-    df = returns(spark, sf_dir).withColumn("ar", F.abs("r"))
-    return rounded(stats.autocorrelations(df, BOOK, ORDER, "ar", LAGS, "abs_return_acf_lag", SLICE), 8)
+    df, long = returns(spark, sf_dir)
+    return rounded(stats.autocorrelations(df.withColumn("ar", F.abs("r")), BOOK, ORDER, "ar", LAGS, "abs_return_acf_lag", SLICE, long), 8)
 
 
 @query(f"{R} SELECT book_id, round(coalesce(covar_pop(k, abs(r)) / nullif(sqrt(var_pop(k) * var_pop(abs(r))), 0), 0), 9) AS volume_volatility_corr FROM r GROUP BY book_id")
 def volume_volatility_corr(spark, sf_dir):
-    return rounded(returns(spark, sf_dir).groupBy("book_id").agg(stats.correlation(F.col("k").cast("double"), F.abs("r")).alias("volume_volatility_corr")))
+    return rounded(returns(spark, sf_dir)[0].groupBy("book_id").agg(stats.correlation(F.col("k").cast("double"), F.abs("r")).alias("volume_volatility_corr")))
 
 
 @query(f"{E}, d AS (SELECT book_id, value - lag(value, 10) OVER {W} AS d FROM e) SELECT book_id, round(coalesce(var_samp(d), 0), 5) AS price_diffusion FROM d GROUP BY book_id")
@@ -136,13 +141,11 @@ def event_type_rates(spark, sf_dir):
 m AS (SELECT book_id, count(*) AS n, avg(r) AS m1, avg(r * r) AS m2, avg(r * r * r * r) AS m4, avg(a) AS am, avg(a * a) AS a2, avg(a * b) AS ab FROM l GROUP BY book_id)
 SELECT book_id, n, round(m2 - m1 * m1, 8) AS variance, round(CASE WHEN m2 - m1 * m1 > 2.2e-16 THEN m4 / pow(m2 - m1 * m1, 2) ELSE 0 END, 7) AS kurtosis, round(CASE WHEN a2 - am * am > 2.2e-16 AND ab IS NOT NULL THEN (ab - am * am) / (a2 - am * am) ELSE 0 END, 7) AS abs_acf1 FROM m""")
 def onepass_moments(spark, sf_dir):
-    df = lagged(returns(spark, sf_dir).withColumn("a", F.abs("r")), BOOK, ORDER, {"b": ("a", 1)}, SLICE)
-    r, a = F.col("r"), F.col("a")
-    m = df.groupBy("book_id").agg(F.count(r).alias("n"), F.avg(r).alias("m1"), F.avg(r * r).alias("m2"), F.avg(r * r * r * r).alias("m4"), F.avg(a).alias("am"), F.avg(a * a).alias("a2"), F.avg(a * F.col("b")).alias("ab"))
-    v, av = F.col("m2") - F.col("m1") * F.col("m1"), F.col("a2") - F.col("am") * F.col("am")
-    kurtosis = F.when(v > 2.2e-16, F.try_divide(F.col("m4"), v * v)).otherwise(0.0)
-    acf = F.when((av > 2.2e-16) & F.col("ab").isNotNull(), F.try_divide(F.col("ab") - F.col("am") * F.col("am"), av)).otherwise(0.0)
-    return m.select("book_id", "n", F.round(v, 8).alias("variance"), F.round(kurtosis, 7).alias("kurtosis"), F.round(acf, 7).alias("abs_acf1"))
+    df, long = returns(spark, sf_dir)
+    df = lagged(df.withColumn("a", F.abs("r")), BOOK, ORDER, {"b": ("a", 1)}, SLICE, long)
+    m = stats.one_pass(F.col("r"))
+    out = df.groupBy("book_id").agg(*[c.alias(name) for name, c in m.items()], stats.one_pass_acf(F.col("a"), F.col("b")).alias("abs_acf1"))
+    return out.select("book_id", "n", F.round("variance", 8).alias("variance"), F.round("kurtosis", 7).alias("kurtosis"), F.round("abs_acf1", 7).alias("abs_acf1"))
 
 
 @query(f"{E} SELECT p.event_id, p.book_id, v.event_id AS past_event_id, v.value AS past_value FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') v ON p.book_id = v.book_id AND p.t_us - {HOUR} >= v.t_us")
@@ -163,14 +166,14 @@ CUM = f"{E}, c AS (SELECT *, " + ", ".join(f"CAST(sum(CASE WHEN event_type = '{t
 PAST = f"{CUM}, p AS (SELECT c.*, q.value AS past_value, " + ", ".join(f"greatest(0, c.{n} - q.{n}) AS d_{n}" for n in KINDS) + f" FROM c ASOF LEFT JOIN c q ON c.book_id = q.book_id AND c.t_us - {DAY} >= q.t_us)"
 
 
-def cumulative(spark, sf_dir) -> DataFrame:
+def cumulative(spark, sf_dir, long: bool | None = None) -> DataFrame:
     sums = {name: F.when(F.col("event_type") == kind, F.col("k")).otherwise(0) for name, kind in KINDS.items()}
-    return flow.running(events(spark, sf_dir), BOOK, ORDER, sums, width=SLICE)
+    return flow.running(events(spark, sf_dir), BOOK, ORDER, sums, width=SLICE, long=long)
 
 
 def against_past(spark, sf_dir) -> DataFrame:
-    df = cumulative(spark, sf_dir)
-    out = flow.asof(df, df, BOOK, "t_us", ["value", *KINDS], lookback=DAY, width=SLICE)
+    long = has_long(events(spark, sf_dir), BOOK)
+    out = flow.own_past(cumulative(spark, sf_dir, long), BOOK, "t_us", ["value", *KINDS], DAY, SLICE, long)
     deltas = {f"d_{n}": F.when(F.col(f"asof_{n}").isNotNull(), F.greatest(F.lit(0), F.col(n) - F.col(f"asof_{n}"))) for n in KINDS}
     return out.withColumns(deltas | {"past_value": F.col("asof_value")})
 
@@ -319,8 +322,8 @@ loss AS (SELECT book_id, sum(weight * err * err) / sum(weight) AS loss, count(*)
 
 
 def losses(spark, sf_dir) -> DataFrame:
-    r = F.col("r")
-    wide = returns(spark, sf_dir).groupBy("book_id").agg(F.avg(r).alias("return_mean"), F.var_samp(r).alias("return_variance"), stats.percentile(r, 0.9).alias("return_p90"))
+    df, long = returns(spark, sf_dir)
+    wide = stats.with_percentiles(df, BOOK, "r", [F.avg("r").alias("return_mean"), F.var_samp("r").alias("return_variance")], {"return_p90": 0.9}, long)
     long = wide.unpivot(["book_id"], ["return_mean", "return_variance", "return_p90"], "name", "value").withColumn("value", F.round("value", 9))
     targets = spark.createDataFrame(TARGETS, "name string, target double, weight double, scale_floor double")
     return flow.weighted_loss(long, targets, BOOK)

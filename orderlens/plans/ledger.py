@@ -146,7 +146,7 @@ def first_maker_trade(spark, sf_dir):
 
 
 @query(f"""{E} SELECT event_id, book_id, round(coalesce(stddev_samp(value) OVER (PARTITION BY book_id ORDER BY t_us, event_id ROWS 29 PRECEDING), 0), 6) AS volatility,
-round(list_reduce(list(value) OVER (PARTITION BY book_id ORDER BY t_us, event_id ROWS 99 PRECEDING), lambda a, b: 0.8::DOUBLE * a + 0.2::DOUBLE * b), 6) AS ewma FROM e""")
+round(list_reduce(list(value) OVER {UPTO}, lambda a, b: 0.8::DOUBLE * a + 0.2::DOUBLE * b), 6) AS ewma FROM e""")
 def rolling_volatility(spark, sf_dir):
     return rounded(results.rolling(events(spark, sf_dir), BOOK, ORDER, "value", width=SLICE).select("event_id", "book_id", "volatility", "ewma"), 6)
 
