@@ -146,13 +146,6 @@ def repair_wakes(trades: DataFrame, traded: Column, depleted: Column, time: str,
     return trades.select("event_id", "book_id", F.col(time), F.explode(causes).alias("c")).select("event_id", "book_id", (F.col(time) + F.col("c.late")).alias("wake_us"), "c.cause")
 
 
-def seeded_sample(df: DataFrame, keys: list[str], id_col: str, k: int, seed: int) -> DataFrame:
-    """k rows of each bucket, those whose draw is smallest: a sample that doesn't depend on partitions."""
-    order = rng.draw(F.col(id_col) + seed, F.lit(1))
-    w = Window.partitionBy(*keys).orderBy(order, id_col)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
-
-
 def complete(seen: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Keys that are missing, unknown or there more than once, with the fault."""
     counts = seen.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market, rng, stats
 from ..functions.windows import has_long, lagged
-from ..operators import agents, book, flow, hawkes, simulate, windowed
+from ..operators import agents, book, flow, hawkes, merging, simulate, windowed
 from ..streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,7 +400,7 @@ def missing_books(spark, sf_dir):
 def replica_diff(spark, sf_dir):
     a = events(spark, sf_dir).select("event_id", "book_id", "k")
     b = a.withColumn("k", F.when(F.col("event_id") % 500 == 7, F.col("k") + 1).otherwise(F.col("k")))
-    return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
+    return merging.replica_difference(a, b, ["event_id", "book_id", "k"])
 
 
 @query("SELECT boundary, count(*) AS clocks FROM (SELECT unnest(generate_series(0, 10000, 7)) AS boundary UNION ALL SELECT unnest(generate_series(0, 10000, 10))) GROUP BY boundary")
@@ -608,7 +608,7 @@ def communication_rollup(spark, sf_dir):
 
 @query(f"{SPLITMIX}, s AS (SELECT e.event_id, e.event_type, row_number() OVER (PARTITION BY e.event_type ORDER BY CASE WHEN c.z >= 9223372036854775808 THEN CAST(c.z::HUGEINT - 18446744073709551616 AS BIGINT) ELSE CAST(c.z AS BIGINT) END, e.event_id) AS n FROM e JOIN c ON c.event_id = e.event_id AND c.n = 1) SELECT event_id, event_type FROM s WHERE n <= 20")
 def bucket_samples(spark, sf_dir):
-    return agents.seeded_sample(events(spark, sf_dir).select("event_id", "event_type"), ["event_type"], "event_id", 20, 1)
+    return merging.bottom_k(events(spark, sf_dir).select("event_id", "event_type"), ["event_type"], "event_id", 20, 1)
 
 
 @query("SELECT unnest(range(0, 7)) AS part, 143 // 7 + CASE WHEN unnest(range(0, 7)) < 143 % 7 THEN 1 ELSE 0 END AS agents")

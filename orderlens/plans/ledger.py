@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market, rng
 from ..functions.windows import lagged
-from ..operators import agents, flow, results, simulate, windowed
+from ..operators import agents, flow, merging, results, simulate, windowed
 from .catalogue import BOOK, CUT, DAY, E, ORDER, SLICE, SPLITMIX, STAGES, START, TRADES, UPTO, W, basket_arbitrage, events, query, rounded, runs, table, trades
 
 
@@ -326,3 +326,31 @@ def windowed_summary(spark, sf_dir):
     config = windowed.WindowedConfig(seconds=0.25)
     return windowed.run_summary(windowed.run_windows(runs(spark, sf_dir), config), config)
 
+
+TAPE = ["event_id", "t_us", "k"]
+VALUES = ", ".join("(" + f"(((event_id % {p}) * {a} + t_us % {p}) % {p}) * {a} + k % {p}" + f") % {p} AS v{i}" for i, (p, a, _) in enumerate(merging.MODULI))
+FOLDS = ", ".join(f"list_reduce(list(v{i} ORDER BY {{order}}), lambda a, x: (a * {b} + x) % {p}) AS h{i}" for i, (p, _, b) in enumerate(merging.MODULI))
+
+
+@query(f"{E}, v AS (SELECT book_id, event_id, t_us, {VALUES} FROM e), h AS (SELECT book_id, count(*) AS records, {FOLDS.format(order='t_us, event_id')} FROM v GROUP BY book_id) SELECT book_id, records, (h0 << 31) | h1 AS tape_digest FROM h")
+def event_tape_digests(spark, sf_dir):
+    """An order-sensitive digest of each book's events."""
+    return merging.tape_digests(events(spark, sf_dir), BOOK, ORDER, TAPE, "records", "tape_digest", SLICE)
+
+
+@query(f"{E}, v AS (SELECT book_id, event_id, t_us, {VALUES} FROM e), h AS (SELECT count(*) AS records, {FOLDS.format(order='book_id, t_us, event_id')} FROM v) SELECT records, (h0 << 31) | h1 AS tape_digest FROM h")
+def combined_tape_digest(spark, sf_dir):
+    """Of all books' tapes in order of book: tapes of books are joined, not hashed again."""
+    books = merging.joined_tapes(merging.tape_parts(events(spark, sf_dir), BOOK, ORDER, TAPE, SLICE), BOOK, "_slice")
+    whole = merging.joined_tapes(books, [], "book_id")
+    return whole.select(F.col("n").alias("records"), merging.tape_digest(whole).alias("tape_digest"))
+
+
+@query(f"""{E}, l AS (SELECT book_id, value, lag(value) OVER {W} AS b, avg(value) OVER (PARTITION BY book_id) AS m FROM e),
+s AS (SELECT book_id, count(*) AS n, any_value(m) AS mean, sum((value - m) ** 2) AS m2, sum((value - m) ** 4) AS m4, sum((value - m) * (b - m)) AS c FROM l GROUP BY book_id)
+SELECT book_id, n, round(mean, 6) AS mean, round(m2 / n, 4) AS variance, round(CASE WHEN m2 > 0 THEN n * m4 / (m2 * m2) ELSE 0 END, 6) AS kurtosis, round(CASE WHEN m2 > 0 THEN coalesce(c, 0) / m2 ELSE 0 END, 6) AS acf1 FROM s""")
+def moments_of_days(spark, sf_dir):
+    """Moments of each book's prices, merged from a state for each day."""
+    days = merging.moment_states(events(spark, sf_dir), BOOK, ORDER, "value", F.floor(F.col("t_us") / DAY))
+    out = merging.finished_moments(merging.merged_moments(days, BOOK), BOOK)
+    return out.select("book_id", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("kurtosis", 6).alias("kurtosis"), F.round("acf1", 6).alias("acf1"))
