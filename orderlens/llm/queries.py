@@ -45,8 +45,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get(pii.KEY_SETTING, None)
-    return pii.pseudonyms(read(spark, sf_dir, "documents"), key=key.encode() if key else pii.DEFAULT_KEY)
+    return pii.pseudonyms(read(spark, sf_dir, "documents"), key=pii.key_of(spark))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
