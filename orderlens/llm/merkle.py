@@ -2,7 +2,7 @@
 
 Lines are paragraphs; a section ends at the text's end or after a paragraph whose digest starts with 0 or 1 (one in eight),
 so sections follow content and an edit moves no boundary elsewhere. Leaves are a paragraph's clauses, cut after a
-sign that ends one. A node's digest is SHA-256 of its children's; nothing of the text is left out, so equal roots mean equal texts.
+sign that ends one, and long clauses also after words with one of some last letters, or after LONGEST characters at the latest: so a text without signs or spaces has many leaves too. A node's digest is SHA-256 of its children's; nothing of the text is left out, so equal roots mean equal texts.
 A fingerprint shows the root and, section by section (;) and paragraph by paragraph (/), the first six digits of each leaf, so two
 fingerprints tell which branches differ and how alike the texts are.
 
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import free, whole
 
-#: A clause ends at a space after a character that is neither letter nor digit.
-CLAUSE_END = r"(?<=[^\p{L}\p{N}]) "
+#: Characters of a leaf at most.
+LONGEST = 40
+#: A leaf ends at a space after a character that is neither letter nor digit, at one after a word that ends in e or s (one in three or four), at the paragraph's end, or where it gets too long.
+LEAVES = rf".{{1,{LONGEST}}}?(?:(?<=[^\p{{L}}\p{{N}}]) |(?<=[es]) |\z)|.{{1,{LONGEST}}}"
 LEAF = 6
 
 
@@ -30,7 +32,8 @@ def digest(children: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the fingerprint of a text column more."""
     _leaves, _paragraphs, _ends, _sections, _shown = free(df, "_leaves", "_paragraphs", "_ends", "_sections", "_shown")
-    leaves = F.transform(F.split(text, "\n", -1), lambda p: F.transform(F.split(p, CLAUSE_END, -1), lambda s: F.sha2(s, 256)))
+    cut = lambda p: F.when(p == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(p, F.lit(f"(?s){LEAVES}"), F.lit(0)))
+    leaves = F.transform(F.split(text, "\n", -1), lambda p: F.transform(cut(p), lambda s: F.sha2(s, 256)))
     df = df.withColumn(_leaves, leaves).withColumn(_paragraphs, F.transform(_leaves, digest))
     ends = F.filter(F.sequence(F.lit(1), F.size(_paragraphs)), lambda i: (i == F.size(_paragraphs)) | F.element_at(_paragraphs, i).rlike("^[01]"))
     df = df.withColumn(_ends, ends)
