@@ -112,6 +112,24 @@ def event_name(code: Column) -> Column:
     return F.get(F.array(*[F.lit(n) for n in EVENT_NAMES]), code)
 
 
+# Names of timed stages, by code.
+STAGE_NAMES = (
+    "initialization", "start_barrier", "hawkes_generation", "market_state_build", "broadcast_market_state", "agent_observe_and_generate", "gather_order_counts", "gather_order_payload",
+    "queue_partition", "event_sort", "matching_engine", "report_packing", "scatter_report_counts", "scatter_report_payload", "apply_reports", "end_barrier", "total_wall",
+)
+
+
+def stage_name(code: Column) -> Column:
+    """The name of a timed stage's code; "unknown" for any other."""
+    return F.coalesce(F.get(F.array(*[F.lit(n) for n in STAGE_NAMES]), code), F.lit("unknown"))
+
+
+def checked_later(time: Column, delay: Column) -> Column:
+    """time + delay; raises for a negative delay or a sum beyond 64 bits, where the saturating form stops at the largest time."""
+    fault = F.raise_error(F.concat(F.lit("time out of range: "), time.cast("string"), F.lit(" + "), delay.cast("string")))
+    return F.when((delay < 0) | (time > F.lit((1 << 63) - 1) - F.greatest(delay, F.lit(0))), fault.cast("long")).otherwise(F.try_add(time, delay))
+
+
 def seconds_to_ns(seconds: Column) -> Column:
     """Rounded half away from zero; raises where it leaves 64 bits (in ANSI mode)."""
     return F.round(seconds * 1e9).cast("long")

@@ -156,6 +156,20 @@ def action_priority(action):
     return F.when(action == CANCEL_OWNER, 0).when(action == LIMIT, 1).when(action == MARKET, 2).otherwise(3)
 
 
+def pending_order(with_book: bool = False) -> list:
+    """The total order of pending orders as sort columns: arrival, action, book if several share a queue, kind of agent, sequence, tie-breaker."""
+    return [F.col("arrival_ns"), action_priority(F.col("action")), *([F.col("book_id")] if with_book else []), F.col("agent_kind"), F.col("sequence"), F.col("tie_breaker")]
+
+
+def pending_positions(orders: DataFrame, keys: list[str], with_book: bool = False, width: float | None = None) -> DataFrame:
+    """orders with their place in the queue of each key (from 1), by pending_order()."""
+    from ..functions.windows import row_numbers
+
+    names = [f"_p{i}" for i in range(len(pending_order(with_book)))]
+    ranked = orders.withColumns(dict(zip(names, pending_order(with_book))))
+    return row_numbers(ranked, keys, names, "position", width).drop(*names)
+
+
 def in_order(rows: list[tuple]) -> list[tuple]:
     """Orders (generated, owner, action, sequence, tie, rank, ...) of one arrival time in the order in which they apply.
 

@@ -151,6 +151,33 @@ def asset_summary(samples: DataFrame, keys: list[str], order: list[str], tick: i
     )
 
 
+def contagion_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Spreads, depths, and shares of affected and of two-sided books, over all, over shocked and over other books (hit, sided, spread, depth and both at the start), in one aggregation."""
+    bad = ~F.col("sided") | (F.col("spread") > 2 * F.col("spread_0")) | (F.col("depth") < 0.5 * F.col("depth_0"))
+    share = lambda x: F.when(x, 1.0).otherwise(0.0)
+    hit, sided = F.col("hit"), F.col("sided")
+    return rows.groupBy(*keys).agg(
+        F.avg(F.when(sided, F.col("spread"))).alias("mean_spread"), F.avg("depth").alias("mean_top_depth"), F.avg(share(bad)).alias("affected"), F.avg(share(sided)).alias("two_sided"),
+        F.avg(F.when(hit, share(bad))).alias("affected_shocked"), F.avg(F.when(~hit, share(bad))).alias("affected_unshocked"), F.avg(F.when(hit & sided, F.col("spread"))).alias("spread_shocked"), F.avg(F.when(~hit & sided, F.col("spread"))).alias("spread_unshocked"),
+        F.avg(F.when(hit, F.col("depth"))).alias("depth_shocked"), F.avg(F.when(~hit, F.col("depth"))).alias("depth_unshocked"),
+    )
+
+
+def boundary_metrics(rows: DataFrame, time: str, risk_limit: float) -> DataFrame:
+    """The 13 columns of a shock run's boundaries: contagion_sums() by time, all makers' gross exposure (rows have exposure), and the scale that their shared risk leaves to quotes.
+
+    Quotes shrink once over half of the limit is used and stop at the limit. Shares and means over no book are 0.
+    """
+    sums = contagion_sums(rows, [time])
+    gross = rows.groupBy(time).agg(flow.fixed_sum(F.abs(F.col("exposure").cast("double"))).alias("shared_gross_exposure"))
+    scale = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * (1 - F.col("shared_gross_exposure") / risk_limit)))
+    shown = {
+        "mean_spread": "mean_spread_bps", "mean_top_depth": "mean_top_depth", "affected": "affected_asset_fraction", "two_sided": "two_sided_book_fraction", "affected_shocked": "affected_shocked_fraction", "affected_unshocked": "affected_unshocked_fraction",
+        "spread_shocked": "shocked_mean_spread_bps", "spread_unshocked": "unshocked_mean_spread_bps", "depth_shocked": "shocked_mean_top_depth", "depth_unshocked": "unshocked_mean_top_depth",
+    }
+    return sums.join(gross, time).select(F.col(time).alias("time_seconds"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(name) for c, name in shown.items()], "shared_gross_exposure", scale.alias("shared_quote_scale"))
+
+
 def shock_targets(books: DataFrame, share: float, seed: int, multiple: float, fixed: int | None = None, enabled: bool = True) -> DataFrame:
     """Each asset (book_id, symbol, bid_depth) with whether it is shocked (the share of lowest draws, one at least) and what is sold there."""
     from ..functions import rng

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.rng import MASK, MIX_1, Stream
-from . import flow
+from . import flow, results
 from .book import CANCEL_AT, CANCEL_OWNER, LIMIT, MARKET, TICK, Book
 from .hawkes import HawkesConfig, clusters, hawkes_events
-from .windowed import background_order
 
 
 @dataclass
@@ -53,9 +52,6 @@ class MarketConfig:
     value_capacity: int = 5000
     hedge_threshold: float = 400.0
     hedge_share: float = 0.5
-    improve: float = 0.05
-    improve_from: int = 2
-    reject_crossing: bool = False
     quantities: tuple = ((25, 200), (25, 200), (25, 700), (25, 700), (25, 500), (25, 500))
     distances: tuple = ((0, 5), (0, 5), (0, 5), (0, 5))
     hawkes: HawkesConfig = field(default_factory=HawkesConfig)
@@ -74,6 +70,28 @@ def quote_sizes(inventory: int, gross: float, books: int, config: MarketConfig)
     return math.floor(config.maker_quantity * bid * scale + 0.5), math.floor(config.maker_quantity * ask * scale + 0.5)
 
 
+def drawn(values: tuple[int, ...], rng: Stream) -> int:
+    """One of a range (low, high), both included, or one of a longer list."""
+    if len(values) == 2:
+        low, high = values
+        return low + int(rng.uniform() * (high - low + 1))
+    return values[int(rng.uniform() * len(values))]
+
+
+def random_order(kind: int, state: dict, rng: Stream, config: MarketConfig) -> tuple[int, int, int, int, int]:
+    """Action, side, quantity, price and distance of a background event, by its place in EVENT_NAMES: limits rest a drawn number of ticks behind their own side's best (or the middle, or the fundamental)."""
+    side = (1, -1)[kind % 2]
+    quantity = drawn(config.quantities[kind], rng)
+    if 2 <= kind < 4:
+        return MARKET, side, quantity, 0, 0
+    away = max(0, drawn(config.distances[kind % 4], rng))
+    if kind >= 4:
+        return CANCEL_AT, side, quantity, 0, away
+    own = state["best_bid" if side > 0 else "best_ask"]
+    anchor = own or round(state["mid"] or state["last_trade"] or config.fundamental)
+    return LIMIT, side, quantity, anchor - side * away * config.tick, away
+
+
 def simulate(run_id: int, seed: int, config: MarketConfig, which: range | None = None) -> Iterator[tuple]:
     """Samples of a run's books (all, or those in a range), in time order. Clocks and background events are merged by time; at one time clocks come first, then books in order."""
     end, members = round(config.seconds * 1e9), which or range(config.books)
@@ -132,7 +150,7 @@ def simulate(run_id: int, seed: int, config: MarketConfig, which: range | None =
     for time, what, book, kind in merge(*clocks, sorted(flows)):
         if what == 3:
             counts[book][kind] += 1
-            send(book, *background_order(kind, books[book].state(), rngs[book], config), 0, time)
+            send(book, *random_order(kind, books[book].state(), rngs[book], config), 0, time)
             continue
         for b, each in books.items():
             if what == 0:
@@ -203,24 +221,12 @@ def calibrate(spark: SparkSession, candidates: DataFrame, targets: DataFrame, co
     return flow.weighted_loss(averaged, targets, ["candidate_id"])
 
 
-def contagion_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Spreads, depths, and shares of affected and of two-sided books, over all, over shocked and over other books (hit, sided, spread, depth and both at the start), in one aggregation."""
-    bad = ~F.col("sided") | (F.col("spread") > 2 * F.col("spread_0")) | (F.col("depth") < 0.5 * F.col("depth_0"))
-    share = lambda x: F.when(x, 1.0).otherwise(0.0)
-    hit, sided = F.col("hit"), F.col("sided")
-    return rows.groupBy(*keys).agg(
-        F.avg(F.when(sided, F.col("spread"))).alias("mean_spread"), F.avg("depth").alias("mean_top_depth"), F.avg(share(bad)).alias("affected"), F.avg(share(sided)).alias("two_sided"),
-        F.avg(F.when(hit, share(bad))).alias("affected_shocked"), F.avg(F.when(~hit, share(bad))).alias("affected_unshocked"), F.avg(F.when(hit & sided, F.col("spread"))).alias("spread_shocked"), F.avg(F.when(~hit & sided, F.col("spread"))).alias("spread_unshocked"),
-        F.avg(F.when(hit, F.col("depth"))).alias("depth_shocked"), F.avg(F.when(~hit, F.col("depth"))).alias("depth_unshocked"),
-    )
-
-
 def shock_metrics(samples: DataFrame, shocked: tuple) -> DataFrame:
     """For each run and time the books' state against that at time 0, what the shock order filled, and the makers' exposure."""
     first = samples.where("time_ns = 0").select("run_id", "book_id", F.col("spread").alias("spread_0"), (F.col("bid_depth") + F.col("ask_depth")).alias("depth_0"))
     rows = samples.join(first, ["run_id", "book_id"]).withColumns({"depth": F.col("bid_depth") + F.col("ask_depth"), "sided": (F.col("best_bid") > 0) & (F.col("best_ask") > F.col("best_bid")), "hit": F.col("book_id").isin(*shocked) if shocked else F.lit(False)})
     filled = rows.groupBy("run_id", "time_ns").agg(F.sum("shock_filled").alias("shock_filled"), F.sum("shock_by_maker").alias("shock_by_maker"), flow.fixed_sum(F.abs(F.col("maker_inventory").cast("double"))).alias("maker_exposure"))
-    return contagion_sums(rows, ["run_id", "time_ns"]).join(filled, ["run_id", "time_ns"])
+    return results.contagion_sums(rows, ["run_id", "time_ns"]).join(filled, ["run_id", "time_ns"])
 
 
 __all__ = ["HawkesConfig", "MarketConfig", "calibrate", "hawkes_events", "run_markets", "run_moments", "shock_metrics", "simulate", "with_volume"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market, rng, stats
 from ..functions.windows import has_long, lagged
-from ..operators import agents, book, flow, hawkes, merging, simulate, windowed
+from ..operators import agents, book, flow, hawkes, merging, simulate
 from ..streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]

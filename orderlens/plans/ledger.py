@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import market, rng
 from ..functions.windows import lagged
-from ..operators import agents, flow, merging, results, simulate, windowed
-from .catalogue import BOOK, CUT, DAY, E, ORDER, SLICE, SPLITMIX, STAGES, START, TRADES, UPTO, W, basket_arbitrage, events, query, rounded, runs, table, trades
+from ..operators import agents, book, flow, merging, results
+from .catalogue import BOOK, CUT, DAY, E, ORDER, SLICE, SPLITMIX, STAGES, START, TRADES, UPTO, W, basket_arbitrage, events, query, rounded, table, trades
 
 
 def stages(spark, sf_dir):
@@ -199,7 +199,7 @@ def contagion(spark, sf_dir):
     df = events(spark, sf_dir)
     first = df.groupBy("book_id").agg(F.min_by(F.struct(F.col("k").alias("spread_0"), F.col("value").alias("depth_0")), F.struct(*ORDER)).alias("f")).select("book_id", "f.*")
     rows = df.join(first, "book_id").select(F.floor(F.col("t_us") / DAY).cast("long").alias("day"), (F.col("book_id") % 3 == 0).alias("hit"), (F.col("k") > 5).alias("sided"), F.col("k").alias("spread"), F.col("value").alias("depth"), "spread_0", "depth_0")
-    out = simulate.contagion_sums(rows, ["day"])
+    out = results.contagion_sums(rows, ["day"])
     return out.select("day", *[F.round(c, 9 if c.startswith(("affected", "two")) else 6).alias(c) for c in out.columns if c != "day"])
 
 
@@ -311,22 +311,6 @@ def order_messages(spark, sf_dir):
     return agents.order_messages(df).select("event_id", "sequence", "tie_breaker", "generated_ns", "arrival_ns", "quantity")
 
 
-@query()
-def windowed_run(spark, sf_dir):
-    return windowed.states(windowed.run_windows(runs(spark, sf_dir), windowed.WindowedConfig(seconds=0.25, sample_windows=5)))
-
-
-@query()
-def windowed_reports(spark, sf_dir):
-    return windowed.run_reports(windowed.run_windows(runs(spark, sf_dir), windowed.WindowedConfig(seconds=0.25, with_reports=True)))
-
-
-@query()
-def windowed_summary(spark, sf_dir):
-    config = windowed.WindowedConfig(seconds=0.25)
-    return windowed.run_summary(windowed.run_windows(runs(spark, sf_dir), config), config)
-
-
 TAPE = ["event_id", "t_us", "k"]
 VALUES = ", ".join("(" + f"(((event_id % {p}) * {a} + t_us % {p}) % {p}) * {a} + k % {p}" + f") % {p} AS v{i}" for i, (p, a, _) in enumerate(merging.MODULI))
 FOLDS = ", ".join(f"list_reduce(list(v{i} ORDER BY {{order}}), lambda a, x: (a * {b} + x) % {p}) AS h{i}" for i, (p, _, b) in enumerate(merging.MODULI))
@@ -354,3 +338,46 @@ def moments_of_days(spark, sf_dir):
     days = merging.moment_states(events(spark, sf_dir), BOOK, ORDER, "value", F.floor(F.col("t_us") / DAY))
     out = merging.finished_moments(merging.merged_moments(days, BOOK), BOOK)
     return out.select("book_id", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("kurtosis", 6).alias("kurtosis"), F.round("acf1", 6).alias("acf1"))
+
+
+@query(f"{E} SELECT event_type, CASE book_id % 20 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(market.STAGE_NAMES)) + " ELSE 'unknown' END AS stage, count(*) AS calls, CAST(max(t_us * 1000 + k) AS BIGINT) AS last_ns FROM e GROUP BY ALL")
+def named_stages(spark, sf_dir):
+    """Calls of each named stage, and when the last one ends."""
+    end = market.checked_later(F.col("t_us") * 1000, F.col("k"))
+    df = events(spark, sf_dir).select("event_type", market.stage_name((F.col("book_id") % 20).cast("int")).alias("stage"), end.alias("end_ns"))
+    return df.groupBy("event_type", "stage").agg(F.count(F.lit(1)).alias("calls"), F.max("end_ns").alias("last_ns"))
+
+
+PENDING = f"{E}, p AS (SELECT event_id, book_id, CAST(t_us // {DAY} AS BIGINT) AS arrival_ns, k % 4 AS action, CAST(k % 3 AS BIGINT) AS agent_kind, event_id AS sequence, event_id % 7 AS tie_breaker FROM e)"
+PRIORITY = "CASE action WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END"
+
+
+def pending(spark, sf_dir):
+    k = F.col("k")
+    return events(spark, sf_dir).select("event_id", "book_id", F.floor(F.col("t_us") / DAY).cast("long").alias("arrival_ns"), (k % 4).alias("action"), (k % 3).alias("agent_kind"), F.col("event_id").alias("sequence"), (F.col("event_id") % 7).alias("tie_breaker"))
+
+
+@query(f"{PENDING} SELECT event_id, book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY arrival_ns, {PRIORITY}, agent_kind, sequence, tie_breaker) AS INTEGER) AS position FROM p")
+def pending_positions(spark, sf_dir):
+    """Each book's queue of pending orders."""
+    return book.pending_positions(pending(spark, sf_dir), BOOK).select("event_id", "book_id", "position")
+
+
+@query(f"{PENDING} SELECT event_id, arrival_ns, CAST(row_number() OVER (PARTITION BY arrival_ns ORDER BY {PRIORITY}, book_id, agent_kind, sequence, tie_breaker) AS INTEGER) AS position FROM p")
+def shared_queue_positions(spark, sf_dir):
+    """One queue for all books that orders of a day share."""
+    return book.pending_positions(pending(spark, sf_dir), ["arrival_ns"], with_book=True).select("event_id", "arrival_ns", "position")
+
+
+@query(f"""{E}, o AS (SELECT *, first_value(k) OVER {W} AS k0, first_value(value) OVER {W} AS v0 FROM e), f AS (SELECT CAST(t_us // {DAY} AS BIGINT) AS day, book_id % 3 = 0 AS hit, k > 5 AS sided, 10000 * k / value AS bps, value, k, NOT k > 5 OR 10000 * k / value > 2 * (10000 * k0 / v0) OR value < 0.5 * v0 AS bad FROM o)
+SELECT day * 86400.0::DOUBLE AS time_seconds, round(coalesce(avg(CASE WHEN sided THEN bps END), 0), 6) AS mean_spread_bps, round(avg(value), 6) AS mean_top_depth, round(avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END), 9) AS affected_asset_fraction, round(avg(CASE WHEN sided THEN 1.0 ELSE 0.0 END), 9) AS two_sided_book_fraction,
+round(coalesce(avg(CASE WHEN hit THEN CASE WHEN bad THEN 1.0 ELSE 0.0 END END), 0), 9) AS affected_shocked_fraction, round(coalesce(avg(CASE WHEN NOT hit THEN CASE WHEN bad THEN 1.0 ELSE 0.0 END END), 0), 9) AS affected_unshocked_fraction, round(coalesce(avg(CASE WHEN hit AND sided THEN bps END), 0), 6) AS shocked_mean_spread_bps, round(coalesce(avg(CASE WHEN NOT hit AND sided THEN bps END), 0), 6) AS unshocked_mean_spread_bps,
+round(coalesce(avg(CASE WHEN hit THEN value END), 0), 6) AS shocked_mean_top_depth, round(coalesce(avg(CASE WHEN NOT hit THEN value END), 0), 6) AS unshocked_mean_top_depth, round(sum(k), 6)::DOUBLE AS shared_gross_exposure, round(greatest(0, least(1, 2 * (1 - sum(k) / 20000.0))), 9) AS shared_quote_scale FROM f GROUP BY day""")
+def boundary_metrics(spark, sf_dir):
+    """The state of all books at each day's end against their first one."""
+    df = events(spark, sf_dir)
+    bps = 10_000 * F.col("k") / F.col("value")
+    first = df.groupBy("book_id").agg(F.min_by(F.struct(bps.alias("spread_0"), F.col("value").alias("depth_0")), F.struct(*ORDER)).alias("f")).select("book_id", "f.*")
+    rows = df.join(first, "book_id").select((F.floor(F.col("t_us") / DAY) * 86_400.0).alias("time_seconds"), (F.col("book_id") % 3 == 0).alias("hit"), (F.col("k") > 5).alias("sided"), bps.alias("spread"), F.col("value").alias("depth"), "spread_0", "depth_0", F.col("k").alias("exposure"))
+    out = results.boundary_metrics(rows, "time_seconds", 20_000.0)
+    return out.select(*[F.round(c, 9 if c.endswith(("fraction", "scale")) else 6).alias(c) for c in out.columns])

@@ -202,8 +202,20 @@ def run_config(args: list[str]) -> RunConfig:
     return config
 
 
-def windowed_of(config: RunConfig):
-    """The configuration of a windowed run: milliseconds become microseconds, whole numbers stay whole."""
-    from ..operators.windowed import WindowedConfig
-
-    return WindowedConfig(seconds=config.seconds, window_us=config.window_ms * 1000, makers=max(0, config.makers), momentum=max(0, round(config.momentum / max(1.0, config.scale))), informed=max(0, round(config.informed / max(1.0, config.scale))), institutional=max(0, round(config.institutional / max(1.0, config.scale))), scale=max(1, round(config.scale)))
+@dataclass(frozen=True)
+class WindowSettings:
+    """What a run in fixed windows goes by: whole microseconds, and agents before the scale multiplies them."""
+
+    seconds: float
+    window_us: int
+    makers: int
+    momentum: int
+    informed: int
+    institutional: int
+    scale: int
+
+
+def windowed_of(config: RunConfig) -> WindowSettings:
+    """Milliseconds become microseconds, whole numbers stay whole."""
+    unscaled = lambda n: max(0, round(n / max(1.0, config.scale)))
+    return WindowSettings(config.seconds, config.window_ms * 1000, max(0, config.makers), unscaled(config.momentum), unscaled(config.informed), unscaled(config.institutional), max(1, round(config.scale)))

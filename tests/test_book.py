@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from orderlens.operators import book, hawkes, results, simulate, windowed
+from orderlens.operators import book, hawkes, results, simulate
 from orderlens.operators.book import CANCEL_AT, CANCEL_OWNER, LIMIT, MARKET, Book
 
 
@@ -151,87 +151,6 @@ def test_arrivals_one_by_one():
     assert hawkes.Arrivals(hawkes.HawkesConfig(), 3).next(hawkes.NANO, (0,) * 6) is None and hawkes.Arrivals(hawkes.HawkesConfig(), 3).next(0) is None
 
 
-SMALL = windowed.WindowedConfig(seconds=3.0, momentum=60, informed=30, institutional=8, momentum_rate=2.0, informed_rate=2.0, institutional_rate=5.0, with_reports=True)
-
-
-def test_windowed_run():
-    rows = list(windowed.play(1, 11, SMALL))
-    assert rows == list(windowed.play(1, 11, SMALL)) and rows != list(windowed.play(1, 12, SMALL))
-    summary, told = rows[-1], [r for r in rows if r["row"] == "report"]
-    assert summary["generated"] == summary["processed_strategic"] + summary["pending_end"] and summary["windows"] == 300
-    fills, results = ([r for r in told if r["report"] == kind] for kind in ("FILL", "ORDER_RESULT"))
-    assert (len(fills), len(results)) == (summary["fill_reports"], summary["order_result_reports"]) and fills and results
-    assert {r["agent_kind"] for r in results} == {book.INSTITUTIONAL} and {r["agent_kind"] for r in fills} == set(windowed.KINDS)
-    held = {r["owner"]: (r["executed"], r["fill_price"]) for r in rows if r["row"] == "agent"}
-    for owner, (inventory, cash) in held.items():
-        mine = [r for r in fills if r["owner"] == owner]
-        assert inventory == sum(r["side"] * r["fill_quantity"] for r in mine) and cash == -sum(r["side"] * r["fill_quantity"] * r["fill_price"] for r in mine)
-    states = [r for r in rows if r["row"] == "state"]
-    assert [r["time_ns"] for r in states] == [i * 100_000_000 for i in range(31)]
-    assert all(not r["best_bid"] or not r["best_ask"] or r["best_bid"] < r["best_ask"] for r in states)
-    assert sum(summary[f"n_{n}"] for n in ("limit_buy", "limit_sell", "market_buy", "market_sell", "cancel_bid", "cancel_ask")) == summary["processed_background"]
-
-
-def two_sided(bid=1000, ask=1500, **more):
-    return {"best_bid": bid, "best_ask": ask, "bid_depth": 500, "ask_depth": 400, "mid": (bid + ask) / 2 if bid and ask else 0.0, "bought": 0, "sold": 0, "last_trade": 0, "fundamental": 1250.0} | more
-
-
-def test_momentum_trader():
-    agent = windowed.Momentum(1, windowed.WindowedConfig(), 5)
-    act = lambda now, past: [(o[1], o[2]) for o in agent.act(now, past, 0)]
-    full, half = agent.quantity, max(1, agent.quantity // 2)
-    assert act(two_sided(), None) == [] and act(two_sided(1100, 1600), two_sided()) == [(1, full)]
-    assert act(two_sided(1100, 1600, sold=1000), two_sided()) == []
-    assert act(two_sided(bought=1000), two_sided()) == [(1, full)] and act(two_sided(bid_depth=100), two_sided()) == [(-1, half)]
-    assert act(two_sided(), two_sided()) == []
-
-
-def test_informed_trader():
-    agent = windowed.Informed(1, windowed.WindowedConfig(noise=0.001), 5)
-    assert agent.act(two_sided(), None, 0) == [] and agent.act(two_sided(fundamental=2250.0), None, 0)[0][:2] == (MARKET, 1)
-    agent.inventory = 5000
-    assert agent.act(two_sided(fundamental=2250.0), None, 0) == [] and agent.act(two_sided(fundamental=0.0), None, 0)[0][1] == -1
-
-
-def test_institution_works_its_parent_off():
-    agent = windowed.Institutional(3, windowed.WindowedConfig(), 5)
-    agent.side, agent.parent, agent.child, agent.cap, agent.start, agent.end = 1, 60, 50, 0.1, 10, 20
-    assert agent.act(two_sided(), None, 9) == agent.act(two_sided(), None, 21) == []
-    size = agent.act(two_sided(), None, 10)[0][2]
-    assert size == 40 and agent.remaining() == 20 and agent.act(two_sided(), None, 20)[0][2] == 20 and agent.act(two_sided(), None, 20) == []
-    agent.result(40, 30)
-    assert agent.remaining() == 10 and agent.executed == 30
-
-
-def test_passive_maker():
-    agent = windowed.Maker(4, windowed.WindowedConfig(quantities=((100, 100),) * 6), 5)
-    quotes = lambda s: [(o[1], o[2], o[3]) for o in agent.act(s, None, 0)[1:]]
-    assert agent.act(two_sided(), None, 0)[0][0] == CANCEL_OWNER
-    assert quotes(two_sided()) == [(1, 100, 1100), (-1, 100, 1400)] and quotes(two_sided(1000, 1200)) == [(1, 100, 1000), (-1, 100, 1200)]
-    assert quotes(two_sided(1000, 0)) == [(1, 100, 1000), (-1, 100, 1200)] and quotes(two_sided(0, 1200)) == [(1, 100, 1000), (-1, 100, 1200)] and agent.act(two_sided(0, 0), None, 0) == []
-    agent.inventory = 400
-    assert quotes(two_sided()) == [(1, 50, 1100), (-1, 200, 1300)]
-
-
-def test_background_limits():
-    """A limit stands at its own best less the distance; with room it can improve by a tick; one that would cross can be left out."""
-    from orderlens.functions.rng import Stream
-
-    fixed = {"quantities": ((10, 10),) * 6, "distances": ((2, 2),) * 4}
-    order = lambda state, **more: windowed.background_order(0, state, Stream(1), windowed.WindowedConfig(**fixed, **more))[:4]
-    assert order(two_sided(1000, 1500), improve=0.0) == (LIMIT, 1, 10, 800) and order(two_sided(1000, 1500), improve=1.0) == (LIMIT, 1, 10, 1100)
-    assert order(two_sided(1000, 1200), improve=1.0, improve_from=3) == (LIMIT, 1, 10, 800)
-    assert windowed.background_order(1, two_sided(1000, 0), Stream(1), windowed.WindowedConfig(**fixed, reject_crossing=True))[:4] == (LIMIT, -1, 0, 100)
-    assert windowed.background_order(5, two_sided(), Stream(1), windowed.WindowedConfig(**fixed))[:5] == (CANCEL_AT, -1, 10, 0, 2)
-
-
-def test_draws_from_a_distribution():
-    from orderlens.functions.rng import Stream
-
-    rng = Stream(3)
-    assert {windowed.drawn((7, 9, 400), rng) for _ in range(60)} == {7, 9, 400} and {windowed.drawn((1, 3), rng) for _ in range(60)} == {1, 2, 3}
-
-
 def test_quote_sizes():
     config = simulate.MarketConfig(maker_quantity=100, risk_limit=1000.0)
     sizes = lambda held, gross=0.0, books=1: simulate.quote_sizes(held, gross, books, config)
@@ -278,17 +197,19 @@ def test_summaries_of_runs(spark, tmp_path):
 
     from orderlens.sources import sinks
 
-    config = windowed.WindowedConfig(seconds=1.0)
-    rows = windowed.run_windows(spark.createDataFrame([(0, 3), (1, 4)], "run_id long, seed long"), config).cache()
-    summary = windowed.run_summary(rows, config)
-    assert all(r["conserved"] and r["total_agents"] == 903 for r in summary.collect())
+    fields = {
+        "profile": "small", "duration_seconds": 1.0, "sync_window_us": 10_000, "population_scale": 1.0, "market_makers": 3, "momentum": 600, "informed": 290, "institutional": 10, "total_agents": 903, "generated_strategic": 50,
+        "processed_strategic": 48, "processed_background": 90, "fill_reports": 7, "order_result_reports": 2, "pending_end": 2, "peak_pending": 6, "mean_spread": 300.0, "mean_best_bid_depth": 900.0, "mean_best_ask_depth": 800.0, "conserved": True,
+    }
+    summary = spark.createDataFrame([{"run_id": i} | fields for i in (0, 1)])
+    shown = [{"run_id": i, "time_ns": t, "best_bid": 1000, "best_ask": 1200 + 100 * (t % 3), "bid_depth": 5, "ask_depth": 6, "n_limit_buy": t} for i in (0, 1) for t in range(11)]
     clock = results.StageClock()
     with clock.stage("agents"):
         pass
     rollup = results.run_rollup(clock.rows(spark), ["gather"], "agents")
     one = results.simulation_summary(summary, rollup, 1, 2.0)
     assert len(one.columns) == 26 and one.count() == 2 and one.first()["throughput_events_per_second"] > 0
-    moments = results.asset_summary(windowed.states(rows), ["run_id"], ["time_ns"], 100, 11, 1.0, ["n_limit_buy"])
+    moments = results.asset_summary(spark.createDataFrame(shown), ["run_id"], ["time_ns"], 100, 11, 1.0, ["n_limit_buy"])
     many = results.distributed_summary(summary, moments, 1, 2.0, 100, final_ns=10**9)
     assert len(many.columns) == 29 and {r["structurally_valid"] for r in many.collect()} == {1} and {r["terminated_early"] for r in many.collect()} == {0}
     sinks.write_summary(many, str(tmp_path / "s"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.functions import market, rng, stats, windows
-from orderlens.operators import flow, results, windowed
+from orderlens.operators import flow, results, simulate
 from orderlens.sources import sinks, tables
 from orderlens.streaming import flows, timers
 
@@ -219,8 +219,7 @@ def test_sources_of_a_run(spark, tmp_path):
         write(tmp_path / f"{name}_distribution.csv", f"{column},count\n" + "".join(f"{v},1\n" for v in (-3, 5, 26, 40, 77)))
     found = tables.drawn_values(spark, str(tmp_path))
     assert found["quantities"] == ((26, 40, 77),) * 6 and found["distances"] == ((5, 26, 40, 77),) * 4
-    rows = list(windowed.play(1, 3, windowed.WindowedConfig(seconds=0.5, momentum=5, informed=5, institutional=1, **found)))
-    assert rows[-1]["processed_background"] > 10
+    assert len(list(simulate.simulate(1, 3, simulate.MarketConfig(seconds=0.5, **found)))) == 6
     write(tmp_path / "cancel_ask_distance_distribution.csv", "distance_ticks\n-1\n")
     with pytest.raises(ValueError, match="no values"):
         tables.drawn_values(spark, str(tmp_path))
