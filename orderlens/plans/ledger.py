@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market, rng
 from ..functions.windows import lagged
-from ..operators import agents, book, flow, merging, results
+from ..operators import agents, book, fifo, flow, merging, results
 from .catalogue import BOOK, CUT, DAY, E, ORDER, SLICE, SPLITMIX, STAGES, START, TRADES, UPTO, W, basket_arbitrage, events, query, rounded, table, trades
 
 
@@ -381,3 +381,42 @@ def boundary_metrics(spark, sf_dir):
     rows = df.join(first, "book_id").select((F.floor(F.col("t_us") / DAY) * 86_400.0).alias("time_seconds"), (F.col("book_id") % 3 == 0).alias("hit"), (F.col("k") > 5).alias("sided"), bps.alias("spread"), F.col("value").alias("depth"), "spread_0", "depth_0", F.col("k").alias("exposure"))
     out = results.boundary_metrics(rows, "time_seconds", 20_000.0)
     return out.select(*[F.round(c, 9 if c.endswith(("fraction", "scale")) else 6).alias(c) for c in out.columns])
+
+
+ACTIONS = {"view": "add", "purchase": "take", "signup": "cancel"}
+
+
+def resting_flow(spark, sf_dir, price, distance):
+    """Asks of each book: views rest, purchases take, signups cancel."""
+    df = events(spark, sf_dir).where(F.col("event_type").isin(*ACTIONS))
+    action = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "purchase", "take").otherwise("cancel")
+    return df.select("book_id", "t_us", "event_id", F.col("event_id").alias("id"), action.alias("action"), F.lit(-1).alias("side"), price.cast("long").alias("price"), distance.cast("long").alias("distance"), F.col("k").alias("quantity"))
+
+
+def matched_totals(orders):
+    fills, became = fifo.match_with_cancels(orders, BOOK, ORDER)
+    pairs = fills.groupBy("book_id").agg(F.count(F.lit(1)).alias("fills"))
+    sums = became.groupBy("book_id").agg(*[F.sum(c).alias(c) for c in ("filled", "cancelled", "resting")])
+    return sums.join(pairs, "book_id", "left").select("book_id", F.coalesce("fills", F.lit(0)).alias("fills"), "filled", "cancelled", "resting")
+
+
+@query(f"""{E}, x AS (SELECT book_id, event_type, k, row_number() OVER (PARTITION BY book_id ORDER BY t_us, event_id) AS n FROM e WHERE event_type IN ('view', 'purchase', 'signup') AND k > 0),
+s AS (SELECT *, sum(CASE WHEN event_type = 'view' THEN k ELSE -k END) OVER (PARTITION BY book_id ORDER BY n) AS s FROM x), m AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY book_id ORDER BY n)) AS q FROM s),
+q AS (SELECT *, coalesce(lag(q) OVER (PARTITION BY book_id ORDER BY n), 0) AS q0 FROM m),
+g AS (SELECT *, CASE event_type WHEN 'view' THEN k WHEN 'signup' THEN -least(k, q0) ELSE 0 END AS b, CASE WHEN event_type = 'purchase' THEN least(k, q0) ELSE 0 END AS f FROM q),
+p AS (SELECT *, sum(b) OVER (PARTITION BY book_id ORDER BY n) AS back, sum(f) OVER (PARTITION BY book_id ORDER BY n) AS front FROM g),
+l AS (SELECT *, min(back) OVER (PARTITION BY book_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM p),
+mk AS (SELECT book_id, n, k, back - k AS a, greatest(back - k, least(back, low)) AS z FROM l WHERE event_type = 'view'), tk AS (SELECT book_id, front - f AS a, front AS z FROM l WHERE f > 0),
+fl AS (SELECT mk.book_id, mk.n, count(*) AS fills, sum(least(mk.z, tk.z) - greatest(mk.a, tk.a)) AS filled FROM mk JOIN tk ON mk.book_id = tk.book_id AND mk.z > mk.a AND mk.a < tk.z AND tk.a < mk.z GROUP BY ALL)
+SELECT mk.book_id, CAST(coalesce(sum(fills), 0) AS BIGINT) AS fills, CAST(coalesce(sum(filled), 0) AS BIGINT) AS filled, CAST(sum(k - (z - a)) AS BIGINT) AS cancelled, CAST(sum(z - a - coalesce(filled, 0)) AS BIGINT) AS resting FROM mk LEFT JOIN fl USING (book_id, n) GROUP BY mk.book_id""")
+def lob_queue_with_cancels(spark, sf_dir):
+    """One price level for each book, with cancels from the back of its queue."""
+    return matched_totals(resting_flow(spark, sf_dir, F.when(F.col("event_type") != "purchase", F.lit(100)), F.lit(None)))
+
+
+@query()
+def lob_side_with_cancels(spark, sf_dir):
+    """Many levels for each book; every other cancel names a distance from the best price of its time."""
+    price = F.floor(F.col("value") / 25)
+    absolute = (F.col("event_type") == "view") | ((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 0))
+    return matched_totals(resting_flow(spark, sf_dir, F.when(absolute, price), F.when((F.col("event_type") == "signup") & ~absolute, F.col("k") % 4)))
