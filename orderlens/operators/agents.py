@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import market, rng
@@ -17,21 +18,23 @@ from .book import CANCEL_OWNER
 RATES = {"market_maker": 50.0, "momentum": 0.20, "informed": 0.05, "institutional": 0.01}
 
 
+def population_of(owners: DataFrame, seed: int, scale: float = 1.0) -> DataFrame:
+    """Parameters of agents (owner, kind), drawn from each owner's own counter: wake rate, first wake, and for institutions side, parent, child, cap and active span (as shares of the run)."""
+    u = lambda i: rng.uniform01(rng.draw(F.col("owner") + seed, F.lit(i)))
+    rates = F.create_map(*[F.lit(x) for kind, rate in RATES.items() for x in (kind, rate / (1.0 if kind == "market_maker" else scale))])
+    df = owners.select("owner", "kind", F.try_element_at(rates, F.col("kind")).alias("wake_rate"))
+    large = F.col("kind") == "institutional"
+    return df.withColumns({
+        "first_wake_ns": rng.exponential_wait_ns(u(1), F.col("wake_rate")),
+        "side": F.when(large, F.when(u(2) < 0.5, 1).otherwise(-1)), "parent": F.when(large, (10_000 + F.floor(u(3) * 90_001)).cast("long")), "child": F.when(large, (100 + F.floor(u(4) * 901)).cast("long")),
+        "cap": F.when(large, market.clamp(0.1 * (0.75 + 0.5 * u(5)), 0.001, 0.95)), "start_share": F.when(large, 0.2 * u(6)), "end_share": F.when(large, 0.8 + 0.2 * u(7)),
+    })
+
+
 def population(spark: SparkSession, counts: dict[str, int], seed: int, scale: float = 1.0) -> DataFrame:
-    """Agents with parameters drawn from their own counters: owner, kind, wake rate, first wake, and for institutions side, parent, child, cap and active span (as shares of the run)."""
-    out = None
-    for k, (kind, n) in enumerate(counts.items()):
-        u = lambda i: rng.uniform01(rng.draw(F.col("owner") + seed, F.lit(i)))
-        rate = RATES[kind] / (1.0 if kind == "market_maker" else scale)
-        df = spark.range(n).select(market.owner_id(F.lit(k + 1), F.col("id")).alias("owner"), F.lit(kind).alias("kind"), F.lit(rate).alias("wake_rate"))
-        df = df.withColumn("first_wake_ns", rng.exponential_wait_ns(u(1), F.lit(rate)))
-        large = F.lit(kind == "institutional")
-        df = df.withColumns({
-            "side": F.when(large, F.when(u(2) < 0.5, 1).otherwise(-1)), "parent": F.when(large, (10_000 + F.floor(u(3) * 90_001)).cast("long")), "child": F.when(large, (100 + F.floor(u(4) * 901)).cast("long")),
-            "cap": F.when(large, market.clamp(0.1 * (0.75 + 0.5 * u(5)), 0.001, 0.95)), "start_share": F.when(large, 0.2 * u(6)), "end_share": F.when(large, 0.8 + 0.2 * u(7)),
-        })
-        out = df if out is None else out.unionByName(df)
-    return out
+    """So many agents of each kind, with owners numbered within it."""
+    kinds = [spark.range(n).select(market.owner_id(F.lit(k + 1), F.col("id")).alias("owner"), F.lit(kind).alias("kind")) for k, (kind, n) in enumerate(counts.items())]
+    return population_of(reduce(DataFrame.union, kinds), seed, scale)
 
 
 def split_count(total: Column, parts: Column, index: Column) -> Column:

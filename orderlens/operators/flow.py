@@ -81,6 +81,11 @@ def union_of_clocks(spark, steps: list[int], end: int) -> DataFrame:
     return ticks.groupBy("boundary").agg(F.count(F.lit(1)).alias("clocks"))
 
 
+def union_of_ticks(ticks: DataFrame, clock: str, boundary: str) -> DataFrame:
+    """Each boundary of any clock once, with how many clocks tick there, however often each does."""
+    return ticks.select(clock, boundary).distinct().groupBy(boundary).agg(F.count(F.lit(1)).alias("clocks"))
+
+
 def fifo_match(takers: DataFrame, makers: DataFrame, keys: list[str], taker_order: list[str], maker_order: list[str], quantity: str, lots: int = 64, width: int | None = None) -> DataFrame:
     """Fills (taker, maker, quantity) of takers that sweep makers in order, without cancels between: the overlaps of running quantities.
 

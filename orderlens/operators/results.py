@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market, stats
 from ..functions.windows import carried, decayed_means, framed, has_long, lagged, last_of, running_totals, total_of
-from . import flow
+from . import flow, merging
 
 
 def combined_stages(stages: DataFrame) -> DataFrame:
@@ -235,9 +235,12 @@ def book_summary(samples: DataFrame, tapes: DataFrame, symbols: DataFrame, tick:
 
 
 def combined_tape(tapes: DataFrame) -> DataFrame:
-    """Length and hash of all books' tapes together: the books' hashes in order of book, hashed again; a row for each book reaches one task."""
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("book_id", "trades", "tape_hash"))), lambda t: F.concat_ws(":", t["book_id"].cast("string"), t["trades"].cast("string"), t["tape_hash"])), ";")
-    return tapes.agg(F.coalesce(F.sum("trades"), F.lit(0)).alias("combined_trade_count"), F.substring(F.sha2(listed, 256), 1, 16).alias("combined_trade_hash"))
+    """Length and hash of all books' tapes together: a digest of the books, their lengths and their hashes in order of book, joined from parts; one row."""
+    half = lambda at: F.coalesce(F.conv(F.substring("tape_hash", at, 8), 16, 10).cast("long"), F.lit(0))
+    rows = tapes.select("book_id", F.col("trades").cast("long").alias("trades"), half(1).alias("_high"), half(9).alias("_low"))
+    digest = merging.tape_digests(rows, [], ["book_id"], ["book_id", "trades", "_high", "_low"], "_n", "_d").select(F.lpad(F.lower(F.hex(F.coalesce("_d", F.lit(0)))), 16, "0").alias("combined_trade_hash"))
+    total = rows.agg(F.coalesce(F.sum("trades"), F.lit(0)).alias("combined_trade_count"))
+    return total.join(F.broadcast(digest))  # one row each
 
 
 @dataclass

@@ -403,9 +403,10 @@ def replica_diff(spark, sf_dir):
     return merging.replica_difference(a, b, ["event_id", "book_id", "k"])
 
 
-@query("SELECT boundary, count(*) AS clocks FROM (SELECT unnest(generate_series(0, 10000, 7)) AS boundary UNION ALL SELECT unnest(generate_series(0, 10000, 10))) GROUP BY boundary")
+@query(f"{E}, b AS (SELECT DISTINCT event_type, CAST(t_us // {HOUR} AS BIGINT) AS boundary FROM e) SELECT boundary, count(*) AS clocks FROM b GROUP BY boundary")
 def union_clocks(spark, sf_dir):
-    return flow.union_of_clocks(spark, [7, 10], 10_000)
+    """Hours in which any kind of event ticks, and how many kinds do."""
+    return flow.union_of_ticks(events(spark, sf_dir).select("event_type", F.floor(F.col("t_us") / HOUR).cast("long").alias("boundary")), "event_type", "boundary")
 
 
 @query(f"{E}, m AS (SELECT *, 0 AS flow FROM e WHERE event_type = 'purchase' UNION ALL SELECT *, 1 FROM e WHERE event_type = 'signup') SELECT event_id, book_id, flow, row_number() OVER (PARTITION BY book_id ORDER BY t_us, flow, event_id) AS position FROM m")
@@ -545,14 +546,6 @@ def shock_run(spark, sf_dir):
     return simulate.shock_metrics(simulate.run_markets(runs(spark, sf_dir), config), config.shocked)
 
 
-@query()
-def calibration_run(spark, sf_dir):
-    config = simulate.MarketConfig(seconds=2.0)
-    candidates = spark.range(6).select(F.col("id").alias("candidate_id"), (0.5 + F.col("id") / 6).alias("scale"))
-    targets = spark.createDataFrame([("mean_spread", 300.0, 2.5, 100.0), ("limit_order_rate", 24.0, 1.0, 1.0), ("cancel_rate", 36.0, 1.0, 1.0), ("mid_move_rate", 0.25, 3.0, 0.02)], "name string, target double, weight double, scale_floor double")
-    return flow.first_best(simulate.calibrate(spark, candidates, targets, config, ("scale",)), "candidate_id")
-
-
 def quote_states(spark, sf_dir) -> DataFrame:
     k, i = F.col("k"), F.col("event_id")
     return events(spark, sf_dir).select(
@@ -611,9 +604,12 @@ def bucket_samples(spark, sf_dir):
     return merging.bottom_k(events(spark, sf_dir).select("event_id", "event_type"), ["event_type"], "event_id", 20, 1)
 
 
-@query("SELECT unnest(range(0, 7)) AS part, 143 // 7 + CASE WHEN unnest(range(0, 7)) < 143 % 7 THEN 1 ELSE 0 END AS agents")
+@query("WITH n AS (SELECT c_nationkey AS nation, count(*) AS agents FROM customer GROUP BY ALL), p AS (SELECT *, unnest(range(0, 7)) AS part FROM n) SELECT nation, part, agents // 7 + CASE WHEN part < agents % 7 THEN 1 ELSE 0 END AS agents FROM p")
 def population_split(spark, sf_dir):
-    return spark.range(7).select(F.col("id").alias("part"), agents.split_count(F.lit(143), F.lit(7), F.col("id")).alias("agents"))
+    """The customers of each nation over seven parts."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    return parts.select("nation", "part", agents.split_count(F.col("n"), F.lit(7), F.col("part")).alias("agents"))
 
 
 from . import ledger  # noqa: E402, F401 - adds its queries

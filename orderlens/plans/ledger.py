@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import market, rng
-from ..functions.windows import lagged
+from ..functions.windows import lagged, row_numbers
 from ..operators import agents, book, fifo, flow, merging, results
 from .catalogue import BOOK, CUT, DAY, E, ORDER, SLICE, SPLITMIX, STAGES, START, TRADES, UPTO, W, basket_arbitrage, events, query, rounded, table, trades
 
@@ -241,34 +241,39 @@ d1 AS (SELECT {columns}, CAST((xor(z, z >> 30)::UHUGEINT * {rng.MIX_1}::UHUGEINT
 d AS (SELECT {columns}, greatest(1e-12, (xor(z, z >> 31) >> 11) / 9007199254740992.0::DOUBLE) AS u FROM d2)"""
 
 
-WALK = f"""WITH g AS (SELECT b.i AS book_id, s.i AS step, x.i AS part, 7 * 1000003 + b.i AS seed, 2 * s.i + x.i AS n FROM range(20) b(i), range(1, 201) s(i), range(2) x(i)), {draws_sql("g", "book_id, step, part")},
+WALK = f"""{E}, o AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY t_us, event_id) AS step FROM e), g AS (SELECT book_id, step, x.i AS part, 7 * 1000003 + book_id AS seed, 2 * step + x.i AS n FROM o, range(2) x(i)), {draws_sql("g", "book_id, step, part")},
 z AS (SELECT book_id, step, sqrt(-2 * ln(max(CASE WHEN part = 0 THEN u END))) * cos(2 * pi() * max(CASE WHEN part = 1 THEN u END)) AS z FROM d GROUP BY book_id, step)"""
 STEP = "(PARTITION BY book_id ORDER BY step ROWS UNBOUNDED PRECEDING)"
 
 
-def walk_grid(spark):
-    return spark.range(20).select(F.col("id").alias("book_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(200).cast("long"))).alias("step"))
+def walk_grid(spark, sf_dir):
+    """A step for each event of a book."""
+    return row_numbers(events(spark, sf_dir).select("book_id", "t_us", "event_id"), BOOK, ORDER, "step", SLICE).select("book_id", F.col("step").cast("long").alias("step"))
 
 
 @query(f"{WALK} SELECT book_id, step, round(2203550.0 * exp(sum(0.0001::DOUBLE * z - 0.000000005::DOUBLE) OVER {STEP}), 4) AS fundamental FROM z")
 def fundamental_path(spark, sf_dir):
-    return rounded(agents.fundamental_path(walk_grid(spark), BOOK, "step", 2203550.0, 1.0, 7), 4)
+    return rounded(agents.fundamental_path(walk_grid(spark, sf_dir), BOOK, "step", 2203550.0, 1.0, 7), 4)
 
 
 @query(f"{WALK} SELECT book_id, step, round(2203550.0 + sum(z * 0.03 * sqrt(10) * 100) OVER {STEP}, 4) AS fundamental FROM z")
 def gaussian_walk(spark, sf_dir):
-    return rounded(agents.gaussian_walk(walk_grid(spark), BOOK, "step", 2203550.0, 0.03, 10.0, 100, 7), 4)
+    return rounded(agents.gaussian_walk(walk_grid(spark, sf_dir), BOOK, "step", 2203550.0, 0.03, 10.0, 100, 7), 4)
 
 
 KIND_ROWS = [("market_maker", 3, 50.0), ("momentum", 600, 0.20), ("informed", 290, 0.05), ("institutional", 10, 0.01)]
 
 
-@query(f"""WITH k(kind, agents, rate, code) AS (VALUES {", ".join(f"('{k}', {n}, {r}::DOUBLE, {i + 1})" for i, (k, n, r) in enumerate(KIND_ROWS))}), a AS (SELECT kind, rate, code * 1000000 + unnest(range(agents)) + 1 AS owner FROM k),
+@query(f"""WITH k(kind, agents, rate, code) AS (VALUES {", ".join(f"('{k}', {n}, {r}::DOUBLE, {i + 1})" for i, (k, n, r) in enumerate(KIND_ROWS))}), a AS (SELECT kind, rate, code * 1000000 + c_custkey + 1 AS owner FROM customer JOIN k ON c_custkey % 4 = code - 1),
 g AS (SELECT owner, kind, rate, x.i AS n, owner + 42 AS seed FROM a, range(1, 8) x(i)), {draws_sql("g", "owner, kind, rate, n")}, w AS (SELECT owner, kind, rate, {", ".join(f"max(CASE WHEN n = {i} THEN u END) AS u{i}" for i in range(1, 8))} FROM d GROUP BY owner, kind, rate)
 SELECT owner, kind, rate AS wake_rate, CAST(greatest(1, round(-ln(u1) / rate * 1e9)) AS BIGINT) AS first_wake_ns, CASE WHEN kind = 'institutional' THEN CASE WHEN u2 < 0.5 THEN 1 ELSE -1 END END AS side, CAST(CASE WHEN kind = 'institutional' THEN 10000 + floor(u3 * 90001) END AS BIGINT) AS parent,
 CAST(CASE WHEN kind = 'institutional' THEN 100 + floor(u4 * 901) END AS BIGINT) AS child, round(CASE WHEN kind = 'institutional' THEN least(greatest(0.1 * (0.75 + 0.5 * u5), 0.001), 0.95) END, 9) AS cap, round(CASE WHEN kind = 'institutional' THEN 0.2 * u6 END, 9) AS start_share, round(CASE WHEN kind = 'institutional' THEN 0.8 + 0.2 * u7 END, 9) AS end_share FROM w""")
 def agent_population(spark, sf_dir):
-    return rounded(agents.population(spark, {k: n for k, n, _ in KIND_ROWS}, 42))
+    """Each customer as an agent of one of four kinds."""
+    kinds = F.array(*[F.lit(k) for k, _, _ in KIND_ROWS])
+    code = (F.col("c_custkey") % 4).cast("int")
+    owners = table(spark, sf_dir, "customer").select(market.owner_id(code + 1, F.col("c_custkey")).alias("owner"), F.get(kinds, code).alias("kind"))
+    return rounded(agents.population_of(owners, 42))
 
 
 @query(f"""{E}, g AS (SELECT event_id, event_id AS entity, book_id AS s, k AS child FROM e), a AS (SELECT *, entity::UBIGINT AS z FROM g),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,11 @@ def number_text(x: float | None, digits: int) -> str | None:
 
 def write_summary(df: DataFrame, path: str, digits: int = 12) -> None:
     """A summary (a row for each rank, stage or book) as one CSV file with a header."""
-    show = F.udf(lambda x: number_text(x, digits), "string")  # summaries are short
+
+    @F.pandas_udf("string")
+    def show(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: number_text(None if pd.isna(v) else v, digits))
+
     shown = [show(F.col(c).cast("double")).alias(c) if kind in ("double", "float") else F.col(c).cast("int").alias(c) if kind == "boolean" else F.col(c) for c, kind in df.dtypes]
     df.select(*shown).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 

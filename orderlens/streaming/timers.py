@@ -115,11 +115,14 @@ def looked_back(states: DataFrame, lookback_ns: int, retention_ns: int, value: s
 
 
 def out_of_order(events: DataFrame, key_column: str) -> DataFrame:
-    """Events (book_id, key) whose key isn't above all before it, with the largest until then: a guard of exactly-once order over micro-batches."""
+    """Events (book_id, key) whose key isn't above all before it, with the largest until then: a guard of exactly-once order over micro-batches.
+
+    Inside a micro-batch rows have no order once they were shuffled, so they count by key: repeats show, and keys that earlier batches have passed.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         largest, out = state.get[0] if state.exists else None, []
-        for (k,) in rows_of(batches, [key_column]):
+        for (k,) in sorted(rows_of(batches, [key_column])):
             if largest is not None and k <= largest:
                 out.append((key[0], int(k), largest))
             else:
