@@ -10,7 +10,7 @@ so each repeat of a notice is found.
 Templates are a constant of the program (or a parameter), so the index is bounded and goes to each task with the code. No shuffle.
 
 Defined results: a null or empty text has no licenses; of overlapping matches the one of most words counts, then that of the best coverage, then the
-first name; a null id stays null; repeated rows repeat their result; an empty table gives an empty result; other columns, whatever their
+first name; a null id stays null; texts of any length are read whole; repeated rows repeat their result; an empty table gives an empty result; other columns, whatever their
 names, are ignored.
 """
 

@@ -8,7 +8,7 @@ fingerprints tell which branches differ and how alike the texts are.
 
 Defined results: a null text is the empty text, with one empty leaf; a null id counts as smaller than all others; among
 rows that repeat an id (or have none) a hash of the text decides the order; with one row only, the next document is the row itself; an empty
-table gives an empty result; other columns are ignored by the query form and kept by merkle_fingerprints().
+table gives an empty result; texts of any length are cut whole; other columns are ignored by the query form and kept by merkle_fingerprints().
 """
 
 from __future__ import annotations

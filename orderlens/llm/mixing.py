@@ -9,7 +9,8 @@ The flow has a node for each pattern and source, so only a row for each pattern
 
 Defined results: a null text has no words; no sources is a pattern of its own and takes nothing; a null source is a source,
 ordered last; a null id is an id; rows that repeat an id are told apart by their texts, equal ones count each; an empty table gives an
-empty result; other columns are ignored, and kept by apply_mix(). Reruns agree, as the order is a hash of seed and id.
+empty result; other columns are ignored, and kept by apply_mix(). Reruns agree, as the order is a hash of seed and id;
+documents that tie there go by their texts' hashes. A text counts whole, however long.
 """
 
 from __future__ import annotations

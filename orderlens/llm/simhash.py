@@ -14,7 +14,7 @@ bits, in time proportional to their number. A block gives a spanning star per lo
 Rows of one fingerprint meet before the index, so copies cost nothing there.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; null ids: see near_components(); ties of ids don't
-matter, as the smallest names a component; other columns are ignored, and kept by drop_near_copies().
+matter, as the smallest names a component; texts of any length are read whole; repeated rows share a component; an empty table gives an empty result; other columns are ignored, and kept by drop_near_copies().
 """
 
 from __future__ import annotations

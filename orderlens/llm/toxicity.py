@@ -7,7 +7,7 @@ length and turned into a probability.
 
 The lexicon and the two numbers of that last step are learned from labelled rows: words and stems are chosen by the likelihood
 ratio between toxic and other texts, the strongest of each chain of prefixes, and weigh their log-odds less one standard
-error. Defined results: a null text is the empty text; repeated rows repeat their score; an empty table gives an empty result; all columns of
+error. Defined results: a null text is the empty text; a null id takes no part in the fit and has a score; texts of any length are read whole; of terms that start one another and tie the longest stays; repeated rows repeat their score; an empty table gives an empty result; all columns of
 the table are kept, the new one gives way to one of its name. At most ``max_fit_rows`` labelled rows are used, those whose ids hash lowest; scoring takes every row and whole text.
 """
 
