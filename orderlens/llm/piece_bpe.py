@@ -92,8 +92,11 @@ class PieceModel:
         self.automaton.make_automaton()
         self.shorter = [self._prefix_of(p) if self.kinds[i] == NORMAL else -1 for i, p in enumerate(self.pieces)]
         self.lengths = [len(p) for p in self.pieces]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # Caches of two generations: a full one becomes the older, whose entries come back when they are asked for, so that frequent ones stay.
+        self.pairs: dict[int, bool] = {}
+        self.older_pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.cached_words = cached_words
         self.known = set("".join(self.ids))
         # What each id adds to a text; a byte that isn't a character by itself sends the text to decode().
@@ -123,44 +126,59 @@ class PieceModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """Do the two pieces (left: -1 for none) come back from merging their characters?"""
-        found = self.pairs.get((left, right))
+        key = left << 32 | right
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 2 * self.cached_words:
-                self.pairs.clear()
-            text = (self.pieces[left] if left >= 0 else "") + self.pieces[right]
-            found = self.pairs[left, right] = self.remerge(text) == ([left, right] if left >= 0 else [right])
+            found = self.older_pairs.get(key)
+            if found is None:
+                text = (self.pieces[left] if left >= 0 else "") + self.pieces[right]
+                found = self.remerge(text) == ([left, right] if left >= 0 else [right])
+            if len(self.pairs) >= self.cached_words:
+                self.older_pairs, self.pairs = self.pairs, {}
+            self.pairs[key] = found
         return found
 
-    def longest(self, text: str, at: int) -> int:
-        """The longest piece that starts at a position; each known character is a piece itself."""
-        return next(self.automaton.iter_long(text, at))[1]
-
     def backtrack(self, text: str) -> list[int]:
         """The pieces of a text of known characters."""
-        failed = bytearray(len(text) // 8 + 1)
+        lengths, shorter, known, iter_long, size = self.lengths, self.shorter, self.pairs.get, self.automaton.iter_long, len(text)
+        failed: bytearray | None = None  # made at the first failure, as most stretches have none
         out: list[int] = []
-        at, candidate = 0, self.longest(text, 0)
+        at, before, candidate = 0, -1, next(iter_long(text, 0))[1]
         while True:
-            before = out[-1] if out else -1
             while candidate >= 0:
-                end = at + self.lengths[candidate]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(before, candidate):
-                    break
-                candidate = self.shorter[candidate]
+                end = at + lengths[candidate]
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    fits = known(before << 32 | candidate)
+                    if fits or fits is None and self.compatible(before, candidate):
+                        break
+                candidate = shorter[candidate]
             if candidate >= 0:
                 out.append(candidate)
-                at = end
-                if at == len(text):
+                if end == size:
                     return out
-                candidate = self.longest(text, at)
+                at, before, candidate = end, candidate, next(iter_long(text, end))[1]
             else:
+                failed = bytearray(size // 8 + 1) if failed is None else failed
                 failed[at >> 3] |= 1 << (at & 7)
                 taken = out.pop()
-                at -= self.lengths[taken]
-                candidate = self.shorter[taken]
+                at -= lengths[taken]
+                before, candidate = out[-1] if out else -1, shorter[taken]
 
     def encode_word(self, word: str) -> bytes:
-        """Packed ids of a stretch. Characters outside the vocabulary become bytes; nothing merges across them."""
+        """Packed ids of a stretch that the newer cache lacks. Characters outside the vocabulary become bytes; nothing merges across them."""
+        packed = self.older_words.get(word)
+        if packed is None:
+            packed = self.packed_word(word)
+        if len(word) <= 64:
+            if len(self.words) >= self.cached_words // 2:
+                self.older_words, self.words = self.words, {}
+            self.words[word] = packed
+        return packed
+
+    def packed_word(self, word: str) -> bytes:
+        if self.known.issuperset(word):
+            ids = self.backtrack(word)
+            return struct.pack(f"<{len(ids)}I", *ids)
         ids: list[int] = []
         start = 0
         for i, ch in enumerate(word):
@@ -169,12 +187,7 @@ class PieceModel:
                 ids += [self.byte_ids[b] for b in ch.encode()]
                 start = i + 1
         ids += self.backtrack(word[start:]) if start < len(word) else []
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= 64:
-            if len(self.words) >= self.cached_words:
-                self.words.clear()
-            self.words[word] = packed
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_packed(self, text: str) -> tuple[bytes, int]:
         """Ids with begin and end as little-endian unsigned 32-bit integers, and their number."""
