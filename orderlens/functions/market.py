@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def spread_ticks(bid: Column, ask: Column, tick: int) -> Column:
     return F.when(two_sided(bid, ask), (ask - bid) / tick)
 
 
+def divided(a: Column, b: Column) -> Column:
+    """a / b as doubles are divided, also in ANSI mode: by 0 infinite with the sign of a, NaN for 0 / 0; null if either is null."""
+    by_zero = F.when(a > 0, F.lit(math.inf)).when(a < 0, F.lit(-math.inf)).when(a.isNotNull(), F.lit(math.nan))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
+
+
 def spread_bps(bid: Column, ask: Column, fundamental: Column) -> Column:
     return F.when(two_sided(bid, ask), F.try_divide((ask - bid) * 10_000.0, fundamental))
 

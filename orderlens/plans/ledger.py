@@ -381,7 +381,7 @@ round(coalesce(avg(CASE WHEN hit THEN value END), 0), 6) AS shocked_mean_top_dep
 def boundary_metrics(spark, sf_dir):
     """The state of all books at each day's end against their first one."""
     df = events(spark, sf_dir)
-    bps = 10_000 * F.col("k") / F.col("value")
+    bps = market.divided(10_000 * F.col("k"), F.col("value"))
     first = df.groupBy("book_id").agg(F.min_by(F.struct(bps.alias("spread_0"), F.col("value").alias("depth_0")), F.struct(*ORDER)).alias("f")).select("book_id", "f.*")
     rows = df.join(first, "book_id").select((F.floor(F.col("t_us") / DAY) * 86_400.0).alias("time_seconds"), (F.col("book_id") % 3 == 0).alias("hit"), (F.col("k") > 5).alias("sided"), bps.alias("spread"), F.col("value").alias("depth"), "spread_0", "depth_0", F.col("k").alias("exposure"))
     out = results.boundary_metrics(rows, "time_seconds", 20_000.0)
