@@ -34,7 +34,7 @@ def divided(a: Column, b: Column) -> Column:
 
 
 def spread_bps(bid: Column, ask: Column, fundamental: Column) -> Column:
-    return F.when(two_sided(bid, ask), F.try_divide((ask - bid) * 10_000.0, fundamental))
+    return F.when(two_sided(bid, ask), divided((ask - bid) * 10_000.0, fundamental))
 
 
 def mispricing_ticks(signal: Column, mid_price: Column, tick: int) -> Column:

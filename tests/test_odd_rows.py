@@ -25,7 +25,7 @@ def both(spark, folder, name, **tables):
     return rows_of(ours.collect()), rows_of(theirs.fetchall())
 
 
-@pytest.mark.parametrize("name", ["boundary_metrics"])
+@pytest.mark.parametrize("name", ["boundary_metrics", "scalar_projections"])
 def test_prices_of_zero(spark, tmp_path, name):
     """A price of 0 first, later and beside a quantity of 0."""
     start = datetime.datetime(2024, 1, 1)
