@@ -22,13 +22,14 @@ def population_of(owners: DataFrame, seed: int, scale: float = 1.0) -> DataFrame
     """Parameters of agents (owner, kind), drawn from each owner's own counter: wake rate, first wake, and for institutions side, parent, child, cap and active span (as shares of the run)."""
     u = lambda i: rng.uniform01(rng.draw(F.col("owner") + seed, F.lit(i)))
     rates = F.create_map(*[F.lit(x) for kind, rate in RATES.items() for x in (kind, rate / (1.0 if kind == "market_maker" else scale))])
-    df = owners.select("owner", "kind", F.try_element_at(rates, F.col("kind")).alias("wake_rate"))
+    # The wait's draw is a column of its own: a Python function isn't planned over nested lambdas.
+    df = owners.select("owner", "kind", F.try_element_at(rates, F.col("kind")).alias("wake_rate"), u(1).alias("_u"))
     large = F.col("kind") == "institutional"
     return df.withColumns({
-        "first_wake_ns": rng.exponential_wait_ns(u(1), F.col("wake_rate")),
+        "first_wake_ns": rng.exponential_wait_ns(F.col("_u"), F.col("wake_rate")),
         "side": F.when(large, F.when(u(2) < 0.5, 1).otherwise(-1)), "parent": F.when(large, (10_000 + F.floor(u(3) * 90_001)).cast("long")), "child": F.when(large, (100 + F.floor(u(4) * 901)).cast("long")),
         "cap": F.when(large, market.clamp(0.1 * (0.75 + 0.5 * u(5)), 0.001, 0.95)), "start_share": F.when(large, 0.2 * u(6)), "end_share": F.when(large, 0.8 + 0.2 * u(7)),
-    })
+    }).drop("_u")
 
 
 def population(spark: SparkSession, counts: dict[str, int], seed: int, scale: float = 1.0) -> DataFrame:

@@ -33,3 +33,10 @@ def test_prices_of_zero(spark, tmp_path, name):
     rows = [(i, start + datetime.timedelta(hours=9 * i), b, "view", v, f'{{"k": {k}}}') for i, (b, v, k) in enumerate(values)]
     got, want = both(spark, tmp_path, name, events=spark.createDataFrame(rows, EVENTS))
     assert got == want and "inf" in str(want)
+
+
+def test_waits_at_the_edge_of_a_nanosecond(spark, tmp_path):
+    """The last bit of this agent's logarithm decides where its first wake is rounded to."""
+    customers = spark.createDataFrame([(227187,), (3,), (4,)], "c_custkey long")
+    got, want = both(spark, tmp_path, "agent_population", customer=customers)
+    assert got == want and "169541234228" in str(want)
