@@ -24,3 +24,18 @@ def test_rows_are_those_of_each_run(spark):
     got = sorted(tuple(r) for r in simulate.run_markets(runs(spark, 12), CONFIG, chunk=7).collect())
     want = sorted(row for i in range(12) for b in range(2) for row in simulate.simulate(i, i * 7919 + 17, CONFIG, range(b, b + 1)))
     assert got == want
+
+
+@pytest.mark.parametrize("summary", [lambda s: simulate.run_moments(s, CONFIG)], ids=["moments"])
+def test_samples_are_made_once(spark, summary):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    samples = simulate.run_markets(runs(spark, 3), CONFIG)
+    n = samples.count()
+    assert summary(samples.mapInArrow(counted, simulate.SAMPLE_SCHEMA)).count() > 0
+    assert made.value == n
