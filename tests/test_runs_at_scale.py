@@ -26,7 +26,7 @@ def test_rows_are_those_of_each_run(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("summary", [lambda s: simulate.run_moments(s, CONFIG)], ids=["moments"])
+@pytest.mark.parametrize("summary", [lambda s: simulate.run_moments(s, CONFIG), lambda s: simulate.shock_metrics(s, (0,))], ids=["moments", "shocks"])
 def test_samples_are_made_once(spark, summary):
     made = spark.sparkContext.accumulator(0)
 
