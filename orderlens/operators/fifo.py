@@ -13,6 +13,8 @@ from them there is right, so each pass settles the earliest wrong one at least,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,14 +84,21 @@ def match_with_cancels(orders: DataFrame, keys: list[str], order: list[str], tic
     cancels = rows.where("action = 'cancel'")
     floating = cancels.where("price is null")
     probes = floating.select(*sided, "_seq", F.lit(PROBE).alias("_kind"), F.lit(1).cast("long").alias("_x"), F.lit(None).cast("long").alias("_rank"))
-    fixed = adds.unionByName(takes)
+    fixed = keep(adds.unionByName(takes).unionByName(probes))
     # A guess is a level and what the cancel takes there: all it asks for at its price; nothing yet without one.
     guess = keep(ranked(cancels).select(*sided, "_seq", "quantity", "distance", F.col("price").isNull().alias("_floats"), "_rank", F.when(F.col("_rank").isNotNull(), F.col("quantity")).otherwise(0).cast("long").alias("_take")))
+    # Sides of books don't touch each other: one whose guesses all stay is done. Whenever half of those at hand are, later passes read only the others.
+    done, at_hand = [], rows.select(*sided).distinct().count()
+
+    def of_sides(df: DataFrame, sides: DataFrame, how: str) -> DataFrame:
+        few = sides.select(*[F.col(c).alias(f"_l_{c}") for c in sided])
+        return df.join(few, [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in sided], how)
+
     for _ in range(most_passes):
         acting = guess.where("_take > 0").select(*sided, "_seq", F.lit(CANCEL).alias("_kind"), F.col("_take").alias("_x"), "_rank")
         # Each cancel also looks at its level, with whatever it takes, to see what it could take.
         looking = guess.where("_rank is not null").select(*sided, "_seq", F.lit(CANCEL).alias("_kind"), F.lit(0).cast("long").alias("_x"), "_rank").join(acting.select(*sided, "_seq"), [*sided, "_seq"], "left_anti")
-        at_levels = keep(_at_levels(fixed.unionByName(acting).unionByName(looking).unionByName(probes), sided, depth, long))
+        at_levels = keep(_at_levels(fixed.unionByName(acting).unionByName(looking), sided, depth, long))
         queued = keep(_held_at_zero(at_levels, [*sided, "_node"], F.when(F.col("_kind") == ADD, F.col("_x")).when(F.col("_kind") == PROBE, 0).otherwise(-F.col("_x")), long))
         could = queued.where(F.col("_kind") == CANCEL).select(*sided, "_seq", F.col("_before").alias("_could"))
         best = queued.where((F.col("_kind") == PROBE) & (F.col("_before") > 0)).select(*sided, "_seq", F.col("_node").alias("_rank")).join(levels.select(*sided, "_rank", F.col("price").alias("_best")), [*sided, "_rank"]).drop("_rank")
@@ -103,11 +112,19 @@ def match_with_cancels(orders: DataFrame, keys: list[str], order: list[str], tic
         take = F.when(level.isNull(), 0).when(stays, F.least("quantity", F.coalesce("_could", F.lit(0)))).otherwise(F.col("quantity")).cast("long")
         new = new.select(*sided, "_seq", "quantity", "distance", "_floats", level.alias("_new"), take.alias("_t"), (~stays | (take != F.col("_take"))).alias("_moved"))
         new = keep(new.select(*sided, "_seq", "quantity", "distance", "_floats", F.col("_new").alias("_rank"), F.col("_t").alias("_take"), "_moved"))
-        if new.where("_moved").isEmpty():
+        moved = new.where("_moved").select(*sided).distinct()
+        left = moved.count()
+        if not left:
+            done.append(at_levels)
             break
         guess = new.drop("_moved")
+        if 2 * left <= at_hand:
+            moved, at_hand = keep(moved), left
+            done.append(of_sides(at_levels, moved, "left_anti"))
+            guess, fixed = keep(of_sides(guess, moved, "left_semi")), keep(of_sides(fixed, moved, "left_semi"))
     else:
         raise RuntimeError("cancels didn't settle")
+    at_levels = keep(reduce(DataFrame.unionByName, done)) if len(done) > 1 else at_levels
 
     place = [*sided, "_node"]
     signed = F.when(F.col("_kind") == ADD, F.col("_x")).when(F.col("_kind") == CANCEL, -F.col("_x")).otherwise(0)

@@ -77,3 +77,22 @@ def test_hand_cases(spark):
     assert {r["id"]: (r["filled"], r["cancelled"], r["resting"]) for r in became.collect()} == {1: (4, 1, 0), 2: (0, 5, 0), 5: (3, 1, 0)}
     none = fifo.match_with_cancels(spark.createDataFrame(rows[2:4], SCHEMA), ["book_id"], ["t", "id"])
     assert none[0].count() == none[1].count() == 0
+
+
+def test_settled_books_leave_the_passes(spark, monkeypatch):
+    """A book with a chain of cancels on both sides among many that settle at once: the last passes read that book alone."""
+    quiet = [(b, 3 * b + i, 3 * b + i, action, -1, 10, None, 5) for b in range(20) for i, action in enumerate(["add", "cancel"])]
+    chain = [(1000 + b, *r[1:]) for b, r in ((r[0], r) for r in flow_of(2, 60, books=1, absolute=0.2))]
+    rows = quiet + chain
+    read, passes = fifo._at_levels, []
+
+    def counted(events, *how):
+        passes.append(events.select("book_id").distinct().count())
+        return read(events, *how)
+
+    monkeypatch.setattr(fifo, "_at_levels", counted)
+    fills, became = fifo.match_with_cancels(spark.createDataFrame(rows, SCHEMA), ["book_id"], ["t", "id"], lot=16)
+    assert len(passes) > 2 and passes[0] == 21 and passes[-1] == 1
+    want, rest = played(rows)
+    assert Counter({(r["book_id"], r["taker"], r["maker"], r["price"]): r["filled"] for r in fills.collect()}) == want
+    assert {(r["book_id"], r["id"]): r["resting"] for r in became.collect() if r["resting"]} == rest
