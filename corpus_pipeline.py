@@ -24,7 +24,7 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles of similarity 0.8 or more the smallest doc_id stays; op8's fingerprints are for that query."""
+    """Of each group linked by five-word shingles of similarity 0.8 or more the smallest doc_id stays: a wide SimHash and its index of positions propose, the shingle sets decide. op8's three bits are for that query."""
     return shingles.drop_near_copies(docs, size=5, similarity=0.8)
 
 

@@ -1,8 +1,8 @@
-"""Near copies by word shingles: sets of five-word shingles whose Jaccard similarity is 0.8 or more, verified exactly.
+"""Near copies by word shingles: sets of five-word shingles whose Jaccard similarity is 0.8 or more, proposed by SimHash and verified exactly.
 
-MinHash bands only propose: 48 bands of seven minima each bring a pair of similarity 0.8 together with probability
-1 - (1 - 0.8^7)^48 = 0.99999, and more similar pairs more surely. Sets that share a band are candidates, and candidates that are linked over bands make
-a part. Within a part the sets are compared exactly: first each with the leaders (smallest set) of its bands, which settles most of a large family of
+A set has a wide SimHash. The index of its positions (simhash.similar_links) only proposes: positions of eight bits or more, so many that a pair of similarity 0.8
+shares one with probability 0.99999 at least, and more similar pairs more surely; of the pairs that share one, those with enough agreeing bits of 192 are
+candidates, and candidates that are linked over lists make a part. Within a part the sets are compared exactly: first each with the leaders (smallest set) of its lists, which settles most of a large family of
 near copies in time proportional to its size. Sets that are left outside their part's largest group are compared with all sets of the part,
 through an index of shingles, in blocks of bounded size; so no link within a part is lost, and no task holds a part.
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import keep, marked, spread_join, stay, whole
 from .graph import stars
+from .simhash import positions, similar_links, wide_fingerprint, width_for
 
-BANDS, MINIMA = 48, 7
+#: Positions of a SimHash and the bits of each, for tables of up to a million sets and a similarity of 0.8.
+BANDS, MINIMA = positions(0.8, 8), 8
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
@@ -39,18 +41,8 @@ def shingles(text: str, size: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64))
 
 
-def bands_of(hashes: np.ndarray, bands: int, minima: int, block: int = 2048) -> list[int]:
-    """A number for each band, of the minima of its hash functions."""
-    rng = np.random.default_rng(7)
-    mix, by = rng.integers(0, 1 << 64, (2, bands * minima), np.uint64)
-    least = np.full(bands * minima, np.iinfo(np.uint64).max)
-    for start in range(0, len(hashes), block):
-        np.minimum(least, ((hashes[start : start + block, None] ^ mix) * (by | np.uint64(1))).min(axis=0), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(bands, minima))]
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, minima: int) -> DataFrame:
-    """(id, mark, check, node, bands): mark and check are of the text, node of its shingle set."""
+    """(id, mark, check, node, fp): mark and check are of the text, node of its shingle set, fp the set's SimHash of that many positions and bits of each."""
     names = ["id", "mark", "check"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +51,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
             for text in batch.column("text").to_pylist():
                 hashes = shingles(text, size)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63))
-                found.append(bands_of(hashes, bands, minima))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], [*names, "node", "bands"])
+                found.append(np.packbits(wide_fingerprint(hashes, bands * minima), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], [*names, "node", "fp"])
 
     rows = marked(docs.select(id_col, text_col), id_col, text_col, *names).select(*names, whole(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, mark long, check int, node long, bands array<long>")
+    return rows.mapInArrow(run, "id long, mark long, check int, node long, fp binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -108,11 +100,9 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return keep(spread_join(with_ours, theirs, "leader", pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), size="theirs").select("node", "leader", "ours", "theirs").mapInArrow(compare, "u long, v long"))
 
 
-def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, similarity: float, block: int = 2000) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, similarity: float, block: int = 2000, minima: int = MINIMA) -> DataFrame:
     """(node, root) of the nodes that are candidates."""
-    members = rows.select("node", F.explode("bands").alias("band")).distinct()
-    leaders = keep(members.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    pairs = keep(spread_join(members, leaders.select("band", "leader"), "band", leaders.select("band", "n")).where("node <> leader").select("node", "leader").distinct())
+    pairs = similar_links(rows.select("node", "fp").dropDuplicates(["node"]), similarity, minima)
     used = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
     # One row of each set brings its text.
     picked = rows.join(used, "node").groupBy("node").agg(F.min(F.struct("mark", "check", "id")).alias("r")).select(F.col("node").alias("_node"), "r.*")
@@ -137,7 +127,7 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: in
 
     first = verified(pairs.groupBy("node").agg(F.min("leader").alias("leader")), sets, similarity)
     group = keep(grouped(nodes, first, "group"))
-    # Leaders of its other bands matter to a set only where they aren't in its group already.
+    # Leaders of its other lists matter to a set only where they aren't in its group already.
     second = verified(between_groups(group).select("node", "leader"), sets, similarity)
     group = keep(grouped(nodes, first.union(second), "group"), instead_of=group)
     open_ = keep(between_groups(group).select(F.col("group").alias("u"), F.col("leader_group").alias("v")).distinct())
@@ -171,10 +161,11 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: in
     return keep(spread_join(group, names, "group", sizes_of(group)).select("node", "root"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = BANDS, minima: int = MINIMA) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group linked by near pairs the one of the smallest id, a null id last; of rows of that id the text that hashes lowest."""
-    rows = keep(sketches(docs, id_col, text_col, size, bands, minima))
-    named = rows.select("node", "id", "mark", "check").join(links(docs, rows, id_col, text_col, size, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, minima: int | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group linked by near pairs the one of the smallest id, a null id last; of rows of that id the text that hashes lowest. minima: bits of a SimHash's position, if not by the number of rows."""
+    minima = minima or width_for(docs.count())
+    rows = keep(sketches(docs, id_col, text_col, size, positions(similarity, minima), minima))
+    named = rows.select("node", "id", "mark", "check").join(links(docs, rows, id_col, text_col, size, similarity, minima=minima), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "check")
     named = keep(named)
     best = keep(named.groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"))

@@ -13,6 +13,9 @@ bits, in time proportional to their number. A block gives a spanning star per lo
 
 Rows of one fingerprint meet before the index, so copies cost nothing there.
 
+For similarities that are many bits apart there is a wide form, similar_links(): positions of `width` bits rather than bytes, as many of them as bring any
+near pair together at one at least (that minimum of matches fails for a pair in `MISS` cases), and a count of the agreeing bits of the first 192 for each pair of a list.
+
 Defined results: a null or empty text has fingerprint zero and is linked like any other; null ids: see near_components(); ties of ids don't
 matter, as the smallest names a component; texts of any length are read whole; repeated rows share a component; an empty table gives an empty result; other columns are ignored, and kept by drop_near_copies().
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -204,3 +208,126 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = keep(rows.groupBy("root").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     told = spread_join(rows, best.select("root", "best"), "root", best.select("root", "n")).withColumn("kept", F.col("rank") == F.col("best"))
     return stay(docs, told.select("id", "mark", "check", "kept"), id_col, text_col)
+
+
+MISS = 1e-5
+#: Bits of a wide fingerprint that are counted for each pair, and how many of its words these are.
+COUNTED, WORDS = 192, 3
+
+
+def differing(similarity: float) -> float:
+    """The share of a wide fingerprint's bits in which sets of a Jaccard similarity differ: the angle's, and a quarter more, as the majority of few hashes is coarser (0.1875 for four of five, 0.151 for many)."""
+    return 1.25 * acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+
+
+def positions(similarity: float, width: int) -> int:
+    """How many positions of width bits bring pairs of the similarity together at one at least, but for MISS of them."""
+    return max(-(-COUNTED // width), ceil(log(MISS) / log(1 - (1 - differing(similarity)) ** width)))
+
+
+def most_differing(bits: int, similarity: float, deviations: float = 4) -> int:
+    """How many of some bits differ at most between sets of the similarity, but for a few deviations' rest."""
+    p = differing(similarity)
+    return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
+
+
+def width_for(n: int, per_list: int = 2048) -> int:
+    """Bits of a position for n fingerprints, so that a list has so many of them on average at most."""
+    return max(8, ceil(log2(max(n, 1) / per_list)))
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int, block: int = 255) -> np.ndarray:
+    """The bits (0 or 1) of a set of 64-bit hashes: each hash is drawn out to as many, and a bit is 1 if set in over half of the set."""
+    words = -(-bits // 64)
+    step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * words, np.int64)
+    for start in range(0, len(hashes), block):
+        x = hashes[start : start + block, None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return (ones[:bits] * 2 > len(hashes)).astype(np.uint8)
+
+
+def postings_of(width: int):
+    """For rows (node, fp: the packed bits): list (position and its bits), node, and the words whose bits are counted, a row for each position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                packed_bits = np.array([np.frombuffer(b, np.uint8) for b in part.column("fp").to_pylist()])
+                lists = packed_bits.shape[1] * 8 // width
+                bits = np.unpackbits(packed_bits, axis=1, bitorder="little", count=lists * width).reshape(-1, lists, width)
+                key = (np.arange(lists) << width) + bits @ (1 << np.arange(width, dtype=np.int64))
+                counted = np.ascontiguousarray(packed_bits[:, : COUNTED // 8]).view("<i8")
+                nodes = part.column("node").to_numpy()
+                columns = [key.ravel(), np.repeat(nodes, lists), *(np.repeat(counted[:, i], lists) for i in range(WORDS))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "node", *(f"w{i}" for i in range(WORDS))])
+
+    return run
+
+
+def counted_components(words: np.ndarray, similarity: float, cells: int = 1 << 15) -> np.ndarray:
+    """For each member of a list (its words in a row) the first one that links reach: pairs of which enough bits agree, by a count for every pair (two words before the third)."""
+    n = words.shape[1]
+    label, rows = np.arange(n), max(1, cells // max(n, 1))
+    first, most = most_differing(128, similarity, 5), most_differing(COUNTED, similarity)
+    for i in range(0, n, rows):
+        here = words[:, i : i + rows, None]
+        differ = np.bitwise_count(here[0] ^ words[0, i:])
+        differ += np.bitwise_count(here[1] ^ words[1, i:])
+        a, b = np.divmod(np.flatnonzero(differ <= first), n - i)
+        a, b = a[a < b], b[a < b]
+        near = differ[a, b] + np.bitwise_count(words[2, a + i] ^ words[2, b + i]) <= most
+        a, b = a[near] + i, b[near] + i
+        if len(a):
+            held = np.flatnonzero(label != np.arange(n))
+            label = components(n, np.append(held, a), np.append(label[held], b))
+    return label
+
+
+def counted_lists(similarity: float):
+    """For rows sorted by list: stars (node, leader) of each list's components."""
+
+    def stars_of(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.argsort(rows[1], kind="stable")]
+        label = counted_components(rows[2:].view(np.uint64), similarity)
+        off = np.flatnonzero(label != np.arange(len(label)))
+        return rows[1][off], rows[1][label[off]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.array([batch.column(c).to_numpy() for c in ("list", "node", *(f"w{i}" for i in range(WORDS)))])
+            found = []
+            for part in np.split(rows, np.flatnonzero(np.diff(rows[0])) + 1, axis=1):
+                if held and part.shape[1] and held[0][0, 0] != part[0, 0]:
+                    found.append(stars_of(held))
+                    held = []
+                held.append(part)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["node", "leader"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in stars_of(held)], ["node", "leader"])
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float, width: int, long_list: int = 1 << 14) -> DataFrame:
+    """(node, leader), distinct, leader the smaller: stars that link all nodes (columns node and fp, distinct) whose wide fingerprints share a position and enough of the counted bits.
+
+    A list of over long_list members, which only near copies make, is one star without a count: what is proposed in vain costs a comparison, what isn't is lost.
+    """
+    columns = ", ".join(f"w{i} long" for i in range(WORDS))
+    postings = nodes.select("node", "fp").mapInArrow(postings_of(width), f"list long, node long, {columns}")
+    sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
+    hot = keep(sizes.where(F.col("n") > long_list))
+    some = not hot.isEmpty()
+    rest = postings.join(hot, "list", "left_anti") if some else postings
+    found = rest.repartition("list").sortWithinPartitions("list").mapInArrow(counted_lists(similarity), "node long, leader long")
+    if some:
+        found = found.union(spread_join(postings.select("list", "node"), hot.select("list", "leader"), "list", hot.select("list", "n")).where("node <> leader").select("node", "leader"))
+    return keep(found.distinct())

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from orderlens.llm import shingles
+from orderlens.llm import shingles, simhash
 from orderlens.llm.common import keep, spread_join
 
 from .helpers import corpus, docs
@@ -88,3 +88,31 @@ def test_hot_keys_are_joined_alike(spark):
     want = sorted(map(tuple, rows.join(table, "k").collect()))
     for how in ({}, {"least": 5}, {"least": 5, "share": 10, "size": "v"}, {"least": 5, "most_bytes": 1}):
         assert sorted(map(tuple, spread_join(rows, table, "k", counts, **how).collect())) == want
+
+
+@pytest.mark.parametrize("width, long_list", [(8, 1 << 14), (11, 1 << 14), (8, 5)])
+def test_simhash_proposes_every_near_pair(spark, width, long_list):
+    """The index of a wide SimHash links all pairs of similarity 0.8, of large sets and small, and few strangers unless a list is long."""
+    rng = np.random.default_rng(width)
+    sets, pairs = [], []
+    for i in range(300):
+        common, ours, theirs = ((4, 0, 1), (12, 1, 2), (40, 5, 5), (400, 0, 100))[i % 4]
+        drawn = rng.integers(0, 1 << 64, common + ours + theirs, np.uint64)
+        sets += [drawn[: common + ours], np.append(drawn[:common], drawn[common + ours :])]
+        pairs.append((2 * i, 2 * i + 1))
+    bits = simhash.positions(0.8, width) * width
+    fps = [(i, bytearray(np.packbits(simhash.wide_fingerprint(s, bits), bitorder="little").tobytes())) for i, s in enumerate(sets)]
+    found = {(r["leader"], r["node"]) for r in simhash.similar_links(spark.createDataFrame(fps, "node long, fp binary"), 0.8, width, long_list).collect()}
+    label = simhash.components(len(sets), *(np.array([p[k] for p in found]) for k in (0, 1)))
+    assert all(label[a] == label[b] for a, b in pairs)
+    if long_list > 1000:
+        assert set(pairs) <= found and len(found) < len(pairs) + 10  # strangers of four shingles are alike at times
+    assert simhash.similar_links(spark.createDataFrame([], "node long, fp binary"), 0.8, width).count() == 0
+
+
+def test_a_list_is_counted_by_pairs():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 64, (3, 90), np.uint64)
+    words[:, 60:] = words[:, 30:60] ^ (np.uint64(1) << rng.integers(0, 64, (3, 30), np.uint64))  # three bits off
+    label = simhash.counted_components(words, 0.8, cells=500)
+    assert label.tolist() == [*range(60), *range(30, 60)]
