@@ -1,12 +1,14 @@
 """Near copies by five-word shingles against all pairs."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from orderlens.llm import shingles, simhash
+from orderlens.llm import graph, shingles, simhash
 from orderlens.llm.common import keep, spread_join
 
 from .helpers import corpus, docs
@@ -116,3 +118,35 @@ def test_a_list_is_counted_by_pairs():
     words[:, 60:] = words[:, 30:60] ^ (np.uint64(1) << rng.integers(0, 64, (3, 30), np.uint64))  # three bits off
     label = simhash.counted_components(words, 0.8, cells=500)
     assert label.tolist() == [*range(60), *range(30, 60)]
+
+
+def rows_of_joins(spark, run):
+    """What run gives, and the rows that each join of its Spark executions made, by the join's text."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    result, made = run(), Counter()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for at in range(before, store.executionsCount()):
+        number = store.executionsList().apply(at).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for i in range(nodes.size()):
+            if "Join" in nodes.apply(i).name():
+                metrics = nodes.apply(i).metrics()
+                for m in (metrics.apply(k) for k in range(metrics.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made[re.sub(r"#\d+L?", "", nodes.apply(i).desc())] += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return result, made
+
+
+def test_joins_of_dense_links_make_no_more_rows_than_links(spark):
+    """A long group whose nodes have many links each, and small groups: the stars of plain search, and no join makes more rows over all rounds than there are links."""
+    rng, n, each = np.random.default_rng(9), 600, 30
+    at = np.repeat(np.arange(n), each)
+    dense = np.stack([at, np.maximum(at - 1 - rng.integers(0, 60, len(at)), 0)])
+    thin = np.stack([n + np.arange(300), n + np.arange(300) // 6 * 6])
+    links = np.unique(rng.permutation(n + 300)[np.concatenate([dense, thin], axis=1)].T, axis=0)
+    table = keep(spark.createDataFrame(links.tolist(), "u long, v long"))
+    star, made = rows_of_joins(spark, lambda: sorted(map(tuple, graph.stars(table).collect())))
+    label = simhash.components(n + 300, *links.T)
+    assert star == [(i, int(k)) for i, k in enumerate(label) if i != k] and len(star) == n - 1 + 250
+    assert max(made.values()) <= 1.25 * len(links), made.most_common(3)
