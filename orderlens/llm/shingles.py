@@ -2,7 +2,7 @@
 
 A set has a wide SimHash. The index of its positions (simhash.similar_links) only proposes: positions of eight bits or more, so many that a pair of similarity 0.8
 shares one with probability 0.99999 at least, and more similar pairs more surely; of the pairs that share one, those with enough agreeing bits of 192 are
-candidates, and candidates that are linked over lists make a part. Within a part the sets are compared exactly: first each with the leaders (smallest set) of its lists, which settles most of a large family of
+candidates, and candidates that are linked over lists make a part. Within a part the sets are compared exactly: first each with four leaders (smallest set) of its lists at most, which settles most of a large family of
 near copies in time proportional to its size. Sets that are left outside their part's largest group are compared with all sets of the part,
 through an index of shingles, in blocks of bounded size; so no link within a part is lost, and no task holds a part.
 
@@ -115,29 +115,23 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: in
 
     sets = keep(texts.mapInArrow(tokens, "node long, hashes binary"))
     nodes = sets.select("node")
-    led = keep(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")))
-
-    def between_groups(group: DataFrame) -> DataFrame:
-        """The pairs whose sets are in different groups, and these groups."""
-        theirs = group.select(F.col("node").alias("leader"), F.col("group").alias("leader_group"))
-        return spread_join(pairs.join(group, "node"), theirs, "leader", led).where("group <> leader_group")
+    # A row for each node, with its leaders (as many as the index has positions at most): no join meets the pairs themselves.
+    led = keep(pairs.groupBy("node").agg(F.min("leader").alias("least"), F.collect_set("leader").alias("leaders")))
 
     def sizes_of(group: DataFrame) -> DataFrame:
         return group.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
 
-    first = verified(pairs.groupBy("node").agg(F.min("leader").alias("leader")), sets, similarity)
-    group = keep(grouped(nodes, first, "group"))
-    # Leaders of its other lists matter to a set only where they aren't in its group already.
-    second = verified(between_groups(group).select("node", "leader"), sets, similarity)
-    group = keep(grouped(nodes, first.union(second), "group"), instead_of=group)
-    open_ = keep(between_groups(group).select(F.col("group").alias("u"), F.col("leader_group").alias("v")).distinct())
-    if open_.isEmpty():
+    # A few leaders of each set settle most of a family; what they leave open is settled within the parts.
+    drawn = F.slice(F.sort_array(F.transform("leaders", lambda x: F.struct(F.xxhash64("node", x).alias("draw"), x.alias("leader")))), 1, 2)
+    tried = led.select("node", F.explode(F.array_distinct(F.concat(F.array("least", F.array_max("leaders")), F.transform(drawn, lambda x: x["leader"])))).alias("leader"))
+    group = keep(grouped(nodes, verified(keep(tried), sets, similarity), "group"))
+    # Candidates link sets to parts; within these no pair of groups is left out. A set's leaders are linked by the least of them, which many sets share.
+    chain = led.select(F.col("node").alias("u"), F.col("least").alias("v")).union(led.select(F.explode("leaders").alias("u"), F.col("least").alias("v")).where("u <> v").distinct())
+    state = keep(group.join(grouped(nodes, chain, "part"), "node"))
+    split = state.groupBy("part", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("part")
+    split = keep(split.agg(F.sum("n").alias("n"), F.max_by("group", F.struct("n", "group")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups"))
+    if split.isEmpty():
         return group.withColumnRenamed("group", "root")
-    # Candidates link groups to parts; within these no pair of groups is left out.
-    star = stars(open_)
-    part = star.select(F.col("u").alias("group"), F.col("v").alias("part")).union(star.select("v", "v").distinct())
-    state = keep(spread_join(group, part, "group", sizes_of(group)))
-    split = keep(state.groupBy("part", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(F.sum("n").alias("n"), F.max_by("group", F.struct("n", "group")).alias("largest")))
     # Groups of n sets in blocks; those outside the largest group, in chunks, meet each block of their part.
     blocks = F.ceil(F.col("n") / block).cast("int")
     at = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")

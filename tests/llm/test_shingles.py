@@ -150,3 +150,14 @@ def test_joins_of_dense_links_make_no_more_rows_than_links(spark):
     label = simhash.components(n + 300, *links.T)
     assert star == [(i, int(k)) for i, k in enumerate(label) if i != k] and len(star) == n - 1 + 250
     assert max(made.values()) <= 1.25 * len(links), made.most_common(3)
+
+
+def test_strangers_with_a_common_line_take_joins_of_a_few_rows_a_text(spark):
+    """Texts that are half alike are proposed over many lists: the stage's joins take a few rows for each text, not one for each proposal, and its groups are those of all pairs."""
+    rng, n = random.Random(4), 700
+    common = " ".join(f"c{i}" for i in range(24))
+    texts = [f"{common} " + " ".join(f"t{i}w{k}" for k in range(rng.randrange(3, 8))) for i in range(n)]
+    texts += [texts[i] + " x" for i in range(0, n, 7)]
+    kept, made = rows_of_joins(spark, lambda: sorted(r["doc_id"] for r in shingles.drop_near_copies(docs(spark, texts)).collect()))
+    assert kept == [i for i, c in enumerate(brute(texts)) if c == i] and len(kept) > 300
+    assert max(made.values()) <= 8 * len(texts), made.most_common(5)
