@@ -82,6 +82,45 @@ def test_what_markup_leaves_open_is_settled_by_repeated_runs(spark, slice_bytes)
     assert got[101, "http://c.org/1"] == SHARED  # a repeated row is no distinct page
 
 
+def articles_of(n, line_on, tag="article"):
+    """Pages of a host with articles of their own words; a line without a name stands among them on those asked for."""
+    line = f"<p>{SHARED}</p>"
+    own = lambda i, k: f"<p>{' '.join(f'p{i}{k}w{j}' for j in range(15))}</p>"
+    return [(i, f"http://a.org/{i}", f"<nav>n</nav><{tag}>{own(i, 'a')}{line if line_on(i) else ''}{own(i, 'b')}</{tag}><p>outside {i}</p>") for i in range(n)]
+
+
+def cut_from(rows, got):
+    """Pages whose text is their own two lines, with the shared line between them gone."""
+    own = {i: [" ".join(f"p{i}{k}w{j}" for j in range(15)) for k in "ab"] for i, _, _ in rows}
+    for i, u, h in rows:
+        assert got[i, u] in ("\n".join(own[i]), f"{own[i][0]}\n{SHARED}\n{own[i][1]}")
+    return {i for i, u, h in rows if SHARED in h and SHARED not in got[i, u]}
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 900])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_runs_of_the_site_leave_articles(spark, slice_bytes, tag):
+    """A line without a name on three quarters of a host's articles isn't the articles'; on fewer, on few pages and in copies it is content."""
+    rows = articles_of(40, lambda i: i % 4, tag)
+    assert cut_from(rows, texts(spark, rows, slice_bytes=slice_bytes)) == {i for i in range(40) if i % 4}
+    rows = articles_of(40, lambda i: i % 4 and i > 1, tag)
+    assert cut_from(rows, texts(spark, rows, slice_bytes=slice_bytes)) == set()
+    rows = articles_of(9, lambda i: True, tag)
+    assert cut_from(rows, texts(spark, rows, slice_bytes=slice_bytes)) == set()
+    copies = [(i, f"http://a.org/{i}", f"<{tag}><h1>One</h1><p>{SHARED} and {SHARED}</p></{tag}>") for i in range(30)]
+    assert set(texts(spark, copies, slice_bytes=slice_bytes).values()) == {f"One\n{SHARED} and {SHARED}"}
+
+
+@pytest.mark.parametrize("last, gone", [(3, True), (1, True), (0, False)])
+def test_shares_of_parts_below_half_are_counted_again(spark, last, gone):
+    """Of four parts of ten articles 10, 10 and 9 have the line; the fourth doesn't tell, and 30 of 40 decide."""
+    has = {0: 10, 1: 10, 2: 9, 3: last}
+    rows = articles_of(40, lambda i: i % 10 < has[i // 10])
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "page_id long, url string, html string")
+    got = {(r["page_id"], r["url"]): r["text"] for r in pages.extract_main_text(df, slice_bytes=900).collect()}
+    assert cut_from(rows, got) == ({i for i, _, h in rows if SHARED in h} if gone else set())
+
+
 def brute_cover(streams, depth):
     """Tokens covered by windows of the depth that lie in streams of distinct pages."""
     places = defaultdict(set)
