@@ -217,18 +217,38 @@ class Streams:
         self.size += len(stream)
 
     def classes(self, depth: int):
-        """codes, suffix order, class starts, first and last page and number of streams of each class, and which suffixes lie whole in a page."""
+        """codes, suffix order, class starts, first and last page of each class, and which suffixes lie whole in a page."""
         sizes = np.array([len(p) + 1 for p in self.parts])
         codes = np.concatenate([np.append(p, len(self.vocabulary) + i) for i, p in enumerate(self.parts)])
         pages = np.repeat(np.array(self.page_ids, np.int64), sizes)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes)) - 1  # tokens up to the separator
         order, starts = suffix_classes(codes, depth)
         low, high = (f.reduceat(pages[order], starts) for f in (np.minimum, np.maximum))
+        return codes, order, starts, low, high, left >= depth
+
+    def common(self, depth: int, least: int):
+        """codes; the places of the windows on so many streams at least, class by class of the suffix array; where classes begin in these, and on how many streams each is."""
+        sizes = np.array([len(p) + 1 for p in self.parts])
+        codes = np.concatenate([np.append(p, len(self.vocabulary) + i) for i, p in enumerate(self.parts)])
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        # A window is on no more streams than each of its tokens, so what is on fewer parts the rest and isn't sorted.
+        rare = np.bincount(np.unique(codes * len(sizes) + of) // len(sizes))[codes] < least
+        rare[np.cumsum(sizes) - 1] = True
+        before = np.append(0, np.cumsum(rare))
+        fits = np.zeros(len(codes), bool)
+        fits[: max(len(codes) - depth + 1, 0)] = before[depth:] == before[:-depth]
+        stay = spans(len(codes), np.flatnonzero(fits), depth)
+        kept = np.flatnonzero(stay | np.append(False, stay[:-1]))
+        if not len(kept):
+            return codes, kept, kept, kept
+        order, starts = suffix_classes(np.where(stay[kept], codes[kept], len(self.vocabulary) + len(sizes) + np.arange(len(kept))), depth)
         # The sort is stable, so a class has its suffixes stream by stream.
-        at = np.repeat(np.arange(len(sizes)), sizes)[order]
-        new = np.append(True, at[1:] != at[:-1])
+        places, many = kept[order], np.diff(np.append(starts, len(order)))
+        new = np.append(True, of[places[1:]] != of[places[:-1]])
         new[starts] = True
-        return codes, order, starts, low, high, np.add.reduceat(new.astype(np.int64), starts), left >= depth
+        held = np.add.reduceat(new.astype(np.int64), starts)
+        hit = fits[places[starts]] & (held >= least)
+        return codes, places[np.repeat(hit, many)], np.cumsum(many[hit]) - many[hit], held[hit]
 
     def hashes(self, codes: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         """64 bits for the window at each place, the same in every process."""
@@ -257,10 +277,9 @@ def shares(host: int, streams: Streams, depth: int) -> Iterator[pd.DataFrame]:
     """Of a part of a host's articles: the windows on half of them or more, with the number n of articles that have it and of all, and a row without a window."""
     articles = len(streams.parts)
     if articles:
-        codes, order, starts, _, _, held, fits = streams.classes(depth)
-        often = fits[order[starts]] & (2 * held >= articles)
-        windows = pd.array(streams.hashes(codes, order[starts][often], depth), "Int64")
-        yield pd.DataFrame({"host": host, "window": windows, "slice": -1, "n": held[often], "articles": articles})
+        codes, places, starts, held = streams.common(depth, -(-articles // 2))
+        windows = pd.array(streams.hashes(codes, places[starts], depth), "Int64")
+        yield pd.DataFrame({"host": host, "window": windows, "slice": -1, "n": held, "articles": articles})
         yield pd.DataFrame({"host": host, "window": pd.array([None], "Int64"), "slice": -1, "n": 0, "articles": [articles]})
 
 
@@ -284,7 +303,7 @@ def windows_of(depth: int):
                                 yield from shares(host, own, depth)
                                 own = Streams()
                             own.add(len(own.parts), stream)
-                    codes, order, starts, *_, fits = streams.classes(depth)
+                    codes, order, starts, _, _, fits = streams.classes(depth)
                     first = order[starts]
                     yield pd.DataFrame({"host": host, "window": pd.array(streams.hashes(codes, first[fits[first]], depth), "Int64"), "slice": part, "n": 0, "articles": 0})
                 yield from shares(host, own, depth)
@@ -296,11 +315,10 @@ def counts_of(depth: int):
     """For rows with the windows asked of their host: host, window, the number of articles that have it."""
 
     def counted(host: int, streams: Streams, asked: np.ndarray) -> pd.DataFrame:
-        codes, order, starts, _, _, held, fits = streams.classes(depth)
-        whole_ones = fits[order[starts]]
-        windows = streams.hashes(codes, order[starts][whole_ones], depth)
+        codes, places, starts, held = streams.common(depth, 1)
+        windows = streams.hashes(codes, places[starts], depth)
         hit = np.isin(windows, asked)
-        return pd.DataFrame({"host": host, "window": windows[hit], "n": held[whole_ones][hit]})
+        return pd.DataFrame({"host": host, "window": windows[hit], "n": held[hit]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -334,8 +352,8 @@ def of_the_site(found: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame, run: int = 8, slice_bytes: int = 1 << 20) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks (all blocks with text), n_dropped (blocks that don't stay), n_covered (stream tokens in repeated runs), n_cut (words of articles in
-    runs of the site that go), a row for each page."""
+    """page_id, url, text, n_chars, n_blocks (all blocks with text), n_dropped (blocks that don't stay), n_covered (stream tokens in repeated runs), n_cut (stream tokens of articles in
+    runs of the site, which go), a row for each page."""
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", whole("html").alias("html"), F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64("page_id", "url").alias("page"))
     sizes = pages.select(F.xxhash64(host_of(F.col("url"))).alias("host"), F.octet_length(whole("html")).alias("bytes")).groupBy("host").agg(F.sum("bytes").alias("bytes"))
@@ -360,14 +378,14 @@ def extract_main_text(pages: DataFrame, run: int = 8, slice_bytes: int = 1 << 20
         out = []
         for _, of_host in group.groupby("host", sort=False):
             parsed = [blocks_of(h) for h in of_host["html"]]
+            mine, windows = known["own"].to_numpy(bool), known["window"].to_numpy()
             streams, starts, own = Streams(), [], Streams()
+            asked = mine.any() if key[1] >= 0 else len(parsed) >= LEAST
             for row, (page, blocks) in enumerate(zip(of_host["page"], parsed)):
                 stream, at = tokens_of(blocks)
                 streams.add(page, stream)
                 starts.append(at)
-                own.add(row, own_tokens(blocks)[0])
-            mine = known["own"].to_numpy(bool)
-            windows = known["window"].to_numpy()
+                own.add(row, own_tokens(blocks)[0] if asked else [])
             covered = cover(streams, run, windows[~mine])
             sites = cover_site(own, run, windows[mine] if key[1] >= 0 else None)
             end = own_end = 0
@@ -388,10 +406,9 @@ def extract_main_text(pages: DataFrame, run: int = 8, slice_bytes: int = 1 << 20
     return out.withColumn("page_id", F.col("page_id").cast(kind))
 
 
-def spans(order: np.ndarray, starts: np.ndarray, hit: np.ndarray, depth: int) -> np.ndarray:
-    """For each token whether a window of the depth covers it whose class is hit."""
-    begins = np.zeros(len(order) + 1, np.int64)
-    at = order[np.repeat(hit, np.diff(np.append(starts, len(order))))]
+def spans(size: int, at: np.ndarray, depth: int) -> np.ndarray:
+    """For each of so many tokens whether a window of the depth that begins at one of the places covers it."""
+    begins = np.zeros(size + 1, np.int64)
     begins[at] += 1
     begins[at + depth] -= 1
     return np.cumsum(begins[:-1]) > 0
@@ -399,28 +416,27 @@ def spans(order: np.ndarray, starts: np.ndarray, hit: np.ndarray, depth: int) ->
 
 def cover(streams: Streams, depth: int, known: np.ndarray) -> np.ndarray:
     """For each token whether a run of the depth that distinct pages share covers it; known are hashes of windows that pages of other slices share."""
-    codes, order, starts, low, high, _, fits = streams.classes(depth)
+    codes, order, starts, low, high, fits = streams.classes(depth)
     first = order[starts]
     hit = (low != high) & fits[first]
     if len(known):
         asked = np.flatnonzero(fits[first] & ~hit)
         hit[asked] = np.isin(streams.hashes(codes, first[asked], depth), known)
-    return spans(order, starts, hit, depth)
+    return spans(len(codes), order[np.repeat(hit, np.diff(np.append(starts, len(order))))], depth)
 
 
 def cover_site(streams: Streams, depth: int, known: np.ndarray | None) -> np.ndarray:
     """For each token of articles whether a run of the site covers it: by count over the whole host's articles or, of a slice, by the hashes that all slices' counts gave."""
-    codes, order, starts, _, _, held, fits = streams.classes(depth)
-    first, articles = order[starts], sum(len(p) > 0 for p in streams.parts)
-    hit = fits[first]
+    articles = sum(len(p) > 0 for p in streams.parts)
+    if articles < LEAST if known is None else not len(known):
+        return np.zeros(sum(len(p) + 1 for p in streams.parts), bool)
     if known is None:
-        hit &= (articles >= LEAST) & (4 * held >= SHARE * articles)
-    elif len(known):
-        asked = np.flatnonzero(hit)
-        hit[asked] = np.isin(streams.hashes(codes, first[asked], depth), known)
+        codes, places, _, _ = streams.common(depth, -(-SHARE * articles // 4))
     else:
-        hit = np.zeros(len(first), bool)
-    return spans(order, starts, hit, depth)
+        codes, places, starts, _ = streams.common(depth, 1)
+        hit = np.isin(streams.hashes(codes, places[starts], depth), known)
+        places = places[np.repeat(hit, np.diff(np.append(starts, len(places))))]
+    return spans(len(codes), places, depth)
 
 
 def main_lines(blocks: list[tuple[int, str, str]], starts: list[int], covered: np.ndarray, site: np.ndarray | None = None) -> list[str]:

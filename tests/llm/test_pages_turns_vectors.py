@@ -152,6 +152,24 @@ def test_suffix_array_covers_what_brute_force_covers(depth):
         assert got == brute_cover(streams, depth)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 8])
+def test_common_windows_are_those_of_brute_force(depth):
+    rng = random.Random(depth)
+    for _ in range(60):
+        streams = [[rng.choice("aaabcdef"[: rng.randrange(1, 9)]) for _ in range(rng.randrange(0, 30))] for _ in range(rng.randrange(1, 9))]
+        least, s, held, places = rng.randrange(1, 6), pages.Streams(), defaultdict(set), defaultdict(set)
+        at = 0
+        for k, stream in enumerate(streams):
+            s.add(k, stream)
+            for i in range(len(stream) - depth + 1):
+                held[tuple(stream[i : i + depth])].add(k)
+                places[tuple(stream[i : i + depth])].add(at + i)
+            at += len(stream) + 1
+        _, found, starts, n = s.common(depth, least)
+        got = sorted((sorted(p.tolist()), k) for p, k in zip(np.split(found, starts[1:]), n.tolist()))
+        assert got == sorted((sorted(places[w]), len(held[w])) for w in held if len(held[w]) >= least)
+
+
 def test_slices_count_as_one_host(spark):
     """n_covered of a host cut into slices against brute force over the whole host."""
     rng = random.Random(3)
